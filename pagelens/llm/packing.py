@@ -20,7 +20,11 @@ from .common import rows_of
 
 #: Words whose ids a worker remembers; beyond this many it begins anew.
 REMEMBERED = 400_000
-PLAIN = re.compile(r"([a-z]+)([.,!?;:|%&$#*]*)\Z")
+#: Latin letters in their composed form, then marks: normalising such a word changes its case only, and letters and marks are tokens apart.
+PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,!?;:|%&$#*]*)\Z")
+#: The byte-level spelling of such vocabularies: printable Latin-1 characters stand for their own byte, other bytes for 256 and up in order.
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+SPELLING = {b: b for b in PRINTABLE} | {b: 256 + k for k, b in enumerate(sorted({*range(256)} - {*PRINTABLE}))}
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -38,26 +42,23 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
-        """A word of letters a to z with marks behind it: its letters and its marks are tokens apart."""
-        if (m := PLAIN.match(word)) and m[2]:
-            parts = []
-            for part in m.groups():
-                if part not in self.cores:
-                    self.cores[part] = self._core(part)
-                parts.append(self.cores[part])
-            return b"".join(parts)
-        return self._core(word)
-
-    def _core(self, word: str) -> bytes:
-        if word.isascii() and word.isalpha() and word.islower():  # the model's own spelling: nothing to normalise
-            return np.array([x.id for x in self.tokenizer.model.tokenize(word)], dtype="<u4").tobytes()
-        return self._whole(word)
+        m = PLAIN.match(word)
+        if not m or not (low := m[1].lower()).isalpha():
+            return self._whole(word)
+        return self._part(low) + self._part(m[2]) if m[2] else self._part(low)
+
+    def _part(self, part: str) -> bytes:
+        """Letters, or marks, as the model's own spelling."""
+        if part not in self.parts:
+            spelt = part if part.isascii() else part.encode().decode("latin-1").translate(SPELLING)
+            self.parts[part] = np.array([x.id for x in self.tokenizer.model.tokenize(spelt)], dtype="<u4").tobytes()
+        return self.parts[part]
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
@@ -70,9 +71,9 @@ class WordEncoder:
         try:
             return b"".join([known[w] for w in found])
         except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
-                self.cores.clear()
+            for memory in (known, self.parts):
+                if len(memory) > REMEMBERED:
+                    memory.clear()
             for w in found:
                 if w not in known:
                     known[w] = self._word(w) if w else b""
