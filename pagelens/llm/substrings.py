@@ -2,7 +2,8 @@
 
 A gear hash rolls over the bytes; where its low 16 bits (which depend on the last sixteen bytes alone) fall under a bound, a chunk may
 begin or end, so an insertion moves no border but those next to it. A chunk reaches from a place that may begin one
-to the first end LEAST_BYTES or more further on; chunks overlap. Chunks are deduplicated by digest over all
+to the first end LEAST_BYTES or more further on; chunks overlap. In text that repeats itself no place may fall under the
+bound: after QUIET_BYTES without one, each place with the lowest hash of as many bytes counts. Chunks are deduplicated by digest over all
 documents, and runs of repeated chunks are the passages.
 """
 
@@ -21,6 +22,7 @@ WINDOW = 16
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 7) for b in range(256)], np.uint32)
 #: Mean distance of places where a chunk may begin and may end, and its shortest length in bytes.
 BEGIN_EVERY, END_EVERY, LEAST_BYTES = 20, 5, 128
+QUIET_BYTES = 64
 #: Shortest passage, in words, that counts as repeated.
 LEAST_WORDS = 25
 
@@ -35,8 +37,18 @@ def chunks(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for j in range(WINDOW):
         h += gear[WINDOW - 1 - j : len(data) - j] << np.uint32(j)
     h &= np.uint32(0xFFFF)
-    ends = np.flatnonzero(h < 65536 // END_EVERY) + WINDOW
-    begins = np.flatnonzero(h < 65536 // BEGIN_EVERY) + WINDOW
+    ends = np.flatnonzero(h < 65536 // END_EVERY)
+    begins = np.flatnonzero(h < 65536 // BEGIN_EVERY)
+    edges = np.concatenate(([-1], ends, [len(h)]))
+    forced = []
+    for k in np.flatnonzero(np.diff(edges) > QUIET_BYTES):
+        quiet = h[edges[k] + 1 : edges[k + 1]]
+        if len(quiet) >= QUIET_BYTES:
+            lowest = np.lib.stride_tricks.sliding_window_view(quiet, QUIET_BYTES).min(axis=1)
+            forced.append(edges[k] + QUIET_BYTES + np.flatnonzero(quiet[QUIET_BYTES - 1 :] == lowest))
+    if forced:
+        ends, begins = (np.sort(np.concatenate([x, *forced])) for x in (ends, begins))
+    ends, begins = ends + WINDOW, begins + WINDOW
     at = np.searchsorted(ends, begins + LEAST_BYTES)
     begins, at = begins[at < len(ends)], at[at < len(ends)]
     ends = ends[at] if len(at) else none
