@@ -45,6 +45,12 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_counts(table(spark, sf_dir, "documents"))
 
 
+def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .main_text import main_texts
+
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 def op7_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .merkle import fingerprint_edits
 
@@ -69,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_secret_scan": op5_secret_scan,
+    "op6_html_main_text": op6_html_main_text,
     "op7_merkle_fingerprints": op7_merkle_fingerprints,
     "op9_toxic_segments": op9_toxic_segments,
     "op10_packing": op10_packing,
