@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import fold_of
 
@@ -138,24 +139,25 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_SAMPLES) ->
     return model
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score of every document. A null or empty text has the share of label 1 among the labels. Repeated rows are scored each; other columns aren't read."""
+def rated(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs, with the score of each row's text as a further column `name`. A null or empty text has the share of label 1 among the labels."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_SAMPLES vectors of RANK floats, and TERMS times RANK
+    names, text = [*docs.columns, name], docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shared.value.scores(counts_of(part.column(1).to_pylist())), pa.float64())], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.scores(counts_of(part.column(text).to_pylist())), pa.float64())], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    return docs.mapInArrow(run, T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema.fields), T.StructField(name, T.DoubleType())]))
 
 
 def quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
     """doc_id, held_out, score, predicted. Labels of documents in the held-out fold (crc32 of the id modulo `folds`) aren't used.
 
-    Without labels every score is one half. Without rows the result is empty.
+    Repeated rows are scored each; other columns aren't read. Without labels every score is one half. Without rows the result is empty.
     """
     model = train(docs, labels.filter(fold_of(F.col("doc_id"), folds) != held))
-    found = score(docs, model)
+    found = rated(docs.select("doc_id", "text"), model)
     return found.select("doc_id", (fold_of(F.col("doc_id"), folds) == held).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

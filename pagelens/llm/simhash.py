@@ -155,3 +155,17 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3) -> DataF
     found = components(classes.select(F.col("fp").alias("node"), F.col("least").alias("label")), checkpoint(links(classes.select("fp"), distance)))
     found = found.select(F.col("node").alias("fp"), F.col("label").alias("component_id"))
     return own.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 5, distance: int = 3) -> DataFrame:
+    """One row of each group of near duplicates: the one with the smallest doc_id, of equal ids the one with the smallest text. Columns stay as they are.
+
+    Rows whose text has no words are kept, all of them: nothing says that they are copies.
+    """
+    own = docs.withColumn("_row", F.monotonically_increasing_id())
+    blank = F.coalesce(F.length(F.regexp_replace("text", "[\\x20\\x09-\\x0D]+", "")) == 0, F.lit(True))
+    groups = near_duplicates(docs.filter(~blank), width, distance).select("doc_id", "component_id").distinct()
+    best = groups.groupBy("component_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    kept = own.filter(~blank).join(best, "doc_id", "left_semi")
+    first = kept.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "_row")).alias("_first")).select(F.col("_first._row").alias("_row"))
+    return kept.join(first, "_row", "left_semi").unionByName(own.filter(blank)).select(*docs.columns)
