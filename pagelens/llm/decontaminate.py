@@ -21,7 +21,7 @@ from .common import checkpoint, rows_of, written
 
 WINDOW, STRIDE = 32, 16
 #: Least latent cosine of a candidate, share of the item's words in the common subsequence, share of the answer's words.
-LEAST_COSINE, LEAST_COMMON, LEAST_ANSWER = 0.3, 0.75, 0.5
+LEAST_COSINE, LEAST_COMMON, LEAST_ANSWER = 0.33, 0.75, 0.5
 #: Items searched for at once and the bytes they may have, which bound what is broadcast; more are searched for in blocks. Dimensions beyond one for each item.
 MOST_ITEMS, MOST_BYTES, SPARE_DIMENSIONS = 480, 4_000_000, 32
 #: Without an answer column the last words of an item are its answer.
@@ -100,31 +100,47 @@ def token_weights(numbers: np.ndarray, sizes: np.ndarray, idf: np.ndarray) -> np
     return (idf[numbers] / np.sqrt(times[which])).astype(np.float32)
 
 
-def _frequencies(docs: DataFrame, items: Items) -> tuple[int, np.ndarray]:
+def _numbered(docs: DataFrame, items: Items) -> DataFrame:
+    """doc_id and numbers (binary): every text as the numbers of its words, -1 for words that no item has."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, n, found = Vocabulary(items.vocabulary), 0, np.zeros(len(items.vocabulary) + 1, np.int64)
+        words = Vocabulary(items.vocabulary)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([words.numbers(tokens(text)).tobytes() for (text,) in rows_of([batch], "text")], pa.binary())], ["doc_id", "numbers"])
+
+    return written(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, numbers binary"))
+
+
+def _frequencies(numbered: DataFrame, items: Items) -> tuple[int, np.ndarray]:
+    size = len(items.vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, found = 0, np.zeros(size + 1, np.int64)
         for batch in batches:
             n += batch.num_rows
-            for (text,) in rows_of([batch], "text"):
-                found[np.unique(words.numbers(tokens(text)))] += 1  # -1: the last place, which isn't read
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *range(len(found) - 1)], pa.int32()), pa.array([n, *found[:-1].tolist()], pa.int64())], ["word", "n"])
+            for at in range(0, batch.num_rows, 256):
+                own, sizes = _unpacked(batch.column(0).slice(at, 256))
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                seen = np.zeros((len(sizes), size + 1), bool)
+                seen[row, own] = True  # -1: the last place, which isn't read
+                found += seen.sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *range(size)], pa.int32()), pa.array([n, *found[:-1].tolist()], pa.int64())], ["word", "n"])
 
-    sums = {r["word"]: r["n"] for r in docs.select("text").mapInArrow(run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}  # a row for each word of the benchmark
-    return sums.get(-1, 0), np.array([sums.get(k, 0) for k in range(len(items.vocabulary))], float)
+    sums = {r["word"]: r["n"] for r in numbered.select("numbers").mapInArrow(run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}  # a row for each word of the benchmark
+    return sums.get(-1, 0), np.array([sums.get(k, 0) for k in range(size)], float)
 
 
-def _passages(docs: DataFrame, items: Items, idf: np.ndarray, other: float) -> DataFrame:
+def _passages(numbered: DataFrame, items: Items, idf: np.ndarray, other: float) -> DataFrame:
     """doc_id, at, norm, numbers, around: the passages that can reach LEAST_COSINE; `around` has the word numbers of the passage and as many before and behind it as the longest item has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Vocabulary(items.vocabulary)
         square = np.append(idf.astype(float) ** 2, other**2)
         inside = np.append(np.ones(len(idf)), 0.0)
         for batch in batches:
             rows, cols = [], [[], [], [], []]
-            for k, (text,) in enumerate(rows_of([batch], "text")):
-                own = words.numbers(tokens(text))
-                if not len(own) or not (own >= 0).any():
+            for k, (data,) in enumerate(rows_of([batch], "numbers")):
+                own = np.frombuffer(data, np.int32)
+                if not len(own):
                     continue
                 mass = square[own]
                 both = np.concatenate(([0.0], np.cumsum(mass))), np.concatenate(([0.0], np.cumsum(mass * inside[own])))
@@ -137,11 +153,11 @@ def _passages(docs: DataFrame, items: Items, idf: np.ndarray, other: float) -> D
                     cols[0].append(a)
                     cols[1].append(float(np.sqrt(whole[i])))
                     passage = own[a:b]
-                    cols[2].append(passage[passage >= 0].tobytes())
+                    cols[2].append(passage[square[passage] * inside[passage] > 0].tobytes())
                     cols[3].append(own[max(0, a - items.longest) : b + items.longest].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], ["doc_id", "at", "norm", "numbers", "around"])
 
-    return written(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, at long, norm double, numbers binary, around binary"))
+    return written(numbered.mapInArrow(run, f"doc_id {numbered.schema['doc_id'].dataType.simpleString()}, at long, norm double, numbers binary, around binary"))
 
 
 def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +194,7 @@ def _gram_times(passages: DataFrame, idf: np.ndarray, right: np.ndarray) -> np.n
 
 
 def latent_basis(passages: DataFrame, items: Items, idf: np.ndarray) -> np.ndarray:
-    """Orthonormal columns: the leading right singular vectors, by a randomised range finder with one power step. Items weigh as much as all passages together."""
+    """Orthonormal columns that span the leading right singular vectors, by a randomised range finder over the Gram matrix. Items weigh as much as all passages together."""
     size = min(len(items.ids) + SPARE_DIMENSIONS, len(idf))
     numbers = np.concatenate([p for _, p in items.pieces])
     sizes = np.array([len(p) for _, p in items.pieces])
@@ -187,14 +203,15 @@ def latent_basis(passages: DataFrame, items: Items, idf: np.ndarray) -> np.ndarr
     np.add.at(dense, (np.repeat(np.arange(len(sizes)), sizes), numbers), own)
     share = max(1.0, passages.count() / max(1, len(sizes)))
     gram = lambda right: _gram_times(passages, idf, right) + share * (dense.T @ (dense @ right))
-    basis = np.linalg.qr(gram(np.random.default_rng(7).standard_normal((len(idf), size))))[0]
-    return np.linalg.qr(gram(basis))[0].astype(np.float32)
+    return np.linalg.qr(gram(np.random.default_rng(7).standard_normal((len(idf), size))))[0].astype(np.float32)
 
 
 def _search(docs: DataFrame, items: Items) -> DataFrame:
-    n, df = _frequencies(docs, items)
-    idf = np.log((n + 1) / (df + 0.5)).clip(0.05).astype(np.float32)
-    passages = _passages(docs, items, idf, float(np.quantile(idf, 0.9)))
+    numbered = _numbered(docs, items)
+    n, df = _frequencies(numbered, items)
+    # A word that half of the documents have says nothing; where there are hardly any documents, all words count.
+    idf = np.log((n - df + 0.5) / (df + 0.5)).clip(0.0).astype(np.float32) if n >= 100 else np.ones(len(df), np.float32)
+    passages = _passages(numbered, items, idf, float(np.quantile(idf, 0.9)))
     basis = latent_basis(passages, items, idf)
     sizes = np.array([len(p) for _, p in items.pieces])
     numbers = np.concatenate([p for _, p in items.pieces])
