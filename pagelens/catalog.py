@@ -5,15 +5,146 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagelens.operators import reports, trees, web
+from pagelens.sources.html_nodes import html_nodes
+
+ROBOTS = [("/en/", False), ("/en/1", True), ("/fr/", False), ("/de/8", False)]
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    """Findings of the document rules, with a count for each page and rule."""
+    pages = read(spark, sf_dir, "pages")
+    empty = F.coalesce(F.trim(web.title(F.col("html"))) == "", F.lit(True))
+    rules = {"document/lang-missing": ~F.rlike("html", F.lit("<html[^>]* lang=")), "document/title-empty": empty, "zoom/viewport-missing": ~F.contains("html", F.lit('name="viewport"'))}
+    found = F.array_compact(F.array(*(F.when(c, F.lit(r)) for r, c in rules.items())))
+    findings = pages.select("page_id", F.explode(found).alias("rule_id"))
+    return reports.rule_runs(pages, spark.createDataFrame([(r,) for r in rules], "rule_id string"), findings)
+
+
+def _tree(spark: SparkSession, d: str) -> DataFrame:
+    """Orders and their lines as a tree: an order spans the numbers of its lines."""
+    o = read(spark, d, "orders").select(F.col("o_custkey").alias("page_id"), (F.col("o_orderkey") * 10).alias("pre"), (F.col("o_orderkey") * 10 + 9).alias("post"), "o_orderstatus")
+    return o
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    orders = read(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("page_id"))
+    lines = read(spark, d, "lineitem").filter("l_linenumber < 10")
+    return lines.join(orders, "l_orderkey").select("page_id", "l_orderkey", "l_linenumber", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pre"))
+
+
+def _axis(how: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda s, d: trees.having_ancestor(_lines(s, d), _tree(s, d).filter("o_orderstatus = 'F'"), how).select("l_orderkey", "l_linenumber")
+
+
+def _summary(s: SparkSession, d: str) -> DataFrame:
+    outcome = F.when(F.col("event_type") == "error", "fail").when(F.col("value") < 10, "review").when(F.col("value") < 50, "pass").otherwise("untested")
+    severity = F.element_at(F.array(*map(F.lit, ("low", "medium", "high", "critical"))), (F.col("event_id") % 4 + 1).cast("int"))
+    return reports.summary(read(s, d, "events").select("user_id", outcome.alias("outcome"), severity.alias("severity")), "user_id")
+
+
+def _diff(s: SparkSession, d: str) -> DataFrame:
+    e = read(s, d, "events").withColumn("even", F.col("event_id") % 2 == 0)
+    part = lambda c: e.filter(c).groupBy("user_id").agg(F.count("*").alias("n"))
+    return reports.snapshot_diff(part("even"), part("not even"), "user_id", "n")
+
+
+def _sets(s: SparkSession, d: str) -> DataFrame:
+    a = read(s, d, "orders").filter("o_totalprice > 100000").select(F.col("o_orderkey").alias("k")).distinct()
+    b = read(s, d, "lineitem").filter("l_quantity > 45").select(F.col("l_orderkey").alias("k")).distinct()
+    tag = lambda x, name: x.withColumn("op", F.lit(name))
+    return tag(a.union(b).distinct(), "union").unionByName(tag(a.intersect(b), "intersect")).unionByName(tag(a.subtract(b), "except"))
+
+
+def _contrast(s: SparkSession, d: str) -> DataFrame:
+    p = read(s, d, "part").select("p_partkey", *((F.col("p_partkey") * m % 256).cast("double").alias(c) for c, m in zip("rgbxyz", (1, 3, 7, 11, 13, 17), strict=True)))
+    value = web.contrast(web.luminance(F.col("r"), F.col("g"), F.col("b")), web.luminance(F.col("x"), F.col("y"), F.col("z")))
+    return p.select("p_partkey", F.round(value, 6).alias("ratio"), (F.round(value, 6) >= 4.5).alias("sufficient"))
+
+
+def _kleene(s: SparkSession, d: str) -> DataFrame:
+    o = read(s, d, "orders").select("o_orderkey", F.when(F.col("o_custkey") % 3 > 0, F.col("o_custkey") % 3 == 1).alias("a"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderkey") % 3 == 1).alias("b"))
+    return o.select("o_orderkey", (F.col("a") & F.col("b")).alias("both"), (F.col("a") | F.col("b")).alias("either"), (~F.col("a")).alias("negated"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "flagship_rule_runs": flagship,
+    "meta_title_length_class": lambda s, d: read(s, d, "pages").select("page_id", web.length_class(web.title(F.col("html")), web.TITLE).alias("length_class")),
+    "url_same_page_groups": lambda s, d: read(s, d, "pages").groupBy(web.page_key(F.col("url")).alias("page_key")).agg(F.count("*").alias("n")),
+    "hreflang_valid_codes": lambda s, d: read(s, d, "documents").select("doc_id", web.language_code_is_valid(F.concat("lang", F.lit("-"), F.upper(F.left("source", F.lit(2))))).alias("valid")),
+    "robots_longest_match": lambda s, d: web.longest_rule(read(s, d, "pages"), ROBOTS).select("page_id", "path", "allowed"),
+    "page_link_targets": lambda s, d: web.links(read(s, d, "pages")).groupBy("target").agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("pages")),
+    "duplicate_ids": lambda s, d: read(s, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n")).filter("n > 1"),
+    "heading_skip_level": lambda s, d: reports.heading_skips(read(s, d, "events").select("user_id", "event_id", (F.floor(F.abs("value")) % 6 + 1).cast("int").alias("level")), "user_id", "event_id", "level"),
+    "report_summary": _summary,
+    "snapshot_diff": _diff,
+    "linearized_order": lambda s, d: trees.positions(read(s, d, "conversations").select("conv_id", "turn", "role"), ["conv_id"], [F.col("turn"), F.col("role")]),
+    "sibling_position": lambda s, d: trees.positions(read(s, d, "lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey"], [F.col("l_linenumber")]),
+    "first_match_rule": lambda s, d: reports.first_match(read(s, d, "part"), [("large", "p_size > 40"), ("dear", "p_retailprice > 1500"), ("small", "p_size < 10")]).select("p_partkey", "rule"),
+    "cascade_winner": lambda s, d: read(s, d, "lineitem").groupBy("l_orderkey").agg(F.max_by("l_returnflag", F.struct("l_quantity", "l_linenumber", "l_returnflag")).alias("winner")),
+    "kleene_logic": _kleene,
+    "interval_ancestor_semi": _axis("left_semi"),
+    "interval_ancestor_anti": _axis("left_anti"),
+    "node_set_union_intersect_except": _sets,
+    "json_props_present": lambda s, d: read(s, d, "events").select("event_id", F.get_json_object("props", "$.k").isNotNull().alias("present")),
+    "contrast_ratio": _contrast,
+    "parse_pages_nodes": lambda s, d: html_nodes(read(s, d, "pages")),
+    "nodes_in_article": lambda s, d: (lambda n: trees.having_ancestor(n.filter("kind = 'text'"), n.filter("tag = 'article'")).groupBy("page_id").agg(F.count("*").alias("texts")))(html_nodes(read(s, d, "pages"))),
+}
+
+_LIN = "(CASE WHEN {0} / 255.0 <= 0.04045 THEN {0} / 255.0 / 12.92 ELSE pow(({0} / 255.0 + 0.055) / 1.055, 2.4) END)"
+
+
+def _lum(*channels: str) -> str:
+    return "(" + " + ".join(f"{w} * {_LIN.format(c)}" for w, c in zip(("0.2126", "0.7152", "0.0722"), channels, strict=True)) + ")"
+
+
+_TITLE = r"regexp_extract(html, '<title>([^<]*)</title>', 1)"
+_PATH = r"regexp_extract(url, '^[A-Za-z]+://[^/?#]*(/[^?#]*)', 1)"
+_LINES = "SELECT o_custkey AS page_id, l_orderkey, l_linenumber, l_orderkey * 10 + l_linenumber AS pre FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber < 10"
+_BELOW = "(SELECT 1 FROM orders o WHERE o.o_orderstatus = 'F' AND o.o_custkey = l.page_id AND o.o_orderkey * 10 < l.pre AND l.pre <= o.o_orderkey * 10 + 9)"
+_A, _B = "SELECT DISTINCT o_orderkey AS k FROM orders WHERE o_totalprice > 100000", "SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_quantity > 45"
+
+ORACLES: dict[str, str] = {
+    "flagship_rule_runs": f"""WITH p AS (SELECT page_id, NOT regexp_matches(html, '<html[^>]* lang=') AS a, trim({_TITLE}) = '' AS b, NOT contains(html, 'name="viewport"') AS c FROM pages)
+        SELECT page_id, 'document/lang-missing' AS rule_id, a::BIGINT AS findings FROM p UNION ALL SELECT page_id, 'document/title-empty', b::BIGINT FROM p UNION ALL SELECT page_id, 'zoom/viewport-missing', c::BIGINT FROM p""",
+    "meta_title_length_class": f"""WITH t AS (SELECT page_id, length(trim(regexp_replace({_TITLE}, '[ \\t\\r\\n]+', ' ', 'g'))) AS n FROM pages)
+        SELECT page_id, CASE WHEN n = 0 THEN 'missing' WHEN n < 30 THEN 'short' WHEN n > 60 THEN 'long' ELSE 'ok' END AS length_class FROM t""",
+    "url_same_page_groups": r"""WITH b AS (SELECT regexp_replace(url, '#.*$', '') AS u FROM pages)
+        SELECT lower(regexp_extract(u, '^([A-Za-z]+://[^/?]*)', 1)) || regexp_replace(regexp_replace(u, '^[A-Za-z]+://[^/?]*', ''), '/+(\?|$)', '\1', 'g') AS page_key, count(*) AS n FROM b GROUP BY 1""",
+    "hreflang_valid_codes": "SELECT doc_id, regexp_full_match(lang || '-' || upper(left(source, 2)), '[A-Za-z]{2,3}(-[A-Za-z]{4})?(-[A-Za-z]{2})?') AS valid FROM documents",
+    "robots_longest_match": f"""SELECT page_id, {_PATH} AS path, CASE WHEN starts_with({_PATH}, '/en/1') THEN true WHEN starts_with({_PATH}, '/de/8') THEN false WHEN starts_with({_PATH}, '/en/') OR starts_with({_PATH}, '/fr/') THEN false ELSE true END AS allowed FROM pages""",
+    "page_link_targets": """SELECT target, count(*) AS n, count(DISTINCT page_id) AS pages FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS target FROM pages) GROUP BY 1""",
+    "duplicate_ids": "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 1",
+    "heading_skip_level": "SELECT * FROM (SELECT user_id, event_id, level, lag(level) OVER (PARTITION BY user_id ORDER BY event_id) AS previous FROM (SELECT user_id, event_id, (floor(abs(value))::BIGINT % 6 + 1)::INT AS level FROM events)) WHERE level > previous + 1",
+    "report_summary": """WITH f AS (SELECT user_id, CASE WHEN event_type = 'error' THEN 'fail' WHEN value < 10 THEN 'review' WHEN value < 50 THEN 'pass' ELSE 'untested' END AS o, event_id % 4 AS s FROM events)
+        SELECT user_id, count(*) FILTER (o = 'fail') AS fail, count(*) FILTER (o = 'review') AS review, count(*) FILTER (o = 'pass') AS pass, count(*) FILTER (o = 'untested') AS untested, count(*) FILTER (o IN ('fail', 'review')) AS problems,
+        count(*) FILTER (o IN ('fail', 'review') AND s = 0) AS low, count(*) FILTER (o IN ('fail', 'review') AND s = 1) AS medium, count(*) FILTER (o IN ('fail', 'review') AND s = 2) AS high, count(*) FILTER (o IN ('fail', 'review') AND s = 3) AS critical FROM f GROUP BY 1""",
+    "snapshot_diff": """WITH a AS (SELECT user_id, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY 1), b AS (SELECT user_id, count(*) AS n FROM events WHERE event_id % 2 <> 0 GROUP BY 1)
+        SELECT coalesce(a.user_id, b.user_id) AS user_id, a.n AS before, b.n AS after, CASE WHEN a.n IS NULL THEN 'added' WHEN b.n IS NULL THEN 'removed' WHEN a.n = b.n THEN 'same' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.user_id = b.user_id""",
+    "linearized_order": "SELECT conv_id, turn, role, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, role))::INT AS position, count(*) OVER (PARTITION BY conv_id) AS last FROM conversations",
+    "sibling_position": "SELECT l_orderkey, l_linenumber, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber))::INT AS position, count(*) OVER (PARTITION BY l_orderkey) AS last FROM lineitem",
+    "first_match_rule": "SELECT p_partkey, CASE WHEN p_size > 40 THEN 'large' WHEN p_retailprice > 1500 THEN 'dear' WHEN p_size < 10 THEN 'small' END AS rule FROM part",
+    "cascade_winner": "SELECT l_orderkey, arg_max(l_returnflag, (l_quantity, l_linenumber, l_returnflag)) AS winner FROM lineitem GROUP BY 1",
+    "kleene_logic": "SELECT o_orderkey, a AND b AS both, a OR b AS either, NOT a AS negated FROM (SELECT o_orderkey, CASE WHEN o_custkey % 3 > 0 THEN o_custkey % 3 = 1 END AS a, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 3 = 1 END AS b FROM orders)",
+    "interval_ancestor_semi": f"SELECT l_orderkey, l_linenumber FROM ({_LINES}) l WHERE EXISTS {_BELOW}",
+    "interval_ancestor_anti": f"SELECT l_orderkey, l_linenumber FROM ({_LINES}) l WHERE NOT EXISTS {_BELOW}",
+    "node_set_union_intersect_except": f"SELECT k, 'union' AS op FROM ({_A} UNION {_B}) UNION ALL SELECT k, 'intersect' FROM ({_A} INTERSECT {_B}) UNION ALL SELECT k, 'except' FROM ({_A} EXCEPT {_B})",
+    "json_props_present": "SELECT event_id, json_extract_string(props, '$.k') IS NOT NULL AS present FROM events",
+    "contrast_ratio": f"""WITH c AS (SELECT p_partkey, (p_partkey % 256)::DOUBLE AS r, (p_partkey * 3 % 256)::DOUBLE AS g, (p_partkey * 7 % 256)::DOUBLE AS b, (p_partkey * 11 % 256)::DOUBLE AS x, (p_partkey * 13 % 256)::DOUBLE AS y, (p_partkey * 17 % 256)::DOUBLE AS z FROM part),
+        l AS (SELECT p_partkey, {_lum("r", "g", "b")} AS m, {_lum("x", "y", "z")} AS n FROM c), v AS (SELECT p_partkey, round((greatest(m, n) + 0.05) / (least(m, n) + 0.05), 6) AS ratio FROM l) SELECT p_partkey, ratio, ratio >= 4.5 AS sufficient FROM v""",
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

@@ -1,0 +1,51 @@
+"""Checks of page metadata and addresses, as column expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# Shortest and longest recommended length.
+TITLE, DESCRIPTION = (30, 60), (120, 160)
+
+
+def title(html: Column) -> Column:
+    return F.regexp_extract(html, r"<title>([^<]*)</title>", 1)
+
+
+def length_class(text: Column, bounds: tuple[int, int]) -> Column:
+    n = F.char_length(F.trim(F.regexp_replace(text, r"[ \t\r\n]+", " ")))
+    return F.when(n == 0, "missing").when(n < bounds[0], "short").when(n > bounds[1], "long").otherwise("ok")
+
+
+def page_key(url: Column) -> Column:
+    """What is equal for addresses of the same page: no fragment, scheme and host in lower case, no slash at the path's end."""
+    bare = F.regexp_replace(url, "#.*$", "")
+    head, rest = F.regexp_extract(bare, r"^([A-Za-z]+://[^/?]*)", 1), F.regexp_replace(bare, r"^[A-Za-z]+://[^/?]*", "")
+    return F.concat(F.lower(head), F.regexp_replace(rest, r"/+(\?|$)", "$1"))
+
+
+def language_code_is_valid(code: Column) -> Column:
+    return F.rlike(code, F.lit(r"^[A-Za-z]{2,3}(-[A-Za-z]{4})?(-[A-Za-z]{2})?$"))
+
+
+def longest_rule(pages: DataFrame, rules: list[tuple[str, bool]]) -> DataFrame:
+    """path and allowed: the longest rule (prefix, whether it allows) that a page's path begins with decides; of equal ones the one that allows; none: allowed."""
+    path = F.regexp_extract("url", r"^[A-Za-z]+://[^/?#]*(/[^?#]*)", 1)
+    hits = F.array_compact(F.array(*(F.when(F.startswith(F.col("path"), F.lit(prefix)), F.struct(F.lit(len(prefix)).alias("n"), F.lit(ok).alias("ok"))) for prefix, ok in rules)))
+    return pages.withColumn("path", path).withColumn("allowed", F.coalesce(F.array_max(hits)["ok"], F.lit(True)))
+
+
+def links(pages: DataFrame) -> DataFrame:
+    """page_id, position, target of each link."""
+    return pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)"'), F.lit(1))).alias("position", "target"))
+
+
+def contrast(lum_a: Column, lum_b: Column) -> Column:
+    return (F.greatest(lum_a, lum_b) + 0.05) / (F.least(lum_a, lum_b) + 0.05)
+
+
+def luminance(r: Column, g: Column, b: Column) -> Column:
+    """Relative luminance of 8-bit colour channels."""
+    line = lambda c: F.when(c / 255.0 <= 0.04045, c / 255.0 / 12.92).otherwise(F.pow((c / 255.0 + 0.055) / 1.055, F.lit(2.4)))
+    return 0.2126 * line(r) + 0.7152 * line(g) + 0.0722 * line(b)
