@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import written
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -16,7 +16,7 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     grows with the logarithm of the longest path. Nodes without links keep their label and take no part.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
-    edges = checkpoint(edges)
+    edges = written(edges)  # a checkpoint of these can keep constraints on columns that are no more, which later unions fail on
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -24,7 +24,7 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u != v").distinct()
-        edges = checkpoint(small)
+        edges = written(small)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -160,7 +160,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3) -> DataF
 #: For similarities that 64 bits are too few for: bits of a wide fingerprint, one segment being a byte of them, and the most that differ.
 #: Texts with a Jaccard similarity of 0.8 have a cosine of 0.89 and differ in 15.1 % of the bits; half a standard deviation (0.4 %) comes on top.
 WIDE, WIDE_DISTANCE = 2048, 0.155
-#: Consecutive equal segments that begin a chain, members of a key that meet, and how many neighbours each is compared with there.
+#: Consecutive equal segments that begin a chain, members of a key that are ordered together, and how many neighbours each is compared with there at first.
 CHAIN, MEETING, NEIGHBOURS = 3, 1024, 4
 ORDER = np.random.default_rng(7).permutation(WIDE)
 
@@ -200,22 +200,58 @@ def wide_fingerprints(docs: DataFrame, width: int) -> DataFrame:
 
 
 def similar_links(fps: DataFrame) -> DataFrame:
-    """a, b: doc_ids of fingerprints that differ in at most WIDE_DISTANCE of their bits.
+    """a, b: doc_ids that connect whatever fingerprints meet and differ in at most WIDE_DISTANCE of their bits.
 
-    Pairs meet where CHAIN consecutive segments are equal. Of more than NEIGHBOURS + 1 that meet, each is compared with the next NEIGHBOURS in an order that
-    differs from key to key, in groups of about MEETING, so the work stays in proportion to the rows however large a group of copies is.
+    Pairs meet where CHAIN consecutive segments are equal. At first each is compared with its next NEIGHBOURS in an order that differs from key to
+    key, which joins copies; then all that still lie in different components and meet are compared (`links_left`), so none that meet are left out.
     """
     keys = fps.select("doc_id", F.explode("keys").alias("key"))
     sizes = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    met = keys.join(sizes, "key").withColumn("order", F.xxhash64("doc_id", "key")).withColumn("salt", F.pmod(F.col("order"), F.ceil(F.col("n") / MEETING)))
+    met = written(keys.join(sizes, "key"))
+    dealt = met.withColumn("order", F.xxhash64("doc_id", "key")).withColumn("salt", F.pmod(F.col("order"), F.ceil(F.col("n") / MEETING)))
     w = Window.partitionBy("key", "salt").orderBy("order", "doc_id")
-    near = met.select("doc_id", *(F.lag("doc_id", k).over(w).alias(f"lag{k}") for k in range(1, NEIGHBOURS + 1)))
+    near = dealt.select("doc_id", *(F.lag("doc_id", k).over(w).alias(f"lag{k}") for k in range(1, NEIGHBOURS + 1)))
     pairs = near.select("doc_id", F.explode(F.array_compact(F.array(*(f"lag{k}" for k in range(1, NEIGHBOURS + 1))))).alias("other"))
     pairs = pairs.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).filter("a != b").distinct()
     bits = fps.select(F.col("doc_id").alias("a"), F.col("bits").alias("x"))
     pairs = pairs.join(bits, "a").join(bits.select(F.col("a").alias("b"), F.col("x").alias("y")), "b")
     differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, n: acc + n)
-    return pairs.filter(differ <= int(WIDE * WIDE_DISTANCE)).select("a", "b")
+    first = checkpoint(pairs.filter(differ <= int(WIDE * WIDE_DISTANCE)).select("a", "b"))
+    return first.unionByName(links_left(fps, met.filter(F.col("n") > NEIGHBOURS + 1).select("key", "doc_id"), first))
+
+
+def links_left(fps: DataFrame, met: DataFrame, found: DataFrame) -> DataFrame:
+    """a, b: links between components of `found` among all that meet in a key (`met`: key, doc_id).
+
+    A key's largest component isn't compared with itself. It and the key's others are cut into blocks of about MEETING / 4; each block of
+    others meets each block, and gives one link for each two components.
+    """
+    label = components(fps.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("label")), found)
+    met = checkpoint(met.join(label.withColumnRenamed("node", "doc_id"), "doc_id"))
+    sizes = met.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.max("n").alias("most"), F.sum("n").alias("n"))
+    size = MEETING // 4
+    parts = sizes.filter("n > most").select("key", "top", F.ceil(F.col("most") / size).cast("int").alias("tops"), F.ceil((F.col("n") - F.col("most")) / size).cast("int").alias("rest"))
+    is_top = F.col("label") == F.col("top")
+    # Blocks of others have the numbers from 0 on, those of the largest component follow.
+    block = F.pmod(F.xxhash64("doc_id", "key"), F.when(is_top, F.col("tops")).otherwise(F.col("rest"))).cast("int") + F.when(is_top, F.col("rest")).otherwise(0)
+    last = F.when(is_top, F.col("rest")).otherwise(F.col("rest") + F.col("tops")) - 1
+    dealt = met.join(parts, "key").withColumns({"block": block, "other": F.explode(F.sequence(F.lit(0), last))})
+    dealt = dealt.select("key", "doc_id", "label", "block", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2")).join(fps.select("doc_id", "bits"), "doc_id")
+    limit, kind = int(WIDE * WIDE_DISTANCE), fps.schema["doc_id"].dataType.simpleString()
+    return dealt.groupBy("key", "b1", "b2").applyInPandas(lambda pdf: wide_links(pdf, limit), f"a {kind}, b {kind}").distinct()
+
+
+def wide_links(pdf: pd.DataFrame, limit: int) -> pd.DataFrame:
+    """One link of at most `limit` differing bits for each two labels, between a block and itself or another one."""
+    side, ids = pdf["block"].to_numpy(), pdf["doc_id"].to_numpy()
+    bits, labels = np.stack(pdf["bits"].to_list()).view(np.uint64), pd.factorize(pdf["label"])[0]
+    right = np.flatnonzero(side == side.max())
+    links: dict[tuple[int, int], tuple] = {}
+    for i in np.flatnonzero(side == side.min()):
+        others = right[labels[right] != labels[i]]
+        for j in others[np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1, dtype=np.int64) <= limit]:
+            links.setdefault((min(labels[i], labels[j]), max(labels[i], labels[j])), (ids[i], ids[j]))
+    return pd.DataFrame(list(links.values()), columns=["a", "b"]).astype(pdf["doc_id"].dtype)
 
 
 def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
