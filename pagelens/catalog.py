@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.operators import reports, trees, web
+from pagelens.operators import reports, structure, trees, web
 from pagelens.sources.html_nodes import html_nodes
 
 ROBOTS = [("/en/", False), ("/en/1", True), ("/fr/", False), ("/de/8", False)]
@@ -96,6 +96,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "contrast_ratio": _contrast,
     "parse_pages_nodes": lambda s, d: html_nodes(read(s, d, "pages")),
     "nodes_in_article": lambda s, d: (lambda n: trees.having_ancestor(n.filter("kind = 'text'"), n.filter("tag = 'article'")).groupBy("page_id").agg(F.count("*").alias("texts")))(html_nodes(read(s, d, "pages"))),
+    "structure_findings": lambda s, d: structure.structure_findings(html_nodes(read(s, d, "pages"))),
+    "structure_summary": lambda s, d: structure.structure_findings(html_nodes(read(s, d, "pages"))).groupBy("rule_id", "outcome", "severity").agg(F.count("*").alias("findings"), F.countDistinct("page_id").alias("pages")),
+    "images_without_alt": lambda s, d: structure.structure_findings(html_nodes(read(s, d, "pages"))).filter("rule_id = 'images/alt-missing'").groupBy("page_id").agg(F.count("*").alias("images")),
+    "finding_scope_ids": lambda s, d: reports.location_patterns(read(s, d, "pages").select("page_id", "url"), "url"),
 }
 
 _LIN = "(CASE WHEN {0} / 255.0 <= 0.04045 THEN {0} / 255.0 / 12.92 ELSE pow(({0} / 255.0 + 0.055) / 1.055, 2.4) END)"
@@ -141,6 +145,8 @@ ORACLES: dict[str, str] = {
         l AS (SELECT p_partkey, {_lum("r", "g", "b")} AS m, {_lum("x", "y", "z")} AS n FROM c), v AS (SELECT p_partkey, round((greatest(m, n) + 0.05) / (least(m, n) + 0.05), 6) AS ratio FROM l) SELECT p_partkey, ratio, ratio >= 4.5 AS sufficient FROM v""",
 }
 
+ORACLES["finding_scope_ids"] = r"SELECT regexp_replace(lower(trim(regexp_replace(regexp_replace(url, '[0-9]+', '#', 'g'), '\s+', ' ', 'g'))), '#+', '#', 'g') AS pattern, count(*) AS n, count(DISTINCT page_id) AS pages FROM pages GROUP BY 1"
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)

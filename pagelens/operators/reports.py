@@ -38,3 +38,9 @@ def heading_skips(rows: DataFrame, context: str, order: str, level: str) -> Data
     """Headings whose level is more than one below the heading before."""
     w = Window.partitionBy(context).orderBy(order)
     return rows.withColumn("previous", F.lag(level).over(w)).filter(F.col(level) > F.col("previous") + 1)
+
+
+def location_patterns(rows: DataFrame, location: str) -> DataFrame:
+    """pattern, n, pages: locations that differ in numbers, white space and case only are one pattern."""
+    bare = F.regexp_replace(F.regexp_replace(location, "[0-9]+", "#"), r"\s+", " ")
+    return rows.groupBy(F.regexp_replace(F.lower(F.trim(bare)), "#+", "#").alias("pattern")).agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("pages"))

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from pagelens import catalog
+from pagelens.operators import structure
 
 DATA = Path("/root/testdata/sf0.001")
 
@@ -33,3 +34,17 @@ def test_nodes(spark):
     found = [(r.tag, r.depth, r.pre, r.post) for r in nodes.filter("page_id = 1 and kind = 'element'").orderBy("pre").collect()]
     assert found == [("ul", 0, 0, 4), ("li", 1, 1, 2), ("li", 1, 3, 4), ("p", 0, 5, 6), ("p", 0, 7, 8)]
     assert nodes.filter("page_id > 1").count() == 0
+
+
+BAD = """<html lang="??"><head><meta name="viewport" content="width=1, maximum-scale=1.5"></head><body><h1>a</h1><h3> </h3><h1><img src=x alt="b"></h1>
+<img src=y><img src=z alt=""><p role="widget" aria-foo="1" tabindex="3" aria-controls="">t</p><label for="i">l</label><input id="i"><b id="i"></b><i aria-describedby="i nowhere"></i></body></html>"""
+GOOD = """<html lang="en"><head><title>t</title><meta name="viewport" content="width=device-width"></head><body><main><h1>a</h1><h2>b</h2></main></body></html>"""
+
+
+def test_structure_rules(spark):
+    pages = spark.createDataFrame([(1, BAD), (2, GOOD), (3, None), (4, "plain")], "page_id long, html string")
+    found = sorted((r.page_id, r.rule_id) for r in structure.structure_findings(catalog.html_nodes(pages)).collect())
+    bad = "aria/attribute-unknown aria/reference-missing aria/reference-missing aria/role-abstract document/lang-invalid document/title-missing headings/empty headings/h1-multiple headings/skip-level ids/duplicate images/alt-missing keyboard/positive-tabindex landmarks/main-missing zoom/viewport-locked"
+    assert [r for p, r in found if p == 1] == bad.split()
+    assert [p for p, _ in found if p in (2, 3)] == []
+    assert [r for p, r in found if p == 4] == ["headings/none", "landmarks/main-missing"]
