@@ -161,7 +161,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3) -> DataF
 #: Texts with a Jaccard similarity of 0.8 have a cosine of 0.89 and differ in 15.1 % of the bits; half a standard deviation (0.4 %) comes on top.
 WIDE, WIDE_DISTANCE = 2048, 0.155
 #: Consecutive equal segments that begin a chain, members of a key that are ordered together, and how many neighbours each is compared with there at first.
-CHAIN, MEETING, NEIGHBOURS = 3, 1024, 4
+CHAIN, MEETING, NEIGHBOURS = 3, 1024, 2
 ORDER = np.random.default_rng(7).permutation(WIDE)
 
 
@@ -202,13 +202,13 @@ def wide_fingerprints(docs: DataFrame, width: int) -> DataFrame:
 def similar_links(fps: DataFrame) -> DataFrame:
     """a, b: doc_ids that connect whatever fingerprints meet and differ in at most WIDE_DISTANCE of their bits.
 
-    Pairs meet where CHAIN consecutive segments are equal. At first each is compared with its next NEIGHBOURS in an order that differs from key to
-    key, which joins copies; then all that still lie in different components and meet are compared (`links_left`), so none that meet are left out.
+    Pairs meet where CHAIN consecutive segments are equal. At first each is compared with its next NEIGHBOURS in an order that is the same for every
+    key, which joins copies by few links; then all that still lie in different components and meet are compared (`links_left`), so none that meet are left out.
     """
     keys = fps.select("doc_id", F.explode("keys").alias("key"))
     sizes = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     met = written(keys.join(sizes, "key"))
-    dealt = met.withColumn("order", F.xxhash64("doc_id", "key")).withColumn("salt", F.pmod(F.col("order"), F.ceil(F.col("n") / MEETING)))
+    dealt = met.withColumn("order", F.xxhash64("doc_id")).withColumn("salt", F.pmod(F.col("order"), F.ceil(F.col("n") / MEETING)))
     w = Window.partitionBy("key", "salt").orderBy("order", "doc_id")
     near = dealt.select("doc_id", *(F.lag("doc_id", k).over(w).alias(f"lag{k}") for k in range(1, NEIGHBOURS + 1)))
     pairs = near.select("doc_id", F.explode(F.array_compact(F.array(*(f"lag{k}" for k in range(1, NEIGHBOURS + 1))))).alias("other"))
