@@ -160,8 +160,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3) -> DataF
 #: For similarities that 64 bits are too few for: bits of a wide fingerprint, one segment being a byte of them, and the most that differ.
 #: Texts with a Jaccard similarity of 0.8 have a cosine of 0.89 and differ in 15.1 % of the bits; half a standard deviation (0.4 %) comes on top.
 WIDE, WIDE_DISTANCE = 2048, 0.155
-#: Consecutive equal segments that begin a chain, members of a key that are ordered together, and how many neighbours each is compared with there at first.
-CHAIN, MEETING, NEIGHBOURS = 3, 1024, 2
+#: Consecutive equal segments that begin a chain, members of a key that are ordered together, how many neighbours each is compared with there at first, and the step between the places compared first of all.
+CHAIN, MEETING, NEIGHBOURS, STRIDE = 3, 1024, 2, 16
 ORDER = np.random.default_rng(7).permutation(WIDE)
 
 
@@ -202,40 +202,61 @@ def wide_fingerprints(docs: DataFrame, width: int) -> DataFrame:
 def similar_links(fps: DataFrame) -> DataFrame:
     """a, b: doc_ids that connect whatever fingerprints meet and differ in at most WIDE_DISTANCE of their bits.
 
-    Pairs meet where CHAIN consecutive segments are equal. At first each is compared with its next NEIGHBOURS in an order that is the same for every
-    key, which joins copies by few links; then all that still lie in different components and meet are compared (`links_left`), so none that meet are left out.
+    Pairs meet where CHAIN consecutive segments are equal. At first each is compared with its next NEIGHBOURS in the keys of every STRIDE-th place, in an
+    order that is the same for every key, which joins most copies by few links. Of all keys, those are looked at again in which different components still
+    meet: small ones by neighbours, which are all their members, others by `links_left`. So none that meet are left out.
     """
-    keys = fps.select("doc_id", F.explode("keys").alias("key"))
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    met = written(keys.join(sizes, "key"))
+    alone = fps.withColumn("label", F.col("doc_id"))
+    first = neighbour_links(alone, meetings(alone, F.filter("keys", lambda _, place: place % STRIDE == 0)))
+    joined = fps.join(labels(fps, first), "doc_id")
+    met = meetings(joined, F.col("keys"))
+    small = F.col("n") <= NEIGHBOURS + 1
+    return first.unionByName(neighbour_links(joined, met.filter(small))).unionByName(links_left(fps, met.filter(~small)))
+
+
+def labels(fps: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, label: the component of each over the links `found`."""
+    return components(fps.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("label")), found).withColumnRenamed("node", "doc_id")
+
+
+def meetings(fps: DataFrame, places: Column) -> DataFrame:
+    """key, doc_id, label, n: the members of each key among `places` in which different labels meet, and their number."""
+    keys = fps.select("doc_id", "label", F.explode(places).alias("key"))
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("key", "n")
+    return written(keys.join(sizes, "key"))
+
+
+def neighbour_links(fps: DataFrame, met: DataFrame) -> DataFrame:
+    """a, b: links between different labels among each key's neighbours, one for each two labels."""
     dealt = met.withColumn("order", F.xxhash64("doc_id")).withColumn("salt", F.pmod(F.col("order"), F.ceil(F.col("n") / MEETING)))
     w = Window.partitionBy("key", "salt").orderBy("order", "doc_id")
-    near = dealt.select("doc_id", *(F.lag("doc_id", k).over(w).alias(f"lag{k}") for k in range(1, NEIGHBOURS + 1)))
-    pairs = near.select("doc_id", F.explode(F.array_compact(F.array(*(f"lag{k}" for k in range(1, NEIGHBOURS + 1))))).alias("other"))
-    pairs = pairs.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).filter("a != b").distinct()
-    bits = fps.select(F.col("doc_id").alias("a"), F.col("bits").alias("x"))
-    pairs = pairs.join(bits, "a").join(bits.select(F.col("a").alias("b"), F.col("x").alias("y")), "b")
+    before = lambda k: F.when(F.lag("label", k).over(w) != F.col("label"), F.lag("doc_id", k).over(w)).alias(f"lag{k}")
+    lags = range(1, NEIGHBOURS + 1)
+    pairs = dealt.select("doc_id", *map(before, lags)).select("doc_id", F.explode(F.array_compact(F.array(*(f"lag{k}" for k in lags)))).alias("other"))
+    pairs = pairs.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
+    left = fps.select(F.col("doc_id").alias("a"), F.col("bits").alias("x"), F.col("label").alias("la"))
+    right = fps.select(F.col("doc_id").alias("b"), F.col("bits").alias("y"), F.col("label").alias("lb"))
     differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, n: acc + n)
-    first = checkpoint(pairs.filter(differ <= int(WIDE * WIDE_DISTANCE)).select("a", "b"))
-    return first.unionByName(links_left(fps, met.filter(F.col("n") > NEIGHBOURS + 1).select("key", "doc_id"), first))
+    near = pairs.join(left, "a").join(right, "b").filter(differ <= int(WIDE * WIDE_DISTANCE))
+    one = near.groupBy(F.least("la", "lb"), F.greatest("la", "lb")).agg(F.min(F.struct("a", "b")).alias("link"))
+    return checkpoint(one.select("link.a", "link.b"))
 
 
-def links_left(fps: DataFrame, met: DataFrame, found: DataFrame) -> DataFrame:
-    """a, b: links between components of `found` among all that meet in a key (`met`: key, doc_id).
+def links_left(fps: DataFrame, met: DataFrame) -> DataFrame:
+    """a, b: links between different labels among all that meet in a key (`met`: key, doc_id, label, n).
 
-    A key's largest component isn't compared with itself. It and the key's others are cut into blocks of about MEETING / 4; each block of
-    others meets each block, and gives one link for each two components.
+    A key of up to MEETING / 4 members is one block. In a larger one, the members of its most frequent label aren't compared with each other: they and the
+    others are cut into blocks of about that size, and each block of others meets each block. Two blocks give one link for each two labels.
     """
-    label = components(fps.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("label")), found)
-    met = checkpoint(met.join(label.withColumnRenamed("node", "doc_id"), "doc_id"))
-    sizes = met.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.max("n").alias("most"), F.sum("n").alias("n"))
     size = MEETING // 4
-    parts = sizes.filter("n > most").select("key", "top", F.ceil(F.col("most") / size).cast("int").alias("tops"), F.ceil((F.col("n") - F.col("most")) / size).cast("int").alias("rest"))
-    is_top = F.col("label") == F.col("top")
-    # Blocks of others have the numbers from 0 on, those of the largest component follow.
+    sizes = met.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.max("n").alias("most"), F.sum("n").alias("n"))
+    tops = F.when(F.col("n") > size, F.ceil(F.col("most") / size)).otherwise(0).cast("int")
+    parts = sizes.select("key", "top", tops.alias("tops"), F.ceil((F.col("n") - F.col("most")) / size).cast("int").alias("rest"))
+    is_top = (F.col("label") == F.col("top")) & (F.col("tops") > 0)
+    # Blocks of others have the numbers from 0 on, those of the most frequent label follow.
     block = F.pmod(F.xxhash64("doc_id", "key"), F.when(is_top, F.col("tops")).otherwise(F.col("rest"))).cast("int") + F.when(is_top, F.col("rest")).otherwise(0)
     last = F.when(is_top, F.col("rest")).otherwise(F.col("rest") + F.col("tops")) - 1
-    dealt = met.join(parts, "key").withColumns({"block": block, "other": F.explode(F.sequence(F.lit(0), last))})
+    dealt = met.drop("n").join(parts, "key").withColumns({"block": block, "other": F.explode(F.sequence(F.lit(0), last))})
     dealt = dealt.select("key", "doc_id", "label", "block", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2")).join(fps.select("doc_id", "bits"), "doc_id")
     limit, kind = int(WIDE * WIDE_DISTANCE), fps.schema["doc_id"].dataType.simpleString()
     return dealt.groupBy("key", "b1", "b2").applyInPandas(lambda pdf: wide_links(pdf, limit), f"a {kind}, b {kind}").distinct()
@@ -266,6 +287,6 @@ def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
     first = checkpoint(texts.groupBy("_same").agg(F.min(F.struct("doc_id", F.xxhash64("text").alias("h"), "_row")).alias("f")).select("f.doc_id", "f._row"))
     first = first.groupBy("doc_id").agg(F.min("_row").alias("_row"))
     fps = written(wide_fingerprints(own.join(first.select("_row"), "_row", "left_semi"), width))
-    found = components(fps.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("label")), checkpoint(similar_links(fps)))
-    kept = first.join(found.filter("node = label").select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select("_row")
+    found = labels(fps, checkpoint(similar_links(fps)))
+    kept = first.join(found.filter("doc_id = label").select("doc_id"), "doc_id", "left_semi").select("_row")
     return own.filter(~blank).join(kept, "_row", "left_semi").unionByName(own.filter(blank)).select(*docs.columns)
