@@ -76,6 +76,7 @@ def _kleene(s: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "flagship_rule_runs": flagship,
     "meta_title_length_class": lambda s, d: read(s, d, "pages").select("page_id", web.length_class(web.title(F.col("html")), web.TITLE).alias("length_class")),
+    "description_length_class": lambda s, d: read(s, d, "documents").select("doc_id", web.length_class(F.col("text"), web.DESCRIPTION).alias("length_class")),
     "url_same_page_groups": lambda s, d: read(s, d, "pages").groupBy(web.page_key(F.col("url")).alias("page_key")).agg(F.count("*").alias("n")),
     "hreflang_valid_codes": lambda s, d: read(s, d, "documents").select("doc_id", web.language_code_is_valid(F.concat("lang", F.lit("-"), F.upper(F.left("source", F.lit(2))))).alias("valid")),
     "robots_longest_match": lambda s, d: web.longest_rule(read(s, d, "pages"), ROBOTS).select("page_id", "path", "allowed"),
@@ -120,6 +121,8 @@ ORACLES: dict[str, str] = {
         SELECT page_id, 'document/lang-missing' AS rule_id, a::BIGINT AS findings FROM p UNION ALL SELECT page_id, 'document/title-empty', b::BIGINT FROM p UNION ALL SELECT page_id, 'zoom/viewport-missing', c::BIGINT FROM p""",
     "meta_title_length_class": f"""WITH t AS (SELECT page_id, length(trim(regexp_replace({_TITLE}, '[ \\t\\r\\n]+', ' ', 'g'))) AS n FROM pages)
         SELECT page_id, CASE WHEN n = 0 THEN 'missing' WHEN n < 30 THEN 'short' WHEN n > 60 THEN 'long' ELSE 'ok' END AS length_class FROM t""",
+    "description_length_class": r"""WITH t AS (SELECT doc_id, coalesce(length(trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g'))), 0) AS n FROM documents)
+        SELECT doc_id, CASE WHEN n = 0 THEN 'missing' WHEN n < 120 THEN 'short' WHEN n > 160 THEN 'long' ELSE 'ok' END AS length_class FROM t""",
     "url_same_page_groups": r"""WITH b AS (SELECT regexp_replace(url, '#.*$', '') AS u FROM pages)
         SELECT lower(regexp_extract(u, '^([A-Za-z]+://[^/?]*)', 1)) || regexp_replace(regexp_replace(u, '^[A-Za-z]+://[^/?]*', ''), '/+(\?|$)', '\1', 'g') AS page_key, count(*) AS n FROM b GROUP BY 1""",
     "hreflang_valid_codes": "SELECT doc_id, regexp_full_match(lang || '-' || upper(left(source, 2)), '[A-Za-z]{2,3}(-[A-Za-z]{4})?(-[A-Za-z]{2})?') AS valid FROM documents",

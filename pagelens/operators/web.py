@@ -14,7 +14,8 @@ def title(html: Column) -> Column:
 
 
 def length_class(text: Column, bounds: tuple[int, int]) -> Column:
-    n = F.char_length(F.trim(F.regexp_replace(text, r"[ \t\r\n]+", " ")))
+    """A null text is missing."""
+    n = F.coalesce(F.char_length(F.trim(F.regexp_replace(text, r"[ \t\r\n]+", " "))), F.lit(0))
     return F.when(n == 0, "missing").when(n < bounds[0], "short").when(n > bounds[1], "long").otherwise("ok")
 
 
