@@ -64,23 +64,34 @@ def _of_block(rows: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray, np.n
 
 
 def _ask(rows: pa.Table, part: bool) -> list[tuple[int, np.ndarray, list[np.ndarray]]]:
-    _, doc, _, _, digests = _of_block(rows)
-    order = np.lexsort((doc, digests))
+    _, doc, begins, _, digests = _of_block(rows)
+    ids = rows["doc_id"].to_numpy().astype(np.int64)[doc]
+    order = np.lexsort((begins, doc, ids, digests))
     d, w = digests[order], doc[order]
     fresh = np.concatenate(([True], (d[1:] != d[:-1]) | (w[1:] != w[:-1]))) if len(d) else np.zeros(0, bool)
-    d, w = d[fresh], w[fresh]
-    keys, begin, n = np.unique(d, return_index=True, return_counts=True)
-    ids = rows["doc_id"].to_numpy().astype(np.int64)
-    least = np.minimum.reduceat(ids[w], begin) if len(keys) else np.zeros(0, np.int64)
-    return [(0, keys, [n.astype(np.uint64), least.view(np.uint64)])]
+    keys, begin, n = np.unique(d[fresh], return_index=True, return_counts=True)
+    first = order[fresh][begin]
+    return [(0, keys, [n.astype(np.uint64), ids[first].view(np.uint64), begins[first].astype(np.uint64)])]
 
 
 def _answer(level: int, keys: np.ndarray, values: list[list[np.ndarray]], parts: np.ndarray) -> list[list[np.ndarray]]:
-    n, least = np.zeros(len(keys), np.uint64), np.full(len(keys), np.iinfo(np.int64).max)
-    for places, count, first in values:
+    n, least, place = np.zeros(len(keys), np.uint64), np.full(len(keys), np.iinfo(np.int64).max), np.full(len(keys), np.iinfo(np.uint64).max)
+    for places, count, first, begin in values:
         n[places] += count
-        least[places] = np.minimum(least[places], first.view(np.int64))
-    return [[np.where(n[v[0]] > 1, n[v[0]], np.uint64(0)), np.where(n[v[0]] > 1, least[v[0]], 0).view(np.uint64)] for v in values]
+        first = first.view(np.int64)
+        fewer = (first < least[places]) | ((first == least[places]) & (begin < place[places]))
+        least[places[fewer]], place[places[fewer]] = first[fewer], begin[fewer]
+    n, least, place = np.where(n > 1, n, np.uint64(0)), np.where(n > 1, least, 0).view(np.uint64), np.where(n > 1, place, np.uint64(0))
+    return [[n[v[0]], least[v[0]], place[v[0]]] for v in values]
+
+
+def _whole(data: bytes, x: int, y: int) -> tuple[int, int]:
+    """The part of data[x:y] that holds whole characters."""
+    while x < y and data[x] & 0xC0 == 0x80:
+        x += 1
+    while y > x and y < len(data) and data[y] & 0xC0 == 0x80:
+        y -= 1
+    return x, y
 
 
 def _passages(rows: pa.Table, part: bool, found: pd.DataFrame) -> pd.DataFrame:
@@ -88,35 +99,40 @@ def _passages(rows: pa.Table, part: bool, found: pd.DataFrame) -> pd.DataFrame:
     out = []
     if len(digests):
         keys = np.unique(digests)
-        copies, least = blocks.answers(found, 0)
+        copies, least, place = blocks.answers(found, 0)
         at = np.searchsorted(keys, digests)
         repeated = np.flatnonzero(copies[at] > 0)
-        doc, begins, ends, copies, least = doc[repeated], begins[repeated], ends[repeated], copies[at[repeated]], least[at[repeated]].view(np.int64)
+        at, doc, begins, ends = at[repeated], doc[repeated], begins[repeated], ends[repeated]
+        copies, least, place = copies[at], least[at].view(np.int64), place[at].view(np.int64)
         if len(doc):
             reach = ends + doc * (1 << 40)
             reach = np.maximum.accumulate(reach)
             new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (begins[1:] + doc[1:] * (1 << 40) > reach[:-1])))
-            first = np.flatnonzero(new)
-            last = np.concatenate((first[1:], [len(doc)])) - 1
+            # Where the first document changes, or has the next chunk elsewhere, another piece of the run begins.
+            shift, own = begins - place, rows["doc_id"].to_numpy().astype(np.int64)[doc] == least
+            piece = new | np.concatenate(([True], (least[1:] != least[:-1]) | ((shift[1:] != shift[:-1]) & ~own[1:])))
+            first, pieces = np.flatnonzero(new), np.flatnonzero(piece)
+            last = np.concatenate((first[1:], [len(doc)]))
             ids = rows["doc_id"].to_pylist()
             for a, b in zip(first.tolist(), last.tolist(), strict=True):
-                data, x, y = texts[doc[a]], int(begins[a]), int(reach[b] - doc[a] * (1 << 40))
-                while x < y and data[x] & 0xC0 == 0x80:  # whole characters
-                    x += 1
-                while y > x and y < len(data) and data[y] & 0xC0 == 0x80:
-                    y -= 1
-                passage = data[x:y].decode("utf-8", "surrogatepass")
-                if (n := len(passage.split())) >= LEAST_WORDS:
+                data = texts[doc[a]]
+                x, y = _whole(data, int(begins[a]), int(ends[a:b].max()))
+                if len(data[x:y].decode("utf-8", "surrogatepass").split()) < LEAST_WORDS:
+                    continue
+                cuts = [*pieces[np.searchsorted(pieces, a) : np.searchsorted(pieces, b)].tolist(), b]
+                for i, j in zip(cuts, cuts[1:], strict=False):
+                    x, y = _whole(data, int(begins[i]), int(ends[i:j].max()))
+                    passage = data[x:y].decode("utf-8", "surrogatepass")
                     start = len(data[:x].decode("utf-8", "surrogatepass"))
-                    keep = int(least[a : b + 1].min())
-                    out.append((ids[doc[a]], start, start + len(passage), n, int(copies[a : b + 1].max()), keep, f"{xxhash.xxh3_64_intdigest(data[x:y]):016x}"))
+                    out.append((ids[doc[a]], start, start + len(passage), len(passage.split()), int(copies[i:j].min()), int(least[i]), f"{xxhash.xxh3_64_intdigest(data[x:y]):016x}"))
     return pd.DataFrame(out, columns=["doc_id", "start", "end", "n_words", "copies", "first_doc_id", "digest"])
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """doc_id, start, end (code points), n_words, copies, first_doc_id, digest: the passages of LEAST_WORDS or more words that repeat across rows.
+    """doc_id, start, end (code points), n_words, copies, first_doc_id, digest: the passages that repeat across rows, of runs of LEAST_WORDS or more words.
 
-    first_doc_id is the smallest doc_id with a chunk of the passage, the one where it may stay; copies is the largest number of rows that share a chunk.
+    A run of touching repeated chunks is given in pieces, which overlap as chunks do and may be shorter than LEAST_WORDS: each piece lies in the document
+    first_doc_id in one part, and no smaller doc_id has a chunk of it, so there it may stay. copies is the smallest number of rows that share a chunk of it.
     A passage is known by its chunks, so up to some dozen bytes at its ends may be missing. Rows whose text or doc_id (a whole number) is
     null have no passages. A repeated row repeats all passages of 143 bytes or more. What repeats within one text alone doesn't count. Other columns aren't read. Without rows the result is empty.
     """
@@ -127,8 +143,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs with each repeated passage cut out of every document but the one with the smallest doc_id. Nulls stay; columns keep their order."""
+    """docs with each repeated passage cut out of every document but the one with the smallest doc_id that holds it. Nulls stay; columns keep their order."""
     cuts = repeated_passages(docs).filter("doc_id != first_doc_id").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_cuts"))
     text, start = F.col("text"), F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
-    kept = F.aggregate("_cuts", start, lambda acc, c: F.struct(F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (c["start"] - acc["at"]).cast("int"))).alias("out"), c["end"].alias("at")), lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))))
+    kept = F.aggregate("_cuts", start, lambda acc, c: F.struct(F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(c["start"] - acc["at"], F.lit(0)).cast("int"))).alias("out"), F.greatest(acc["at"], c["end"]).alias("at")), lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))))
     return docs.join(cuts, "doc_id", "left").withColumn("text", F.when(F.col("_cuts").isNotNull(), kept).otherwise(text)).select(*docs.columns)

@@ -170,6 +170,21 @@ def test_repeats(spark, none):
     assert substrings.repeated_passages(none).count() == 0
 
 
+def test_repeats_of_copies_with_an_earlier_passage(spark):
+    """Documents 3 and 5 are copies of a long text with a passage of document 1: each named document holds the passage, and nothing is lost."""
+    rng = np.random.default_rng(6)
+    word = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(n))
+    shared, head, tail = word(60), word(200), word(200)
+    docs = spark.createDataFrame([(1, f"{word(50)} {shared} {word(50)}"), (3, f"{head} {shared} {tail}"), (5, f"{head} {shared} {tail}")], "doc_id long, text string")
+    texts = dict(docs.collect())
+    found = substrings.repeated_passages(docs).collect()
+    assert {(r.doc_id, r.first_doc_id) for r in found} == {(1, 1), (3, 1), (3, 3), (5, 1), (5, 3)}
+    assert all(texts[r.doc_id][r.start : r.end] in texts[r.first_doc_id] for r in found)
+    assert {r.copies for r in found if r.first_doc_id == 3} == {2}
+    cut = dict(substrings.without_repeats(docs).collect())
+    assert cut[1] == texts[1] and head[:-20] in cut[3] and tail[20:] in cut[3] and len(cut[5]) < 200
+
+
 def test_main_text(spark):
     page = '<html><body><nav><a>menu</a></nav><div class="ad">buy</div><article><h1>Title &amp; more</h1><p><b>one<br>two<p>three<script>"</p>"</script><div class="comments">so true</div></article><footer>end</footer>'
     bare = "<body><p>subscribe to our letter now and get it free today ok<p>{}"
