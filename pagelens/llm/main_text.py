@@ -153,23 +153,43 @@ def host_of(url: str | None) -> str:
 
 
 def _streams(rows: pa.Table) -> Iterator[tuple[str, list[tuple[bool, str]], bool, np.ndarray]]:
+    """Each page's host, blocks, whether it marks a main part, and names; a page whose host isn't known shares with none."""
     for url, html in zip(rows["url"].to_pylist(), rows["text"].to_pylist(), strict=True):
         found, host = visible(html), host_of(url)
         marked = any(main for main, _ in found)
-        yield host, found, marked, names_of(host, [w for main, text in found if not main for w in text.split(" ")])
+        yield host, found, marked, names_of(host, [w for main, text in found if not main for w in text.split(" ")] if host else [])
+
+
+def _distinct(keys: np.ndarray, pages: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs of a key and a page, sorted, and how many pairs of its key come before each."""
+    order = np.lexsort((pages, keys))
+    keys, pages = keys[order], pages[order]
+    fresh = np.concatenate(([True], (keys[1:] != keys[:-1]) | (pages[1:] != pages[:-1]))) if len(keys) else np.zeros(0, bool)
+    keys, pages = keys[fresh], pages[fresh]
+    return keys, pages, np.arange(len(keys)) - np.searchsorted(keys, keys)
 
 
 def _ask(rows: pa.Table, part: bool) -> list[tuple[int, np.ndarray, list[np.ndarray]]]:
-    own = [np.unique(names) for *_, names in _streams(rows)]
-    keys, n = np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    return [(0, keys, [n.astype(np.uint64)])]
+    """For each name LEAST_PAGES digests of pages that have it, zero where there are fewer: pages with equal blocks are one."""
+    own, pages = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    for _, found, _, names in _streams(rows):
+        own.append(np.unique(names))
+        digest = xxhash.xxh3_64_intdigest("\n".join(text for _, text in found).encode("utf-8", "surrogatepass")) or 1
+        pages.append(np.full(len(own[-1]), digest, np.uint64))
+    names, pages, rank = _distinct(np.concatenate(own), np.concatenate(pages))
+    keys, first = np.unique(names, return_inverse=True)
+    values = np.zeros((LEAST_PAGES, len(keys)), np.uint64)
+    few = rank < LEAST_PAGES
+    values[rank[few], first[few]] = pages[few]
+    return [(0, keys, list(values))]
 
 
 def _answer(level: int, keys: np.ndarray, values: list[list[np.ndarray]], parts: np.ndarray) -> list[list[np.ndarray]]:
-    pages = np.zeros(len(keys), np.uint64)
-    for places, n in values:
-        pages[places] += n
-    return [[pages[places]] for places, _ in values]
+    """The number of distinct pages of each name, LEAST_PAGES standing for any more."""
+    places = np.concatenate([v[0] for v in values for _ in v[1:]])
+    pages = np.concatenate([x for v in values for x in v[1:]])
+    count = np.bincount(_distinct(places[pages > 0], pages[pages > 0])[0], minlength=len(keys)).clip(max=LEAST_PAGES).astype(np.uint64)
+    return [[count[v[0]]] for v in values]
 
 
 def _texts(rows: pa.Table, part: bool, found: pd.DataFrame) -> pd.DataFrame:
@@ -200,9 +220,9 @@ def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page.
 
     Text: the blocks of the article or main part; of a page that marks none, all blocks that are no menu, header and so on, without
-    the runs of RUN or more tokens that LEAST_PAGES pages of its host share. A null or empty html gives an empty text. Words that pages'
-    articles share stay: the article is wanted whole. A null url is a host of its own kind. Repeated rows come out as often as they went in and
-    count as pages. Other columns aren't read. Without rows the result is empty. page_id is a whole number or null.
+    the runs of RUN or more tokens that LEAST_PAGES distinct pages of its host share. A null or empty html gives an empty text. Words that pages'
+    articles share stay: the article is wanted whole. A page whose url has no host shares with none. Repeated rows come out as often as they went in; pages of
+    a host with equal blocks (rows, crawls, mirrors) count as one. Other columns aren't read. Without rows the result is empty. page_id is a whole number or null.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("text"))
     corpus = blocks.gather(rows)

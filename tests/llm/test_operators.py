@@ -194,6 +194,19 @@ def test_main_text(spark):
     assert found[12] == "n12 differs here" and "letter" not in found[12]
 
 
+def test_main_text_of_equal_pages(spark):
+    """Rows of one page, and pages whose host isn't known, don't remove their own text."""
+    bare = "<body><p>a long article that comes more than once but is no boilerplate at all {}"
+    same = [(k, f"http://a/{k}", bare.format("same"), 1) for k in range(5)]
+    lost = [(k, url, bare.format(k), 1) for k, url in ((10, None), (11, None), (12, "http://[x"), (13, ""))]
+    two = [(20, "http://c/1", bare.format("one"), 1), *((k, "http://c/2", bare.format("two"), 1) for k in (21, 22, 23))]
+    pages = spark.createDataFrame([*same, *lost, *two], "page_id long, url string, html string, text int").repartition(4)
+    assert all("no boilerplate" in r.text for r in main_text.main_texts(pages).collect())
+    # a third distinct page makes it boilerplate
+    third = pages.union(spark.createDataFrame([(24, "http://c/3", bare.format("three"), 1)], pages.schema))
+    assert {r.page_id: r.text for r in main_text.main_texts(third).collect() if r.page_id >= 20} == {20: "one", 21: "two", 22: "two", 23: "two", 24: "three"}
+
+
 def test_classifiers(docs, none, spark):
     labels = spark.createDataFrame([(k, 1, int(k == 6)) for k in range(9)], "doc_id long, quality int, toxic int")
     for f in (quality.quality, toxicity.toxicity):
