@@ -207,6 +207,19 @@ def test_main_text_of_equal_pages(spark):
     assert {r.page_id: r.text for r in main_text.main_texts(third).collect() if r.page_id >= 20} == {20: "one", 21: "two", 22: "two", 23: "two", 24: "three"}
 
 
+def test_shared_runs_are_the_long_substrings():
+    """The tokens in runs of RUN names with enough pages are those of all substrings of RUN or more tokens with as many."""
+    rng = np.random.default_rng(8)
+    pages = [[str(x) for x in rng.integers(0, 3, 60)] for _ in range(6)]
+    parts = lambda p: {tuple(p[a:b]) for a in range(len(p)) for b in range(a + main_text.RUN, len(p) + 1)}
+    counts = collections.Counter(x for p in pages for x in parts(p))
+    names = [main_text.names_of("h", p) for p in pages]
+    shared = collections.Counter(x for n in names for x in set(n.tolist()))
+    for p, n in zip(pages, names, strict=True):
+        long = {i for a in range(len(p)) for b in range(a + main_text.RUN, len(p) + 1) if counts[tuple(p[a:b])] >= main_text.LEAST_PAGES for i in range(a, b)}
+        assert long == {i for a, x in enumerate(n.tolist()) if shared[x] >= main_text.LEAST_PAGES for i in range(a, a + main_text.RUN)}
+
+
 def test_classifiers(docs, none, spark):
     labels = spark.createDataFrame([(k, 1, int(k == 6)) for k in range(9)], "doc_id long, quality int, toxic int")
     for f in (quality.quality, toxicity.toxicity):
