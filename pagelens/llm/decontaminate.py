@@ -2,9 +2,9 @@
 
 Passages are runs of WINDOW words. Their vectors hold the square roots of word counts times inverse document frequencies, over the
 benchmark's words; other words only lengthen a vector. A passage whose part in these words is too small can't reach the
-least cosine with any item (Cauchy-Schwarz) and is passed over. A distributed randomised singular value decomposition of the
-other passages and the items gives the latent space; passages near an item in it are candidates, and a longest common subsequence
-of words and the item's answer decide.
+least cosine with any item (Cauchy-Schwarz) and is passed over, unless it has RUN words of an item in a row. A distributed randomised
+singular value decomposition of the other passages and the items gives the latent space; passages near an item in it are candidates, and so are those
+with a run of an item's words, however frequent these are. A longest common subsequence of words and the item's answer decide.
 """
 
 from __future__ import annotations
@@ -22,8 +22,11 @@ from .common import checkpoint, rows_of, written
 WINDOW, STRIDE = 32, 16
 #: Least latent cosine of a candidate, share of the item's words in the common subsequence, share of the answer's words.
 LEAST_COSINE, LEAST_COMMON, LEAST_ANSWER = 0.33, 0.75, 0.5
-#: Items searched for at once and the bytes they may have, which bound what is broadcast; more are searched for in blocks. Dimensions beyond one for each item.
-MOST_ITEMS, MOST_BYTES, SPARE_DIMENSIONS = 480, 4_000_000, 32
+#: Items searched for at once, the bytes and pieces they may have, which bound what is broadcast; more are searched for in blocks. Dimensions beyond one for each piece.
+MOST_ITEMS, MOST_BYTES, MOST_PIECES, SPARE_DIMENSIONS = 480, 4_000_000, 960, 32
+#: Words in a row that make a candidate. A copy with up to a quarter of an item's words replaced has such a run.
+RUN = 3
+MIX = np.random.default_rng(5).integers(1, 2**63, RUN, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Without an answer column the last words of an item are its answer.
 ANSWER_WORDS = 8
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„…"
@@ -70,6 +73,13 @@ def windows(n: int) -> np.ndarray:
     return np.arange(0, max(1, n - WINDOW + STRIDE), STRIDE) if n else np.zeros(0, np.int64)
 
 
+def run_keys(numbers: np.ndarray) -> np.ndarray:
+    """A key of the RUN words from each place on."""
+    n = max(0, len(numbers) - RUN + 1)
+    x = (numbers.astype(np.int64) + 1).astype(np.uint64)
+    return sum((x[k : n + k] * MIX[k] for k in range(RUN)), np.zeros(n, np.uint64))
+
+
 class Items:
     """The benchmark's items, or a block of them."""
 
@@ -82,8 +92,27 @@ class Items:
         answers = [[w for w in (t.strip(EDGE) for t in tokens(r["answer"])) if w] for r in rows]
         self.answers = [{number.get(w, -1) for w in a} or set(n[-ANSWER_WORDS:]) for a, n in zip(answers, self.numbers, strict=True)]
         self.longest = max(map(len, self.words), default=0)
+        runs = sorted({(int(x), k) for k, n in enumerate(self.numbers) for x in run_keys(np.array(n, np.int64))})
+        self.run_keys, self.run_items = np.array([x for x, _ in runs], np.uint64), np.array([k for _, k in runs], np.int32)
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[self.run_keys >> np.uint64(44)] = True
         self.pieces = [(k, np.array(n[a : a + WINDOW])) for k, n in enumerate(self.numbers) for a in windows(len(n)).tolist()]
 
+    def hits(self, numbers: np.ndarray, sizes: np.ndarray) -> list[dict[int, list[int]]]:
+        """For each of some texts, one after the other in `numbers`: by passage, the items of which it has a run."""
+        keys = run_keys(numbers)
+        begins = np.cumsum(sizes) - sizes
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        at = np.flatnonzero(self.maybe[keys >> np.uint64(44)])
+        at = at[row[at] == row[at + RUN - 1]]
+        low, high = (np.searchsorted(self.run_keys, keys[at], side) for side in ("left", "right"))
+        out: list[dict[int, set[int]]] = [{} for _ in sizes]
+        for p, a, b in zip(at[low < high].tolist(), low[low < high].tolist(), high[low < high].tolist(), strict=True):
+            k = int(row[p])
+            passage = min((p - int(begins[k])) // STRIDE, len(windows(int(sizes[k]))) - 1)
+            out[k].setdefault(passage, set()).update(self.run_items[a:b].tolist())
+        return [{i: sorted(x) for i, x in found.items()} for found in out]
+
 
 def rows_times(numbers: np.ndarray, sizes: np.ndarray, weight: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The product of sparse passage vectors (word numbers one after the other, each token for itself) with a matrix.
@@ -131,13 +160,13 @@ def _frequencies(numbered: DataFrame, items: Items) -> tuple[int, np.ndarray]:
 
 
 def _passages(numbered: DataFrame, items: Items, idf: np.ndarray, other: float) -> DataFrame:
-    """doc_id, at, norm, numbers, around: the passages that can reach LEAST_COSINE; `around` has the word numbers of the passage and as many before and behind it as the longest item has."""
+    """doc_id, at, norm, numbers, around, items: the passages that can reach LEAST_COSINE or have runs of `items`; `around` has the word numbers of the passage and as many before and behind it as the longest item has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         square = np.append(idf.astype(float) ** 2, other**2)
         inside = np.append(np.ones(len(idf)), 0.0)
-        for batch in batches:
-            rows, cols = [], [[], [], [], []]
+        for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
+            rows, cols, hits = [], [[], [], [], [], []], items.hits(*_unpacked(batch.column(1)))
             for k, (data,) in enumerate(rows_of([batch], "numbers")):
                 own = np.frombuffer(data, np.int32)
                 if not len(own):
@@ -146,18 +175,21 @@ def _passages(numbered: DataFrame, items: Items, idf: np.ndarray, other: float)
                 both = np.concatenate(([0.0], np.cumsum(mass))), np.concatenate(([0.0], np.cumsum(mass * inside[own])))
                 begin = windows(len(own))
                 end = np.minimum(begin + WINDOW, len(own))
-                whole, part = (c[end] - c[begin] for c in both)
-                for i in np.flatnonzero((part > 0) & (part >= LEAST_COSINE**2 * whole)).tolist():
+                full, part = (c[end] - c[begin] for c in both)
+                able = (part > 0) & (part >= LEAST_COSINE**2 * full)
+                able[list(hits[k])] = True
+                for i in np.flatnonzero(able).tolist():
                     a, b = int(begin[i]), int(end[i])
                     rows.append(k)
                     cols[0].append(a)
-                    cols[1].append(float(np.sqrt(whole[i])))
+                    cols[1].append(float(np.sqrt(full[i])))
                     passage = own[a:b]
                     cols[2].append(passage[square[passage] * inside[passage] > 0].tobytes())
                     cols[3].append(own[max(0, a - items.longest) : b + items.longest].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], ["doc_id", "at", "norm", "numbers", "around"])
+                    cols[4].append(np.array(hits[k].get(i, []), np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.float64()), *(pa.array(c, pa.binary()) for c in cols[2:])], ["doc_id", "at", "norm", "numbers", "around", "items"])
 
-    return written(numbered.mapInArrow(run, f"doc_id {numbered.schema['doc_id'].dataType.simpleString()}, at long, norm double, numbers binary, around binary"))
+    return written(numbered.mapInArrow(run, f"doc_id {numbered.schema['doc_id'].dataType.simpleString()}, at long, norm double, numbers binary, around binary, items binary"))
 
 
 def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -195,7 +227,7 @@ def _gram_times(passages: DataFrame, idf: np.ndarray, right: np.ndarray) -> np.n
 
 def latent_basis(passages: DataFrame, items: Items, idf: np.ndarray) -> np.ndarray:
     """Orthonormal columns that span the leading right singular vectors, by a randomised range finder over the Gram matrix. Items weigh as much as all passages together."""
-    size = min(len(items.ids) + SPARE_DIMENSIONS, len(idf))
+    size = min(len(items.pieces) + SPARE_DIMENSIONS, len(idf))
     numbers = np.concatenate([p for _, p in items.pieces])
     sizes = np.array([len(p) for _, p in items.pieces])
     own = token_weights(numbers, sizes, idf)
@@ -209,8 +241,8 @@ def latent_basis(passages: DataFrame, items: Items, idf: np.ndarray) -> np.ndarr
 def _search(docs: DataFrame, items: Items) -> DataFrame:
     numbered = _numbered(docs, items)
     n, df = _frequencies(numbered, items)
-    # A word that half of the documents have says nothing; where there are hardly any documents, all words count.
-    idf = np.log((n - df + 0.5) / (df + 0.5)).clip(0.0).astype(np.float32) if n >= 100 else np.ones(len(df), np.float32)
+    # No word weighs nothing: in a corpus full of copies of an item, its words are those that every document has.
+    idf = np.log((n + 1) / (df + 0.5)).astype(np.float32)
     passages = _passages(numbered, items, idf, float(np.quantile(idf, 0.9)))
     basis = latent_basis(passages, items, idf)
     sizes = np.array([len(p) for _, p in items.pieces])
@@ -234,11 +266,17 @@ def _search(docs: DataFrame, items: Items) -> DataFrame:
                 for i, j in zip(*np.nonzero(near >= LEAST_COSINE), strict=True):
                     pair = int(i), int(owner[j])
                     best[pair] = max(best.get(pair, 0.0), float(near[i, j]))
+                for i, data in enumerate(part.column(5).to_pylist()):
+                    for k in np.frombuffer(data, np.int32).tolist():
+                        best.setdefault((i, k), float(near[i, owner == k].max()))
                 for (i, k), cosine in best.items():
                     around = np.frombuffer(part.column(4)[i].as_py(), np.int32).tolist()
+                    present = {*around}
+                    if sum(w in present for w in items.numbers[k]) < LEAST_COMMON * len(items.numbers[k]):
+                        continue  # no common subsequence is longer
                     common = common_length(items.numbers[k], around) / len(items.numbers[k])
                     answer = items.answers[k]
-                    if common >= LEAST_COMMON and len(answer & {*around}) >= LEAST_ANSWER * len(answer):
+                    if common >= LEAST_COMMON and len(answer & present) >= LEAST_ANSWER * len(answer):
                         rows.append(at + i)
                         found[0].append(items.ids[k])
                         found[1].append(cosine)
@@ -246,19 +284,20 @@ def _search(docs: DataFrame, items: Items) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), batch.column(1).take(pa.array(rows, pa.int64())), pa.array(found[0], pa.int64()), pa.array(found[1], pa.float64()), pa.array(found[2], pa.float64())], ["doc_id", "at", "item_id", "cosine", "common"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return passages.select("doc_id", "at", "norm", "numbers", "around").mapInArrow(run, f"doc_id {kind}, at long, item_id long, cosine double, common double")
+    return passages.select("doc_id", "at", "norm", "numbers", "around", "items").mapInArrow(run, f"doc_id {kind}, at long, item_id long, cosine double, common double")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, cosine, common, at: documents with a passage of a benchmark item, one row for each pair.
 
-    cosine is the largest latent cosine, common the largest share of the item's words, in order, in a passage's surroundings, at the first
+    cosine is the largest latent cosine (under LEAST_COSINE where a run of words alone made the candidate), common the largest share of the item's words, in order, in a passage's surroundings, at the first
     such passage's word number. benchmark has item_id, text and maybe answer; items without words find nothing. Null and empty texts have no
     passages, repeated rows count as one. Other columns aren't read. Without rows on either side the result is empty.
     """
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text", (F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")).alias("answer")).filter("item_id is not null and text is not null")
-    count, size = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
-    parts = max(1, -(-count // MOST_ITEMS), -(-(size or 0) // MOST_BYTES))
+    pieces = F.greatest(F.lit(1), F.ceil((F.size(F.split(F.trim("text"), "\\s+")) - WINDOW + STRIDE) / STRIDE))
+    count, size, most = rows.agg(F.count("*"), F.sum(F.octet_length("text")), F.sum(pieces)).first()
+    parts = max(1, -(-count // MOST_ITEMS), -(-(size or 0) // MOST_BYTES), -(-(most or 0) // MOST_PIECES))
     empty = docs.sparkSession.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id long, cosine double, common double, at long")
     found = []
     for k in range(parts):

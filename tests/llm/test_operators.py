@@ -247,3 +247,18 @@ def test_decontamination(spark, none):
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()} == {(0, 0), (1, 1), (2, 2)}
     assert decontaminate.without_benchmark(docs, bench).count() == 149
     assert decontaminate.contaminated(none, bench).count() == decontaminate.contaminated(docs, bench.limit(0)).count() == 0
+
+
+def test_decontamination_of_frequent_passages(spark):
+    """Every document has item 0, every other one item 1 with each fifth word replaced, among words of no item and of other items."""
+    rng = np.random.default_rng(9)
+    word = lambda n: ["".join(rng.choice(list("abcdefghijklm"), 5)) for _ in range(n)]
+    items = [word(30) for _ in range(5)]
+    other = [w for item in items[2:] for w in item]
+    edited = lambda: [w if i % 5 else word(1)[0] for i, w in enumerate(items[1])]
+    docs = [(k, " ".join([*word(100), *rng.choice(other, 20), *items[0], *word(100), *(edited() if k % 2 else []), *word(50)])) for k in range(120)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    want = {(k, 0) for k in range(120)} | {(k, 1) for k in range(1, 120, 2)}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()} == want
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs.filter("doc_id < 10"), bench).collect()} == {x for x in want if x[0] < 10}
