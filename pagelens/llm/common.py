@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -20,10 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: spark.checkpoint.dir, or a folder of our own where that is unset, as in tests."""
+    """The folder that every executor sees: spark.checkpoint.dir, or one in the warehouse where that is unset, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="pagelens-")
+        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/pagelens-checkpoints"
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
@@ -36,15 +35,42 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _filesystem(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def written(df: DataFrame) -> DataFrame:
-    """Writes a large table, compressed, into the shared folder and reads it again. The files go when the driver ends."""
+    """Writes a large table, compressed, into the shared folder and reads it again. The files go by forget() or when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/pagelens-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    store, target = _filesystem(spark, path)
+    store.deleteOnExit(target)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._written_path = path
+    return found
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes the files of written() tables that nothing reads any more."""
+    for df in tables:
+        store, target = _filesystem(df.sparkSession, df._written_path)
+        store.delete(target, True)
+
+
+def few(df: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """A table of some numbers for the small side of a join: marked for broadcast if it has at most `most` rows, else left to a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def ascii_lower(text):

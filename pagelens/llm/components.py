@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """node, label: the smallest label (a null one last) that each of `nodes` (node, label; each node once) reaches over `links` (a, b).
+    """node, label: the smallest label (of any ordered type; a null one last) that each of `nodes` (node, label; each node once) reaches over `links` (a, b).
 
     The links are contracted: in each round every node points to the smallest neighbour (its own
     id included), large-star and small-star by turns, until stars are all that is left; the number of rounds
@@ -24,7 +24,8 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u != v").distinct()
-        edges = written(small)
+        last, edges = edges, written(small)
+        forget(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -9,6 +9,7 @@ bits finds the pair, the chain is checked, and the whole Hamming distance is che
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, checkpoint, rows_of, words, written
+from .common import checkpoint, few, forget, fresh, rows_of, words, written
 from .components import components
 
 SEGMENTS = 8
@@ -157,115 +158,170 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3) -> DataF
     return own.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: For similarities that 64 bits are too few for: bits of a wide fingerprint, one segment being a byte of them, and the most that differ.
-#: Texts with a Jaccard similarity of 0.8 have a cosine of 0.89 and differ in 15.1 % of the bits; half a standard deviation (0.4 %) comes on top.
-WIDE, WIDE_DISTANCE = 2048, 0.155
-#: Consecutive equal segments that begin a chain, members of a key that are ordered together, and how many neighbours each is compared with there at first.
-CHAIN, MEETING, NEIGHBOURS = 3, 1024, 2
+#: For similarities that 64 bits are too few for: bits of a wide fingerprint, one segment of the ring being a byte of them.
+WIDE = 2048
+#: Least Jaccard similarity. Texts of 0.8 have a cosine of 0.89 and differ in 15.1 % of the bits, with a standard deviation of 0.79 %: three of
+#: them below, a pair is taken as it is; up to three above, the shingles themselves are compared.
+LEAST_JACCARD, SURE, LOOSE = 0.8, int(WIDE * 0.127), int(WIDE * 0.175)
+#: Consecutive equal segments that begin a chain; the places of the ring that are looked at first; members of a key that are ordered together; of a block.
+CHAIN, FIRST_STEP, MEETING, WIDE_BLOCK = 3, 4, 1024, 256
 ORDER = np.random.default_rng(7).permutation(WIDE)
 
 
-def wide_bits(texts: list[str | None], width: int) -> np.ndarray:
-    """WIDE / 8 bytes for each text: the signs of WIDE orthogonal projections (Walsh-Hadamard) of its distinct shingles, hashed and signed."""
-    v = np.zeros((len(texts), WIDE), np.float32)
-    for i, text in enumerate(texts):
-        h = np.unique(shingle_hashes(words(text), width))
+def wide_bits(hashed: list[np.ndarray]) -> np.ndarray:
+    """WIDE / 8 bytes for each text: the signs of WIDE orthogonal projections (Walsh-Hadamard) of its distinct shingle hashes, signed."""
+    v = np.zeros((len(hashed), WIDE), np.float32)
+    for i, h in enumerate(hashed):
+        h = np.unique(h)
         sign = 1.0 - 2.0 * ((h >> np.uint64(40)) & np.uint64(1)).astype(float)
         heavier = (h >> np.uint64(41)).astype(float) / (1 << 23) / 100  # so that few shingles don't cancel out
         v[i] = np.bincount((h % np.uint64(WIDE)).astype(np.int64), weights=sign * (1 + heavier), minlength=WIDE)
     step = 1
     while step < WIDE:
-        x = v.reshape(len(texts), -1, 2, step)
-        v = np.stack((x[:, :, 0] + x[:, :, 1], x[:, :, 0] - x[:, :, 1]), axis=2).reshape(len(texts), WIDE)
+        x = v.reshape(len(hashed), -1, 2, step)
+        v = np.stack((x[:, :, 0] + x[:, :, 1], x[:, :, 0] - x[:, :, 1]), axis=2).reshape(len(hashed), WIDE)
         step *= 2
     return np.packbits(v[:, ORDER] > 0, axis=1)
 
 
-def wide_fingerprints(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, bits (longs) and keys: a number for each place of the ring, of the place and the CHAIN segments from it on."""
+def wide_fingerprints(rows: DataFrame, width: int) -> DataFrame:
+    """node, doc_id, same (a digest of the words), bits (longs) of the rows (node, doc_id, text) that have words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                b = wide_bits(part.column(1).to_pylist(), width)
-                n = b.shape[1]
-                keys = np.tile(np.arange(n, dtype=np.int64), (len(b), 1))
-                for k in range(CHAIN):
-                    keys = keys << 8 | np.roll(b, -k, axis=1)
-                lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists(np.ascontiguousarray(b).view(np.int64)), lists(keys)], ["doc_id", "bits", "keys"])
+                own = [words(text) for text in batch.column(2).slice(at, 128).to_pylist()]
+                kept = [k for k, w in enumerate(own) if w]
+                b = np.ascontiguousarray(wide_bits([shingle_hashes(own[k], width) for k in kept])).view(np.int64)
+                same = [hashlib.blake2b(b" ".join(own[k]), digest_size=16).digest() for k in kept]
+                place = pa.array([at + k for k in kept], pa.int64())
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, b.size + 1, WIDE // 64), pa.int32()), pa.array(b.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(place), batch.column(1).take(place), pa.array(same, pa.binary()), lists], ["node", "doc_id", "same", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, bits array<long>, keys array<long>")
+    return rows.select("node", "doc_id", "text").mapInArrow(run, f"node long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, same binary, bits array<long>")
 
 
-def similar_links(fps: DataFrame) -> DataFrame:
-    """a, b: doc_ids that connect whatever fingerprints meet and differ in at most WIDE_DISTANCE of their bits.
+def ring_keys(step: int) -> Column:
+    """A number for each `step`-th place of the ring, of the place and the CHAIN segments from it on."""
+    n, mask = WIDE // 64, (1 << 8 * CHAIN) - 1
+    return F.expr(
+        f"transform(sequence(0, {WIDE // 8 - 1}, {step}), p -> shiftleft(cast(p as bigint), {8 * CHAIN}) | ({mask}L & (shiftrightunsigned(bits[p div 8], 8 * (p % 8))"
+        f" | if(p % 8 > {8 - CHAIN}, shiftleft(bits[(p div 8 + 1) % {n}], 64 - 8 * (p % 8)), 0L))))"
+    )
 
-    Pairs meet where CHAIN consecutive segments are equal. At first each is compared with its next NEIGHBOURS in an order that is the same for every
-    key, which joins copies by few links; then all that still lie in different components and meet are compared (`links_left`), so none that meet are left out.
-    """
-    keys = fps.select("doc_id", F.explode("keys").alias("key"))
+
+def differing() -> Column:
+    return F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, n: acc + n)
+
+
+def measured(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a, b, d: the pairs (a, b) that differ in at most LOOSE bits, and in how many."""
+    both = pairs.join(nodes.select(F.col("node").alias("a"), F.col("bits").alias("x")), "a").join(nodes.select(F.col("node").alias("b"), F.col("bits").alias("y")), "b")
+    return both.select("a", "b", differing().alias("d")).filter(F.col("d") <= LOOSE)
+
+
+def first_links(nodes: DataFrame) -> DataFrame:
+    """a, b, d of neighbours in the keys of every FIRST_STEP-th place, by an order that is the same for every key: few links that join the copies of a group."""
+    keys = nodes.select("node", F.explode(ring_keys(FIRST_STEP)).alias("key"))
     sizes = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    met = written(keys.join(sizes, "key"))
-    dealt = met.withColumn("order", F.xxhash64("doc_id")).withColumn("salt", F.pmod(F.col("order"), F.ceil(F.col("n") / MEETING)))
-    w = Window.partitionBy("key", "salt").orderBy("order", "doc_id")
-    near = dealt.select("doc_id", *(F.lag("doc_id", k).over(w).alias(f"lag{k}") for k in range(1, NEIGHBOURS + 1)))
-    pairs = near.select("doc_id", F.explode(F.array_compact(F.array(*(f"lag{k}" for k in range(1, NEIGHBOURS + 1))))).alias("other"))
-    pairs = pairs.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).filter("a != b").distinct()
-    bits = fps.select(F.col("doc_id").alias("a"), F.col("bits").alias("x"))
-    pairs = pairs.join(bits, "a").join(bits.select(F.col("a").alias("b"), F.col("x").alias("y")), "b")
-    differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, n: acc + n)
-    first = checkpoint(pairs.filter(differ <= int(WIDE * WIDE_DISTANCE)).select("a", "b"))
-    return first.unionByName(links_left(fps, met.filter(F.col("n") > NEIGHBOURS + 1).select("key", "doc_id"), first))
-
-
-def links_left(fps: DataFrame, met: DataFrame, found: DataFrame) -> DataFrame:
-    """a, b: links between components of `found` among all that meet in a key (`met`: key, doc_id).
-
-    A key's largest component isn't compared with itself. It and the key's others are cut into blocks of about MEETING / 4; each block of
-    others meets each block, and gives one link for each two components.
+    dealt = keys.join(sizes, "key").withColumn("order", F.xxhash64("node")).withColumn("salt", F.pmod(F.col("order"), F.ceil(F.col("n") / MEETING)))
+    near = dealt.select("node", F.lag("node").over(Window.partitionBy("key", "salt").orderBy("order", "node")).alias("other"))
+    pairs = near.filter("other is not null").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    return measured(pairs, nodes)
+
+
+def similar_links(nodes: DataFrame) -> DataFrame:
+    """a, b, d: links of at most LOOSE differing bits that connect whatever of `nodes` (node, bits) meets and differs in so few.
+
+    Fingerprints meet where CHAIN consecutive segments of the ring are equal. first_links() joins most copies. Then keys are looked at whose
+    members still lie in different components, which an aggregation finds: a key of two members is a pair; of larger ones the members are
+    fetched and compared across components in blocks (`links_left`), so none that meet are left out.
     """
-    label = components(fps.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("label")), found)
-    met = checkpoint(met.join(label.withColumnRenamed("node", "doc_id"), "doc_id"))
+    first = written(first_links(nodes))
+    label = components(nodes.select("node", F.col("node").alias("label")), first.filter(F.col("d") <= SURE))
+    labelled = written(nodes.join(label, "node"))
+    keys = labelled.select("node", "label", F.explode(ring_keys(1)).alias("key"))
+    met = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.min("node").alias("a"), F.max("node").alias("b"))
+    met = written(met.filter("low < high").select("key", "n", "a", "b"))
+    pairs = measured(met.filter("n = 2").select("a", "b").distinct(), nodes)
+    many = keys.join(few(met.filter("n > 2").select("key")), "key")
+    return first.unionByName(pairs).unionByName(links_left(labelled, many))
+
+
+def links_left(labelled: DataFrame, met: DataFrame) -> DataFrame:
+    """a, b, d: links between components (`label`) among all that meet in a key (`met`: key, node, label).
+
+    A key's largest component isn't compared with itself. It and the key's others are cut into blocks of about WIDE_BLOCK; each block of
+    others meets each block, and gives one sure link for each two components, or the nearest of each node.
+    """
+    met = written(met.select("key", "node", "label"))
     sizes = met.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.max("n").alias("most"), F.sum("n").alias("n"))
-    size = MEETING // 4
-    parts = sizes.filter("n > most").select("key", "top", F.ceil(F.col("most") / size).cast("int").alias("tops"), F.ceil((F.col("n") - F.col("most")) / size).cast("int").alias("rest"))
+    parts = sizes.select("key", "top", F.ceil(F.col("most") / WIDE_BLOCK).cast("int").alias("tops"), F.ceil((F.col("n") - F.col("most")) / WIDE_BLOCK).cast("int").alias("rest"))
     is_top = F.col("label") == F.col("top")
     # Blocks of others have the numbers from 0 on, those of the largest component follow.
-    block = F.pmod(F.xxhash64("doc_id", "key"), F.when(is_top, F.col("tops")).otherwise(F.col("rest"))).cast("int") + F.when(is_top, F.col("rest")).otherwise(0)
+    block = F.pmod(F.xxhash64("node", "key"), F.when(is_top, F.col("tops")).otherwise(F.col("rest"))).cast("int") + F.when(is_top, F.col("rest")).otherwise(0)
     last = F.when(is_top, F.col("rest")).otherwise(F.col("rest") + F.col("tops")) - 1
     dealt = met.join(parts, "key").withColumns({"block": block, "other": F.explode(F.sequence(F.lit(0), last))})
-    dealt = dealt.select("key", "doc_id", "label", "block", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2")).join(fps.select("doc_id", "bits"), "doc_id")
-    limit, kind = int(WIDE * WIDE_DISTANCE), fps.schema["doc_id"].dataType.simpleString()
-    return dealt.groupBy("key", "b1", "b2").applyInPandas(lambda pdf: wide_links(pdf, limit), f"a {kind}, b {kind}").distinct()
+    dealt = dealt.select("key", "node", "label", "block", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2")).join(labelled.select("node", "bits"), "node")
+    return dealt.groupBy("key", "b1", "b2").applyInPandas(wide_links, "a long, b long, d int").groupBy("a", "b").agg(F.min("d").alias("d"))
 
 
-def wide_links(pdf: pd.DataFrame, limit: int) -> pd.DataFrame:
-    """One link of at most `limit` differing bits for each two labels, between a block and itself or another one."""
-    side, ids = pdf["block"].to_numpy(), pdf["doc_id"].to_numpy()
+def wide_links(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Between a block and itself or another one: for each two labels one link of at most SURE differing bits, or of each node its nearest of at most LOOSE."""
+    side, ids = pdf["block"].to_numpy(), pdf["node"].to_numpy()
     bits, labels = np.stack(pdf["bits"].to_list()).view(np.uint64), pd.factorize(pdf["label"])[0]
     right = np.flatnonzero(side == side.max())
-    links: dict[tuple[int, int], tuple] = {}
+    sure: dict[tuple[int, int], tuple] = {}
+    near: dict[tuple[int, int, int], tuple] = {}
     for i in np.flatnonzero(side == side.min()):
         others = right[labels[right] != labels[i]]
-        for j in others[np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1, dtype=np.int64) <= limit]:
-            links.setdefault((min(labels[i], labels[j]), max(labels[i], labels[j])), (ids[i], ids[j]))
-    return pd.DataFrame(list(links.values()), columns=["a", "b"]).astype(pdf["doc_id"].dtype)
+        d = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        for k in np.argsort(d, kind="stable")[: int((d <= LOOSE).sum())]:
+            j = others[k]
+            two = min(labels[i], labels[j]), max(labels[i], labels[j])
+            if d[k] <= SURE:
+                sure.setdefault(two, (ids[i], ids[j], d[k]))
+            else:
+                near.setdefault((*two, i), (ids[i], ids[j], d[k]))
+    found = [*sure.values(), *(x for (a, b, _), x in near.items() if (a, b) not in sure)]
+    return pd.DataFrame([(min(a, b), max(a, b), d) for a, b, d in found], columns=["a", "b", "d"]).astype({"a": np.int64, "b": np.int64, "d": np.int32})
+
+
+def similar(links: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """a, b: the links that are sure, and those whose texts (node, text) have a Jaccard similarity of LEAST_JACCARD or more on their distinct shingles."""
+    open_ = links.filter(F.col("d") > SURE).select("a", "b").distinct()
+    some = texts.join(few(open_.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "node", "left_semi")
+    both = open_.join(some.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(some.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in rows_of([batch], "x", "y"):
+                p, q = (np.unique(shingle_hashes(words(t), width)) for t in (x, y))
+                same = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(same >= LEAST_JACCARD * (len(p) + len(q) - same))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    exact = both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return links.filter(F.col("d") <= SURE).select("a", "b").unionByName(exact)
 
 
 def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
-    """One row of each group of near duplicates, similarity of 0.8 or more on shingles of `width` words: the one with the smallest doc_id, of equal ids one by its text's hash. Columns stay as they are.
+    """One row of each group of near duplicates, linked by a Jaccard similarity of LEAST_JACCARD or more on shingles of `width` words: the one with the smallest doc_id,
+    of equal ids the one with the smallest digest of its words. Columns, whatever their names, stay as they are.
 
-    Rows whose text has no words or whose doc_id is null are kept, all of them: nothing says that they are copies.
+    Texts with equal words (letters A to Z in either case) are copies; repeated rows leave one. Rows with one doc_id and unlike texts are documents of their own. Rows whose
+    text has no words (null, empty, blank) or whose doc_id is null are kept, all of them: nothing says that they are copies. A very long text is
+    compared whole. Without rows the result is empty.
     """
-    own = written(docs.withColumn("_row", F.monotonically_increasing_id()))
-    blank = F.col("doc_id").isNull() | F.coalesce(F.length(F.regexp_replace("text", "[\\x20\\x09-\\x0D]+", "")) == 0, F.lit(True))
-    # Equal words are one text; its smallest id stands for it.
-    texts = own.filter(~blank).withColumn("_same", F.sha2(F.trim(F.regexp_replace(ascii_lower(F.col("text")), "[\\x20\\x09-\\x0D]+", " ")), 256))
-    first = checkpoint(texts.groupBy("_same").agg(F.min(F.struct("doc_id", F.xxhash64("text").alias("h"), "_row")).alias("f")).select("f.doc_id", "f._row"))
-    first = first.groupBy("doc_id").agg(F.min("_row").alias("_row"))
-    fps = written(wide_fingerprints(own.join(first.select("_row"), "_row", "left_semi"), width))
-    found = components(fps.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("label")), checkpoint(similar_links(fps)))
-    kept = first.join(found.filter("node = label").select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select("_row")
-    return own.filter(~blank).join(kept, "_row", "left_semi").unionByName(own.filter(blank)).select(*docs.columns)
+    row = fresh(docs, "_row")
+    own = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    texts = own.select(F.col(row).alias("node"), "doc_id", "text").filter("doc_id is not null and text is not null")
+    marked = written(wide_fingerprints(texts, width))
+    nodes = marked.groupBy("same").agg(F.min(F.struct("doc_id", "node")).alias("f"), F.first("bits").alias("bits"))
+    nodes = written(nodes.select("f.node", "f.doc_id", "same", "bits"))
+    found = written(similar(written(similar_links(nodes.select("node", "bits"))), texts.select("node", "text"), width))
+    best = components(nodes.select("node", F.struct("doc_id", "same", "node").alias("label")), found)
+    gone = written(marked.select("node").join(best.filter("label.node = node").select("node"), "node", "left_anti"))
+    forget(marked, nodes, found)
+    return own.join(few(gone.withColumnRenamed("node", row)), row, "left_anti").select(*docs.columns)

@@ -77,27 +77,60 @@ def test_simhash_links(spark):
 
 
 def test_keep_one(docs, none):
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns
+    clashing = docs.withColumnsRenamed({"score": "_row", "n_chars": "node"})
+    kept = simhash.keep_one(clashing)
+    assert kept.columns == clashing.columns
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == [0, 2, 3, 4, 5, 6, 7, None]
     assert simhash.keep_one(none).count() == 0
 
 
+def test_keep_one_by_brute_force(spark):
+    """A large group of near copies, chains, pairs on both sides of 0.8, a repeated doc_id with unlike texts: one of each component stays."""
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 5))
+    text = lambda n: [word() for _ in range(n)]
+
+    def changed(own, k):
+        out = list(own)
+        for i in rng.choice(len(own), k, replace=False):
+            out[i] = word()
+        return out
+
+    base = text(150)
+    made = [changed(base, int(rng.integers(0, 4))) for _ in range(250)]
+    chain = [text(200)]
+    for _ in range(6):
+        chain.append(changed(chain[-1], 3))
+    single = [text(int(rng.integers(3, 200))) for _ in range(60)]
+    made += chain + single + [changed(x, max(1, len(x) // 60)) for x in single] + [changed(x, max(1, len(x) // 8)) for x in single]
+    rows = [(k, " ".join(w)) for k, w in enumerate(made)]
+    rows = [rows[i] for i in rng.permutation(len(rows))] + [(5, " ".join(text(50))), (5, " ".join(text(50)))]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for _, t in rows]
+    near = np.array([[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets])
+    label = np.arange(len(rows))
+    for _ in range(20):
+        label = np.array([label[near[i]].min() for i in range(len(rows))])
+    want = sorted(min(rows[i][0] for i in np.flatnonzero(label == x)) for x in set(label.tolist()))
+    got = sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect())
+    # What is dropped is similar for certain; of the groups at most one in fifty keeps a second document, as meeting in a key is a matter of chance.
+    assert set(want) <= set(got) and len(got) - len(want) <= len(want) // 50 and got.count(5) >= 2
+
+
 def test_similar_links_of_a_large_key(spark):
     """400 fingerprints meet in one key: a few near pairs among unlike ones, and a large group of copies with a chain hanging on it."""
     rng = np.random.default_rng(3)
     bits = rng.integers(0, 256, (400, simhash.WIDE // 8), dtype=np.uint8)
     bits[200:320] = bits[200]
+    bits[:, 50:53] = 7
     for a, b in [(1, 300), (5, 90), (90, 399), (7, 11)]:
         bits[b] = bits[a]
         bits[b, :20] ^= 255
-    fps = spark.createDataFrame([(k, row.view(np.int64).tolist(), [1]) for k, row in enumerate(bits)], "doc_id long, bits array<long>, keys array<long>")
-    near = np.bitwise_count(bits[:, None, :] ^ bits[None, :, :]).sum(axis=2) <= simhash.WIDE * simhash.WIDE_DISTANCE
+    fps = spark.createDataFrame([(k, row.view(np.int64).tolist()) for k, row in enumerate(bits)], "node long, bits array<long>")
+    near = np.bitwise_count(bits[:, None, :] ^ bits[None, :, :]).sum(axis=2) <= simhash.LOOSE
     want = list(range(400))
     for _ in range(5):
         want = [min(want[j] for j in np.flatnonzero(near[i])) for i in range(400)]
-    nodes = fps.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("label"))
-    found = dict(components(nodes, simhash.similar_links(fps)).collect())
+    found = dict(components(fps.select("node", F.col("node").alias("label")), simhash.similar_links(fps)).collect())
     assert [found[k] for k in range(400)] == want
 
 
