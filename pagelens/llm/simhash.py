@@ -165,6 +165,8 @@ WIDE = 2048
 LEAST_JACCARD, SURE, LOOSE = 0.8, int(WIDE * 0.127), int(WIDE * 0.175)
 #: Consecutive equal segments that begin a chain; the places of the ring that are looked at first; members of a key that are ordered together; of a block.
 CHAIN, FIRST_STEP, MEETING, WIDE_BLOCK = 3, 4, 1024, 256
+#: Fingerprints whose keys one task spells out and counts at once.
+SPELT = 3000
 ORDER = np.random.default_rng(7).permutation(WIDE)
 
 
@@ -240,11 +242,11 @@ def similar_links(nodes: DataFrame) -> DataFrame:
     first = written(first_links(nodes))
     label = components(nodes.select("node", F.col("node").alias("label")), first.filter(F.col("d") <= SURE))
     labelled = written(nodes.join(label, "node"))
-    keys = labelled.select("node", "label", F.explode(ring_keys(1)).alias("key"))
-    met = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.min("node").alias("a"), F.max("node").alias("b"))
+    keys = lambda rows: rows.select("node", "label", F.explode(ring_keys(1)).alias("key"))
+    met = keys(labelled.repartition(-(-max(1, labelled.count()) // SPELT))).groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.min("node").alias("a"), F.max("node").alias("b"))
     met = written(met.filter("low < high").select("key", "n", "a", "b"))
     pairs = measured(met.filter("n = 2").select("a", "b").distinct(), nodes)
-    many = keys.join(few(met.filter("n > 2").select("key")), "key")
+    many = keys(labelled).join(few(met.filter("n > 2").select("key")), "key")
     return first.unionByName(pairs).unionByName(links_left(labelled, many))
 
 
