@@ -20,21 +20,107 @@ def length_class(text: Column, bounds: tuple[int, int]) -> Column:
 
 
 def page_key(url: Column) -> Column:
-    """What is equal for addresses of the same page: no fragment, scheme and host in lower case, no slash at the path's end."""
-    bare = F.regexp_replace(url, "#.*$", "")
-    head, rest = F.regexp_extract(bare, r"^([A-Za-z]+://[^/?]*)", 1), F.regexp_replace(bare, r"^[A-Za-z]+://[^/?]*", "")
-    return F.concat(F.lower(head), F.regexp_replace(rest, r"/+(\?|$)", "$1"))
+    """What is equal for addresses of the same page: trimmed, no fragment, scheme and host in lower case, no slash at the path's end; the query stays, an empty one doesn't count."""
+    bare = F.regexp_replace(F.trim(url), "(?s)#.*$", "")
+    front, query = F.regexp_extract(bare, r"(?s)^([^?]*)", 1), F.regexp_extract(bare, r"(?s)^[^?]*\?(.*)$", 1)
+    host, path = F.regexp_extract(front, "^([^/]*://[^/]*)", 1), F.regexp_replace(front, "^[^/]*://[^/]*", "")
+    return F.concat(F.lower(host), F.regexp_replace(path, "/+$", ""), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
+
+
+def is_default_language(code: Column) -> Column:
+    return F.lower(F.trim(code)) == "x-default"
 
 
 def language_code_is_valid(code: Column) -> Column:
-    return F.rlike(code, F.lit(r"^[A-Za-z]{2,3}(-[A-Za-z]{4})?(-[A-Za-z]{2})?$"))
+    """x-default, or a language with a script and a region at most, in either case, whatever blanks stand around it."""
+    return is_default_language(code) | F.rlike(F.trim(code), F.lit(r"^[A-Za-z]{2,3}(-[A-Za-z]{4})?(-[A-Za-z]{2})?$"))
+
+
+def language_set(alternates: DataFrame, page: str, url: str) -> DataFrame:
+    """Of each page's alternates (hreflang, href): n, has_default, invalid (how many codes), self_reference (one that isn't x-default leads to the page)."""
+    own = ~is_default_language(F.col("hreflang")) & (page_key(F.col("href")) == page_key(F.col(url)))
+    return alternates.groupBy(page).agg(F.count("*").alias("n"), F.coalesce(F.bool_or(is_default_language(F.col("hreflang"))), F.lit(False)).alias("has_default"), F.count_if(~language_code_is_valid(F.col("hreflang"))).alias("invalid"), F.coalesce(F.bool_or(own), F.lit(False)).alias("self_reference"))
+
+
+# Names of crawlers by what they do.
+BOTS = {
+    "search_engine": "googlebot bingbot slurp duckduckbot baiduspider yandexbot naverbot seznambot qwantify startpage",
+    "ai_training": "gptbot google-extended applebot-extended bytespider ccbot omgili",
+    "ai_citation": "perplexitybot youbot amazonbot oai-searchbot claude-searchbot claude-user claude-web",
+    "ai_mixed": "claudebot anthropic-ai chatgpt-user meta-externalagent facebookbot cohere-ai diffbot",
+    "unknown_ai": "dotbot petalbot wpbot semrushbot ahrefsbot mj12bot rogerbot",
+    "general": "archive.org_bot ia_archiver linkedinbot twitterbot",
+}
+
+
+def bot_class(agent: Column) -> Column:
+    """The class of the longest crawler name in a user agent; the first listed of equally long ones."""
+    low = F.lower(agent)
+    hits = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(name)), F.struct(F.lit(len(name)).alias("n"), F.lit(-k).alias("k"), F.lit(kind).alias("kind"))) for k, (kind, name) in enumerate((kind, name) for kind, names in BOTS.items() for name in names.split()))))
+    return F.when(F.trim(agent) == "*", "wildcard").otherwise(F.coalesce(F.array_max(hits)["kind"], F.lit("unknown")))
+
+
+GROUP = "struct<agents:array<string>,allows:array<string>,disallows:array<string>,delay:int>"
+
+
+def robots_groups(text: Column) -> Column:
+    """array(agents, allows, disallows, delay) of a robots.txt: a group ends at a blank line or comment, or where an agent follows rules; rules before any agent belong to the first one."""
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\\r\\n|\\n"), F.trim)
+    none = F.array().cast("array<string>")
+    empty = F.struct(none.alias("agents"), none.alias("allows"), none.alias("disallows"), F.lit(None).cast("int").alias("delay"))
+    start = F.struct(F.array().cast(f"array<{GROUP}>").alias("done"), empty.cast(GROUP).alias("now"))
+    closed = lambda acc: F.struct(F.when(F.size(acc["now"]["agents"]) > 0, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]).alias("done"), empty.cast(GROUP).alias("now"))
+
+    def add(acc: Column, key: Column, value: Column) -> Column:
+        now = acc["now"]
+        put = lambda name, field: F.when(name, F.concat(now[field], F.array(value))).otherwise(now[field]).alias(field)
+        own = F.struct(put((key == "user-agent") & (value != ""), "agents"), put((key == "allow") & (value != ""), "allows"), put(key == "disallow", "disallows"), F.when(key == "crawl-delay", value.try_cast("int")).otherwise(now["delay"]).alias("delay"))
+        return F.struct(acc["done"].alias("done"), own.cast(GROUP).alias("now"))
+
+    def step(acc: Column, line: Column) -> Column:
+        key, value = F.lower(F.trim(F.substring_index(line, ":", 1))), F.trim(F.regexp_replace(line, "^[^:]*:", ""))
+        ruled = (F.size(acc["now"]["allows"]) > 0) | (F.size(acc["now"]["disallows"]) > 0) | acc["now"]["delay"].isNotNull()
+        fresh = F.transform(F.array(F.when((key == "user-agent") & ruled, closed(acc)).otherwise(acc)), lambda a: add(a, key, value))[0]
+        ends = (line == "") | F.startswith(line, F.lit("#"))
+        return F.when(ends, F.when(F.size(acc["now"]["agents"]) > 0, closed(acc)).otherwise(acc)).when(~F.contains(line, F.lit(":")), acc).otherwise(fresh)
+
+    return F.aggregate(lines, start, step, lambda acc: closed(acc)["done"])
+
+
+def rule_length(rule: Column, path: Column) -> Column:
+    """The length of a rule that matches the path, else null; * stands for anything, $ at the end for the path's end. An empty rule matches nothing."""
+    anchored = F.endswith(rule, F.lit("$"))
+    body = F.regexp_replace(F.regexp_replace(rule, "[$]$", ""), "([\\\\\\^$.|?+()\\[\\]{}])", "\\\\$1")
+    pattern = F.concat(F.lit("(?s)^"), F.replace(body, F.lit("*"), F.lit(".*")), F.when(anchored, F.lit("$")).otherwise(F.lit("")))
+    return F.when((rule != "") & F.rlike(path, pattern), F.octet_length(rule))
+
+
+def path_is_disallowed(disallows: Column, allows: Column, path: Column) -> Column:
+    """Whether the longest matching rule disallows the path; of equally long ones the allowing one holds."""
+    longest = lambda rules: F.coalesce(F.array_max(F.transform(rules, lambda r: rule_length(r, path))), F.lit(-1))
+    return longest(disallows) > longest(allows)
+
+
+# Tags of social previews.
+OPEN_GRAPH, OPEN_GRAPH_REQUIRED = "og:title og:description og:image og:url og:type og:site_name".split(), 4
+TWITTER, TWITTER_REQUIRED, CARDS = "twitter:card twitter:title twitter:description twitter:image".split(), 3, "summary summary_large_image app player".split()
+
+
+def social(tags: Column) -> Column:
+    """struct of a page's tags (map): the share of Open Graph and Twitter fields that aren't blank (in whole percent), whether the required ones are all there, whether card and image are valid."""
+    present = lambda t: F.coalesce(F.trim(tags[t]) != "", F.lit(False)).cast("int")
+    share = lambda names: F.floor(sum((present(t) for t in names), F.lit(0)) * 100 / len(names)).cast("int")
+    complete = lambda names: sum((present(t) for t in names), F.lit(0)) == len(names)
+    return F.struct(share(OPEN_GRAPH).alias("open_graph"), complete(OPEN_GRAPH[:OPEN_GRAPH_REQUIRED]).alias("open_graph_complete"), share(TWITTER).alias("twitter"), complete(TWITTER[:TWITTER_REQUIRED]).alias("twitter_complete"),
+                    F.trim(tags["twitter:card"]).isin(CARDS).alias("card_valid"), F.rlike(F.trim(tags["og:image"]), F.lit("^https?://")).alias("image_absolute"))
 
 
-def longest_rule(pages: DataFrame, rules: list[tuple[str, bool]]) -> DataFrame:
-    """path and allowed: the longest rule (prefix, whether it allows) that a page's path begins with decides; of equal ones the one that allows; none: allowed."""
-    path = F.regexp_extract("url", r"^[A-Za-z]+://[^/?#]*(/[^?#]*)", 1)
-    hits = F.array_compact(F.array(*(F.when(F.startswith(F.col("path"), F.lit(prefix)), F.struct(F.lit(len(prefix)).alias("n"), F.lit(ok).alias("ok"))) for prefix, ok in rules)))
-    return pages.withColumn("path", path).withColumn("allowed", F.coalesce(F.array_max(hits)["ok"], F.lit(True)))
+def social_tags(nodes: DataFrame) -> DataFrame:
+    """page_id, tags (property or name: the first content) of each page with meta elements."""
+    name = F.coalesce(F.col("attrs")["property"], F.col("attrs")["name"])
+    meta = nodes.filter("tag = 'meta'").select("page_id", F.lower(name).alias("name"), F.col("attrs")["content"].alias("content"), "pre").filter("name is not null and content is not null")
+    first = meta.groupBy("page_id", "name").agg(F.min_by("content", "pre").alias("content"))
+    return first.groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "content"))).alias("tags"))
 
 
 def links(pages: DataFrame) -> DataFrame:
