@@ -232,22 +232,27 @@ def first_links(nodes: DataFrame) -> DataFrame:
     return measured(pairs, nodes)
 
 
-def similar_links(nodes: DataFrame) -> DataFrame:
-    """a, b, d: links of at most LOOSE differing bits that connect whatever of `nodes` (node, bits) meets and differs in so few.
+def similar_links(nodes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """a, b: links that connect whatever of `nodes` (node, bits) meets, differs in at most LOOSE bits and is similar.
 
     Fingerprints meet where CHAIN consecutive segments of the ring are equal. first_links() joins most copies. Then keys are looked at whose
     members still lie in different components, which an aggregation finds: a key of two members is a pair; of larger ones the members are
     fetched and compared across components in blocks (`links_left`), so none that meet are left out.
     """
-    first = written(first_links(nodes))
-    label = components(nodes.select("node", F.col("node").alias("label")), first.filter(F.col("d") <= SURE))
+    near = written(first_links(nodes))
+    first = written(similar(near, texts, width))
+    label = components(nodes.select("node", F.col("node").alias("label")), first)
     labelled = written(nodes.join(label, "node"))
-    keys = lambda rows: rows.select("node", "label", F.explode(ring_keys(1)).alias("key"))
-    met = keys(labelled.repartition(-(-max(1, labelled.count()) // SPELT))).groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.min("node").alias("a"), F.max("node").alias("b"))
+    spread = labelled.repartition(-(-max(1, labelled.count()) // SPELT))
+    keys = spread.select("node", "label", F.explode(ring_keys(1)).alias("key"))
+    met = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.min("node").alias("a"), F.max("node").alias("b"))
     met = written(met.filter("low < high").select("key", "n", "a", "b"))
     pairs = measured(met.filter("n = 2").select("a", "b").distinct(), nodes)
-    many = keys(labelled).join(few(met.filter("n > 2").select("key")), "key")
-    return first.unionByName(pairs).unionByName(links_left(labelled, many))
+    many = keys.join(few(met.filter("n > 2").select("key")), "key")
+    rest = written(pairs.unionByName(links_left(labelled, many)))
+    found = written(first.unionByName(similar(rest, texts, width)))
+    forget(near, first, labelled, met, rest)
+    return found
 
 
 def links_left(labelled: DataFrame, met: DataFrame) -> DataFrame:
@@ -322,7 +327,7 @@ def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
     marked = written(wide_fingerprints(texts, width))
     nodes = marked.groupBy("same").agg(F.min(F.struct("doc_id", "node")).alias("f"), F.first("bits").alias("bits"))
     nodes = written(nodes.select("f.node", "f.doc_id", "same", "bits"))
-    found = written(similar(written(similar_links(nodes.select("node", "bits"))), texts.select("node", "text"), width))
+    found = similar_links(nodes.select("node", "bits"), texts.select("node", "text"), width)
     best = components(nodes.select("node", F.struct("doc_id", "same", "node").alias("label")), found)
     gone = written(marked.select("node").join(best.filter("label.node = node").select("node"), "node", "left_anti"))
     forget(marked, nodes, found)
