@@ -3,8 +3,10 @@
 Passages are runs of WINDOW words. Their vectors hold the square roots of word counts times inverse document frequencies, over the
 benchmark's words; other words only lengthen a vector. A passage whose part in these words is too small can't reach the
 least cosine with any item (Cauchy-Schwarz) and is passed over, unless it has RUN words of an item in a row. A distributed randomised
-singular value decomposition of the other passages and the items gives the latent space; passages near an item in it are candidates, and so are those
-with a run of an item's words, however frequent these are. A longest common subsequence of words and the item's answer decide.
+singular value decomposition of the other passages and the items gives the latent space: a range finder over the Gram matrix, the projection on
+that range, and the small decomposition of what is projected, cut where its singular values vanish. Passages near an item in it are candidates, and so are those
+with a run of an item's words, however frequent these are. The longest common subsequence of words, plain or weighted by how rare they are, and the item's answer decide,
+so a paraphrase with up to half of its words replaced, or with its clauses swapped, is found.
 """
 
 from __future__ import annotations
@@ -14,17 +16,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, rows_of, written
 
 WINDOW, STRIDE = 32, 16
-#: Least latent cosine of a candidate, share of the item's words in the common subsequence, share of the answer's words.
-LEAST_COSINE, LEAST_COMMON, LEAST_ANSWER = 0.33, 0.75, 0.5
+#: Least latent cosine of a candidate; shares of the item's words, or else of their weight by rareness, that the common subsequence must have; share of the answer's words.
+LEAST_COSINE, LEAST_COMMON, LEAST_WEIGHT, LEAST_ANSWER = 0.3, 0.75, 0.4, 0.25
+#: Singular values under this share of the largest one are cut off.
+LEAST_SINGULAR = 1e-4
 #: Items searched for at once, the bytes and pieces they may have, which bound what is broadcast; more are searched for in blocks. Dimensions beyond one for each piece.
 MOST_ITEMS, MOST_BYTES, MOST_PIECES, SPARE_DIMENSIONS = 480, 4_000_000, 960, 32
-#: Words in a row that make a candidate. A copy with up to a quarter of an item's words replaced has such a run.
+#: Words in a row that make a candidate besides those of the latent space.
 RUN = 3
 MIX = np.random.default_rng(5).integers(1, 2**63, RUN, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Without an answer column the last words of an item are its answer.
@@ -54,18 +59,14 @@ class Vocabulary(dict):
         return np.fromiter(map(self.__getitem__, own), np.int32, len(own))
 
 
-def common_length(a: list[int], b: list[int]) -> int:
-    """Length of the longest common subsequence, bit-parallel over a."""
-    places: dict[int, int] = {}
-    for k, x in enumerate(a):
-        places[x] = places.get(x, 0) | 1 << k
-    every = (1 << len(a)) - 1
-    v = every
-    for x in b:
-        if p := places.get(x):
-            u = v & p
-            v = ((v + u) | (v - u)) & every
-    return len(a) - v.bit_count()
+def common_weight(item: np.ndarray, weight: np.ndarray, text: np.ndarray) -> float:
+    """The largest weight of the item's words that stand in the text in the same order (a weighted longest common subsequence)."""
+    best = np.zeros(len(text) + 1)
+    for x, w in zip(item.tolist(), weight.tolist(), strict=True):
+        taken = np.where(text == x, best[:-1] + w, 0.0)
+        best[1:] = np.maximum(best[1:], taken)
+        np.maximum.accumulate(best, out=best)
+    return float(best[-1])
 
 
 def windows(n: int) -> np.ndarray:
@@ -197,45 +198,70 @@ def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(data), np.int32), np.array([len(x) // 4 for x in data])
 
 
-def _gram_times(passages: DataFrame, idf: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The passages' matrix, transposed, times itself times `right`: summed in slices of the words by as many tasks."""
+def _spread(numbers: np.ndarray, sizes: np.ndarray, weight: np.ndarray, rows: np.ndarray, words: int) -> np.ndarray:
+    """The transposed matrix of some passages times `rows` (one for each of them)."""
+    out = np.zeros((words, rows.shape[1]), np.float32)
+    order = np.argsort(numbers, kind="stable")
+    row = np.repeat(np.arange(len(sizes)), sizes)[order]
+    word, begin = np.unique(numbers[order], return_index=True)
+    out[word] = np.add.reduceat(rows[row] * weight[order][:, None], begin, axis=0)
+    return out
+
+
+def _summed(passages: DataFrame, idf: np.ndarray, right: np.ndarray, of) -> np.ndarray:
+    """The sum over batches of passages of a matrix, of(numbers, sizes, weight, passages times right): added in slices, by trees of tasks none of which sees more than some dozens at once."""
     shared = passages.sparkSession.sparkContext.broadcast(right.astype(np.float32))
     slices = 16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        right, total = shared.value, np.zeros(shared.value.shape, np.float32)
+        right, total = shared.value, None
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 numbers, sizes = _unpacked(batch.column(0).slice(at, 2048))
                 weight = token_weights(numbers, sizes, idf)
-                y = rows_times(numbers, sizes, weight, right)
-                order = np.argsort(numbers, kind="stable")
-                row = np.repeat(np.arange(len(sizes)), sizes)[order]
-                word, begin = np.unique(numbers[order], return_index=True)
-                total[word] += np.add.reduceat(y[row] * weight[order][:, None], begin, axis=0)
-        parts = np.array_split(total, slices)
-        yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["slice", "data"])
+                found = of(numbers, sizes, weight, rows_times(numbers, sizes, weight, right))
+                total = found if total is None else np.add(total, found, out=total)
+        if total is not None:
+            task = TaskContext.get().partitionId()
+            parts = np.array_split(total, slices)
+            yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([task] * slices, pa.int64()), pa.array([len(p) for p in parts], pa.int32()), pa.array([p.astype(np.float32).tobytes() for p in parts], pa.binary())], ["slice", "task", "rows", "data"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "data": [sum(np.frombuffer(d, np.float32).astype(np.float64) for d in pdf["data"]).tobytes()]})
+        total = np.zeros(len(pdf["data"].iloc[0]) // 4)
+        for d in pdf["data"]:
+            total += np.frombuffer(d, np.float32)
+        return pdf.iloc[:1].assign(data=[total.astype(np.float32).tobytes()])
+
+    sums = passages.select("numbers").mapInArrow(run, "slice int, task long, rows int, data binary")
+    for width in (1 << 14, 1 << 7, 1):
+        sums = sums.withColumn("task", F.col("task") % width).groupBy("slice", "task").applyInPandas(add, "slice int, task long, rows int, data binary")
+    found = sorted(sums.collect(), key=lambda r: r["slice"])  # of the size of the matrix
+    return np.concatenate([np.frombuffer(r["data"], np.float32).reshape(r["rows"], -1) if r["rows"] else np.zeros((0, 0), np.float32) for r in found if r["rows"]]).astype(np.float64) if found else None
 
-    sums = passages.select("numbers").mapInArrow(run, "slice int, data binary").groupBy("slice").applyInPandas(add, "slice int, data binary").collect()  # of the size of `right`
-    found = {r["slice"]: r["data"] for r in sums}
-    shapes = [len(p) for p in np.array_split(right, slices)]
-    return np.concatenate([np.frombuffer(found[k], np.float64).reshape(n, right.shape[1]) if k in found else np.zeros((n, right.shape[1])) for k, n in enumerate(shapes)])
 
+def latent_basis(passages: DataFrame, items: Items, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The leading right singular vectors (as columns) and singular values of the passages and items; items weigh as much as all passages together.
 
-def latent_basis(passages: DataFrame, items: Items, idf: np.ndarray) -> np.ndarray:
-    """Orthonormal columns that span the leading right singular vectors, by a randomised range finder over the Gram matrix. Items weigh as much as all passages together."""
-    size = min(len(items.pieces) + SPARE_DIMENSIONS, len(idf))
+    A range finder multiplies the Gram matrix with random columns; the matrix is projected on the range found, and the small matrix of the
+    projections is decomposed. Singular values under LEAST_SINGULAR of the largest are cut off.
+    """
+    size, words = min(len(items.pieces) + SPARE_DIMENSIONS, len(idf)), len(idf)
     numbers = np.concatenate([p for _, p in items.pieces])
     sizes = np.array([len(p) for _, p in items.pieces])
-    own = token_weights(numbers, sizes, idf)
-    dense = np.zeros((len(sizes), len(idf)))
-    np.add.at(dense, (np.repeat(np.arange(len(sizes)), sizes), numbers), own)
+    weight = token_weights(numbers, sizes, idf)
     share = max(1.0, passages.count() / max(1, len(sizes)))
-    gram = lambda right: _gram_times(passages, idf, right) + share * (dense.T @ (dense @ right))
-    return np.linalg.qr(gram(np.random.default_rng(7).standard_normal((len(idf), size))))[0].astype(np.float32)
+    ours = lambda right, of: share * of(numbers, sizes, weight, rows_times(numbers, sizes, weight, right.astype(np.float32))).astype(np.float64)
+
+    def total(right: np.ndarray, of) -> np.ndarray:
+        theirs = _summed(passages, idf, right, of)
+        return ours(right, of) if theirs is None else theirs + ours(right, of)
+
+    start = np.random.default_rng(7).standard_normal((words, size))
+    range_ = np.linalg.qr(total(start, lambda n, s, w, y: _spread(n, s, w, y, words)))[0]
+    values, turn = np.linalg.eigh(total(range_, lambda n, s, w, y: y.T @ y))
+    singular = np.sqrt(np.maximum(values[::-1], 0.0))
+    kept = max(1, int((singular > LEAST_SINGULAR * singular[0]).sum()))
+    return (range_ @ turn[:, ::-1][:, :kept]).astype(np.float32), singular[:kept]
 
 
 def _search(docs: DataFrame, items: Items) -> DataFrame:
@@ -244,7 +270,7 @@ def _search(docs: DataFrame, items: Items) -> DataFrame:
     # No word weighs nothing: in a corpus full of copies of an item, its words are those that every document has.
     idf = np.log((n + 1) / (df + 0.5)).astype(np.float32)
     passages = _passages(numbered, items, idf, float(np.quantile(idf, 0.9)))
-    basis = latent_basis(passages, items, idf)
+    basis, _ = latent_basis(passages, items, idf)
     sizes = np.array([len(p) for _, p in items.pieces])
     numbers = np.concatenate([p for _, p in items.pieces])
     weight = token_weights(numbers, sizes, idf)
@@ -270,13 +296,15 @@ def _search(docs: DataFrame, items: Items) -> DataFrame:
                     for k in np.frombuffer(data, np.int32).tolist():
                         best.setdefault((i, k), float(near[i, owner == k].max()))
                 for (i, k), cosine in best.items():
-                    around = np.frombuffer(part.column(4)[i].as_py(), np.int32).tolist()
-                    present = {*around}
-                    if sum(w in present for w in items.numbers[k]) < LEAST_COMMON * len(items.numbers[k]):
-                        continue  # no common subsequence is longer
-                    common = common_length(items.numbers[k], around) / len(items.numbers[k])
-                    answer = items.answers[k]
-                    if common >= LEAST_COMMON and len(answer & present) >= LEAST_ANSWER * len(answer):
+                    around = np.frombuffer(part.column(4)[i].as_py(), np.int32)
+                    present, answer, own = {*around.tolist()}, items.answers[k], np.array(items.numbers[k])
+                    heavy, there = idf[own].astype(float), np.array([x in present for x in items.numbers[k]])
+                    if there.mean() < LEAST_COMMON and heavy[there].sum() < LEAST_WEIGHT * heavy.sum():
+                        continue  # no common subsequence has more
+                    common = common_weight(own, np.ones(len(own)), around) / len(own)
+                    if common < LEAST_COMMON and common_weight(own, heavy, around) < LEAST_WEIGHT * heavy.sum():
+                        continue
+                    if len(answer & present) >= LEAST_ANSWER * len(answer):
                         rows.append(at + i)
                         found[0].append(items.ids[k])
                         found[1].append(cosine)
@@ -292,7 +320,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     cosine is the largest latent cosine (under LEAST_COSINE where a run of words alone made the candidate), common the largest share of the item's words, in order, in a passage's surroundings, at the first
     such passage's word number. benchmark has item_id, text and maybe answer; items without words find nothing. Null and empty texts have no
-    passages, repeated rows count as one. Other columns aren't read. Without rows on either side the result is empty.
+    passages, a very long text has as many as it takes, repeated rows and items count as one pair. Other columns aren't read. Without rows on either side the result is empty.
     """
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text", (F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")).alias("answer")).filter("item_id is not null and text is not null")
     pieces = F.greatest(F.lit(1), F.ceil((F.size(F.split(F.trim("text"), "\\s+")) - WINDOW + STRIDE) / STRIDE))
