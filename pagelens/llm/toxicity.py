@@ -2,9 +2,9 @@
 
 Every word has log-odds of standing in toxic rather than in clean documents, with Dirichlet priors: a word's prior
 follows its stem's counts, a stem's the whole sample's. Words and stems whose odds are significant score; all other
-words cost a little. The Ruzzo-Tompa algorithm finds all maximal scoring segments of a text in linear time, the
-Karlin-Altschul extreme-value law says how likely a segment of that score is in a clean text of that length, and a
-logistic curve turns the best segment's evidence into the score.
+words cost a little. The Ruzzo-Tompa algorithm finds all maximal scoring segments of a text in linear time. The
+extreme-value law of Karlin and Altschul, fitted to the best scores of clean labelled texts that gave no odds, says how likely a segment of a score is in a clean
+text of that length; their sum statistic aggregates all significant segments of a text, and a logistic curve turns that evidence into the score.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +26,8 @@ EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»
 #: Prior weight of a word in documents of each class; significance (in standard deviations) and odds that let a word or stem score.
 #: A stem scores only if no word has more than this share of its toxic documents: what one word says, a stem need not repeat.
 PRIOR, LEAST_Z, LEAST_ODDS, ONE_WORD = 0.5, 3.5, 2.0, 0.6
-#: Most words and stems in the model, and what any other word costs.
-MOST_TERMS, COST = 20_000, 0.25
+#: What a word that doesn't score costs.
+COST = 0.25
 REMEMBERED = 300_000
 
 
@@ -59,12 +58,44 @@ class Model:
     def word_score(self, word: bytes) -> float:
         return next((self.terms[f] for f in features(core(word)) if f in self.terms), 0.0) - COST
 
-    def evidence(self, best: float, n: int) -> float:
-        """-log10 of how many such segments a clean text of n words would have; 0 at least, 30 at most."""
-        return min(30.0, max(0.0, (self.decay * best - self.log_k - math.log(max(n, 1))) / math.log(10)))
+    def normal(self, score: float, n: int) -> float:
+        """The score of a segment in a text of n words as the law has it: a clean text has exp(-this) segments of as much, on average."""
+        return self.decay * score - self.log_k - math.log(max(n, 1))
 
-    def score(self, best: float, n: int) -> float:
-        return 1 / (1 + math.exp(-(self.a + self.b * self.evidence(best, n))))
+    def evidence(self, scores: list[float], n: int) -> float:
+        """-log10 of how many clean texts of n words have, by chance, as much as the best r segments together, for the r that says most; 0 at least, 30 at most.
+
+        The sum t of the normal scores of r segments is reached with a probability of about exp(-t) t^(r-1) / (r! (r-1)!); trying several r costs a factor of 2 for each.
+        """
+        best, total = 0.0, 0.0
+        for r, x in enumerate(sorted((self.normal(s, n) for s in scores), reverse=True), 1):
+            if x <= 0:
+                break
+            total += x
+            best = max(best, total - (r - 1) * math.log(2 * total) + math.lgamma(r + 1) + math.lgamma(r))
+        return min(30.0, best / math.log(10))
+
+    def score(self, scores: list[float], n: int) -> float:
+        return 1 / (1 + math.exp(-(self.a + self.b * self.evidence(scores, n))))
+
+
+def extreme_law(best: np.ndarray, lengths: np.ndarray, typical: float) -> tuple[float, float]:
+    """decay and log K of the law P(best score <= s) = exp(-K n exp(-decay s)) that texts' best scores (0: no segment at all) are likeliest under.
+
+    One further text of mean length with a segment of the `typical` score stands for what wasn't seen, so that the law exists without any segment.
+    """
+    s, n = np.append(best, typical).astype(float), np.append(lengths, lengths.mean() if len(lengths) else 1).clip(min=1).astype(float)
+    m, total = int((s > 0).sum()), float(s.sum())
+
+    def slope(decay: float) -> float:
+        w = n * np.exp(-decay * s)
+        return m / decay - total + m * float((w * s).sum() / w.sum())
+
+    low, high = 1e-3, 50.0
+    for _ in range(80):
+        mid = (low + high) / 2
+        low, high = (mid, high) if slope(mid) > 0 else (low, mid)
+    return low, math.log(m / float((n * np.exp(-low * s)).sum()))
 
 
 class Memory(dict):
@@ -121,12 +152,13 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000) -> Model:
     """A model from labelled documents (doc_id, text; doc_id, toxic). Of more than `most_rows` labelled documents a sample by the
-    ids' hash is taken. Equal texts count once. Four fifths give the words' odds, the rest the calibration."""
+    ids' hash is taken. Equal texts count once, as toxic if any of them is; a doc_id with several labels is toxic if any says so. Rows without a label, id or text don't count.
+    Four fifths give the words' odds, the rest (at most as many rows as the sample's fifth) the law and the calibration."""
     marks = labels.filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = marks.count()
     marks = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(min(1.0, most_rows / max(n, 1)) * (1 << 20)))
-    rows = docs.select("doc_id", "text").join(marks, "doc_id").filter("text is not null").withColumn("digest", F.xxhash64("text"))
-    rows = rows.dropDuplicates(["digest"]).withColumn("part", F.pmod(F.xxhash64("digest"), F.lit(5)))
+    rows = docs.select("doc_id", "text").join(marks, "doc_id").filter("text is not null").withColumn("digest", F.sha2("text", 256))
+    rows = rows.groupBy("digest").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).withColumn("part", F.pmod(F.xxhash64("digest"), F.lit(5)))
     first, second = rows.filter("part > 0").select("text", "toxic"), rows.filter("part = 0").select("text", "toxic")
     sizes = {r["toxic"]: r["n"] for r in first.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = float(sizes.get(1, 0)), float(sizes.get(0, 0))
@@ -134,10 +166,9 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000) -> Model:
     if not n1 or not n0:
         return model
     counts = first.mapInArrow(_term_counts, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).filter("a > 1")
-    # What could score at all: the odds with the prior of the strongest stem; stems are fewer than words and come first.
+    # What could score at all: the odds with the prior of the strongest stem. The sample bounds how many there are.
     z = F.log((F.col("a") + PRIOR) / (F.col("b") + PRIOR) * F.lit(n0 / n1)) / F.sqrt(1 / (F.col("a") + PRIOR) + 1 / (F.col("b") + PRIOR))
-    kept = counts.withColumn("z", z).filter(F.col("z") >= LEAST_Z / 2).orderBy(F.desc("z"), "term").limit(MOST_TERMS).collect()
-    table = {r["term"]: (r["a"], r["b"]) for r in kept}
+    table = {r["term"]: (r["a"], r["b"]) for r in counts.filter(z >= LEAST_Z / 2).collect()}
     lead: dict[str, int] = {}
     for term, (a, _) in table.items():
         if not term.endswith("*"):
@@ -151,30 +182,18 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000) -> Model:
         if value >= LEAST_ODDS and value / sd >= LEAST_Z:
             model.terms[term] = value
 
-    def tallies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = Memory(model)
-        for pdf in batches:
-            out = []
-            for text, toxic in zip(pdf["text"], pdf["toxic"], strict=True):
-                s = memory.of(words(text))
-                out.append((int(toxic), len(s), int((s > 0).sum()), float(s[s > 0].sum()), max((x[2] for x in segments(s)), default=0.0)))
-            yield pd.DataFrame(out, columns=["toxic", "n", "hits", "total", "best"])
-
-    seen = second.mapInPandas(tallies, "toxic int, n long, hits long, total double, best double")
-    clean = seen.filter("toxic = 0").agg(F.sum("n"), F.sum("hits"), F.sum("total")).first()
-    tokens, hits, total = ((x or 0.0) for x in clean)
-    # Words that score are rare in clean texts: with p their share (one more than seen) and s their mean score, decay solves (1 - p) exp(-decay cost) + p exp(decay s) = 1.
-    p = (hits + 1) / (tokens + 2)
-    mean = (total + 4.0) / (hits + 1)
-    low, high = 1e-6, 50.0
-    for _ in range(80):
-        mid = (low + high) / 2
-        low, high = (mid, high) if (1 - p) * math.exp(-mid * COST) + p * math.exp(min(mid * mean, 600.0)) < 1 else (low, mid)
-    model.decay = low
-    model.log_k = math.log(p) + low * mean / 2 if hits == 0 else math.log(max(p, 1e-9)) + low * mean * 0.5
-    x = F.least(F.lit(30.0), F.greatest(F.lit(0.0), (F.lit(model.decay) * F.col("best") - model.log_k - F.log(F.greatest("n", F.lit(1)))) / math.log(10)))
-    bins = seen.groupBy("toxic", F.round(x * 4).alias("bin")).count().collect()  # 2 x 121 at most
-    model.a, model.b = logistic([(r["bin"] / 4, r["toxic"], r["count"]) for r in bins])
+        for batch in batches:
+            own = [(int(toxic), words(text)) for text, toxic in rows_of([batch], "text", "toxic")]
+            found = [[x[2] for x in segments(memory.of(w))] for _, w in own]
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in own], pa.int32()), pa.array([len(w) for _, w in own], pa.int64()), pa.array(found, pa.list_(pa.float64()))], ["toxic", "n", "scores"])
+
+    seen = second.mapInArrow(tallies, "toxic int, n long, scores array<double>").collect()
+    clean = [r for r in seen if not r["toxic"]]
+    typical = float(np.mean(list(model.terms.values()))) if model.terms else 1.0
+    model.decay, model.log_k = extreme_law(np.array([max(r["scores"], default=0.0) for r in clean]), np.array([r["n"] for r in clean]), typical)
+    model.a, model.b = logistic([(model.evidence(r["scores"], r["n"]), int(r["toxic"] > 0), 1.0) for r in seen])
     return model
 
 
@@ -193,7 +212,8 @@ def logistic(points: list[tuple[float, int, float]]) -> tuple[float, float]:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, passages (begin, end: code points; score; p_value) of every document: all segments that a clean text of its length has with a probability under 1 %.
 
-    A null, empty or blank text has no passage and the score of no evidence. Repeated rows are scored each; other columns aren't read.
+    A null, empty or blank text has no passage and the score of no evidence; a very long one is read whole, in time linear in its words. Repeated rows are scored each; a null
+    doc_id is kept; other columns aren't read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,8 +225,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     memory.clear()
                 own = words(text)
                 found = segments(memory.of(own))
-                scores.append(model.score(max((x[2] for x in found), default=0.0), len(own)))
-                strong = [x for x in found if model.evidence(x[2], len(own)) > 2]
+                scores.append(model.score([x[2] for x in found], len(own)))
+                strong = [x for x in found if model.normal(x[2], len(own)) > math.log(100)]
                 passages.append(_places(text, own, strong, model) if strong else [])
             kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("p_value", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(passages, kind)], ["doc_id", "score", "passages"])
@@ -223,13 +243,14 @@ def _places(text: str, own: list[bytes], found: list[tuple[int, int, float]], mo
         begins.append(at)
         at += len(w)
     chars = lambda n: len(data[:n].decode("utf-8", "surrogatepass"))
-    return [{"begin": chars(begins[b]), "end": chars(begins[e - 1] + len(own[e - 1])), "score": s, "p_value": -math.expm1(-(10 ** -model.evidence(s, len(own))))} for b, e, s in found]
+    return [{"begin": chars(begins[b]), "end": chars(begins[e - 1] + len(own[e - 1])), "score": s, "p_value": -math.expm1(-math.exp(-model.normal(s, len(own))))} for b, e, s in found]
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
     """doc_id, held_out, score, predicted, n_passages. Labels of documents in the held-out fold (crc32 of the id modulo `folds`) aren't used.
 
-    Without labels of both kinds every score is the same, low one. Without rows the result is empty.
+    A null, empty or blank text has the score of no evidence. Without labels of both kinds every score is the same, low one. Repeated rows come out each; a null doc_id is kept and isn't
+    held out. Other columns aren't read. Without rows the result is empty.
     """
     model = train(docs, labels.filter(fold_of(F.col("doc_id"), folds) != held))
     found = score(docs, model)
