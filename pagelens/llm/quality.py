@@ -111,7 +111,8 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
 
 
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_SAMPLES) -> Model:
-    """Of more than `most_rows` labelled documents with distinct texts a sample by the ids' hash is taken."""
+    """Of more than `most_rows` labelled documents with distinct texts a sample by the ids' hash is taken. Equal texts are one sample with their mean label; of several labels
+    of a doc_id the highest counts."""
     n, df = document_frequencies(docs)
     idf = np.log((n + 1) / (df + 1)).astype(np.float32) + 0.1
     idf[GRAMS:] = 1.0
@@ -119,7 +120,8 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_SAMPLES) ->
     sizes = marks.agg(F.count("*"), F.avg("quality")).first()
     prior = float(sizes[1]) if sizes[1] is not None else 0.5
     some = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(min(1.0, 1.3 * most_rows / max(sizes[0], 1)) * (1 << 20)))
-    rows = docs.select("doc_id", "text").join(some, "doc_id").filter("text != ''").dropDuplicates(["text"])
+    rows = docs.select("doc_id", "text").join(some, "doc_id").filter("text != ''")
+    rows = rows.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.avg("quality").alias("quality"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_SAMPLES) ->
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([v.tobytes() for v in vectors], pa.binary()), batch.column(2)], ["doc_id", "vector", "quality"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    made = rows.select("text", "doc_id", F.col("quality").cast("int").alias("quality")).mapInArrow(run, f"doc_id {kind}, vector binary, quality int")
+    made = rows.select("text", "doc_id", "quality").mapInArrow(run, f"doc_id {kind}, vector binary, quality double")
     sample = made.orderBy(F.xxhash64("doc_id"), "doc_id", "vector").limit(most_rows).collect()
     if not sample:
         return Model(idf, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), prior)
@@ -156,7 +158,8 @@ def rated(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 def quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
     """doc_id, held_out, score, predicted. Labels of documents in the held-out fold (crc32 of the id modulo `folds`) aren't used.
 
-    Repeated rows are scored each; other columns aren't read. Without labels every score is one half. Without rows the result is empty.
+    A null or empty text has the share of label 1 among the labels; a very long one is read whole. Repeated rows are scored each; a null doc_id is kept and isn't held out. Other
+    columns aren't read. Without labels every score is one half. Without rows the result is empty.
     """
     model = train(docs, labels.filter(fold_of(F.col("doc_id"), folds) != held))
     found = rated(docs.select("doc_id", "text"), model)
