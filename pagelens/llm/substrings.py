@@ -2,8 +2,8 @@
 
 A gear hash rolls over the bytes; where its low 16 bits (which depend on the last sixteen bytes alone) fall under a bound, a chunk may
 begin or end, so an insertion moves no border but those next to it. A chunk reaches from a place that may begin one
-to the first end LEAST_BYTES or more further on; chunks overlap. In text that repeats itself no place may fall under the
-bound: after QUIET_BYTES without one, each place with the lowest hash of as many bytes counts. Chunks are deduplicated by digest over all
+to the first end LEAST_BYTES or more further on; chunks overlap. Where no place falls under the bound (in text that repeats itself, or by chance), after QUIET_BYTES
+without one each place with the lowest hash of as many bytes counts. A text too short for any chunk is one itself. Chunks are deduplicated by digest over all
 documents, and runs of repeated chunks are the passages.
 """
 
@@ -17,42 +17,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
+from .common import fresh
 
 WINDOW = 16
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 7) for b in range(256)], np.uint32)
 #: Mean distance of places where a chunk may begin and may end, and its shortest length in bytes.
-BEGIN_EVERY, END_EVERY, LEAST_BYTES = 20, 5, 128
+BEGIN_EVERY, END_EVERY, LEAST_BYTES = 14, 5, 64
 QUIET_BYTES = 64
 #: Shortest passage, in words, that counts as repeated.
 LEAST_WORDS = 25
 
 
-def chunks(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Begins, ends and digests of the chunks."""
-    none = np.zeros(0, np.int64)
-    if len(data) < LEAST_BYTES + WINDOW:
-        return none, none, np.zeros(0, np.uint64)
-    gear = GEAR[np.frombuffer(data, np.uint8)]
-    h = np.zeros(len(data) - WINDOW + 1, np.uint32)
-    for j in range(WINDOW):
-        h += gear[WINDOW - 1 - j : len(data) - j] << np.uint32(j)
-    h &= np.uint32(0xFFFF)
-    ends = np.flatnonzero(h < 65536 // END_EVERY)
-    begins = np.flatnonzero(h < 65536 // BEGIN_EVERY)
-    edges = np.concatenate(([-1], ends, [len(h)]))
+def places(h: np.ndarray, every: int) -> np.ndarray:
+    """Where the hash falls under the bound that one place in `every` does, and in quiet stretches its lowest places."""
+    found = np.flatnonzero(h < 65536 // every)
+    edges = np.concatenate(([-1], found, [len(h)]))
     forced = []
     for k in np.flatnonzero(np.diff(edges) > QUIET_BYTES):
         quiet = h[edges[k] + 1 : edges[k + 1]]
         if len(quiet) >= QUIET_BYTES:
             lowest = np.lib.stride_tricks.sliding_window_view(quiet, QUIET_BYTES).min(axis=1)
             forced.append(edges[k] + QUIET_BYTES + np.flatnonzero(quiet[QUIET_BYTES - 1 :] == lowest))
-    if forced:
-        ends, begins = (np.sort(np.concatenate([x, *forced])) for x in (ends, begins))
-    ends, begins = ends + WINDOW, begins + WINDOW
-    at = np.searchsorted(ends, begins + LEAST_BYTES)
-    begins, at = begins[at < len(ends)], at[at < len(ends)]
-    ends = ends[at] if len(at) else none
+    return np.sort(np.concatenate([found, *forced])) if forced else found
+
+
+def chunks(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begins, ends and digests of the chunks."""
     digest = xxhash.xxh3_64_intdigest
+    begins = ends = np.zeros(0, np.int64)
+    if len(data) >= LEAST_BYTES + WINDOW:
+        gear = GEAR[np.frombuffer(data, np.uint8)]
+        h = np.zeros(len(data) - WINDOW + 1, np.uint32)
+        for j in range(WINDOW):
+            h += gear[WINDOW - 1 - j : len(data) - j] << np.uint32(j)
+        h &= np.uint32(0xFFFF)
+        begins, ends = (places(h, every) + WINDOW for every in (BEGIN_EVERY, END_EVERY))
+        at = np.searchsorted(ends, begins + LEAST_BYTES)
+        begins, at = begins[at < len(ends)], at[at < len(ends)]
+        ends = ends[at] if len(at) else ends[:0]
+    if not len(begins) and data.strip():
+        begins, ends = np.zeros(1, np.int64), np.array([len(data)])
     return begins, ends, np.array([digest(data[a:b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)], np.uint64)
 
 
@@ -117,7 +121,7 @@ def _passages(rows: pa.Table, part: bool, found: pd.DataFrame) -> pd.DataFrame:
             for a, b in zip(first.tolist(), last.tolist(), strict=True):
                 data = texts[doc[a]]
                 x, y = _whole(data, int(begins[a]), int(ends[a:b].max()))
-                if len(data[x:y].decode("utf-8", "surrogatepass").split()) < LEAST_WORDS:
+                if (x, y) != (0, len(data)) and len(data[x:y].decode("utf-8", "surrogatepass").split()) < LEAST_WORDS:
                     continue
                 cuts = [*pieces[np.searchsorted(pieces, a) : np.searchsorted(pieces, b)].tolist(), b]
                 for i, j in zip(cuts, cuts[1:], strict=False):
@@ -129,12 +133,12 @@ def _passages(rows: pa.Table, part: bool, found: pd.DataFrame) -> pd.DataFrame:
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """doc_id, start, end (code points), n_words, copies, first_doc_id, digest: the passages that repeat across rows, of runs of LEAST_WORDS or more words.
+    """doc_id, start, end (code points), n_words, copies, first_doc_id, digest: the passages that repeat across rows, of runs of LEAST_WORDS or more words; a whole text that repeats counts whatever its length.
 
     A run of touching repeated chunks is given in pieces, which overlap as chunks do and may be shorter than LEAST_WORDS: each piece lies in the document
     first_doc_id in one part, and no smaller doc_id has a chunk of it, so there it may stay. copies is the smallest number of rows that share a chunk of it.
     A passage is known by its chunks, so up to some dozen bytes at its ends may be missing. Rows whose text or doc_id (a whole number) is
-    null have no passages. A repeated row repeats all passages of 143 bytes or more. What repeats within one text alone doesn't count. Other columns aren't read. Without rows the result is empty.
+    null have no passages, nor have empty and blank texts. A repeated row repeats its passages; of equal doc_ids the first place counts. A very long text is read whole, in a block of its own. What repeats within one text alone doesn't count. Other columns aren't read. Without rows the result is empty.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
     corpus = blocks.gather(rows)
@@ -144,7 +148,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with each repeated passage cut out of every document but the one with the smallest doc_id that holds it. Nulls stay; columns keep their order."""
-    cuts = repeated_passages(docs).filter("doc_id != first_doc_id").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_cuts"))
+    own = fresh(docs, "_cuts")
+    cuts = repeated_passages(docs).filter("doc_id != first_doc_id").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias(own))
     text, start = F.col("text"), F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
-    kept = F.aggregate("_cuts", start, lambda acc, c: F.struct(F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(c["start"] - acc["at"], F.lit(0)).cast("int"))).alias("out"), F.greatest(acc["at"], c["end"]).alias("at")), lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))))
-    return docs.join(cuts, "doc_id", "left").withColumn("text", F.when(F.col("_cuts").isNotNull(), kept).otherwise(text)).select(*docs.columns)
+    kept = F.aggregate(own, start, lambda acc, c: F.struct(F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(c["start"] - acc["at"], F.lit(0)).cast("int"))).alias("out"), F.greatest(acc["at"], c["end"]).alias("at")), lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))))
+    return docs.join(cuts, "doc_id", "left").withColumn("text", F.when(F.col(own).isNotNull(), kept).otherwise(text)).select(*docs.columns)
