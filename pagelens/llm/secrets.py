@@ -1,7 +1,7 @@
 """Secrets: patterns, and two character Markov models compared by log-likelihood ratio; DataFrame functions only.
 
 The models are trained on all documents: values that the patterns find are the samples of random strings, other tokens
-of the same characters the samples of ordinary identifiers (each spelling once).
+of the same characters, outside these matches, the samples of ordinary identifiers (each spelling once).
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 # The kinds of base matches in the order they are listed, their patterns and the shortest match that counts.
 PATTERNS = {
     "assign": r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -68,8 +70,8 @@ def train(docs: DataFrame) -> list[float]:
     """log(P(next | character) as in random strings / as in identifiers), by ALPHABET number times (its length + 1)."""
     text = F.coalesce("text", F.lit(""))
     values = docs.select(F.explode(base_spans(text)).alias("s")).select(F.explode(F.regexp_extract_all(F.col("s.value"), F.lit(TOKEN + "{6,}"), F.lit(0))).alias("token"))
-    others = docs.select(F.explode(F.regexp_extract_all(text, F.lit(f"{TOKEN}{{{TRAIN_CHARS},}}"), F.lit(0))).alias("token"))
-    others = others.filter(~F.rlike("token", F.lit("AKIA[A-Z0-9]{16,}|[0-9a-f]{24,}")))
+    rest = F.transform(F.array(base_spans(text)), lambda spans: redacted(text, spans, " "))[0]  # no secret that is known trains the identifiers
+    others = docs.select(F.explode(F.regexp_extract_all(rest, F.lit(f"{TOKEN}{{{TRAIN_CHARS},}}"), F.lit(0))).alias("token"))
     random, plain = _pairs(values), _pairs(others)
     size = len(ALPHABET) + 1
     out = []
@@ -98,12 +100,13 @@ def scan(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
     """
     table = F.split(F.lit(",".join(map(repr, model or train(docs)))), ",").cast("array<double>")
     text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumn("_base", base_spans(text)).withColumn("_runs", matches(text, "markov", f"{TOKEN}{{{LEAST_CHARS},}}", 0, LEAST_CHARS))
-    apart = F.filter("_runs", lambda c: ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    base, runs = fresh(docs, "_base"), fresh(docs, "_runs")
+    rows = docs.withColumn(base, base_spans(text)).withColumn(runs, matches(text, "markov", f"{TOKEN}{{{LEAST_CHARS},}}", 0, LEAST_CHARS))
+    apart = F.filter(runs, lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     added = F.filter(apart, lambda c: F.transform(F.array(ratio(c["value"], table)), lambda r: (r >= LEAST_RATIO) & (r >= F.char_length(c["value"]) * RATIO_PER_CHAR))[0])
     rank = lambda s: F.array_position(F.array(*map(F.lit, KINDS)), s["kind"])
     order = lambda a, b: F.when(a["start"] != b["start"], F.when(a["start"] < b["start"], -1).otherwise(1)).otherwise((rank(a) - rank(b)).cast("int"))
-    return rows.withColumn("secrets", F.array_sort(F.concat("_base", added), order)).drop("_base", "_runs")
+    return rows.withColumn("secrets", F.array_sort(F.concat(base, added), order)).drop(base, runs)
 
 
 def listed(spans: Column) -> Column:
@@ -126,7 +129,10 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 
 def secret_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, the number of base matches of each kind, the digest of the base matches' list, and the list of all spans."""
+    """doc_id, the number of base matches of each kind, the digest of the base matches' list, and the list of all spans.
+
+    A null or empty text has no match; a very long one is searched whole. Repeated rows come out each, a null doc_id too. Other columns aren't read. Without rows the result is empty.
+    """
     found = scan(docs.select("doc_id", "text"))
     base = F.filter("secrets", lambda s: s["kind"] != "markov")
     count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
