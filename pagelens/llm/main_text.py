@@ -1,11 +1,12 @@
 """Main text of web pages.
 
-A page is read tag by tag into blocks of visible text. Blocks in menus, headers, footers, sidebars, notices, adverts, forms and
-reader comments are left out by their elements and by the words in their class, id and role. What the page itself marks as its
-article (or main part) is its text, whole. Where nothing is marked, what pages of a host share is removed: the token streams of
-all pages of the host are put together as suffixes, compared by their first RUN tokens; suffixes with equal beginnings
-are neighbours in the suffix array, and overlapping ones make up the long substrings that repeat across distinct pages. The
-names of the suffixes come from prefix doubling and are counted by packed keys, so no host's pages are sorted by one task.
+A page is read tag by tag into blocks of visible text, and what pages of a host share is found: the token streams of all pages of the host, put
+together, as suffixes; suffixes are named by prefix doubling up to RUN tokens, so that suffixes with equal names are neighbours in the host's suffix array with a common prefix of
+RUN tokens or more, and the tokens that such prefixes cover are those of all the long substrings that repeat across LEAST_PAGES distinct pages. Names are counted by packed keys, so no host's pages are sorted by one task.
+
+What is covered is boilerplate and goes, but for what the page marks as its article (or main part): that is wanted whole, and articles do quote the same passages. Blocks outside it stay
+only if they are running text (LONG tokens or more) of which less than half is covered; where a page marks nothing, all uncovered tokens stay. Menus, headers,
+footers, sidebars, notices, adverts, forms and reader comments that hosts don't repeat word by word are left out by their elements and by the words in their class, id and role.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from . import blocks
 
-#: Tokens of a repeated substring (a power of two), and distinct pages of the host that make it boilerplate.
-RUN, LEAST_PAGES = 8, 3
+#: Tokens of a repeated substring (a power of two), distinct pages of the host that make it boilerplate, tokens of running text outside the marked article.
+RUN, LEAST_PAGES, LONG = 8, 3, 20
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -37,20 +38,22 @@ ASIDE = frozenset("nav aside footer form button select fieldset dialog menu head
 CLOSES_P = BLOCK - frozenset("body head html caption tbody td tfoot th thead tr option optgroup legend summary button select".split())
 #: Elements that end when one of the same kind begins.
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Words of a class, id or role that mark what isn't main text.
-SIGNS = frozenset("ad ads adv advert adverts advertisement advertising advertorial banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices outbrain overlay pagination pager popup promo promos promotion recommendations recommended related reply replies respond search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription taboola toolbar widget widgets".split())
+#: Whole classes, ids and roles, and words of them, that mark what isn't main text; classes of articles within an article that only lead to another page.
+HEADERS, TEASERS = frozenset("header site-header page-header main-header global-header top-header header-wrapper".split()), frozenset("card teaser tease preview tile".split())
+SIGNS = frozenset("ad ads adv advert adverts advertisement advertising advertorial banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices outbrain overlay pagination pager popup promo promos promotion recommendations recommended related reply replies respond search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription taboola toolbar widget widgets".split())
 SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
-def signs(attributes: str) -> tuple[bool, bool]:
-    """Whether an element's attributes mark it as no main text (or hidden), and whether as the main part."""
+def signs(attributes: str, teaser: bool = False) -> tuple[bool, bool]:
+    """Whether an element's attributes mark it as no main text (or hidden, or as a teaser where there can be one), and whether as the main part."""
     if not attributes.strip():
         return False, False
     found, main = False, False
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id", "role"):
-            found |= any(w.lower() in SIGNS for w in SPLIT.split(value))
+            parts = [w.lower() for w in SPLIT.split(value)]
+            found |= any(w in SIGNS or (teaser and w in TEASERS) for w in parts) or any(w.lower() in HEADERS for w in value.split())
             main |= (name == "role" and value.lower() == "main") or (name != "role" and value.lower() in ("article-body", "articlebody", "entry-content", "post-content", "main-content"))
         elif name == "itemprop":
             main |= value.lower() == "articlebody"
@@ -121,7 +124,7 @@ def visible(html: str) -> list[tuple[bool, str]]:
             close(SELF_CLOSING[name], frozenset("ul ol dl table tbody thead tfoot select article main".split()))
         if name in VOID:
             continue
-        odd, own = signs(m[3] or m[6] or "") if name not in ("html", "body") else (False, False)
+        odd, own = signs(m[3] or m[6] or "", name == "article" and main) if name not in ("html", "body") else (False, False)
         here = main or ((name in ("article", "main") or own) and not skip)
         left = skip or odd or name in ASIDE or (name == "header" and not main)
         if left != skip or here != main:
@@ -198,19 +201,23 @@ def _texts(rows: pa.Table, part: bool, found: pd.DataFrame) -> pd.DataFrame:
     shared = blocks.answers(found, 0)[0] >= LEAST_PAGES if len(keys) else np.zeros(0, bool)
     out = []
     for _, own, marked, names in pages:
-        if marked:
-            out.append("\n".join(text for main, text in own if main))
-            continue
-        words = [text.split(" ") for _, text in own]
+        words = [text.split(" ") for main, text in own if not main]
         covered = np.zeros(sum(map(len, words)) + 1, np.int64)
         for i in np.flatnonzero(shared[np.searchsorted(keys, names)]).tolist() if len(names) else []:
             covered[i] += 1
             covered[i + RUN] -= 1
         covered, at, kept = np.cumsum(covered) > 0, 0, []
-        for ws in words:
+        for main, text in own:
+            if main:
+                kept.append(text)
+                continue
+            ws = text.split(" ")
             rest = [w for k, w in enumerate(ws) if not covered[at + k]]
             at += len(ws)
-            if rest:
+            if marked:
+                if len(ws) >= LONG and 2 * len(rest) > len(ws):
+                    kept.append(text)
+            elif rest:
                 kept.append(" ".join(rest))
         out.append("\n".join(kept))
     return pd.DataFrame({"page_id": pd.Series(rows["page_id"].to_pylist(), dtype="Int64"), "url": rows["url"].to_pylist(), "text": out, "n_chars": [len(t) for t in out]})
@@ -219,8 +226,8 @@ def _texts(rows: pa.Table, part: bool, found: pd.DataFrame) -> pd.DataFrame:
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page.
 
-    Text: the blocks of the article or main part; of a page that marks none, all blocks that are no menu, header and so on, without
-    the runs of RUN or more tokens that LEAST_PAGES distinct pages of its host share. A null or empty html gives an empty text. Words that pages'
+    Text: the blocks of the article or main part, and running text beside it that the host doesn't repeat; of a page that marks none, all blocks that are no menu, header and so on, without
+    the runs of RUN or more tokens that LEAST_PAGES distinct pages of its host share. A null, empty or blank html gives an empty text; a very long page is read whole. Words that pages'
     articles share stay: the article is wanted whole. A page whose url has no host shares with none. Repeated rows come out as often as they went in; pages of
     a host with equal blocks (rows, crawls, mirrors) count as one. Other columns aren't read. Without rows the result is empty. page_id is a whole number or null.
     """
