@@ -41,23 +41,35 @@ def merkle_trees(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("tree", tree(F.coalesce(F.col(text), F.lit(""))))
 
 
-def differing_leaves(a: Column, b: Column) -> Column:
-    """Numbers (from 0) of the leaves of a tree's `leaves` that the other tree lacks: where the texts differ."""
-    return F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: ~F.array_contains(b, F.element_at(a, i + 1)))
+def fingerprint(text: Column) -> Column:
+    """The root, a colon, eight digits of each section, a colon, and eight digits of each leaf."""
+    short = lambda xs: F.array_join(F.transform(xs, lambda x: F.left(x, F.lit(8))), " ")
+    return F.transform(F.array(tree(text)), lambda t: F.concat_ws(":", t["root"], short(t["sections"]), short(t["leaves"])))[0]
 
 
-def fingerprint(text: Column) -> Column:
-    """The root, a colon, and eight digits of each leaf."""
-    return F.transform(F.array(tree(text)), lambda t: F.concat(t["root"], F.lit(":"), F.array_join(F.transform(t["leaves"], lambda x: F.left(x, F.lit(8))), " ")))[0]
+def level(mark: Column, number: int) -> Column:
+    """The digests of the sections (1) or leaves (2) of a fingerprint."""
+    return F.split(F.element_at(F.split(mark, ":"), number + 1), " ")
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Of two fingerprints: 1 for equal roots, else the distinct leaves they share over all they have."""
-    x, y = (F.split(F.substring_index(c, ":", -1), " ") for c in (a, b))
+    x, y = level(a, 2), level(b, 2)
     share = F.size(F.array_intersect(x, y))
     return F.when(a == b, F.lit(1.0)).otherwise(share / (F.size(F.array_distinct(x)) + F.size(F.array_distinct(y)) - share)).cast("double")
 
 
+def differing_branches(a: Column, b: Column) -> Column:
+    """Where text b differs from text a, by their fingerprints: struct(sections: numbers of b's sections that a lacks, first and last: the leaves of b between those that both begin and end with; null for equal roots)."""
+    sections, own = level(b, 1), level(a, 1)
+    new = F.filter(F.transform(sections, lambda x, k: F.when(~F.array_contains(own, x), k)), lambda k: k.isNotNull())
+    x, y = level(a, 2), level(b, 2)
+    prefix = lambda p, q: F.coalesce(F.nullif(F.array_position(F.zip_with(p, q, lambda u, v: u.eqNullSafe(v)), False), F.lit(0)) - 1, F.least(F.size(p), F.size(q)).cast("bigint"))
+    begin = prefix(x, y)
+    end = F.least(prefix(F.reverse(x), F.reverse(y)), F.least(F.size(x), F.size(y)) - begin)
+    return F.when(a != b, F.struct(new.alias("sections"), begin.cast("int").alias("first"), (F.size(y) - end).cast("int").alias("last")))
+
+
 def with_next(docs: DataFrame, value_columns: list[str]) -> DataFrame:
     """doc_id and `value_columns`, and each of these of the next row by ascending (doc_id, values), as next_<name>; the first row follows the last.
 
@@ -89,9 +101,9 @@ def with_next(docs: DataFrame, value_columns: list[str]) -> DataFrame:
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
-    """Fingerprints of every text and of its edited text, in which the last half is replaced by the next document's first half.
+    """Fingerprints of every text and of its edited text, in which the last half is replaced by the next document's first half; `edits` locates what differs between the two.
 
-    A null text counts as empty. A table of one row is its own next document. Rows with the same doc_id follow one another by
+    doc_id is a whole number. A null text counts as empty; a very long one is read whole. A table of one row is its own next document. Rows with the same doc_id follow one another by
     text; null ids come first. Other columns aren't read. Without rows the result is empty.
     """
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -100,4 +112,4 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     both = both.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("half", F.floor(F.col("n_chars") / 2).cast("int"))
     both = both.withColumn("edited", F.concat(F.left(F.col("text"), (F.col("n_chars") - F.col("half")).cast("int")), F.left(F.col("next_text"), F.col("half"))))
     both = both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint")
-    return both.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
+    return both.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"), differing_branches(F.col("fingerprint"), F.col("edited_fingerprint")).alias("edits"))
