@@ -20,8 +20,8 @@ from . import blocks
 from .common import checkpoint, fold_of, words
 
 BUCKETS = 48
-#: One training document in so many is held out for the weights; most rounds of expectation-maximisation, and the gain (in log10 for a token) that ends them.
-EM_FOLDS, MOST_ROUNDS, LEAST_GAIN = 35, 15, 1e-4
+#: One training document in so many is held out for the weights; the gain (in log10 for a token) under which expectation-maximisation ends.
+EM_FOLDS, LEAST_GAIN = 35, 1e-4
 # Words have no blanks, so these are no word's.
 START, END = np.uint64(xxhash.xxh3_64_intdigest(b" start")), np.uint64(xxhash.xxh3_64_intdigest(b" end"))
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -107,11 +107,19 @@ def estimates(tokens: Tokens, counts: list[np.ndarray], levels: list[tuple], n:
     return bucket, ml, full[0][here]
 
 
+def possible(order: int) -> np.ndarray:
+    """Which orders (the uniform one first) can have an estimate in each bucket: those whose context was seen."""
+    width = BUCKETS // max(1, order - 1)
+    longest = np.array([1, *(2 + b // width for b in range(1, BUCKETS))])
+    return np.arange(order + 1)[None, :] <= longest[:, None]
+
+
 def learn_weights(left_out: DataFrame, order: int) -> np.ndarray:
-    """Mixture weights by bucket from rows (bucket, ml) of packed tokens."""
-    weights = np.full((BUCKETS, order + 1), 1 / (order + 1))
-    before = -np.inf
-    for _ in range(MOST_ROUNDS):
+    """Mixture weights by bucket from rows (bucket, ml) of packed tokens. Orders that a bucket can't have weigh nothing; a bucket without tokens has the weights of the nearest one of as long a context."""
+    able = possible(order)
+    weights = able / able.sum(axis=1, keepdims=True)
+    before, seen = -np.inf, np.zeros(BUCKETS, bool)
+    while True:
 
         def expect(batches: Iterator[pd.DataFrame], weights: np.ndarray = weights) -> Iterator[pd.DataFrame]:
             found, likely = np.zeros((BUCKETS, order + 1)), np.zeros(BUCKETS)
@@ -133,12 +141,17 @@ def learn_weights(left_out: DataFrame, order: int) -> np.ndarray:
         for r in sums:
             own = np.array([r[f"f{k}"] for k in range(order + 1)])
             own[0] += 0.01  # so that no text is impossible
+            own *= able[r["bucket"]]
             if own.sum() > 1:
-                weights[r["bucket"]] = own / own.sum()
+                weights[r["bucket"]], seen[r["bucket"]] = own / own.sum(), True
         now = sum(r["likely"] for r in sums) / max(tokens, 1)
         if now - before < LEAST_GAIN:
             break
         before = now
+    for b in np.flatnonzero(~seen).tolist():
+        alike = [k for k in np.flatnonzero(seen).tolist() if (able[k] == able[b]).all()]
+        if alike:
+            weights[b] = weights[min(alike, key=lambda k: abs(k - b))]
     return weights
 
 
@@ -146,7 +159,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, order: int = 2) -> Dat
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text.
 
     Learns from the documents whose crc32(doc_id as text) modulo `folds` isn't `held`. A null text counts as empty and has the end token
-    alone. A null doc_id is training. Repeated rows count and are scored each. Other columns aren't read. Without rows the result is
+    alone, as has a blank one. A null doc_id is training. A very long text is scored whole, in a block of its own. Repeated rows count and are scored each. Other columns aren't read. Without rows the result is
     empty; without training documents all words are unknown and equally likely. Distinct words and n-grams are told apart by
     64-bit digests.
     """
