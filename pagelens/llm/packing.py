@@ -25,6 +25,8 @@ PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,!?;:|
 #: The byte-level spelling of such vocabularies: printable Latin-1 characters stand for their own byte, other bytes for 256 and up in order.
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 SPELLING = {b: b for b in PRINTABLE} | {b: 256 + k for k, b in enumerate(sorted({*range(256)} - {*PRINTABLE}))}
+#: What shows whether a tokenizer drops white space, folds case, and parts letters from marks as assumed.
+PROBES = ("Two words", "two  WORDS\n\tand more ", " Ünïcode straße, ÉTÉ! naïve;", "marks... (here) 'quoted' a-b c_d 12,5% #x $y", "日本語 text ١٢ é e\u0301", "UPPER lower Mixed&more*", "")
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -33,7 +35,7 @@ class WordEncoder:
 
     White space only separates tokens in a vocabulary whose normaliser drops it, so the ids of a text are those of
     its words one after the other; most words come again and again and are looked up. Texts with a special
-    token's string in them go to the tokenizer whole.
+    token's string in them go to the tokenizer whole, and all texts do so with a tokenizer for which the two ways differ on PROBES.
     """
 
     def __init__(self, path: str):
@@ -43,6 +45,8 @@ class WordEncoder:
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.by_words = True
+        self.by_words = all(self.ids(p) == self._whole(p) for p in PROBES)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -62,7 +66,7 @@ class WordEncoder:
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if any(s in text for s in self.special):
+        if not self.by_words or any(s in text for s in self.special):
             return self._whole(text)
         if text.isascii():
             text = text.lower()
@@ -99,7 +103,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, longest: int = 4096,
 
     Every piece is a sequence of its own; `bucket` is its length, to be batched with others of that length
     (`piece.repartition("bucket")` or a partitioned write gives the buckets' files). `longest` is a power of two.
-    A null or empty text has the end token alone. A null doc_id is kept. Repeated rows are packed each for itself.
+    A null or empty text has the end token alone; a very long one gives as many pieces as it takes. A null doc_id is kept. Repeated rows are packed each for itself.
     Of the input only doc_id and text are read, so other columns, whatever their names, don't matter. Without rows
     the result is empty. `sequence_id` is the partition's number and the piece's place in it, so it is unique
     without a shuffle. `with_ids` adds the token ids.
