@@ -130,7 +130,7 @@ def test_similar_links_of_a_large_key(spark):
     want = list(range(400))
     for _ in range(5):
         want = [min(want[j] for j in np.flatnonzero(near[i])) for i in range(400)]
-    found = dict(components(fps.select("node", F.col("node").alias("label")), simhash.similar_links(fps)).collect())
+    found = dict(components(fps.select("node", F.col("node").alias("label")), simhash.similar_links(fps, spark.createDataFrame([], "node long, text string"), 5)).collect())
     assert [found[k] for k in range(400)] == want
 
 
@@ -295,3 +295,217 @@ def test_decontamination_of_frequent_passages(spark):
     want = {(k, 0) for k in range(120)} | {(k, 1) for k in range(1, 120, 2)}
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()} == want
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs.filter("doc_id < 10"), bench).collect()} == {x for x in want if x[0] < 10}
+
+
+def paraphrases(rng, words, items):
+    """Of each item: 20, 35 and 50 % of its words replaced, and its halves swapped."""
+    out = []
+    for k, item in enumerate(items):
+        for share in (0.2, 0.35, 0.5):
+            own = list(item)
+            for i in rng.choice(len(own), int(share * len(own)), replace=False):
+                own[i] = words(1)[0]
+            out.append((k, own))
+        out.append((k, item[len(item) // 2 :] + item[: len(item) // 2]))
+    return out
+
+
+def test_paraphrases(spark):
+    """Among documents of Zipf-distributed words, at least nine in ten paraphrases are found, and nothing else."""
+    rng = np.random.default_rng(21)
+    lexicon = ["".join(rng.choice(list("abcdefghijklm"), 5)) for _ in range(8000)]
+    chance = 1 / np.arange(1, 8001)
+    words = lambda n: [lexicon[i] for i in rng.choice(8000, n, p=chance / chance.sum())]
+    items = [words(32) for _ in range(12)]
+    copies = paraphrases(rng, words, items)
+    rows = [(k, " ".join(words(80) + own + words(70))) for k, (_, own) in enumerate(copies)] + [(1000 + k, " ".join(words(200))) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
+    want = {(k, item) for k, (item, _) in enumerate(copies)}
+    assert len(found & want) >= 0.9 * len(want) and found <= want
+
+
+def test_singular_vectors(spark):
+    """Of passages that are kept whole, the basis spans the singular vectors that a plain decomposition has."""
+    rng = np.random.default_rng(2)
+    words = [f"w{k}" for k in range(40)]
+    items = decontaminate.Items([{"item_id": k, "text": " ".join(rng.choice(words, 12)), "answer": None} for k in range(3)])
+    idf = np.ones(len(items.vocabulary), np.float32)
+    rows = [rng.integers(0, len(idf), 10).astype(np.int32) for _ in range(50)]
+    passages = spark.createDataFrame([(x.tobytes(),) for x in rows], "numbers binary").repartition(5)
+    basis, singular = decontaminate.latent_basis(passages, items, idf)
+    dense = np.zeros((53, len(idf)))
+    for i, x in enumerate([*rows, *(p for _, p in items.pieces)]):
+        for w, n in collections.Counter(x.tolist()).items():
+            dense[i, w] = math.sqrt(n) * (1 if i < 50 else math.sqrt(50 / 3))
+    u, want, vt = np.linalg.svd(dense)
+    assert np.allclose(singular, want[: len(singular)], rtol=1e-3) and np.allclose(np.abs((vt[: len(singular)] * basis.T).sum(axis=1))[:5], 1, atol=1e-2)
+
+
+def test_common_weight():
+    rng = np.random.default_rng(4)
+
+    def slow(a, w, b):
+        if not a or not b:
+            return 0.0
+        skip = max(slow(a[1:], w[1:], b), slow(a, w, b[1:]))
+        return max(skip, w[0] + slow(a[1:], w[1:], b[1:])) if a[0] == b[0] else skip
+
+    for _ in range(30):
+        a, b = rng.integers(0, 4, 6), rng.integers(0, 4, 7)
+        w = rng.random(4)[a]
+        assert abs(decontaminate.common_weight(a, w, b) - slow(a.tolist(), w.tolist(), b.tolist())) < 1e-9
+
+
+def test_extreme_law():
+    """The fit finds the parameters of simulated best scores, of texts of many lengths and with scores under a bound missing."""
+    rng = np.random.default_rng(6)
+    n = rng.integers(20, 2000, 20_000)
+    best = (np.log(0.02 * n) - np.log(-np.log(rng.random(20_000)))) / 0.7
+    decay, log_k = toxicity.extreme_law(np.maximum(best, 0.0), n, 3.0)
+    assert abs(decay - 0.7) < 0.02 and abs(log_k - math.log(0.02)) < 0.1
+    assert all(map(math.isfinite, toxicity.extreme_law(np.zeros(5), np.full(5, 100), 3.0)))
+
+
+def test_evidence_adds_up():
+    model = toxicity.Model(decay=1.0, log_k=-3.0)
+    one, two = model.evidence([12.0], 100), model.evidence([12.0, 11.0], 100)
+    assert 0 < one < two <= 30 and model.evidence([], 100) == model.evidence([1.0], 100) == 0
+
+
+def test_toxicity_against_plain_version(spark):
+    """Scores by the model equal those of a plain loop over all segments, and planted toxic texts are told apart in the held-out fold."""
+    rng = np.random.default_rng(8)
+    plain, bad = [f"word{k}" for k in range(300)], [f"vile{k}" for k in range(6)]
+    rows, marks = [], []
+    for k in range(800):
+        own = list(rng.choice(plain, int(rng.integers(5, 80))))
+        if k % 4 == 0:
+            at = int(rng.integers(0, len(own)))
+            own[at:at] = list(rng.choice(bad, 5))
+        rows.append((k, " ".join(own)))
+        marks.append((k, int(k % 4 == 0)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    found = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
+    held = [k for k in range(800) if zlib.crc32(str(k).encode()) % 4 == 2]
+    assert sum(found[k].predicted != marks[k][1] for k in held) <= len(held) // 50
+    model = toxicity.train(docs, labels.filter(f"doc_id not in ({','.join(map(str, held))})"))
+    for k, text in rows[:60]:
+        s = [model.word_score(w.encode()) if not i or w != text.split()[i - 1] else -toxicity.COST for i, w in enumerate(text.split())]
+        parts = []
+
+        def split(lo, hi, s=s, parts=parts):
+            """The best segment, then those on both sides of it: the recursive definition of maximal segments."""
+            sums = [(sum(s[a:b]), -(b - a), -a, b) for a in range(lo, hi) for b in range(a + 1, hi + 1)]
+            if sums and max(sums)[0] > 0:
+                v, _, a, b = max(sums)
+                parts.append(v)
+                split(lo, -a)
+                split(b, hi)
+
+        split(0, len(s))
+        assert abs(model.score(parts, len(s)) - found[k].score) < 1e-9
+
+
+def test_label_ties(spark, docs):
+    """Equal texts with different labels give the same model whatever their order."""
+    marks = [(k, int(k % 2), int(k % 2)) for k in range(9)]
+    for f in (quality.quality, toxicity.toxicity):
+        a, b = (sorted(((r.doc_id, round(r.score, 6)) for r in f(docs.repartition(n), spark.createDataFrame(m, "doc_id long, quality int, toxic int")).collect()), key=repr) for n, m in ((1, marks), (5, marks[::-1])))
+        assert a == b
+
+
+def test_main_text_beside_the_article(spark):
+    """Headings in classes like post-header stay, teasers go, running text beside an article stays unless the host repeats it; with and without article tags a page gives the same text."""
+    rng = np.random.default_rng(3)
+    words = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n))
+    shared, rows, want = words(30), [], {}
+    for k in range(4):
+        title, body, lead = words(6), words(50), words(25)
+        rows.append((k, f"http://h/{k}", f"<body><nav>a b</nav><p>{lead}</p><p>{shared}</p><main><div class='post-header'><h1>{title}</h1></div><p>{body}</p><article class=card>{words(30)}</article></main><div class=site-header>x</div>"))
+        want[k] = f"{lead}\n{title}\n{body}"
+        rows.append((10 + k, f"http://h/{k}x", f"<body><header>menu</header><h1>{title}</h1><p>{body} end{k}</p><p>{shared}</p><footer>f</footer>"))
+        rows.append((20 + k, f"http://g/{k}x", f"<body><header>menu</header><article><h1>{title}</h1><p>{body} end{k}</p></article><p>{shared}</p><footer>f</footer>"))
+        want[10 + k] = want[20 + k] = f"{title}\n{body} end{k}"
+    # the same articles on a host of their own, as what two pages of a host share isn't boilerplate but what all share is
+    found = {r.page_id: r.text for r in main_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == want
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert main_text.main_texts(none).count() == 0
+    twice = spark.createDataFrame(rows[:1] * 2, "page_id long, url string, html string")
+    assert [r.n_chars > 0 for r in main_text.main_texts(twice).collect()] == [True, True]
+
+
+def test_repeats_of_short_words(spark):
+    """A passage of 51 words of two to four letters, and a whole short text, are found in both places."""
+    rng = np.random.default_rng(14)
+    rows = []
+    for k in range(60):
+        word = lambda n, size=2 + k % 3: " ".join("".join(rng.choice(list("abcdefghijklmnop"), size)) for _ in range(n))
+        passage = word(51)
+        rows += [(2 * k, f"{word(40)} {passage} {word(40)}"), (2 * k + 1, f"{word(30)} {passage} {word(50)}")]
+    rows += [(500, "short note"), (501, "short note"), (502, "another"), (503, " "), (504, "")]
+    found = {r.doc_id for r in substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(found & set(range(120))) >= 116 and found & set(range(500, 505)) == {500, 501}
+
+
+def test_language_model_is_a_mixture(spark):
+    """The score of each text is that of a plain loop over its tokens with the same weights, and these leave no mass to orders whose context wasn't seen."""
+    rng = np.random.default_rng(7)
+    rows = [(k, " ".join(rng.choice(list("abcdefgh"), int(rng.integers(1, 30))))) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept, learn = {}, language_model.learn_weights
+    language_model.learn_weights = lambda *a: kept.setdefault("w", learn(*a))
+    try:
+        found = {r.doc_id: r.score for r in language_model.score(docs).collect()}
+    finally:
+        language_model.learn_weights = learn
+    w = kept["w"]
+    assert np.allclose(w.sum(axis=1), 1) and (w[~language_model.possible(2)] == 0).all()
+    ones, twos = collections.Counter(), collections.Counter()
+    for k, text in rows:
+        if zlib.crc32(str(k).encode()) % 7 != 2:
+            own = ["^", *text.split(), "$"]
+            ones.update(own)
+            twos.update(zip(own, own[1:], strict=False))
+    n, v = sum(ones.values()) - ones["^"], len(ones) - 1
+    for k, text in rows[:50]:
+        total, own = 0.0, ["^", *text.split(), "$"]
+        for a, b in zip(own, own[1:], strict=False):
+            bucket = min(math.ceil(math.log2(ones[a] + 1)), 47) if ones[a] else 0
+            total += math.log10(w[bucket][0] / (v + 1) + w[bucket][1] * ones[b] / n + (w[bucket][2] * twos[a, b] / ones[a] if ones[a] else 0))
+        assert abs(total - found[k]) < 1e-6
+
+
+def test_differing_branches(spark):
+    """Leaves outside the located stretch are equal in both texts; sections named are those that the other text lacks."""
+    text = "".join(f"Line {k}, with a clause. And more\n" for k in range(60))
+    rows = [(0, text, text), (1, text, text.replace("Line 30,", "Lime 30,")), (2, text, text[: len(text) // 2]), (3, "", "a"), (4, "a b. c", "c")]
+    df = spark.createDataFrame(rows, "id int, a string, b string").select("*", merkle.fingerprint(F.col("a")).alias("x"), merkle.fingerprint(F.col("b")).alias("y"))
+    found = df.select("*", merkle.differing_branches(F.col("x"), F.col("y")).alias("e"), merkle.leaves(F.col("a")).alias("p"), merkle.leaves(F.col("b")).alias("q")).orderBy("id").collect()
+    assert found[0].e is None
+    for r in found[1:]:
+        first, last = r.e.first, r.e.last
+        assert r.p[:first] == r.q[:first] and (r.q[last:] == r.p[len(r.p) - len(r.q) + last :]) and first <= last
+    assert found[1].e.last - found[1].e.first == 1 and 1 <= len(found[1].e.sections) <= 2
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "password = hunter2hunter2", 5, 6, 7)], "doc_id long, text string, _base int, _RUNS int, _cuts int")
+    assert secrets.scan(docs).drop("secrets").first() == docs.first()
+    assert substrings.without_repeats(docs).first() == docs.first()
+
+
+def test_very_long_text(spark):
+    """One text of half a million words, with a secret at its end: every operator reads it whole."""
+    rng = np.random.default_rng(1)
+    long = " ".join(f"w{x}" for x in rng.integers(0, 5000, 500_000)) + " password = hunter2hunter2"
+    docs = spark.createDataFrame([(1, long), (2, "short text")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    assert secrets.secret_counts(docs).filter("n_assign = 1").first().doc_id == 1
+    assert simhash.near_duplicates(docs).count() == substrings.repeated_passages(docs).count() + 2 == simhash.keep_one(docs).count()
+    assert language_model.score(docs).filter("n_tokens = 500004").count() == 1
+    assert merkle.fingerprint_edits(docs).filter(f"n_chars = {len(long)}").count() == 1
+    assert quality.quality(docs, labels).count() == toxicity.toxicity(docs, labels).count() == 2
+    assert packing.pack(docs, queries.vocabulary_path()).groupBy("doc_id").agg(F.sum("length") == F.max("doc_tokens")).filter("not (sum(length) = max(doc_tokens))").count() == 0
