@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagelens.plans.store import stored
+
 from .context import HEADINGS, attr, html, map_name, named, squeezed, tokens, with_context
 
 Check = tuple[str, str, Column]
@@ -31,11 +33,16 @@ IMPLIED = {
     "table": "table", "term": "dt", "form": "form", "listitem": "li", "rowgroup": "tbody", "button": "button", "dialog": "dialog", "figure": "figure", "deletion": "s",
 }
 
-yes, no = F.lit(True), F.lit(False)
+def _true() -> Column:
+    return F.lit(True)
+
+
+def _false() -> Column:
+    return F.lit(False)
 
 
 def sure(c: Column) -> Column:
-    return F.coalesce(c, no)
+    return F.coalesce(c, _false())
 
 
 def h(*tags: str) -> Column:
@@ -162,29 +169,29 @@ def role_patterns() -> list[list[Rule]]:
         one(h("label"), warning("presentational-children.label-descendant", above_role("separator", "progressbar", "img", "slider", "math"))),
         one(eq("role", "main"), *(warning(f"roles-properties-global.{n}-on-main", has(f"aria-{n}")) for n in ("disabled", "haspopup", "invalid"))),
         one(h("body"), error("roles-properties-global.aria-hidden-on-body", eq("aria-hidden", "true"))),
-        one(has("aria-placeholder") & has("placeholder"), error("aria-placeholder.not-with-placeholder", yes)),
-        *(one(has(f"aria-value{m}") & has(m), error(f"aria-value{m}.not-with-{m}", yes)) for m in ("min", "max")),
+        one(has("aria-placeholder") & has("placeholder"), error("aria-placeholder.not-with-placeholder", _true())),
+        *(one(has(f"aria-value{m}") & has(m), error(f"aria-value{m}.not-with-{m}", _true())) for m in ("min", "max")),
         [
             *((h(t), [warning(f"aria-value{m}.on-{t}", has(f"aria-value{m}")) for m in ("max", "min")]) for t in ("meter", "progress")),
             (h("input") & eq("type", "number"), [warning(f"aria-value{m}.on-input-number", has(f"aria-value{m}") & ~has(m)) for m in ("max", "min")]),
         ],
         [
-            (h("input") & has("aria-checked") & eq("type", "checkbox", "radio") & (~has("role") | sure(attr("role") == attr("type"))), [error("aria-checked.on-implicit-checkbox-radio", yes)]),
-            (h("input") & has("aria-checked") & has("type") & ~eq("type", "checkbox", "radio") & ~eq("role", *checkbox_like), [error("aria-checked.on-input-type", yes)]),
+            (h("input") & has("aria-checked") & eq("type", "checkbox", "radio") & (~has("role") | sure(attr("role") == attr("type"))), [error("aria-checked.on-implicit-checkbox-radio", _true())]),
+            (h("input") & has("aria-checked") & has("type") & ~eq("type", "checkbox", "radio") & ~eq("role", *checkbox_like), [error("aria-checked.on-input-type", _true())]),
         ],
         one(h("input") & eq("type", "checkbox") & eq("role", "button"), error("checkbox.role-button-needs-aria-pressed", ~has("aria-pressed"))),
-        [(h("h1", "h2", "h3") & above_role("button"), [error("presentational.no-heading-in-button", yes)]), (h("button") & above_role("img"), [warning("presentational.no-button-in-img", yes)])],
-        one(h("input") & eq("type", "hidden") & has(*(f"aria-{n}" for n in HIDDEN_INPUT_ARIA)), error("aria.input-hidden-no-aria-attrs", yes)),
-        [(plain & has("aria-label", "aria-labelledby", "aria-describedby", "aria-details", "aria-roledescription"), [warning("aria.none-role-global-aria-ignored", yes)]), (plain & has("tabindex"), [warning("aria.none-role-tabindex-ignored", yes)])],
-        one(h("option") & has("aria-selected"), warning("aria.option-no-aria-selected", yes)),
-        one(h("label") & has("aria-hidden") & (F.col("live_labelable") > 0), error("aria.label-hidden-labelable-descendant", yes)),
-        one(h("img") & ~blank("alt") & plain, error("aria.img-alt-role-none-presentation", yes)),
+        [(h("h1", "h2", "h3") & above_role("button"), [error("presentational.no-heading-in-button", _true())]), (h("button") & above_role("img"), [warning("presentational.no-button-in-img", _true())])],
+        one(h("input") & eq("type", "hidden") & has(*(f"aria-{n}" for n in HIDDEN_INPUT_ARIA)), error("aria.input-hidden-no-aria-attrs", _true())),
+        [(plain & has("aria-label", "aria-labelledby", "aria-describedby", "aria-details", "aria-roledescription"), [warning("aria.none-role-global-aria-ignored", _true())]), (plain & has("tabindex"), [warning("aria.none-role-tabindex-ignored", _true())])],
+        one(h("option") & has("aria-selected"), warning("aria.option-no-aria-selected", _true())),
+        one(h("label") & has("aria-hidden") & (F.col("live_labelable") > 0), error("aria.label-hidden-labelable-descendant", _true())),
+        one(h("img") & ~blank("alt") & plain, error("aria.img-alt-role-none-presentation", _true())),
         one(eq("aria-selected", "true") & F.array_contains(tokens(attr("role")), "tab"), error("aria.active-tab-needs-tabpanel", ~wired)),
         one(h(*NO_NAME) | (h("a", "area") & ~has("href")) | F.contains("tag", F.lit("-")), *(error(f"naming-prohibited.no-aria-{n}", has(f"aria-{n}")) for n in ("label", "labelledby", "braillelabel"))),
         one(eq("role", *NOT_IN_HEADING), error("role-forbidden-inside-heading.not-in-heading", above(*HEADINGS))),
         one(h("a") & has("href"), warning("a-href-forbidden-inside-widget-role.descendant", above_role("checkbox", "menuitem", "menuitemcheckbox", "menuitemradio", "option", "radio", "switch", "tab"))),
         one(has("tabindex"), warning("tabindex-forbidden-inside-role.descendant", above_role("option", "tab"))),
-        [*((c, [warning(f"unnecessary-role-extra.{r}", yes)]) for r, c in zip(("dialog", "figure", "deletion", "button", "rowgroup", "listitem"), extra, strict=True)), (h("a") & has("href") & eq("role", "link"), [warning("unnecessary-role-extra.link", yes)])],
+        [*((c, [warning(f"unnecessary-role-extra.{r}", _true())]) for r, c in zip(("dialog", "figure", "deletion", "button", "rowgroup", "listitem"), extra, strict=True)), (h("a") & has("href") & eq("role", "link"), [warning("unnecessary-role-extra.link", _true())])],
         redundant,
         one(h("html"), error("multiple-main-with-role.at-most-one-visible", F.col("any_mains") > 1)),
         one(h("a") & has("href"), warning("a-href-aria-disabled.true", eq("aria-disabled", "true"))),
@@ -212,8 +219,8 @@ def unnecessary_roles() -> list[Rule]:
         "banner": h("header") & outside, "contentinfo": h("footer") & outside, "list": h("ul", "ol"), "spinbutton": h("input") & eq("type", "number"), "textbox": h("input") & (~has("type") | eq("type", "text")) & ~has("list"),
         "searchbox": h("input") & eq("type", "search") & ~has("list"), "combobox": h("select") & ~several, "listbox": h("select") & several, "link": h("a") & has("href"),
     }
-    rules = [(c & eq("role", r), [warning(f"roles.unnecessary-{r}", yes)]) for r, c in (special | {r: h(t) for r, t in IMPLIED.items()}).items()]
-    return [*rules, ((F.col("tag") == "math") & has("role"), [warning("roles.unnecessary-math", yes)])]
+    rules = [(c & eq("role", r), [warning(f"roles.unnecessary-{r}", _true())]) for r, c in (special | {r: h(t) for r, t in IMPLIED.items()}).items()]
+    return [*rules, ((F.col("tag") == "math") & has("role"), [warning("roles.unnecessary-math", _true())])]
 
 
 def page_patterns() -> list[list[Rule]]:
@@ -231,18 +238,18 @@ def page_patterns() -> list[list[Rule]]:
         one(has("form"), error("attributes.form-ref-form", ~refers("form", lambda x: x["form"]))),
         one(h(*HEADINGS), warning("headings.empty", (F.col("txt") == "") & (F.size("kids") == 0))),
         *(one(h(t), warning(f"headings.{t}-lacks-heading", F.col("headings") == 0)) for t in ("article", "section")),
-        one(h("body") & (F.col("lower_headings") > 0) & (F.col("h1s") == 0), warning("headings.no-top-level", yes)),
-        one(h("h3") & F.col("earlier.h1") & ~F.col("earlier.h2"), error("headings.skip-level-h1-to-h3", yes)),
+        one(h("body") & (F.col("lower_headings") > 0) & (F.col("h1s") == 0), warning("headings.no-top-level", _true())),
+        one(h("h3") & F.col("earlier.h1") & ~F.col("earlier.h2"), error("headings.skip-level-h1-to-h3", _true())),
         one(has("id"), error("ids.duplicate", F.col("ids") > 1)),
         one(has("itemid"), error("microdata.itemid-without-itemtype", ~(has("itemscope") & has("itemtype")))),
         one(has("itemref"), error("microdata.itemref-without-itemscope", ~has("itemscope"))),
         one(has("itemtype"), error("microdata.itemtype-without-itemscope", ~has("itemscope"))),
-        one(h("font", "center", "marquee", "blink"), warning("obsolete-elements.deprecated", yes)),
+        one(h("font", "center", "marquee", "blink"), warning("obsolete-elements.deprecated", _true())),
         one(h("th") & has("scope"), error("tables.th-scope-enum", ~eq("scope", "row", "col", "rowgroup", "colgroup"))),
         *(one(h(*tags) & has(name), error(f"tables.{name}-max", sure(number(name) > most))) for name, tags, most in (("colspan", ("td", "th"), 1000), ("rowspan", ("td", "th"), 65534), ("span", ("col", "colgroup"), 1000))),
         one(h("td") & has("role"), error("tables.td-role-in-table", sure((F.col("table") >= 0) & F.coalesce(table_role["role"], F.lit("table")).isin("table", "grid", "treegrid")))),
         one(h("td", "th") & has("headers"), error("tables.headers-ref-th", ~refers("headers", own_table))),
-        one(h("tr") & ~kid("td", "th"), error("tables.row-no-cells", yes)),
+        one(h("tr") & ~kid("td", "th"), error("tables.row-no-cells", _true())),
         one(h("tr") & marked, width(error, markup, row, "less-than-column-markup"), width(error, row, markup, "exceeding-column-markup")),
         one(h("tr") & ~marked & (F.col("table") >= 0), width(warning, first, row, "less-than-first-row"), width(warning, row, first, "exceeding-first-row")),
     ]
@@ -267,7 +274,7 @@ def element_patterns() -> list[list[Rule]]:
     label_for = F.get(F.filter("anc", lambda a: html(a["tag"], a["ns"], "label")), F.lit(0))["target"]
     ruby = F.filter("kids", lambda k: html(k["tag"], k["ns"], "rb", "rt"))
     rb_pair = F.exists(F.sequence(F.lit(1), F.greatest(F.size(ruby), F.lit(2)) - 1), lambda i: sure((F.get(ruby, i)["tag"] == "rb") & (F.get(ruby, i - 1)["tag"] == "rb")))
-    in_a = lambda name, context: (context & above("a"), [error(f"elements.{name}-in-a", yes)])
+    in_a = lambda name, context: (context & above("a"), [error(f"elements.{name}-in-a", _true())])
     word = F.get(tokens(attr("role")), F.lit(0))
     inline = lambda name, *attributes: error(f"elements.script-{name}", has(*attributes))
     loading = "crossorigin integrity referrerpolicy nonce".split()
@@ -306,7 +313,7 @@ def element_patterns() -> list[list[Rule]]:
         one(h("source") & inside("picture") & has("media"), error("elements.source-media-not-all", F.lower(squeezed(attr("media"))) == "all")),
         one(h("source", "img") & has("sizes") & has("srcset"), error("elements.srcset-sizes-needs-w-descriptor", ~wide("srcset"))),
         one(h("source") & F.col("later_srcset"), error("elements.source-needs-media-or-type", ~has("media", "type"))),
-        one(F.contains("tag", F.lit("-")) & has("is"), error("elements.custom-element-no-is", yes)),
+        one(F.contains("tag", F.lit("-")) & has("is"), error("elements.custom-element-no-is", _true())),
         one(h("form") & has("accept-charset"), error("elements.form-accept-charset-utf8", low("accept-charset", "utf") != "utf-8")),
         one(h("link") & has("imagesrcset") & ~has("imagesizes"), error("elements.link-imagesrcset-w-needs-imagesizes", wide("imagesrcset"))),
         one(h("meta") & has("charset"), error("elements.meta-charset-unique", F.col("charsets") > 1), error("elements.meta-charset-no-content-type", F.col("content_types") > 0)),
@@ -314,79 +321,79 @@ def element_patterns() -> list[list[Rule]]:
         one(h("meta") & (low("http-equiv", "xuacompatible", False) == "x-ua-compatible"), error("elements.meta-x-ua-compatible-ie-edge", low("content", "iedg") != "ie=edge")),
         [
             (h("select") & kid("button"), [error("elements.select-button-allowed-only-dropdown", ~(sure(number("size") == 1) | ~has("size", "multiple")))]),
-            (h("button") & inside("select") & has("aria-label"), [error("elements.select-button-no-aria-label", yes)]),
+            (h("button") & inside("select") & has("aria-label"), [error("elements.select-button-no-aria-label", _true())]),
         ],
-        [(h(t) & above("dt"), [error(f"elements.dt-no-{t}", yes)]) for t in (*HEADINGS, "header", "hgroup", "nav", "section")],
+        [(h(t) & above("dt"), [error(f"elements.dt-no-{t}", _true())]) for t in (*HEADINGS, "header", "hgroup", "nav", "section")],
         one(h("base"), error("elements.base-before-link-script", F.col("earlier.loads"))),
         one(h("script") & ~has("src") & classic, inline("inline-no-async-defer", "async", "defer"), inline("inline-classic-no-blocking", "blocking"), inline("inline-classic-no-fetchpriority", "fetchpriority")),
         one(h("script") & ~has("src") & typed("module"), inline("inline-module-no-blocking", "blocking"), inline("inline-module-no-fetchpriority", "fetchpriority")),
-        one(h("script") & kind.isin("text/javascript", "application/javascript", "ecmascript", "text/ecmascript"), warning("elements.script-type-text-javascript-unnecessary", yes)),
-        one(h("source") & auto & ~lazy_img, error("elements.source-sizes-auto-lazy", yes)),
+        one(h("script") & kind.isin("text/javascript", "application/javascript", "ecmascript", "text/ecmascript"), warning("elements.script-type-text-javascript-unnecessary", _true())),
+        one(h("source") & auto & ~lazy_img, error("elements.source-sizes-auto-lazy", _true())),
         [
-            (h("img") & auto & ~lazy, [error("elements.img-sizes-auto-lazy", yes)]), (h("img", "source") & has("sizes") & ~has("srcset"), [error("elements.sizes-needs-srcset", yes)]),
-            (h("img") & has("controls") & blank("alt"), [error("elements.img-controls-needs-alt", yes)]),
+            (h("img") & auto & ~lazy, [error("elements.img-sizes-auto-lazy", _true())]), (h("img", "source") & has("sizes") & ~has("srcset"), [error("elements.sizes-needs-srcset", _true())]),
+            (h("img") & has("controls") & blank("alt"), [error("elements.img-controls-needs-alt", _true())]),
         ],
         [
-            (h("input") & eq("type", "hidden") & ((low("autocomplete", "on", False) == "on") | (low("autocomplete", "of", False) == "off")), [error("elements.input-hidden-no-autocomplete-on-off", yes)]),
-            (h("input") & has("pattern") & has("type") & ~eq("type", *TEXT_TYPES), [error("elements.input-pattern-types", yes)]),
-            (h("input") & has("formaction") & ~eq("type", "submit", "image"), [error("elements.input-formaction-types", yes)]),
+            (h("input") & eq("type", "hidden") & ((low("autocomplete", "on", False) == "on") | (low("autocomplete", "of", False) == "off")), [error("elements.input-hidden-no-autocomplete-on-off", _true())]),
+            (h("input") & has("pattern") & has("type") & ~eq("type", *TEXT_TYPES), [error("elements.input-pattern-types", _true())]),
+            (h("input") & has("formaction") & ~eq("type", "submit", "image"), [error("elements.input-formaction-types", _true())]),
         ],
         [
             (h("script") & typed("importmap"), [inline("importmap-no-crossorigin", *loading), inline("importmap-no-blocking", "blocking"), inline("importmap-no-fetchpriority", "fetchpriority"), inline("importmap-no-nomodule", "nomodule")]),
-            (h("script") & has("language"), [warning("elements.script-language-obsolete", yes)]),
+            (h("script") & has("language"), [warning("elements.script-language-obsolete", _true())]),
         ],
-        one(h("option") & ~has("label") & (F.col("txt") == ""), error("elements.option-empty-needs-label", yes)),
+        one(h("option") & ~has("label") & (F.col("txt") == ""), error("elements.option-empty-needs-label", _true())),
         [
             (h("label") & has("for"), [error("elements.label-for-non-form-control", ~refers("for", lambda x: x["labelable"]))]),
             (h("input") & above_with("label", "for"), [error("elements.label-for-descendant-matching-id", ~sure(attr("id") == label_for))]),
         ],
         one(h("script") & typed("speculationrules"), inline("speculationrules-no-disallowed-attrs", "src", "async", "defer", *loading), inline("speculationrules-no-blocking", "blocking"), inline("speculationrules-no-fetchpriority", "fetchpriority"), inline("speculationrules-no-nomodule", "nomodule")),
-        [(h(t) & above("footer", "header"), [error(f"elements.no-{t}-in-header-footer", yes)]) for t in ("footer", "header")],
+        [(h(t) & above("footer", "header"), [error(f"elements.no-{t}-in-header-footer", _true())]) for t in ("footer", "header")],
         one(h("dt") & above("dl"), warning("elements.dl-duplicate-dt", F.col("same_dt"))),
-        one(h("ruby") & rb_pair, info("elements.ruby-tabular-rb", yes)),
-        one(h("rtc"), info("elements.rtc-positioning", yes)),
+        one(h("ruby") & rb_pair, info("elements.ruby-tabular-rb", _true())),
+        one(h("rtc"), info("elements.rtc-positioning", _true())),
         [
             (h("source") & has("srcset") & ~has("sizes") & ~lazy_img, [error("elements.source-srcset-w-needs-sizes", wide("srcset"))]),
             (h("img") & has("srcset") & ~has("sizes") & above("picture") & ~lazy, [error("elements.img-picture-srcset-w-needs-sizes", wide("srcset"))]),
         ],
-        one(h("script") & has("type") & ~(typed("module") | typed("importmap") | typed("speculationrules") | classic) & has("src", "async", "defer", *loading, "fetchpriority", "nomodule", "blocking"), error("elements.script-datablock-no-async", yes)),
+        one(h("script") & has("type") & ~(typed("module") | typed("importmap") | typed("speculationrules") | classic) & has("src", "async", "defer", *loading, "fetchpriority", "nomodule", "blocking"), error("elements.script-datablock-no-async", _true())),
         [
             (h("link") & has("color"), [error("elements.link-color-needs-mask-icon", ~rel("mask-icon"))]), (h("link") & has("disabled"), [error("elements.link-disabled-needs-stylesheet", ~rel("stylesheet"))]),
             (h("link") & has("sizes"), [error("elements.link-sizes-allowed-rel", ~(rel("icon") | rel("apple-touch-icon") | rel("apple-touch-icon-precomposed")))]),
             (h("link") & above("body"), [error("elements.link-in-body-rel", ~(has("itemprop", "property") | reduce(lambda a, b: a | b, map(rel, BODY_LINKS))))]),
-            (h("link") & rel("modulepreload") & eq("as", "font", "image"), [error("elements.link-modulepreload-as-invalid", yes)]), (h("link") & rel("preload") & eq("as", "json", "worker"), [error("elements.link-preload-as-invalid", yes)]),
+            (h("link") & rel("modulepreload") & eq("as", "font", "image"), [error("elements.link-modulepreload-as-invalid", _true())]), (h("link") & rel("preload") & eq("as", "json", "worker"), [error("elements.link-preload-as-invalid", _true())]),
         ],
-        one(h("input") & (low("name", "isindex") == "isindex"), error("elements.input-name-isindex-forbidden", yes)),
-        [(h("img") & has("ismap") & ~above_with("a", "href"), [error("elements.img-ismap-needs-a-href", yes)]), (h("img") & has("usemap"), [error("elements.img-usemap-target-exists", (map_name() != "") & ~found("usemap"))])],
+        one(h("input") & (low("name", "isindex") == "isindex"), error("elements.input-name-isindex-forbidden", _true())),
+        [(h("img") & has("ismap") & ~above_with("a", "href"), [error("elements.img-ismap-needs-a-href", _true())]), (h("img") & has("usemap"), [error("elements.img-usemap-target-exists", (map_name() != "") & ~found("usemap"))])],
         [
             (h("select") & drop_down, [error("elements.select-required-needs-option", F.size(options) == 0), error("elements.select-required-first-option-placeholder", (F.size(options) > 0) & ~sure(~named(first_option["names"], "value") | (first_option["value"] == "") | F.col("first_option_blank")))]),
-            (h("select") & F.array_contains(tokens(attr("autocomplete")), "webauthn"), [error("elements.select-autocomplete-no-webauthn", yes)]),
+            (h("select") & F.array_contains(tokens(attr("autocomplete")), "webauthn"), [error("elements.select-autocomplete-no-webauthn", _true())]),
         ],
-        one(h("address") & above("address"), error("elements.address-no-nested-address", yes)),
-        one(h("figure") & kid("figcaption") & eq("role", "img"), error("elements.figure-figcaption-no-role", yes)),
-        one(h("figure") & kid("figcaption") & (F.size(F.filter("kids", lambda k: ~html(k["tag"], k["ns"], "figcaption"))) == 1) & sure(F.col("captioned_table")), warning("elements.figure-table-caption-should-be-figcaption", yes)),
+        one(h("address") & above("address"), error("elements.address-no-nested-address", _true())),
+        one(h("figure") & kid("figcaption") & eq("role", "img"), error("elements.figure-figcaption-no-role", _true())),
+        one(h("figure") & kid("figcaption") & (F.size(F.filter("kids", lambda k: ~html(k["tag"], k["ns"], "figcaption"))) == 1) & sure(F.col("captioned_table")), warning("elements.figure-table-caption-should-be-figcaption", _true())),
         one(h("link") & F.contains(sheet, F.lit(" alternate ")) & F.contains(sheet, F.lit(" stylesheet ")), error("elements.link-alternate-stylesheet-needs-title", blank("title"))),
         one(h("link") & has("blocking"), error("elements.link-blocking-needs-stylesheet", ~F.contains(F.concat(F.lit(" "), low("rel", "stylesheet"), F.lit(" ")), F.lit(" stylesheet ")))),
-        one(h("link") & has("imagesizes") & ~has("imagesrcset"), error("elements.link-imagesizes-needs-imagesrcset", yes)),
-        one(h("meta") & eq("name", "description") & F.col("earlier.description"), error("elements.meta-multiple-description", yes)),
-        one(h("meta") & (low("name", "viewport", False) == "viewport") & F.contains(user_scalable, F.lit("user-scalable")) & (F.contains(no_scale, F.lit("user-scalable=no")) | F.contains(no_scale, F.lit("user-scalable=0"))), warning("elements.meta-viewport-user-scalable-no", yes)),
-        one(h("optgroup") & ~kid("legend") & ~has("label"), error("elements.optgroup-no-label-no-legend", yes)),
-        one(h("title") & (F.col("txt") == ""), error("elements.title-not-empty", yes)),
-        one(h("script") & (low("type", "textjavascript") == "text/javascript"), warning("elements.script-type-text-javascript-warning", yes)),
-        one(h("audio") & has("controls") & above("button"), error("elements.audio-controls-in-button", yes)),
-        [(has("itemprop") & ~has("itemscope") & ~F.exists("anc", lambda a: named(a["names"], "itemscope")), [error("elements.itemprop-needs-itemscope", yes)]), (has("itemref"), [error("elements.itemref-target-exists", F.array_contains(tokens(attr("itemref")), "nonexistent"))])],
-        one(h("img") & ~has("alt", "role") & ~F.exists(F.map_keys("attrs"), lambda k: F.startswith(k, F.lit("aria-")) & (k != "aria-hidden")) & (F.coalesce(attr("title"), F.lit("")) == "") & ~above("figure"), error("elements.img-missing-alt", yes)),
-        one(h("img") & ~has("alt") & sure(F.col("bare_figure")), error("elements.img-missing-alt-in-figure", yes)),
-        one(h("a") & has("href") & above("button"), error("elements.a-href-in-button", yes)),
-        one((F.col("tag") == "a") & (F.col("ns") == "svg") & F.exists("anc", lambda a: (a["tag"] == "a") & (a["ns"] == "svg")), error("elements.svg-a-in-svg-a", yes)),
+        one(h("link") & has("imagesizes") & ~has("imagesrcset"), error("elements.link-imagesizes-needs-imagesrcset", _true())),
+        one(h("meta") & eq("name", "description") & F.col("earlier.description"), error("elements.meta-multiple-description", _true())),
+        one(h("meta") & (low("name", "viewport", False) == "viewport") & F.contains(user_scalable, F.lit("user-scalable")) & (F.contains(no_scale, F.lit("user-scalable=no")) | F.contains(no_scale, F.lit("user-scalable=0"))), warning("elements.meta-viewport-user-scalable-no", _true())),
+        one(h("optgroup") & ~kid("legend") & ~has("label"), error("elements.optgroup-no-label-no-legend", _true())),
+        one(h("title") & (F.col("txt") == ""), error("elements.title-not-empty", _true())),
+        one(h("script") & (low("type", "textjavascript") == "text/javascript"), warning("elements.script-type-text-javascript-warning", _true())),
+        one(h("audio") & has("controls") & above("button"), error("elements.audio-controls-in-button", _true())),
+        [(has("itemprop") & ~has("itemscope") & ~F.exists("anc", lambda a: named(a["names"], "itemscope")), [error("elements.itemprop-needs-itemscope", _true())]), (has("itemref"), [error("elements.itemref-target-exists", F.array_contains(tokens(attr("itemref")), "nonexistent"))])],
+        one(h("img") & ~has("alt", "role") & ~F.exists(F.map_keys("attrs"), lambda k: F.startswith(k, F.lit("aria-")) & (k != "aria-hidden")) & (F.coalesce(attr("title"), F.lit("")) == "") & ~above("figure"), error("elements.img-missing-alt", _true())),
+        one(h("img") & ~has("alt") & sure(F.col("bare_figure")), error("elements.img-missing-alt-in-figure", _true())),
+        one(h("a") & has("href") & above("button"), error("elements.a-href-in-button", _true())),
+        one((F.col("tag") == "a") & (F.col("ns") == "svg") & F.exists("anc", lambda a: (a["tag"] == "a") & (a["ns"] == "svg")), error("elements.svg-a-in-svg-a", _true())),
         [
             in_a("a-href", h("a") & has("href")), *(in_a(t, h(t)) for t in "a button details dialog embed iframe label select textarea".split()), *(in_a(f"{t}-controls", h(t) & has("controls")) for t in ("video", "audio")),
             *(in_a(f"{t}-usemap", h(t) & has("usemap")) for t in ("img", "object")), in_a("input", h("input") & (low("type", "hiden", False) != "hidden")), in_a("tabindex", has("tabindex")), in_a("interactive-role", sure(word.isin(WIDGETS_IN_A))),
         ],
-        one(h("footer", "header") & above("dt"), error("elements.dt-no-footer-or-header", yes)),
-        one(h("input") & (squeezed(F.coalesce(attr("autocomplete"), F.lit(""))) == "webauthn"), error("elements.input-autocomplete-webauthn-alone", yes)),
-        one(h("meta") & has("charset") & (low("charset", "utf") != "utf-8"), error("elements.meta-charset-not-utf8", yes)),
-        one(h("html") & ~has("lang"), warning("elements.html-missing-lang", yes)),
+        one(h("footer", "header") & above("dt"), error("elements.dt-no-footer-or-header", _true())),
+        one(h("input") & (squeezed(F.coalesce(attr("autocomplete"), F.lit(""))) == "webauthn"), error("elements.input-autocomplete-webauthn-alone", _true())),
+        one(h("meta") & has("charset") & (low("charset", "utf") != "utf-8"), error("elements.meta-charset-not-utf8", _true())),
+        one(h("html") & ~has("lang"), warning("elements.html-missing-lang", _true())),
     ]
 
 
@@ -400,13 +407,13 @@ def rule_ids() -> list[str]:
 
 def with_neighbours(e: DataFrame) -> DataFrame:
     """What elements say about their parents and siblings: a lazy img beside a source, the first option's text, a table's caption in a figure, a figure without caption above."""
-    lazy = e.filter(F.exists("kids", lambda k: html(k["tag"], k["ns"], "img") & sure(k["loading"] == "lazy"))).select("page_id", F.col("pre").alias("parent_id"), yes.alias("lazy_sibling"))
+    lazy = e.filter(F.exists("kids", lambda k: html(k["tag"], k["ns"], "img") & sure(k["loading"] == "lazy"))).select("page_id", F.col("pre").alias("parent_id"), _true().alias("lazy_sibling"))
     option = F.get(F.filter("kids", lambda k: html(k["tag"], k["ns"], "option")), F.lit(0))["pre"]
     first = e.filter(h("select")).select("page_id", option.alias("at"), "pre").filter("at is not null")
-    blank_first = first.join(e.filter(h("option") & (F.col("txt") == "")).select("page_id", F.col("pre").alias("at")), ["page_id", "at"]).select("page_id", "pre", yes.alias("first_option_blank"))
-    captioned = e.filter(h("table") & kid("caption")).select("page_id", F.col("parent_id").alias("pre"), yes.alias("captioned_table")).distinct()
+    blank_first = first.join(e.filter(h("option") & (F.col("txt") == "")).select("page_id", F.col("pre").alias("at")), ["page_id", "at"]).select("page_id", "pre", _true().alias("first_option_blank"))
+    captioned = e.filter(h("table") & kid("caption")).select("page_id", F.col("parent_id").alias("pre"), _true().alias("captioned_table")).distinct()
     bare = e.filter(h("figure") & ~kid("figcaption")).select("page_id", F.col("pre").alias("at"))
-    img = e.filter(h("img")).select("page_id", "pre", F.explode("anc.pre").alias("at")).join(bare, ["page_id", "at"]).select("page_id", "pre", yes.alias("bare_figure")).distinct()
+    img = e.filter(h("img")).select("page_id", "pre", F.explode("anc.pre").alias("at")).join(bare, ["page_id", "at"]).select("page_id", "pre", _true().alias("bare_figure")).distinct()
     e = e.join(lazy, ["page_id", "parent_id"], "left")
     for side in (blank_first, captioned, img):
         e = e.join(side, ["page_id", "pre"], "left")
@@ -417,10 +424,10 @@ def assertion_findings(nodes: DataFrame) -> DataFrame:
     """page_id, rule_id, severity, pre, place (numbers of pattern, rule and check, by which results are ordered) of each violated check. Pages without elements have none."""
     fired = []
     for p, rules in enumerate(patterns()):
-        before = no
+        before = _false()
         for r, (context, checks) in enumerate(rules):
             for c, (name, severity, violated) in enumerate(checks):
                 fired.append(F.when(sure(context) & ~before & sure(violated), F.struct(F.lit(f"assertion.{name}").alias("rule_id"), F.lit(severity).alias("severity"), F.lit(p * 10_000 + r * 100 + c).alias("place"))))
             before = before | sure(context)
-    e = with_neighbours(with_context(nodes))
+    e = with_neighbours(stored(with_context(nodes)))
     return e.select("page_id", "pre", F.explode(F.array_compact(F.array(*fired))).alias("f")).select("page_id", "f.rule_id", "f.severity", "pre", "f.place")

@@ -37,6 +37,11 @@ def named(names: Column, *wanted: str) -> Column:
     return reduce(lambda a, b: a | b, (F.contains(names, F.lit(f" {w} ")) for w in wanted))
 
 
+def join_parts(at: str, text: str) -> Column:
+    """The texts in order, a blank between them, white space squeezed."""
+    return squeezed(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(at, text))), lambda p: p[text]), " "))
+
+
 def html(tag: Column, ns: Column, *tags: str) -> Column:
     return (ns == "html") & tag.isin(*tags)
 
@@ -53,7 +58,7 @@ def with_context(nodes: DataFrame) -> DataFrame:
     e = nodes.filter("kind = 'element'").withColumn("names", names_of(F.col("attrs")))
     tag, ns, role = F.col("tag"), F.col("ns"), attr("role")
     span = F.coalesce(attr("colspan").try_cast("double"), F.when(attr("colspan").isNull(), F.lit(1.0)), F.lit(float("nan")))
-    kid = F.struct("pre", "tag", "ns", role.alias("role"), "names", span.alias("span"), attr("value").alias("value"), attr("type").alias("type"), attr("loading").alias("loading"))
+    kid = F.struct("pre", "tag", "ns", role.alias("role"), "names", span.alias("span"), attr("value").alias("value"), attr("type").alias("type"), attr("loading").alias("loading"), attr("src").alias("src"), attr("kind").alias("kind"))
     kids = e.filter("parent_id >= 0").groupBy("page_id", F.col("parent_id").alias("pre")).agg(F.sort_array(F.collect_list(kid)).alias("kids"))
 
     is_ = lambda *tags: html(tag, ns, *tags)
@@ -75,7 +80,7 @@ def with_context(nodes: DataFrame) -> DataFrame:
     lower = lambda c: F.lower(F.coalesce(c, F.lit("")))
     charset, typed = is_("meta") & named(F.col("names"), "charset"), is_("meta") & (lower(attr("http-equiv")) == "content-type")
     e = e.withColumns({
-        "before": F.lag("tag").over(siblings),
+        "before": F.lag("tag").over(siblings), "sib_element": F.row_number().over(siblings),
         "later_srcset": F.coalesce(F.max(is_("source", "img") & named(F.col("names"), "srcset")).over(siblings.rowsBetween(1, Window.unboundedFollowing)), F.lit(False)),
         "first_summary": is_("summary") & (F.count_if(is_("summary")).over(siblings.rowsBetween(Window.unboundedPreceding, 0)) == 1),
         "earlier": F.struct(seen(is_("h1")).alias("h1"), seen(is_("h2")).alias("h2"), seen(is_("link", "script")).alias("loads"), seen(is_("meta") & F.coalesce(attr("name") == "description", F.lit(False))).alias("description")),
@@ -93,7 +98,15 @@ def with_context(nodes: DataFrame) -> DataFrame:
     same = e.filter(html(tag, ns, "dt") & (F.col("dl") >= 0) & (F.col("txt") != "")).select("page_id", "pre", (F.row_number().over(terms) > 1).alias("same_dt")).filter("same_dt")
     e = e.join(same, ["page_id", "pre"], "left").withColumn("same_dt", F.coalesce("same_dt", F.lit(False)))
     e = with_tables(e)
-    return e.join(references(e), ["page_id", "pre"], "left")
+    return with_labelled_words(e, nodes).join(references(e), ["page_id", "pre"], "left")
+
+
+def with_labelled_words(e: DataFrame, nodes: DataFrame) -> DataFrame:
+    """labelled_words: whether an element that aria-labelledby names has text or a label; null where there is none."""
+    words = nodes.filter("kind = 'text'").filter(F.rlike("text", F.lit(r"\S"))).select("page_id", F.explode("anc.pre").alias("pre")).unionByName(e.filter(F.trim(attr("aria-label")) != "").select("page_id", "pre")).distinct()
+    target = e.filter(attr("id").isNotNull()).select("page_id", "pre", attr("id").alias("target")).join(words, ["page_id", "pre"], "left_semi").select("page_id", "target").distinct()
+    asked = e.filter(attr("aria-labelledby").isNotNull()).select("page_id", "pre", F.explode(tokens(attr("aria-labelledby"))).alias("target"))
+    return e.join(asked.join(target, ["page_id", "target"]).select("page_id", "pre", F.lit(True).alias("labelled_words")).distinct(), ["page_id", "pre"], "left")
 
 
 def with_tables(e: DataFrame) -> DataFrame:

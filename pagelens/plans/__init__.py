@@ -1 +1 @@
-
+"""How the parts of an audit are put together."""

@@ -36,8 +36,8 @@ HEADINGS = frozenset(f"h{k}" for k in range(1, 7))
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 PAGES = 32
-ANCESTOR = pa.struct([("pre", pa.int32()), ("tag", pa.string()), ("ns", pa.string()), ("role", pa.string()), ("names", pa.string()), ("target", pa.string())])
-SCHEMA = "page_id long, node_id int, parent_id int, pre int, post int, depth int, sib int, kind string, tag string, ns string, attrs map<string,string>, text string, anc array<struct<pre:int,tag:string,ns:string,role:string,names:string,target:string>>"
+ANCESTOR = pa.struct([("pre", pa.int32()), ("tag", pa.string()), ("ns", pa.string()), ("role", pa.string()), ("names", pa.string()), ("target", pa.string()), ("hidden", pa.bool_())])
+SCHEMA = "page_id long, node_id int, parent_id int, pre int, post int, depth int, sib int, kind string, tag string, ns string, attrs map<string,string>, text string, anc array<struct<pre:int,tag:string,ns:string,role:string,names:string,target:string,hidden:boolean>>"
 NAMES = "node_id parent_id pre post depth sib kind tag ns attrs text".split()
 
 
@@ -153,7 +153,7 @@ def _rows(ids: list, htmls: list[str | None]) -> pa.RecordBatch:
             offsets.append(len(places))
         base += n
     own = [a or {} for a in cols["attrs"]]
-    every = pa.StructArray.from_arrays([pa.array(cols["pre"], pa.int32()), pa.array(cols["tag"], pa.string()), pa.array(cols["ns"], pa.string()), pa.array([a.get("role") for a in own], pa.string()), pa.array([f" {' '.join(a)} " for a in own], pa.string()), pa.array([a.get("for") for a in own], pa.string())], fields=list(ANCESTOR))
+    every = pa.StructArray.from_arrays([pa.array(cols["pre"], pa.int32()), pa.array(cols["tag"], pa.string()), pa.array(cols["ns"], pa.string()), pa.array([a.get("role") for a in own], pa.string()), pa.array([f" {' '.join(a)} " for a in own], pa.string()), pa.array([a.get("for") for a in own], pa.string()), pa.array(["hidden" in a or a.get("aria-hidden") == "true" for a in own], pa.bool_())], fields=list(ANCESTOR))
     types = dict.fromkeys("node_id parent_id pre post depth sib".split(), pa.int32()) | {"attrs": pa.map_(pa.string(), pa.string())}
     values = [pa.array([a if a is None else list(a.items()) for a in cols[n]] if n == "attrs" else cols[n], types.get(n, pa.string())) for n in NAMES]
     return pa.RecordBatch.from_arrays([pa.array(page, pa.int64()), *values, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), every.take(pa.array(np.array(places, np.int64))))], ["page_id", *NAMES, "anc"])

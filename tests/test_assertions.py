@@ -254,7 +254,7 @@ GOOD = [
     "<table><colgroup><col><col></colgroup><thead><tr><th id=a scope=col>x<th>y</thead><tbody><tr><td headers=a>1<td>2</tbody></table>",
     "<table><tr><td colspan=2>x<tr><td>a<td><table><tr><td>n<td>m<td>o</table></table>",
     "<picture><source srcset='a 2x' media=print><img alt=x srcset='b 2x'></picture><img alt='' src=y><figure><img src=x><figcaption>z</figcaption></figure>",
-    "<b role=tab aria-selected=true aria-controls=q>x</b><i role=tabpanel id=q>x</i><b role=tab aria-selected=true id=r>x</b><i role='x tabpanel' aria-labelledby=r>x</i>",
+    "<b role=tab aria-selected=true aria-controls=q>x</b><i role=tabpanel id=q>x</i><b role=tab aria-selected=true id=r>x</b><ul role='x tabpanel' aria-labelledby=r><li>x</ul>",
     "<div role=listbox aria-owns='k l'></div><b role=option id=l>x</b><div role=row aria-owns=c></div>".replace("<div role=row aria-owns=c></div>", "<div role=grid><div role=row><b role=cell>x</b></div></div>"),
     "<select required><option value=''>choose</option><option>x</option></select><select><button>x</button><option>y</select>",
     "<dl><dt>a<dd>b</dl><dl><dt>a<dd>c</dl><input autofocus><dialog><input autofocus></dialog><details><summary>x</summary></details>",
@@ -281,7 +281,7 @@ def found(spark):
     return out
 
 
-def test_there_are_282():
+def test_there_are_282(spark):
     ids = assertions.rule_ids()
     assert len(ids) == len(set(ids)) == 282 and {i.removeprefix("assertion.") for i in ids} == set(BAD)
 
