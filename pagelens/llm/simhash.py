@@ -224,9 +224,8 @@ def measured(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def first_links(nodes: DataFrame) -> DataFrame:
     """a, b, d of neighbours in the keys of every FIRST_STEP-th place, by an order that is the same for every key: few links that join the copies of a group."""
-    keys = nodes.select("node", F.explode(ring_keys(FIRST_STEP)).alias("key"))
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    dealt = keys.join(sizes, "key").withColumn("order", F.xxhash64("node")).withColumn("salt", F.pmod(F.col("order"), F.ceil(F.col("n") / MEETING)))
+    keys = nodes.select("node", F.explode(ring_keys(FIRST_STEP)).alias("key")).withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
+    dealt = keys.withColumn("order", F.xxhash64("node")).withColumn("salt", F.pmod(F.col("order"), F.ceil(F.col("n") / MEETING)))
     near = dealt.select("node", F.lag("node").over(Window.partitionBy("key", "salt").orderBy("order", "node")).alias("other"))
     pairs = near.filter("other is not null").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     return measured(pairs, nodes)
@@ -236,20 +235,20 @@ def similar_links(nodes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """a, b: links that connect whatever of `nodes` (node, bits) meets, differs in at most LOOSE bits and is similar.
 
     Fingerprints meet where CHAIN consecutive segments of the ring are equal. first_links() joins most copies. Then keys are looked at whose
-    members still lie in different components, which an aggregation finds: a key of two members is a pair; of larger ones the members are
-    fetched and compared across components in blocks (`links_left`), so none that meet are left out.
+    members still lie in different components: a key of two members is a pair; members of larger ones are
+    compared across components in blocks (`links_left`), so none that meet are left out. Members of a key are counted by windows, which
+    spill; equal texts are one member, so a key is as large as the number of different texts that share its bits.
     """
     near = written(first_links(nodes))
     first = written(similar(near, texts, width))
     label = components(nodes.select("node", F.col("node").alias("label")), first)
     labelled = written(nodes.join(label, "node"))
-    spread = labelled.repartition(-(-max(1, labelled.count()) // SPELT))
-    keys = spread.select("node", "label", F.explode(ring_keys(1)).alias("key"))
-    met = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.min("node").alias("a"), F.max("node").alias("b"))
-    met = written(met.filter("low < high").select("key", "n", "a", "b"))
-    pairs = measured(met.filter("n = 2").select("a", "b").distinct(), nodes)
-    many = keys.join(few(met.filter("n > 2").select("key")), "key")
-    rest = written(pairs.unionByName(links_left(labelled, many)))
+    spread = labelled.select("node", "label", "bits").repartition(-(-max(1, labelled.count()) // SPELT))
+    own = Window.partitionBy("key")
+    met = spread.select("node", "label", F.explode(ring_keys(1)).alias("key")).withColumns({"n": F.count("*").over(own), "low": F.min("label").over(own), "high": F.max("label").over(own)})
+    met = written(met.filter("low < high").select("key", "node", "label", "n"))
+    pairs = measured(met.filter("n = 2").groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).select("a", "b").distinct(), nodes)
+    rest = written(pairs.unionByName(links_left(labelled, met.filter("n > 2").select("key", "node", "label"))))
     found = written(first.unionByName(similar(rest, texts, width)))
     forget(near, first, labelled, met, rest)
     return found
@@ -259,17 +258,18 @@ def links_left(labelled: DataFrame, met: DataFrame) -> DataFrame:
     """a, b, d: links between components (`label`) among all that meet in a key (`met`: key, node, label).
 
     A key's largest component isn't compared with itself. It and the key's others are cut into blocks of about WIDE_BLOCK; each block of
-    others meets each block, and gives one sure link for each two components, or the nearest of each node.
+    others meets each block, and gives one sure link for each two components, or the nearest of each node. The bits are joined to nodes, each with the
+    list of its blocks (at most one for each place of the ring), and not to its places one by one.
     """
-    met = written(met.select("key", "node", "label"))
-    sizes = met.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.max("n").alias("most"), F.sum("n").alias("n"))
-    parts = sizes.select("key", "top", F.ceil(F.col("most") / WIDE_BLOCK).cast("int").alias("tops"), F.ceil((F.col("n") - F.col("most")) / WIDE_BLOCK).cast("int").alias("rest"))
-    is_top = F.col("label") == F.col("top")
+    own = Window.partitionBy("key")
+    sized = met.withColumn("_same", F.count("*").over(Window.partitionBy("key", "label"))).withColumns({"_n": F.count("*").over(own), "_top": F.max(F.struct(F.col("_same").alias("most"), F.col("label").alias("top"))).over(own)})
+    sized = sized.withColumns({"tops": F.ceil(F.col("_top.most") / WIDE_BLOCK).cast("int"), "rest": F.ceil((F.col("_n") - F.col("_top.most")) / WIDE_BLOCK).cast("int"), "is_top": F.col("label") == F.col("_top.top")})
     # Blocks of others have the numbers from 0 on, those of the largest component follow.
-    block = F.pmod(F.xxhash64("node", "key"), F.when(is_top, F.col("tops")).otherwise(F.col("rest"))).cast("int") + F.when(is_top, F.col("rest")).otherwise(0)
-    last = F.when(is_top, F.col("rest")).otherwise(F.col("rest") + F.col("tops")) - 1
-    dealt = met.join(parts, "key").withColumns({"block": block, "other": F.explode(F.sequence(F.lit(0), last))})
-    dealt = dealt.select("key", "node", "label", "block", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2")).join(labelled.select("node", "bits"), "node")
+    block = F.pmod(F.xxhash64("node", "key"), F.when(F.col("is_top"), F.col("tops")).otherwise(F.col("rest"))).cast("int") + F.when(F.col("is_top"), F.col("rest")).otherwise(0)
+    last = F.when(F.col("is_top"), F.col("rest")).otherwise(F.col("rest") + F.col("tops")) - 1
+    places = sized.select("node", "label", F.struct("key", block.alias("block"), last.alias("last")).alias("place")).groupBy("node", "label").agg(F.collect_list("place").alias("places"))
+    dealt = places.join(labelled.select("node", "bits"), "node").select("node", "label", "bits", F.explode("places").alias("p")).select("node", "label", "bits", "p.key", "p.block", F.explode(F.sequence(F.lit(0), F.col("p.last"))).alias("other"))
+    dealt = dealt.select("key", "node", "label", "bits", "block", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"))
     return dealt.groupBy("key", "b1", "b2").applyInPandas(wide_links, "a long, b long, d int").groupBy("a", "b").agg(F.min("d").alias("d"))
 
 
