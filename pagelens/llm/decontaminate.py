@@ -3,8 +3,8 @@
 Passages are runs of WINDOW words. Their vectors hold the square roots of word counts times inverse document frequencies, over the
 benchmark's words; other words only lengthen a vector. A passage whose part in these words is too small can't reach the
 least cosine with any item (Cauchy-Schwarz) and is passed over, unless it has RUN words of an item in a row. A distributed randomised
-singular value decomposition of the other passages and the items gives the latent space: a range finder over the Gram matrix, the projection on
-that range, and the small decomposition of what is projected, cut where its singular values vanish. Passages near an item in it are candidates, and so are those
+singular value decomposition of the other passages and the items gives the latent space: one pass over the Gram matrix makes a sketch, a small
+decomposition of it the singular vectors, cut where the singular values vanish. Passages near an item in it are candidates, and so are those
 with a run of an item's words, however frequent these are. The longest common subsequence of words, plain or weighted by how rare they are, and the item's answer decide,
 so a paraphrase with up to half of its words replaced, or with its clauses swapped, is found.
 """
@@ -24,9 +24,9 @@ from .common import checkpoint, rows_of, written
 
 WINDOW, STRIDE = 32, 16
 #: Least latent cosine of a candidate; shares of the item's words, or else of their weight by rareness, that the common subsequence must have; share of the answer's words.
-LEAST_COSINE, LEAST_COMMON, LEAST_WEIGHT, LEAST_ANSWER = 0.3, 0.75, 0.4, 0.25
+LEAST_COSINE, LEAST_COMMON, LEAST_WEIGHT, LEAST_ANSWER = 0.33, 0.75, 0.4, 0.25
 #: Singular values under this share of the largest one are cut off.
-LEAST_SINGULAR = 1e-4
+LEAST_SINGULAR = 1e-3
 #: Items searched for at once, the bytes and pieces they may have, which bound what is broadcast; more are searched for in blocks. Dimensions beyond one for each piece.
 MOST_ITEMS, MOST_BYTES, MOST_PIECES, SPARE_DIMENSIONS = 480, 4_000_000, 960, 32
 #: Words in a row that make a candidate besides those of the latent space.
@@ -198,33 +198,28 @@ def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(data), np.int32), np.array([len(x) // 4 for x in data])
 
 
-def _spread(numbers: np.ndarray, sizes: np.ndarray, weight: np.ndarray, rows: np.ndarray, words: int) -> np.ndarray:
-    """The transposed matrix of some passages times `rows` (one for each of them)."""
-    out = np.zeros((words, rows.shape[1]), np.float32)
+def _spread(total: np.ndarray, numbers: np.ndarray, sizes: np.ndarray, weight: np.ndarray, rows: np.ndarray) -> None:
+    """Adds the transposed matrix of some passages times `rows` (one for each of them) to `total`."""
     order = np.argsort(numbers, kind="stable")
     row = np.repeat(np.arange(len(sizes)), sizes)[order]
     word, begin = np.unique(numbers[order], return_index=True)
-    out[word] = np.add.reduceat(rows[row] * weight[order][:, None], begin, axis=0)
-    return out
+    total[word] += np.add.reduceat(rows[row] * weight[order][:, None], begin, axis=0)
 
 
-def _summed(passages: DataFrame, idf: np.ndarray, right: np.ndarray, of) -> np.ndarray:
-    """The sum over batches of passages of a matrix, of(numbers, sizes, weight, passages times right): added in slices, by trees of tasks none of which sees more than some dozens at once."""
+def _gram_times(passages: DataFrame, idf: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The passages' matrix, transposed, times itself times `right`: added in slices of the words, by trees of tasks none of which sees more than some dozens at once."""
     shared = passages.sparkSession.sparkContext.broadcast(right.astype(np.float32))
     slices = 16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        right, total = shared.value, None
+        right, total = shared.value, np.zeros(shared.value.shape, np.float32)
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 numbers, sizes = _unpacked(batch.column(0).slice(at, 2048))
                 weight = token_weights(numbers, sizes, idf)
-                found = of(numbers, sizes, weight, rows_times(numbers, sizes, weight, right))
-                total = found if total is None else np.add(total, found, out=total)
-        if total is not None:
-            task = TaskContext.get().partitionId()
-            parts = np.array_split(total, slices)
-            yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([task] * slices, pa.int64()), pa.array([len(p) for p in parts], pa.int32()), pa.array([p.astype(np.float32).tobytes() for p in parts], pa.binary())], ["slice", "task", "rows", "data"])
+                _spread(total, numbers, sizes, weight, rows_times(numbers, sizes, weight, right))
+        parts = np.array_split(total, slices)
+        yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([TaskContext.get().partitionId()] * slices, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["slice", "task", "data"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(len(pdf["data"].iloc[0]) // 4)
@@ -232,36 +227,37 @@ def _summed(passages: DataFrame, idf: np.ndarray, right: np.ndarray, of) -> np.n
             total += np.frombuffer(d, np.float32)
         return pdf.iloc[:1].assign(data=[total.astype(np.float32).tobytes()])
 
-    sums = passages.select("numbers").mapInArrow(run, "slice int, task long, rows int, data binary")
-    for width in (1 << 14, 1 << 7, 1):
-        sums = sums.withColumn("task", F.col("task") % width).groupBy("slice", "task").applyInPandas(add, "slice int, task long, rows int, data binary")
-    found = sorted(sums.collect(), key=lambda r: r["slice"])  # of the size of the matrix
-    return np.concatenate([np.frombuffer(r["data"], np.float32).reshape(r["rows"], -1) if r["rows"] else np.zeros((0, 0), np.float32) for r in found if r["rows"]]).astype(np.float64) if found else None
+    sums = passages.select("numbers").mapInArrow(run, "slice int, task long, data binary")
+    for width in (1 << 7, 1):
+        sums = sums.withColumn("task", F.col("task") % width).groupBy("slice", "task").applyInPandas(add, "slice int, task long, data binary")
+    found = {r["slice"]: r["data"] for r in sums.collect()}  # of the size of `right`
+    shapes = [len(p) for p in np.array_split(right, slices)]
+    return np.concatenate([np.frombuffer(found[k], np.float32).reshape(n, right.shape[1]) if k in found else np.zeros((n, right.shape[1]), np.float32) for k, n in enumerate(shapes)]).astype(np.float64)
 
 
 def latent_basis(passages: DataFrame, items: Items, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The leading right singular vectors (as columns) and singular values of the passages and items; items weigh as much as all passages together.
 
-    A range finder multiplies the Gram matrix with random columns; the matrix is projected on the range found, and the small matrix of the
-    projections is decomposed. Singular values under LEAST_SINGULAR of the largest are cut off.
+    One pass multiplies the Gram matrix with random columns; from that sketch alone its eigenvectors are found (the randomised Nystrom form of the singular value
+    decomposition: the sketch, made orthogonal against the small core between it and the random columns, and the small decomposition of what comes out). Singular values under LEAST_SINGULAR of the largest are cut off.
     """
     size, words = min(len(items.pieces) + SPARE_DIMENSIONS, len(idf)), len(idf)
     numbers = np.concatenate([p for _, p in items.pieces])
     sizes = np.array([len(p) for _, p in items.pieces])
     weight = token_weights(numbers, sizes, idf)
-    share = max(1.0, passages.count() / max(1, len(sizes)))
-    ours = lambda right, of: share * of(numbers, sizes, weight, rows_times(numbers, sizes, weight, right.astype(np.float32))).astype(np.float64)
-
-    def total(right: np.ndarray, of) -> np.ndarray:
-        theirs = _summed(passages, idf, right, of)
-        return ours(right, of) if theirs is None else theirs + ours(right, of)
-
-    start = np.random.default_rng(7).standard_normal((words, size))
-    range_ = np.linalg.qr(total(start, lambda n, s, w, y: _spread(n, s, w, y, words)))[0]
-    values, turn = np.linalg.eigh(total(range_, lambda n, s, w, y: y.T @ y))
-    singular = np.sqrt(np.maximum(values[::-1], 0.0))
+    start = np.linalg.qr(np.random.default_rng(7).standard_normal((words, size)))[0]
+    ours = np.zeros((words, size), np.float32)
+    _spread(ours, numbers, sizes, weight, rows_times(numbers, sizes, weight, start.astype(np.float32)))
+    sketch = _gram_times(passages, idf, start) + max(1.0, passages.count() / max(1, len(sizes))) * ours
+    shift = 1e-6 * np.linalg.norm(sketch)  # more than what single precision loses
+    sketch = sketch + shift * start
+    core = start.T @ sketch
+    values, turn = np.linalg.eigh((core + core.T) / 2)
+    root = turn / np.sqrt(np.maximum(values, shift / 2))
+    vectors, singular, _ = np.linalg.svd(sketch @ root, full_matrices=False)
+    singular = np.sqrt(np.maximum(singular**2 - shift, 0.0))
     kept = max(1, int((singular > LEAST_SINGULAR * singular[0]).sum()))
-    return (range_ @ turn[:, ::-1][:, :kept]).astype(np.float32), singular[:kept]
+    return np.ascontiguousarray(vectors[:, :kept]).astype(np.float32), singular[:kept]
 
 
 def _search(docs: DataFrame, items: Items) -> DataFrame:
