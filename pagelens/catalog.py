@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.operators import reports, structure, trees, web
+from pagelens.functions import datatypes
+from pagelens.operators import assertions, cascade, conform, names, perception, policies, reports, semantics, structure, trees, web
+from pagelens.plans.examples import BREAKS, SEMANTICS, STRUCTURE, VALUES, whole_page
+from pagelens.plans.store import stored
+from pagelens.sources import files
 from pagelens.sources.html_nodes import html_nodes
 
-ROBOTS = [("/en/", False), ("/en/1", True), ("/fr/", False), ("/de/8", False)]
+# Rules of a robots.txt, as the queries and their SQL both know them: allowed, disallowed.
+ALLOWS, DISALLOWS = ["/en/1", "/fr/*5$", "/de/80"], ["/en/", "/fr/", "/de/8", "/*/99$", ""]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,25 +23,273 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of the document rules, with a count for each page and rule."""
+    """Runs of the document rules over the pages' node table, with a count for each page and rule."""
     pages = read(spark, sf_dir, "pages")
-    empty = F.coalesce(F.trim(web.title(F.col("html"))) == "", F.lit(True))
-    rules = {"document/lang-missing": ~F.rlike("html", F.lit("<html[^>]* lang=")), "document/title-empty": empty, "zoom/viewport-missing": ~F.contains("html", F.lit('name="viewport"'))}
-    found = F.array_compact(F.array(*(F.when(c, F.lit(r)) for r, c in rules.items())))
-    findings = pages.select("page_id", F.explode(found).alias("rule_id"))
-    return reports.rule_runs(pages, spark.createDataFrame([(r,) for r in rules], "rule_id string"), findings)
+    return reports.rule_runs(pages, ["document/lang-missing", "document/title-empty", "zoom/viewport-missing"], structure.document_findings(html_nodes(pages)))
+
+
+def nodes_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' node table, written once."""
+    return stored(html_nodes(read(spark, sf_dir, "pages")))
+
+
+def example_pages(spark: SparkSession, sf_dir: str, fragments: list[str]) -> DataFrame:
+    """A page for each part: every other one a fragment that breaks a rule, by turns; the others plain."""
+    k = F.col("p_partkey") % (2 * len(fragments))
+    html = F.when(k % 2 == 0, F.element_at(F.array(*(F.lit(whole_page(x)) for x in fragments)), (F.floor(k / 2) + 1).cast("int"))).otherwise("<html lang=en><head><title>t</title></head><body><main><h1>x</h1></main></body></html>")
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("page_id"), html.alias("html"))
+
+
+def _examples(rules: dict, findings: Callable[[DataFrame], DataFrame], prefix: str, columns: list[str]) -> Callable[[SparkSession, str], DataFrame]:
+    """The findings that the pages of example_pages() are made for."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        fragments = [x if isinstance(x, str) else x[0] for x in rules.values()]
+        nodes = stored(html_nodes(example_pages(spark, sf_dir, fragments)))
+        ids = F.array(*(F.lit(prefix + name) for name in rules))
+        k = F.col("page_id") % (2 * len(rules))
+        return findings(nodes).filter((k % 2 == 0) & (F.col("rule_id") == F.element_at(ids, (F.floor(k / 2) + 1).cast("int")))).select("page_id", *columns).distinct()
+
+    return run
+
+
+def _examples_sql(rules: dict, prefix: str, columns: list[str]) -> str:
+    rows = ", ".join(f"({2 * k}, '{prefix}{name}'" + "".join(f", '{x}'" for x in (() if isinstance(rule, str) else rule[1:])) + ")" for k, (name, rule) in enumerate(rules.items()))
+    return f"SELECT p_partkey AS page_id, {', '.join(f'r.{c}' for c in columns)} FROM part JOIN (VALUES {rows}) r(k, {', '.join(['rule_id', 'outcome', 'severity'][: 1 + (0 if isinstance(next(iter(rules.values())), str) else 2)])}) ON p_partkey % {2 * len(rules)} = r.k"
+
+
+CASES = [(name, value, ok) for name, (good, bad) in VALUES.items() for values, ok in ((good, True), (bad, False)) for value in values]
+
+
+def _datatype_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each part one value and datatype by turns, and whether the value is of it."""
+    case = F.element_at(F.array(*(F.struct(F.lit(n).alias("datatype"), F.lit(v).alias("value")) for n, v, _ in CASES)), (F.col("p_partkey") % len(CASES) + 1).cast("int"))
+    rows = read(spark, sf_dir, "part").select("p_partkey", case.alias("c")).select("p_partkey", "c.datatype", "c.value")
+    return rows.select("p_partkey", "datatype", F.coalesce(*(F.when(F.col("datatype") == n, datatypes.is_valid(F.col("value"), n)) for n in datatypes.NAMES)).alias("valid"))
+
+
+#: Datatypes that are one expression RE2 reads as well, for whole columns.
+PLAIN = [n for n in datatypes.PATTERNS if n not in ("meta-charset", "xml-name", "media-query", "source-size-list", "svg-pathdata", "integrity-metadata", "iri", "IDREFS", "non-empty-string", "string", "hash-name", "browsing-context", "browsing-context-or-keyword", "email-address", "email-address-list", "color")]
+
+
+def _datatype_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the values in columns of the tables are of each plain datatype."""
+    orders, events, parts = (read(spark, sf_dir, t) for t in ("orders", "events", "part"))
+    values = orders.select(F.lit("day").alias("source"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("value")).unionByName(orders.select(F.lit("price").alias("source"), F.col("o_orderpriority").alias("value"))).unionByName(events.select(F.lit("event").alias("source"), F.col("event_id").cast("string").alias("value"))).unionByName(parts.select(F.lit("name").alias("source"), F.col("p_name").alias("value")))
+    checks = F.array(*(F.struct(F.lit(n).alias("datatype"), datatypes.is_valid(F.col("value"), n).alias("ok")) for n in PLAIN))
+    return values.select("source", F.explode(checks).alias("c")).groupBy("source", "c.datatype").agg(F.count_if("c.ok").alias("valid"), F.count("*").alias("n"))
+
+
+def _robots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.regexp_extract("url", r"^[A-Za-z]+://[^/?#]*(/[^?#]*)", 1)
+    rules = lambda names: F.array(*map(F.lit, names))
+    return read(spark, sf_dir, "pages").select("page_id", path.alias("path")).withColumn("allowed", ~web.path_is_disallowed(rules(DISALLOWS), rules(ALLOWS), F.col("path")))
+
+
+def _robots_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A robots.txt for each customer, parsed, with the class of each group's first agent."""
+    text = F.concat(F.lit("# c\nUser-Agent: GPTBot\nUser-agent: *\nDisallow: /"), F.lower("c_mktsegment"), F.lit("\nAllow: /x\nCrawl-delay: 5\n\nuser-agent: "), F.when(F.col("c_custkey") % 3 == 0, "Mozilla Bingbot").when(F.col("c_custkey") % 3 == 1, "Claude-SearchBot").otherwise("thing"), F.lit("\ndisallow:\nnonsense"))
+    groups = read(spark, sf_dir, "customer").select("c_custkey", F.posexplode(web.robots_groups(text)).alias("number", "g"))
+    return groups.select("c_custkey", "number", F.size("g.agents").alias("agents"), F.size("g.allows").alias("allows"), F.array_join("g.disallows", "|").alias("disallows"), web.bot_class(F.get("g.agents", F.lit(0))).alias("first_class"))
+
+
+def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = F.element_at(F.array(*map(F.lit, ("x-default", " de ", "de-AT", "zh-Hant-TW", "deutsch", "en-1"))), (F.col("c_custkey") % 6 + 1).cast("int"))
+    href = F.concat(F.lit("HTTPS://Example.com/"), F.col("c_nationkey").cast("string"), F.when(F.col("c_custkey") % 2 == 0, "/").otherwise(""), F.when(F.col("c_custkey") % 7 == 0, "?").otherwise("#top"))
+    rows = read(spark, sf_dir, "customer").select("c_nationkey", code.alias("hreflang"), F.when(F.col("c_custkey") % 3 == 0, href).otherwise("https://example.com/other").alias("href"), F.concat(F.lit("https://example.com/"), F.col("c_nationkey").cast("string")).alias("url"))
+    return web.language_set(rows.withColumn("url", F.col("url")).groupBy("c_nationkey", "hreflang", "href", "url").agg(F.count("*").alias("_")).drop("_").withColumn("page", F.col("c_nationkey")), "page", "url")
+
+
+def _same_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = F.concat(F.lit(" HTTP://Host.Example/p"), (F.col("c_custkey") % 10).cast("string"), F.when(F.col("c_custkey") % 2 == 0, "//").otherwise(""), F.when(F.col("c_custkey") % 5 == 0, "?u=/B/").when(F.col("c_custkey") % 5 == 1, "?").otherwise(""), F.lit("#x "))
+    return read(spark, sf_dir, "customer").select("c_custkey", web.page_key(a).alias("page_key"))
+
+
+def _social(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    tag = lambda name, value, when=None: (lambda pair: pair if when is None else F.when(when, pair))(F.struct(F.lit(name).alias("k"), (F.lit(value) if isinstance(value, str) else value).alias("v")))
+    tags = F.map_from_entries(F.array_compact(F.array(
+        tag("og:title", F.col("c_name")), tag("og:description", "d", k % 2 == 0), tag("og:image", F.when(k % 9 == 0, "/i.png").otherwise("https://e.x/i.png"), k % 3 == 0), tag("og:url", F.when(k % 4 == 0, " ").otherwise("u")),
+        tag("twitter:card", F.when(k % 5 == 0, "Summary").otherwise(" summary ")), tag("twitter:title", "t", k % 2 == 1),
+    )))
+    return read(spark, sf_dir, "customer").select("c_custkey", web.social(tags).alias("s")).select("c_custkey", "s.*")
+
+
+def _data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON-LD block for each part, of several kinds by turns."""
+    k = F.col("p_partkey") % 8
+    product = F.to_json(F.struct(F.lit("https://schema.org/").alias("@context"), F.lit("Product").alias("@type"), F.col("p_name").alias("name")))
+    json = (
+        F.when(k == 0, product).when(k == 1, F.lit('{"@context":"https://schema.org","@graph":[{"@type":"Product"},{"@type":["http://schema.org/Person/","Organization"],"name":"x"}]}')).when(k == 2, F.lit("")).when(k == 3, F.lit("{"))
+        .when(k == 4, F.lit('{"@type":"Product","name":"x"}')).when(k == 5, F.lit('{"@context":"https://other.example","@type":"Product"}')).when(k == 6, F.lit("[]")).otherwise(F.lit('{"@context":"https://schema.org"}'))
+    )
+    return web.data_nodes(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), F.lit(0).alias("block"), json.alias("json")))
+
+
+def _policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey") % 6
+    text = F.when(k == 0, "default-src 'self'; Script-Src 'none'").when(k == 1, "foo-src x; img-src https: data:").when(k == 2, "img-src 'self'; img-src *").when(k == 3, "report-uri /r, upgrade-insecure-requests;;").when(k == 4, "script-src 'sha256-abc=' 'nonce-x' 'strict-dynamic'").otherwise("sandbox allow-forms allow-bogus")
+    return policies.directive_table(read(spark, sf_dir, "orders").select("o_orderkey", text.alias("policy")), "policy").select("o_orderkey", "policy", "place", "name", F.coalesce("kind", F.lit("unknown")).alias("kind"), F.coalesce("clean", F.lit(False)).alias("clean"), "doubled", "deprecated")
+
+
+def _finding_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule = F.concat(F.lit("rule/"), F.lower("o_orderstatus"))
+    at = F.concat(F.lit("  NAV > LI.Item-"), F.col("o_orderkey").cast("string"), F.lit("  A "))
+    return read(spark, sf_dir, "orders").select("o_orderkey", reports.finding_id(rule, F.array(F.col("o_orderpriority"), at)).alias("finding_id"), reports.root_cause_id(rule, at).alias("root_cause"), reports.finding_id(rule, F.array().cast("array<string>")).alias("page_id"), reports.finding_id_at(rule, F.lit("a.html"), F.col("o_custkey"), F.lit(7)).alias("placed"))
+
+
+def _criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("page_id"), F.col("event_type").alias("criterion"), F.when(F.col("value") > 90, "fail").when(F.col("value") > 50, "pass").otherwise("review").alias("outcome"), (F.col("event_id") % 3 == 0).alias("applicable"))
+    every = e.select("page_id").distinct().withColumn("criterion", F.explode(F.array(*map(F.lit, ("click", "error", "purchase", "never")))))
+    return reports.criterion_states(every, e.filter("criterion <> 'click'"), e.filter("criterion <> 'click'").select("page_id", "criterion", "applicable"))
+
+
+def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    level = F.element_at(F.array(*map(F.lit, ("A", "AA", "AAA"))), (F.col("p_partkey") % 3 + 1).cast("int"))
+    severity = F.element_at(F.array(*map(F.lit, ("low", "medium", "high", "critical"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return read(spark, sf_dir, "part").select("p_partkey", reports.level_included(level, "AA").alias("included"), reports.axe_impact(severity).alias("impact"))
+
+
+def _line_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings in files, from orders' lines: what the formats are made of."""
+    l = read(spark, sf_dir, "lineitem")  # noqa: E741
+    return l.select(F.concat(F.lit("f"), (F.col("l_orderkey") % 50).cast("string"), F.lit(".html")).alias("path"), F.col("l_orderkey").alias("line"), F.col("l_linenumber").alias("column"), F.concat(F.lit("rule/"), F.lower("l_returnflag")).alias("rule_id"), F.when(F.col("l_linestatus") == "O", "fail").otherwise("review").alias("outcome"), F.lit("a <b> & c").alias("message"))
+
+
+def _selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = reports.selected(_line_findings(spark, sf_dir), ["rule/a", "rule/r*"], ["rule/r"])
+    messages = spark.createDataFrame([("rule/a", "en", "hello"), ("rule/a", "de", "hallo"), ("rule/r", "en", "bye")], "rule_id string, locale string, message string")
+    return reports.localized(found.drop("message"), messages, "de").groupBy("rule_id", "message").agg(F.count("*").alias("n"))
+
+
+def _styled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small page for each part, with rules of several strengths: the colour that wins on each element."""
+    html = F.concat(F.lit("<div class='"), F.lower("p_brand"), F.lit("'><p id=a class=x>1<b>2</b></p><p class='x y'>3</p><p>4</p></div>"))
+    elements = stored(cascade.placed(html_nodes(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), F.regexp_replace(html, "#", "-").alias("html")))))
+    rows = [(1, "p", "red", False, "author"), (2, ".x", "green", False, "author"), (3, "#a", "blue", False, "author"), (4, "div > p:last-child", "gray", False, "author"), (5, ".y", "black", True, "author"), (6, "p:hover", "white", False, "author"), (7, "div", "navy", False, "user"), (8, "p:not(.x):nth-child(odd)", "pink", False, "author")]
+    rules = spark.createDataFrame([(None, n, s, "color", v, i, o, None) for n, s, v, i, o in rows], "page_id long, rule_no int, selector string, property string, value string, important boolean, origin string, layer int")
+    won = cascade.winners(cascade.matched(elements, rules))
+    value = cascade.computed(elements, won, "color", "canvastext")
+    return value.join(won.select("page_id", "pre", "certain"), ["page_id", "pre"], "left").join(elements.select("page_id", "pre", "tag"), ["page_id", "pre"]).select("page_id", "pre", "tag", "value", F.coalesce("certain", F.lit(True)).alias("certain"))
+
+
+SELECTORS = {"a": (0, 0, 1), "#x .y z": (1, 1, 1), "a[href]:hover::before": (0, 2, 2), ":where(#q) p": (0, 0, 1), "ul li:not(.k)": (0, 1, 2), ":is(#i, .c)": (1, 1, 0), "p:first-line": (0, 0, 2), "*": (0, 0, 0)}
+
+
+def _specificity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.element_at(F.array(*map(F.lit, SELECTORS)), (F.col("p_partkey") % len(SELECTORS) + 1).cast("int"))
+    return read(spark, sf_dir, "part").select("p_partkey", cascade.specificity(s).alias("s"), cascade.index_key(s).alias("key")).select("p_partkey", "s.*", "key")
+
+
+def _background(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half-transparent layers over one another: what is seen behind each line of an order."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page_id"), F.lit(0).alias("pre"), F.array().cast("array<struct<pre:int>>").alias("anc"), (F.col("o_custkey") % 256).cast("double").alias("g"), F.lit(1.0).alias("a"))
+    l = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey")).select(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").cast("int").alias("pre"), F.array(F.struct(F.lit(0).alias("pre"))).alias("anc"), (F.col("l_partkey") % 256).cast("double").alias("g"), F.lit(0.5).alias("a"))  # noqa: E741
+    rows = o.unionByName(l)
+    colours = rows.select("page_id", "pre", F.struct(F.lit(0.0).alias("r"), F.col("g"), F.lit(0.0).alias("b"), F.col("a")).alias("colour"))
+    return cascade.effective_background(rows, colours).select("page_id", "pre", F.round("background.g", 4).alias("g"), F.round("background.a", 4).alias("a"))
+
+
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey") % 6
+    value = F.element_at(F.array(*map(F.lit, ("12px", "1.5em", "150%", "larger", "x-large", "12pt"))), (k + 1).cast("int"))
+    weight = F.element_at(F.array(*map(F.lit, ("bold", "bolder", "lighter", "normal", "350", "bolder"))), (k + 1).cast("int"))
+    return read(spark, sf_dir, "part").select("p_partkey", F.round(cascade.font_size(value, F.lit(20.0), F.lit("p")), 4).alias("size"), cascade.font_weight(weight, (F.col("p_size") * 20).cast("int")).alias("weight"))
+
+
+def _diff_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree of a user before and after: events by parity, hidden below a value, one of them checked."""
+    e = read(spark, sf_dir, "events").filter("event_type <> 'error'").groupBy("user_id", "event_type", (F.col("event_id") % 2).alias("side")).agg(F.max("value").alias("v"))
+    checked = F.map_from_arrays(F.array(F.lit("checked")), F.array(F.when(F.col("v") > 75, "true").otherwise("false")))
+    tree = e.select("user_id", F.col("event_type").alias("node_id"), (F.col("v") < 40).alias("ignored"), checked.alias("properties"), F.lit(None).cast("long").alias("backend_id"), "side")
+    return perception.tree_diff(tree.filter("side = 0"), tree.filter("side = 1"), "user_id").select("user_id", "node_id", "change", "property", "before", "after")
+
+
+def _announced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    role = F.element_at(F.array(*map(F.lit, ("heading", "searchbox", "marquee", "generic", "checkbox"))), (k % 5 + 1).cast("int"))
+    states = F.map_from_arrays(F.array(F.lit("level"), F.lit("checked"), F.lit("required")), F.array((k % 4).cast("string"), F.when(k % 3 == 0, "mixed").when(k % 3 == 1, "false"), F.when(k % 2 == 0, "true").otherwise("false")))
+    items = read(spark, sf_dir, "part").select("p_partkey", role.alias("role"), F.concat(F.lit(" "), F.when(k % 7 > 0, F.col("p_name")).otherwise("")).alias("name"), states.alias("properties"), (k % 2 == 0).alias("focusable"))
+    return perception.announced(items).select("p_partkey", "said_name", "said_role", F.array_join("said_states", "|").alias("said_states"))
+
+
+def _overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    box = F.struct((F.col("p_size") * 10.0).alias("x"), F.lit(0.0).alias("y"), F.lit(100.0).alias("w"), (F.col("p_partkey") % 3 * 50.0).alias("h"))
+    view = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(300.0).alias("w"), F.lit(75.0).alias("h"))
+    return read(spark, sf_dir, "part").select("p_partkey", F.round(perception.viewport_overlap(box, view), 6).alias("share"))
+
+
+def _encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey") % 5
+    bytes_ = F.when(k == 0, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("p_name", "UTF-8"))).when(k == 1, F.concat(F.unhex(F.lit("FFFE")), F.encode("p_name", "UTF-16LE"))).when(k == 2, F.concat(F.encode(F.lit("<!-- <meta charset=x> --><META CHARSET='Latin1'>"), "UTF-8"), F.unhex(F.lit("E9")))).when(k == 3, F.concat(F.encode("p_name", "UTF-8"), F.unhex(F.lit("E9")))).otherwise(F.encode("p_name", "UTF-8"))
+    return files.decoded(read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), bytes_.alias("content"))).select("path", "html", "encoding", F.col("unread").isNotNull().alias("unread"))
+
+
+def _arena(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order as columns of arrays: the order is the root, its lines are elements with one attribute."""
+    lines = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("page_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_returnflag"))), lambda x: x["l_returnflag"]).alias("values"))
+    n = F.size("values")
+    arenas = lines.select("page_id", F.concat(F.array(F.lit(0)), F.array_repeat(F.lit(1), n)).alias("tag"), F.concat(F.array(F.lit(-1)), F.array_repeat(F.lit(0), n)).alias("parent"), F.concat(F.array(F.lit(0)), F.sequence(F.lit(0), n)).alias("attr_start"), F.array_repeat(F.lit(0), n).alias("attr_name"), F.col("values").alias("attr_value"), F.lit("order\u0001line").alias("tag_dict"), F.lit("flag").alias("attr_dict"))
+    return files.from_arena(arenas).select("page_id", "node_id", "parent_id", "tag", F.col("attrs")["flag"].alias("flag"))
+
+
+def _imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sheets that import others: customer k imports k / 2, down to 1; how many sheets each ends up with."""
+    c = read(spark, sf_dir, "customer").select("c_custkey")
+    name = lambda k: F.concat(F.lit("s"), k.cast("string"), F.lit(".css"))
+    css = F.when(F.col("c_custkey") > 1, F.concat(F.lit("/* c */ @import url('"), name(F.floor(F.col("c_custkey") / 2)), F.lit("') screen; p{}"))).otherwise("p{}")
+    sheets = stored(c.select(name(F.col("c_custkey")).alias("href"), css.alias("css"), "c_custkey"))
+    return files.expanded(sheets.select(F.col("c_custkey").alias("page_id"), F.lit(0).alias("place"), "css"), sheets.select("href", "css")).groupBy("page_id").agg(F.count("*").alias("sheets"))
+
+
+def _axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Axes of the tree of orders and lines from lines with flag A: how many nodes each finds."""
+    lines = _lines(spark, sf_dir).join(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"), ["l_orderkey", "l_linenumber"])
+    child = lines.select("page_id", F.col("pre").alias("node_id"), (F.col("l_orderkey") * 16).alias("parent_id"), "pre", F.col("pre").alias("post"), F.col("l_linenumber").cast("int").alias("sib"), F.col("l_returnflag").alias("flag"))
+    root = _tree(spark, sf_dir).select("page_id", F.col("pre").alias("node_id"), F.lit(-1).cast("long").alias("parent_id"), "pre", "post", F.lit(1).alias("sib"), F.lit(None).cast("string").alias("flag"))
+    every = stored(child.unionByName(root))
+    some = every.filter("flag = 'A'")
+    found = {
+        "parent": trees.parents(some, every), "child": trees.children(every.filter("flag is null"), every), "descendant": trees.having_ancestor(every, every.filter("flag is null")), "ancestor": trees.having_descendant(every, some), "following-sibling": trees.siblings(some, every),
+        "preceding-sibling": trees.siblings(some, every, after=False), "following": trees.following(some, every), "preceding": trees.preceding(some, every),
+    }
+    out = None
+    for axis, rows in found.items():
+        part = rows.select("page_id", "pre").distinct().groupBy("page_id").agg(F.count("*").alias("n")).withColumn("axis", F.lit(axis))
+        out = part if out is None else out.unionByName(part)
+    return out.select("page_id", "axis", "n")
+
+
+def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comparisons of sets: orders with a quantity that is one of their discounts in percent, or smaller than some."""
+    l = read(spark, sf_dir, "lineitem")  # noqa: E741
+    left, right = l.select("l_orderkey", F.col("l_quantity").cast("int").alias("v")), l.select("l_orderkey", F.round(F.col("l_discount") * 100).cast("int").alias("v"))
+    return trees.sets_equal(left, right, "l_orderkey", "v").withColumn("op", F.lit("=")).unionByName(trees.sets_less(left, right, "l_orderkey", "v").withColumn("op", F.lit("<")))
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.element_paths(nodes_of(spark, sf_dir)).filter(F.col("path").contains("article")).groupBy("path").agg(F.count("*").alias("n"))
+
+
+def _roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = "link list listitem navigation article heading contentinfo document".split()
+    return names.with_names(nodes_of(spark, sf_dir)).filter(F.col("role").isin(wanted)).groupBy("page_id", "role").agg(F.count("*").alias("n"))
+
+
+def _link_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.with_names(nodes_of(spark, sf_dir)).filter("role = 'link'").groupBy(F.coalesce("name", F.lit("")).alias("name")).agg(F.count("*").alias("n"))
 
 
 def _tree(spark: SparkSession, d: str) -> DataFrame:
     """Orders and their lines as a tree: an order spans the numbers of its lines."""
-    o = read(spark, d, "orders").select(F.col("o_custkey").alias("page_id"), (F.col("o_orderkey") * 10).alias("pre"), (F.col("o_orderkey") * 10 + 9).alias("post"), "o_orderstatus")
+    o = read(spark, d, "orders").select(F.col("o_custkey").alias("page_id"), (F.col("o_orderkey") * 16).alias("pre"), (F.col("o_orderkey") * 16 + 15).alias("post"), "o_orderstatus")
     return o
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
     orders = read(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("page_id"))
-    lines = read(spark, d, "lineitem").filter("l_linenumber < 10")
-    return lines.join(orders, "l_orderkey").select("page_id", "l_orderkey", "l_linenumber", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pre"))
+    lines = read(spark, d, "lineitem")
+    return lines.join(orders, "l_orderkey").select("page_id", "l_orderkey", "l_linenumber", (F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("pre"))
 
 
 def _axis(how: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -79,7 +332,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "description_length_class": lambda s, d: read(s, d, "documents").select("doc_id", web.length_class(F.col("text"), web.DESCRIPTION).alias("length_class")),
     "url_same_page_groups": lambda s, d: read(s, d, "pages").groupBy(web.page_key(F.col("url")).alias("page_key")).agg(F.count("*").alias("n")),
     "hreflang_valid_codes": lambda s, d: read(s, d, "documents").select("doc_id", web.language_code_is_valid(F.concat("lang", F.lit("-"), F.upper(F.left("source", F.lit(2))))).alias("valid")),
-    "robots_longest_match": lambda s, d: web.longest_rule(read(s, d, "pages"), ROBOTS).select("page_id", "path", "allowed"),
+    "robots_longest_match": _robots,
     "page_link_targets": lambda s, d: web.links(read(s, d, "pages")).groupBy("target").agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("pages")),
     "duplicate_ids": lambda s, d: read(s, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n")).filter("n > 1"),
     "heading_skip_level": lambda s, d: reports.heading_skips(read(s, d, "events").select("user_id", "event_id", (F.floor(F.abs("value")) % 6 + 1).cast("int").alias("level")), "user_id", "event_id", "level"),
@@ -96,10 +349,51 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "json_props_present": lambda s, d: read(s, d, "events").select("event_id", F.get_json_object("props", "$.k").isNotNull().alias("present")),
     "contrast_ratio": _contrast,
     "parse_pages_nodes": lambda s, d: html_nodes(read(s, d, "pages")),
-    "nodes_in_article": lambda s, d: (lambda n: trees.having_ancestor(n.filter("kind = 'text'"), n.filter("tag = 'article'")).groupBy("page_id").agg(F.count("*").alias("texts")))(html_nodes(read(s, d, "pages"))),
-    "structure_findings": lambda s, d: structure.structure_findings(html_nodes(read(s, d, "pages"))),
-    "structure_summary": lambda s, d: structure.structure_findings(html_nodes(read(s, d, "pages"))).groupBy("rule_id", "outcome", "severity").agg(F.count("*").alias("findings"), F.countDistinct("page_id").alias("pages")),
-    "images_without_alt": lambda s, d: structure.structure_findings(html_nodes(read(s, d, "pages"))).filter("rule_id = 'images/alt-missing'").groupBy("page_id").agg(F.count("*").alias("images")),
+    "nodes_in_article": lambda s, d: html_nodes(read(s, d, "pages")).filter(F.col("kind") == "text").filter(F.exists("anc", lambda a: a["tag"] == "article")).groupBy("page_id").agg(F.count("*").alias("texts")),
+    "structure_findings": lambda s, d: structure.structure_findings(nodes_of(s, d)),
+    "structure_summary": lambda s, d: structure.structure_findings(nodes_of(s, d)).groupBy("rule_id", "outcome", "severity").agg(F.count("*").alias("findings"), F.countDistinct("page_id").alias("pages")),
+    "images_without_alt": lambda s, d: structure.structure_findings(nodes_of(s, d)).filter("rule_id = 'images/alt-missing'").groupBy("page_id").agg(F.count("*").alias("images")),
+    "conformance_findings": lambda s, d: conform.all_findings(nodes_of(s, d)),
+    "assertion_examples": _examples(BREAKS, assertions.assertion_findings, "assertion.", ["rule_id"]),
+    "structure_examples": _examples(STRUCTURE, structure.structure_findings, "", ["rule_id", "outcome", "severity"]),
+    "semantic_examples": _examples(SEMANTICS, semantics.semantic_findings, "", ["rule_id", "outcome", "severity"]),
+    "semantic_findings": lambda s, d: semantics.semantic_findings(nodes_of(s, d)),
+    "datatype_examples": _datatype_examples,
+    "datatype_counts": _datatype_counts,
+    "robots_groups": _robots_groups,
+    "hreflang_sets": _languages,
+    "url_same_page_keys": _same_page,
+    "social_completeness": _social,
+    "structured_data_nodes": lambda s, d: _data(s, d).select("page_id", "place", F.array_join("types", "|").alias("types"), F.coalesce("issue", F.lit("")).alias("issue")),
+    "structured_data_assessed": lambda s, d: web.assessed(_data(s, d)).select("page_id", "place", "type", "status", F.array_join("missing_required", "|").alias("missing")),
+    "structured_data_inventory": lambda s, d: web.data_inventory(_data(s, d)),
+    "policy_directives": _policies,
+    "finding_ids": _finding_ids,
+    "criterion_states": _criteria,
+    "levels_and_impacts": _levels,
+    "selected_and_localized": _selection,
+    "findings_as_text": lambda s, d: reports.as_text(_line_findings(s, d)).groupBy("value").agg(F.count("*").alias("n")),
+    "findings_as_json": lambda s, d: reports.as_json(_line_findings(s, d).select("path", "line", "rule_id")).groupBy("value").agg(F.count("*").alias("n")),
+    "findings_as_junit": lambda s, d: reports.as_junit(_line_findings(s, d).withColumn("message", F.lit("x"))).select("path", F.sha2("value", 256).alias("digest")),
+    "findings_as_svrl": lambda s, d: reports.as_svrl(_line_findings(s, d).withColumn("message", F.lit("x"))).select("path", F.sha2("value", 256).alias("digest")),
+    "findings_as_sarif": lambda s, d: reports.as_sarif(_line_findings(s, d)).select("path", F.get_json_object("value", "$.version").alias("version"), F.size(F.from_json(F.get_json_object("value", "$.runs[0].results"), "array<string>")).alias("results"), F.size(F.from_json(F.get_json_object("value", "$.runs[0].tool.driver.rules"), "array<string>")).alias("rules")),
+    "selector_specificity": _specificity,
+    "styled_elements": _styled,
+    "effective_background": _background,
+    "font_sizes": _sizes,
+    "perceived_changes": _diff_nodes,
+    "announcements": _announced,
+    "viewport_overlap": _overlap,
+    "sniffed_encodings": _encodings,
+    "arena_nodes": _arena,
+    "expanded_imports": _imports,
+    "page_stylesheets": lambda s, d: files.stylesheets(nodes_of(s, d)).groupBy("page_id").agg(F.count("*").alias("sheets"), F.max(F.char_length("css")).alias("longest")),
+    "tree_axes": _axes,
+    "node_set_comparisons": _compared,
+    "element_paths": _paths,
+    "role_counts": _roles,
+    "link_names": _link_names,
+    "visible_text_length": lambda s, d: perception.visible_text_length(nodes_of(s, d)),
     "finding_scope_ids": lambda s, d: reports.location_patterns(read(s, d, "pages").select("page_id", "url"), "url"),
 }
 
@@ -112,8 +406,8 @@ def _lum(*channels: str) -> str:
 
 _TITLE = r"regexp_extract(html, '<title>([^<]*)</title>', 1)"
 _PATH = r"regexp_extract(url, '^[A-Za-z]+://[^/?#]*(/[^?#]*)', 1)"
-_LINES = "SELECT o_custkey AS page_id, l_orderkey, l_linenumber, l_orderkey * 10 + l_linenumber AS pre FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber < 10"
-_BELOW = "(SELECT 1 FROM orders o WHERE o.o_orderstatus = 'F' AND o.o_custkey = l.page_id AND o.o_orderkey * 10 < l.pre AND l.pre <= o.o_orderkey * 10 + 9)"
+_LINES = "SELECT o_custkey AS page_id, l_orderkey, l_linenumber, l_orderkey * 16 + l_linenumber AS pre FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
+_BELOW = "(SELECT 1 FROM orders o WHERE o.o_orderstatus = 'F' AND o.o_custkey = l.page_id AND o.o_orderkey * 16 < l.pre AND l.pre <= o.o_orderkey * 16 + 15)"
 _A, _B = "SELECT DISTINCT o_orderkey AS k FROM orders WHERE o_totalprice > 100000", "SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_quantity > 45"
 
 ORACLES: dict[str, str] = {
@@ -123,10 +417,11 @@ ORACLES: dict[str, str] = {
         SELECT page_id, CASE WHEN n = 0 THEN 'missing' WHEN n < 30 THEN 'short' WHEN n > 60 THEN 'long' ELSE 'ok' END AS length_class FROM t""",
     "description_length_class": r"""WITH t AS (SELECT doc_id, coalesce(length(trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g'))), 0) AS n FROM documents)
         SELECT doc_id, CASE WHEN n = 0 THEN 'missing' WHEN n < 120 THEN 'short' WHEN n > 160 THEN 'long' ELSE 'ok' END AS length_class FROM t""",
-    "url_same_page_groups": r"""WITH b AS (SELECT regexp_replace(url, '#.*$', '') AS u FROM pages)
-        SELECT lower(regexp_extract(u, '^([A-Za-z]+://[^/?]*)', 1)) || regexp_replace(regexp_replace(u, '^[A-Za-z]+://[^/?]*', ''), '/+(\?|$)', '\1', 'g') AS page_key, count(*) AS n FROM b GROUP BY 1""",
+    "url_same_page_groups": r"""WITH b AS (SELECT trim(regexp_replace(url, '#.*$', '')) AS u FROM pages), c AS (SELECT split_part(u, '?', 1) AS f, CASE WHEN contains(u, '?') THEN substr(u, strpos(u, '?')) ELSE '' END AS q FROM b)
+        SELECT lower(regexp_extract(f, '^([^/]*://[^/]*)', 1)) || rtrim(regexp_replace(f, '^[^/]*://[^/]*', ''), '/') || CASE WHEN q = '?' THEN '' ELSE q END AS page_key, count(*) AS n FROM c GROUP BY 1""",
     "hreflang_valid_codes": "SELECT doc_id, regexp_full_match(lang || '-' || upper(left(source, 2)), '[A-Za-z]{2,3}(-[A-Za-z]{4})?(-[A-Za-z]{2})?') AS valid FROM documents",
-    "robots_longest_match": f"""SELECT page_id, {_PATH} AS path, CASE WHEN starts_with({_PATH}, '/en/1') THEN true WHEN starts_with({_PATH}, '/de/8') THEN false WHEN starts_with({_PATH}, '/en/') OR starts_with({_PATH}, '/fr/') THEN false ELSE true END AS allowed FROM pages""",
+    "robots_longest_match": f"""WITH p AS (SELECT page_id, {_PATH} AS path FROM pages) SELECT page_id, path, NOT (greatest(CASE WHEN starts_with(path, '/en/') THEN 4 ELSE -1 END, CASE WHEN starts_with(path, '/fr/') THEN 4 ELSE -1 END, CASE WHEN starts_with(path, '/de/8') THEN 5 ELSE -1 END, CASE WHEN ends_with(path, '/99') THEN 6 ELSE -1 END)
+        > greatest(CASE WHEN starts_with(path, '/en/1') THEN 5 ELSE -1 END, CASE WHEN starts_with(path, '/fr/') AND ends_with(path, '5') THEN 7 ELSE -1 END, CASE WHEN starts_with(path, '/de/80') THEN 6 ELSE -1 END)) AS allowed FROM p""",
     "page_link_targets": """SELECT target, count(*) AS n, count(DISTINCT page_id) AS pages FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS target FROM pages) GROUP BY 1""",
     "duplicate_ids": "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 1",
     "heading_skip_level": "SELECT * FROM (SELECT user_id, event_id, level, lag(level) OVER (PARTITION BY user_id ORDER BY event_id) AS previous FROM (SELECT user_id, event_id, (floor(abs(value))::BIGINT % 6 + 1)::INT AS level FROM events)) WHERE level > previous + 1",
@@ -148,7 +443,84 @@ ORACLES: dict[str, str] = {
         l AS (SELECT p_partkey, {_lum("r", "g", "b")} AS m, {_lum("x", "y", "z")} AS n FROM c), v AS (SELECT p_partkey, round((greatest(m, n) + 0.05) / (least(m, n) + 0.05), 6) AS ratio FROM l) SELECT p_partkey, ratio, ratio >= 4.5 AS sufficient FROM v""",
 }
 
-ORACLES["finding_scope_ids"] = r"SELECT regexp_replace(lower(trim(regexp_replace(regexp_replace(url, '[0-9]+', '#', 'g'), '\s+', ' ', 'g'))), '#+', '#', 'g') AS pattern, count(*) AS n, count(DISTINCT page_id) AS pages FROM pages GROUP BY 1"
+ORACLES["finding_scope_ids"] = r"SELECT lower(regexp_replace(regexp_replace(trim(url), '[0-9]+', '#', 'g'), '\s+', ' ', 'g')) AS pattern, count(*) AS n, count(DISTINCT page_id) AS pages FROM pages GROUP BY 1"
+
+
+def _fnv(text: str) -> str:
+    """The upper half of FNV-1a, by whole numbers of 128 bits."""
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: ord(substr({text}, i::INT, 1))::HUGEINT)"
+    return f"printf('%08x', (list_reduce(list_prepend(14695981039346656037::HUGEINT, {codes}), lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT) // 4294967296::HUGEINT)::BIGINT)"
+
+
+_RULE = "('rule/' || lower(o_orderstatus))"
+_DOC = "CASE p_partkey % 8"
+_VALUES = "SELECT 'day' AS source, strftime(o_orderdate, '%Y-%m-%d') AS value FROM orders UNION ALL SELECT 'price', o_orderpriority FROM orders UNION ALL SELECT 'event', event_id::VARCHAR FROM events UNION ALL SELECT 'name', p_name FROM part"
+_FOUND = "SELECT 'f' || (l_orderkey % 50) || '.html' AS path, l_orderkey AS line, l_linenumber AS col, 'rule/' || lower(l_returnflag) AS rule_id, l_linestatus = 'O' AS fails FROM lineitem"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+ORACLES |= {
+    "assertion_examples": _examples_sql(BREAKS, "assertion.", ["rule_id"]),
+    "structure_examples": _examples_sql(STRUCTURE, "", ["rule_id", "outcome", "severity"]),
+    "semantic_examples": _examples_sql(SEMANTICS, "", ["rule_id", "outcome", "severity"]),
+    "datatype_examples": f"SELECT p_partkey, c.datatype, c.valid FROM part JOIN (VALUES {', '.join(f'({k}, {_quoted(n)}, {str(ok).lower()})' for k, (n, _, ok) in enumerate(CASES))}) c(k, datatype, valid) ON p_partkey % {len(CASES)} = c.k",
+    "datatype_counts": f"WITH v AS ({_VALUES}) " + " UNION ALL ".join(f"SELECT source, {_quoted(n)} AS datatype, count(*) FILTER (regexp_full_match(value, {_quoted(datatypes.PATTERNS[n])})) AS valid, count(*) AS n FROM v GROUP BY 1" for n in PLAIN),
+    "robots_groups": """SELECT c_custkey, 0 AS number, 2 AS agents, 1 AS allows, '/' || lower(c_mktsegment) AS disallows, 'ai_training' AS first_class FROM customer
+        UNION ALL SELECT c_custkey, 1, 1, 0, '', CASE c_custkey % 3 WHEN 0 THEN 'search_engine' WHEN 1 THEN 'ai_citation' ELSE 'unknown' END FROM customer""",
+    "hreflang_sets": """WITH r AS (SELECT DISTINCT c_nationkey AS page, c_custkey % 6 AS code, CASE WHEN c_custkey % 3 = 0 THEN 'h' || (c_custkey % 2) || (c_custkey % 7 = 0) ELSE 'other' END AS href, c_custkey % 3 = 0 AS own FROM customer)
+        SELECT page, count(*) AS n, bool_or(code = 0) AS has_default, count(*) FILTER (code IN (4, 5)) AS invalid, bool_or(own AND code <> 0) AS self_reference FROM r GROUP BY 1""",
+    "url_same_page_keys": "SELECT c_custkey, 'http://host.example/p' || (c_custkey % 10) || CASE WHEN c_custkey % 5 = 0 THEN '?u=/B/' ELSE '' END AS page_key FROM customer",
+    "social_completeness": """WITH k AS (SELECT c_custkey, 1 + (c_custkey % 2 = 0)::INT + (c_custkey % 3 = 0)::INT + (c_custkey % 4 <> 0)::INT AS og, 1 + (c_custkey % 2 = 1)::INT AS tw FROM customer)
+        SELECT c_custkey, (og * 100 // 6)::INT AS open_graph, og = 4 AS open_graph_complete, (tw * 100 // 4)::INT AS twitter, false AS twitter_complete, c_custkey % 5 <> 0 AS card_valid, CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 9 <> 0 END AS image_absolute FROM k""",
+    "structured_data_nodes": f"""SELECT p_partkey AS page_id, 0::BIGINT AS place, {_DOC} WHEN 0 THEN 'Product' WHEN 4 THEN 'Product' ELSE '' END AS types, {_DOC} WHEN 2 THEN 'empty_script' WHEN 3 THEN 'invalid_json' WHEN 4 THEN 'missing_context' WHEN 5 THEN 'non_schema_org_context' WHEN 7 THEN 'missing_type' WHEN 6 THEN 'empty_document' ELSE '' END AS issue FROM part
+        UNION ALL SELECT p_partkey, 1, 'Product', '' FROM part WHERE p_partkey % 8 = 1 UNION ALL SELECT p_partkey, 2, 'Person|Organization', '' FROM part WHERE p_partkey % 8 = 1""",
+    "structured_data_assessed": """SELECT p_partkey AS page_id, 0::BIGINT AS place, 'Product' AS type, 'incomplete' AS status, '' AS missing FROM part WHERE p_partkey % 8 IN (0, 4) UNION ALL SELECT p_partkey, 1, 'Product', 'invalid', 'name' FROM part WHERE p_partkey % 8 = 1
+        UNION ALL SELECT p_partkey, 2, t, 'incomplete', '' FROM part, (VALUES ('Person'), ('Organization')) v(t) WHERE p_partkey % 8 = 1""",
+    "structured_data_inventory": "SELECT type, count(*) AS nodes, count(DISTINCT p_partkey) AS pages FROM (SELECT p_partkey, 'Product' AS type FROM part WHERE p_partkey % 8 IN (0, 1, 4) UNION ALL SELECT p_partkey, unnest(['Person', 'Organization']) FROM part WHERE p_partkey % 8 = 1) GROUP BY 1",
+    "policy_directives": """SELECT o_orderkey, d.policy::INT AS policy, d.place::INT AS place, d.name, d.kind, d.clean, d.doubled, d.deprecated FROM orders JOIN (VALUES (0, 0, 0, 'default-src', 'sources', true, false, false), (0, 0, 1, 'script-src', 'sources', true, false, false), (1, 0, 0, 'foo-src', 'unknown', false, false, false), (1, 0, 1, 'img-src', 'sources', true, false, false),
+        (2, 0, 0, 'img-src', 'sources', true, false, false), (2, 0, 1, 'img-src', 'sources', true, true, false), (3, 0, 0, 'report-uri', 'tokens', true, false, true), (3, 1, 0, 'upgrade-insecure-requests', 'none', true, false, false), (4, 0, 0, 'script-src', 'sources', true, false, false), (5, 0, 0, 'sandbox', 'sandbox', false, false, false)) d(k, policy, place, name, kind, clean, doubled, deprecated) ON o_orderkey % 6 = d.k""",
+    "finding_ids": f"""WITH p AS (SELECT *, regexp_replace(lower(o_orderpriority), '[0-9]+', '#', 'g') AS a FROM orders), k AS (SELECT o_orderkey, {_RULE} || chr(10) || least(a, 'nav > li.item-# a') || chr(10) || greatest(a, 'nav > li.item-# a') AS x, {_RULE} || chr(10) || 'nav > li.item-# a' AS y, {_RULE} || chr(10) || '__pagewide__' AS z, {_RULE} || chr(10) || '@a.html:' || o_custkey || ':7' AS w FROM p)
+        SELECT o_orderkey, 'F-' || {_fnv("x")} AS finding_id, 'RC-' || {_fnv("y")} AS root_cause, 'F-' || {_fnv("z")} AS page_id, 'F-' || {_fnv("w")} AS placed FROM k""",
+    "criterion_states": """WITH u AS (SELECT DISTINCT user_id FROM events), c AS (SELECT user_id, unnest(['click', 'error', 'purchase', 'never']) AS criterion FROM u), f AS (SELECT user_id, event_type, bool_or(value > 90) AS failed, bool_or(value > 50 AND value <= 90) AS passed, bool_or(event_id % 3 = 0) AS applicable FROM events WHERE event_type <> 'click' GROUP BY 1, 2),
+        s AS (SELECT c.user_id AS page_id, criterion, CASE WHEN failed THEN 'not_met' WHEN applicable IS NULL THEN 'not_checked' WHEN NOT applicable THEN 'not_applicable' WHEN passed THEN 'met' ELSE 'not_detected' END AS state FROM c LEFT JOIN f ON c.user_id = f.user_id AND criterion = event_type)
+        SELECT page_id, criterion, state, state NOT IN ('not_applicable', 'not_checked') AS counts, state = 'not_met' AS may_deduct FROM s""",
+    "levels_and_impacts": "SELECT p_partkey, p_partkey % 3 < 2 AS included, ['minor', 'moderate', 'serious', 'critical'][p_partkey % 4 + 1] AS impact FROM part",
+    "selected_and_localized": "SELECT 'rule/' || lower(l_returnflag) AS rule_id, CASE l_returnflag WHEN 'A' THEN 'hallo' END AS message, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1, 2",
+    "findings_as_text": f"SELECT path || ':' || line || ':' || col || CASE WHEN fails THEN ': error: ' ELSE ': warning: ' END || 'a <b> & c [' || rule_id || ']' AS value, count(*) AS n FROM ({_FOUND}) GROUP BY 1",
+    "findings_as_json": f"""SELECT '{{"path":"' || path || '","line":' || line || ',"rule_id":"' || rule_id || '"}}' AS value, count(*) AS n FROM ({_FOUND}) GROUP BY 1""",
+    "findings_as_junit": f"""WITH f AS ({_FOUND}), c AS (SELECT *, '<testcase classname="' || path || '" name="' || rule_id || ' at ' || line || ':' || col || '">' || CASE WHEN fails THEN '<failure message="x" type="' || rule_id || '">' || path || ' at ' || line || ':' || col || ': x</failure>' ELSE '<skipped message="warning: x"/>' END || '</testcase>' AS one FROM f)
+        SELECT path, sha256('<testsuite name="' || path || '" tests="' || count(*) || '" failures="' || count(*) FILTER (fails) || '">' || string_agg(one, '' ORDER BY line, col, one) || '</testsuite>') AS digest FROM c GROUP BY 1""",
+    "findings_as_svrl": f"""WITH f AS ({_FOUND}), c AS (SELECT *, '<svrl:failed-assert id="' || rule_id || '" role="' || CASE WHEN fails THEN 'error' ELSE 'warning' END || '"><svrl:text>x</svrl:text></svrl:failed-assert>' AS one FROM f)
+        SELECT path, sha256('<svrl:schematron-output xmlns:svrl="http://purl.oclc.org/dsdl/svrl">' || string_agg(one, '' ORDER BY line, col, one) || '</svrl:schematron-output>') AS digest FROM c GROUP BY 1""",
+    "findings_as_sarif": f"SELECT path, '2.1.0' AS version, count(*)::INT AS results, count(DISTINCT rule_id)::INT AS rules FROM ({_FOUND}) GROUP BY 1",
+    "selector_specificity": f"SELECT p_partkey, c.ids, c.classes, c.types, c.key FROM part JOIN (VALUES {', '.join(f'({k}, {a}, {b}, {c}, {_quoted(key)})' for k, ((_, (a, b, c)), key) in enumerate(zip(SELECTORS.items(), ('a', 'z', 'a', 'p', 'li', '*', 'p', '*'), strict=True)))}) c(k, ids, classes, types, key) ON p_partkey % {len(SELECTORS)} = c.k",
+    "styled_elements": """SELECT p_partkey AS page_id, c.pre, c.tag, c.value, c.certain FROM part, (VALUES (0, 'div', 'navy', true), (1, 'p', 'blue', true), (3, 'b', 'blue', true), (5, 'p', 'black', true), (7, 'p', 'pink', true)) c(pre, tag, value, certain)""",
+    "effective_background": """WITH o AS (SELECT o_orderkey, (o_custkey % 256)::DOUBLE AS g FROM orders) SELECT o_orderkey AS page_id, 0 AS pre, g, 1.0::DOUBLE AS a FROM o
+        UNION ALL SELECT l_orderkey, l_linenumber, round(((l_partkey % 256) * 0.5 + coalesce(o.g, 255) * 0.5), 4), 1.0 FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY 1, 2) LEFT JOIN o ON o.o_orderkey = l_orderkey""",
+    "font_sizes": """SELECT p_partkey, [12.0, 30.0, 30.0, 24.0, 24.0, 16.0][p_partkey % 6 + 1]::DOUBLE AS size, CASE p_partkey % 6 WHEN 0 THEN 700 WHEN 1 THEN CASE WHEN p_size * 20 < 350 THEN 400 WHEN p_size * 20 < 550 THEN 700 ELSE 900 END WHEN 2 THEN CASE WHEN p_size * 20 < 550 THEN 100 WHEN p_size * 20 < 750 THEN 400 ELSE 700 END
+        WHEN 3 THEN 400 WHEN 4 THEN 350 ELSE CASE WHEN p_size * 20 < 350 THEN 400 WHEN p_size * 20 < 550 THEN 700 ELSE 900 END END AS weight FROM part""",
+    "perceived_changes": """WITH e AS (SELECT user_id, event_type AS node_id, event_id % 2 AS side, max(value) AS v FROM events WHERE event_type <> 'error' GROUP BY 1, 2, 3), j AS (SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.node_id, b.node_id) AS node_id, a.v AS x, b.v AS y FROM (SELECT * FROM e WHERE side = 0) a FULL JOIN (SELECT * FROM e WHERE side = 1) b ON a.user_id = b.user_id AND a.node_id = b.node_id)
+        SELECT user_id, node_id, 'added' AS change, NULL AS property, NULL AS before, NULL AS after FROM j WHERE y >= 40 AND coalesce(x, 0) < 40 UNION ALL SELECT user_id, node_id, 'removed', NULL, NULL, NULL FROM j WHERE x >= 40 AND coalesce(y, 0) < 40
+        UNION ALL SELECT user_id, node_id, 'property', 'checked', (x > 75)::VARCHAR, (y > 75)::VARCHAR FROM j WHERE (x > 75) <> (y > 75)""",
+    "announcements": """SELECT p_partkey, CASE WHEN p_partkey % 7 > 0 THEN trim(p_name) END AS said_name, CASE p_partkey % 5 WHEN 0 THEN 'heading ' || (p_partkey % 4) WHEN 1 THEN 'text_box' WHEN 2 THEN 'marquee' WHEN 3 THEN 'generic' ELSE 'check_box' END AS said_role,
+        array_to_string(list_filter([CASE p_partkey % 3 WHEN 0 THEN 'mixed' WHEN 1 THEN 'unchecked' END, CASE WHEN p_partkey % 2 = 0 THEN 'required' END, CASE WHEN p_partkey % 2 = 0 AND p_partkey % 5 IN (0, 2, 3) THEN 'focusable' END], lambda x: x IS NOT NULL), '|') AS said_states FROM part""",
+    "viewport_overlap": """SELECT p_partkey, CASE WHEN p_partkey % 3 > 0 THEN round((greatest(0, least(p_size * 10 + 100, 300) - greatest(p_size * 10, 0)) * least(p_partkey % 3 * 50, 75)) / (100.0 * (p_partkey % 3 * 50)), 6) END AS share FROM part""",
+    "sniffed_encodings": """SELECT p_partkey::VARCHAR AS path, CASE p_partkey % 5 WHEN 2 THEN '<!-- <meta charset=x> --><META CHARSET=''Latin1''>é' WHEN 3 THEN NULL ELSE p_name END AS html, CASE p_partkey % 5 WHEN 1 THEN 'UTF-16LE' WHEN 2 THEN 'windows-1252' ELSE 'UTF-8' END AS encoding, p_partkey % 5 = 3 AS unread FROM part""",
+    "arena_nodes": "SELECT l_orderkey AS page_id, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag))::INT AS node_id, 0 AS parent_id, 'line' AS tag, l_returnflag AS flag FROM lineitem UNION ALL SELECT DISTINCT l_orderkey, 0, -1, 'order', NULL FROM lineitem",
+    "expanded_imports": "SELECT c_custkey AS page_id, length(bin(c_custkey)) AS sheets FROM customer",
+    "page_stylesheets": "SELECT page_id, len(regexp_extract_all(html, '<style>')) AS sheets, length(regexp_extract(html, '<style>([^<]*)</style>', 1))::INT AS longest FROM pages WHERE contains(html, '<style>')",
+    "tree_axes": """WITH l AS (SELECT o_custkey AS page_id, l_orderkey AS k, l_orderkey * 16 + l_linenumber AS pre, l_orderkey * 16 + l_linenumber AS post, l_returnflag AS flag FROM lineitem JOIN orders ON l_orderkey = o_orderkey), o AS (SELECT o_custkey AS page_id, o_orderkey AS k, o_orderkey * 16 AS pre, o_orderkey * 16 + 15 AS post, NULL::VARCHAR AS flag FROM orders), e AS (FROM l UNION ALL FROM o), a AS (FROM l WHERE flag = 'A'),
+        s AS (SELECT k, min(pre) AS low, max(pre) AS high FROM a GROUP BY 1), g AS (SELECT page_id, min(post) AS fin, max(pre) AS beg FROM a GROUP BY 1),
+        r AS (SELECT page_id, 'parent' AS axis, pre FROM o WHERE k IN (SELECT k FROM a) UNION ALL SELECT page_id, 'ancestor', pre FROM o WHERE k IN (SELECT k FROM a) UNION ALL SELECT l.page_id, 'child', pre FROM l UNION ALL SELECT l.page_id, 'descendant', pre FROM l UNION ALL SELECT page_id, 'following-sibling', pre FROM l JOIN s USING (k) WHERE pre > low
+        UNION ALL SELECT page_id, 'preceding-sibling', pre FROM l JOIN s USING (k) WHERE pre < high UNION ALL SELECT e.page_id, 'following', pre FROM e JOIN g USING (page_id) WHERE pre > fin UNION ALL SELECT e.page_id, 'preceding', pre FROM e JOIN g USING (page_id) WHERE post < beg) SELECT page_id, axis, count(DISTINCT pre) AS n FROM r GROUP BY 1, 2""",
+    "node_set_comparisons": """SELECT DISTINCT a.l_orderkey, '=' AS op FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_quantity::INT = round(b.l_discount * 100)::INT UNION ALL SELECT l_orderkey, '<' FROM lineitem GROUP BY 1 HAVING min(l_quantity::INT) < max(round(l_discount * 100)::INT)""",
+    "role_counts": r"""WITH c AS (SELECT page_id, unnest(['link', 'list', 'listitem', 'navigation', 'article', 'heading', 'contentinfo', 'document']) AS role, unnest([len(regexp_extract_all(html, '<a href')), len(regexp_extract_all(html, '<ul>')), len(regexp_extract_all(html, '<li>')), len(regexp_extract_all(html, '<nav>')), len(regexp_extract_all(html, '<article>')), len(regexp_extract_all(html, '<h1>')), len(regexp_extract_all(html, '<footer>')), len(regexp_extract_all(html, '<html '))]) AS n FROM pages) SELECT page_id, role, n FROM c WHERE n > 0""",
+    "link_names": r"""SELECT replace(trim(regexp_replace(t, '\s+', ' ', 'g')), '&amp;', '&') AS name, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)) AS t FROM pages) GROUP BY 1""",
+    "nodes_in_article": r"""SELECT page_id, count(*) AS texts FROM (SELECT page_id, unnest(regexp_extract_all(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '>([^<]+)', 1)) AS t FROM pages) WHERE t <> '' GROUP BY 1""",
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

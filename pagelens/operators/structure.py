@@ -406,3 +406,17 @@ def structure_findings(nodes: DataFrame) -> DataFrame:
     own = e.select("page_id", "pre", F.explode(F.array_compact(F.array(*element_rules()))).alias("f")).select("page_id", "f.rule_id", "f.outcome", "f.severity", "pre")
     page = page_flags(e).select("page_id", F.explode(F.array_compact(F.array(*page_rules()))).alias("f")).select("page_id", "f.rule_id", "f.outcome", "f.severity", "f.pre")
     return own.unionByName(page).unionByName(heading_findings(e, nodes)).unionByName(reference_findings(e)).unionByName(tab_findings(e))
+
+
+def document_findings(nodes: DataFrame) -> DataFrame:
+    """page_id, rule_id of the rules on a document's language, title and viewport, from one grouping of the node table and nothing else."""
+    t, attrs = F.col("tag"), F.col("attrs")
+    holder = F.get("anc", F.lit(0))
+    words = (F.col("kind") == "text") & (holder["tag"] == "title") & (holder["ns"] == "html") & F.rlike("text", F.lit(r"[^\t\n\f\r ]"))
+    page = nodes.groupBy("page_id").agg(
+        F.bool_or((t == "html") & (F.col("depth") == 0)).alias("root"), F.bool_or((t == "html") & (F.col("depth") == 0) & F.coalesce(F.trim(attrs["lang"]) != "", F.lit(False))).alias("lang"), F.min(F.when((t == "title") & (F.col("ns") == "html"), F.col("pre"))).alias("title"),
+        F.min(F.when(words, holder["pre"])).alias("worded"), F.bool_or((t == "meta") & (F.lower(attrs["name"]) == "viewport")).alias("viewport"),
+    )
+    is_ = lambda c: F.coalesce(c, F.lit(False))
+    rules = {"document/lang-missing": is_(F.col("root")) & ~is_(F.col("lang")), "document/title-empty": F.col("title").isNotNull() & ~is_(F.col("worded") == F.col("title")), "zoom/viewport-missing": is_(F.col("root")) & ~is_(F.col("viewport"))}
+    return page.select("page_id", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(r)) for r, c in rules.items())))).alias("rule_id"))

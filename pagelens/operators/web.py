@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Shortest and longest recommended length.
@@ -60,31 +60,32 @@ def bot_class(agent: Column) -> Column:
     return F.when(F.trim(agent) == "*", "wildcard").otherwise(F.coalesce(F.array_max(hits)["kind"], F.lit("unknown")))
 
 
-GROUP = "struct<agents:array<string>,allows:array<string>,disallows:array<string>,delay:int>"
+GROUP = "struct<agents:array<string>,allows:array<string>,disallows:array<string>,delay:array<string>>"
 
 
 def robots_groups(text: Column) -> Column:
     """array(agents, allows, disallows, delay) of a robots.txt: a group ends at a blank line or comment, or where an agent follows rules; rules before any agent belong to the first one."""
     lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\\r\\n|\\n"), F.trim)
     none = F.array().cast("array<string>")
-    empty = F.struct(none.alias("agents"), none.alias("allows"), none.alias("disallows"), F.lit(None).cast("int").alias("delay"))
+    empty = F.struct(none.alias("agents"), none.alias("allows"), none.alias("disallows"), none.alias("delay"))
     start = F.struct(F.array().cast(f"array<{GROUP}>").alias("done"), empty.cast(GROUP).alias("now"))
     closed = lambda acc: F.struct(F.when(F.size(acc["now"]["agents"]) > 0, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]).alias("done"), empty.cast(GROUP).alias("now"))
 
     def add(acc: Column, key: Column, value: Column) -> Column:
         now = acc["now"]
         put = lambda name, field: F.when(name, F.concat(now[field], F.array(value))).otherwise(now[field]).alias(field)
-        own = F.struct(put((key == "user-agent") & (value != ""), "agents"), put((key == "allow") & (value != ""), "allows"), put(key == "disallow", "disallows"), F.when(key == "crawl-delay", value.try_cast("int")).otherwise(now["delay"]).alias("delay"))
+        own = F.struct(put((key == "user-agent") & (value != ""), "agents"), put((key == "allow") & (value != ""), "allows"), put(key == "disallow", "disallows"), F.when(key == "crawl-delay", F.array(value)).otherwise(now["delay"]).alias("delay"))
         return F.struct(acc["done"].alias("done"), own.cast(GROUP).alias("now"))
 
     def step(acc: Column, line: Column) -> Column:
         key, value = F.lower(F.trim(F.substring_index(line, ":", 1))), F.trim(F.regexp_replace(line, "^[^:]*:", ""))
-        ruled = (F.size(acc["now"]["allows"]) > 0) | (F.size(acc["now"]["disallows"]) > 0) | acc["now"]["delay"].isNotNull()
+        ruled = (F.size(acc["now"]["allows"]) > 0) | (F.size(acc["now"]["disallows"]) > 0) | (F.size(acc["now"]["delay"]) > 0)
         fresh = F.transform(F.array(F.when((key == "user-agent") & ruled, closed(acc)).otherwise(acc)), lambda a: add(a, key, value))[0]
         ends = (line == "") | F.startswith(line, F.lit("#"))
         return F.when(ends, F.when(F.size(acc["now"]["agents"]) > 0, closed(acc)).otherwise(acc)).when(~F.contains(line, F.lit(":")), acc).otherwise(fresh)
 
-    return F.aggregate(lines, start, step, lambda acc: closed(acc)["done"])
+    groups = F.aggregate(lines, start, step, lambda acc: closed(acc)["done"])
+    return F.transform(groups, lambda g: F.struct(g["agents"].alias("agents"), g["allows"].alias("allows"), g["disallows"].alias("disallows"), F.get(g["delay"], F.lit(0)).try_cast("int").alias("delay")))
 
 
 def rule_length(rule: Column, path: Column) -> Column:
@@ -136,3 +137,77 @@ def luminance(r: Column, g: Column, b: Column) -> Column:
     """Relative luminance of 8-bit colour channels."""
     line = lambda c: F.when(c / 255.0 <= 0.04045, c / 255.0 / 12.92).otherwise(F.pow((c / 255.0 + 0.055) / 1.055, F.lit(2.4)))
     return 0.2126 * line(r) + 0.7152 * line(g) + 0.0722 * line(b)
+
+
+# Fixed values of schema.org: what search engines require and recommend of some types.
+REQUIREMENTS = {
+    "Article": ("headline", "author datePublished image"), "BreadcrumbList": ("itemListElement", ""), "Event": ("name startDate location", "endDate image offers"), "FAQPage": ("mainEntity", ""), "JobPosting": ("title description datePosted hiringOrganization", "jobLocation validThrough"),
+    "LocalBusiness": ("name address", "telephone openingHours url"), "Organization": ("name", "url logo"), "Person": ("name", "url"), "Product": ("name", "image offers review aggregateRating"), "Recipe": ("name image", "author recipeIngredient recipeInstructions"),
+    "VideoObject": ("name thumbnailUrl uploadDate", "description contentUrl"), "WebSite": ("name url", "potentialAction"), "WebPage": ("name", "description"),
+}
+
+
+def _names_schema_org(context: Column) -> Column:
+    return F.coalesce(F.rlike(context, F.lit(r"^\s*\"?https?://schema\.org/*\"?\s*$")) | F.rlike(context, F.lit(r"\"https?://schema\.org/*\"")), F.lit(False))
+
+
+def type_name(value: Column) -> Column:
+    """A type without its vocabulary's address."""
+    return F.regexp_extract(F.regexp_replace(F.trim(value), "/+$", ""), "([^/#]*)$", 1)
+
+
+def data_blocks(nodes: DataFrame) -> DataFrame:
+    """page_id, block (number on the page), json of the JSON-LD scripts."""
+    scripts = nodes.filter((F.col("tag") == "script") & (F.lower(F.trim(F.col("attrs")["type"])) == "application/ld+json")).select("page_id", "pre")
+    texts = nodes.filter("kind = 'text'").select("page_id", F.col("parent_id").alias("pre"), F.col("text").alias("json"))
+    number = F.row_number().over(Window.partitionBy("page_id").orderBy("pre")) - 1
+    return scripts.withColumn("block", number).join(texts, ["page_id", "pre"], "left").select("page_id", "block", F.coalesce("json", F.lit("")).alias("json"))
+
+
+def data_nodes(blocks: DataFrame) -> DataFrame:
+    """page_id, block, place, types, json, issue of each root of JSON-LD blocks, roots of arrays and graphs each for itself; a block that can't be read has one row with its issue."""
+    text, none = F.trim("json"), F.lit(None).cast("string")
+    as_array = lambda j: F.from_json(j, "array<string>")
+    valid = F.try_parse_json(F.col("json")).isNotNull()
+    is_list, is_object = F.startswith(text, F.lit("[")), F.startswith(text, F.lit("{"))
+    roots = F.when(is_list, as_array(text)).otherwise(F.array(text))
+    issue = F.when(text == "", "empty_script").when(~valid, "invalid_json").when(is_list & (F.size(roots) == 0), "empty_document").when(~is_list & ~is_object, "invalid_root")
+    rows = blocks.select("page_id", "block", issue.alias("_broken"), F.when(issue.isNull(), roots).otherwise(F.array(none)).alias("_roots"))
+    rows = rows.select("page_id", "block", "_broken", F.posexplode("_roots").alias("root", "json"))
+    get = lambda k: F.get_json_object("json", f"$['{k}']")
+    graph = F.when(F.startswith(F.trim(get("@graph")), F.lit("[")), as_array(get("@graph")))
+    own = rows.withColumns({"context": get("@context"), "graph": get("@graph"), "_items": graph})
+    inner = own.filter("_items is not null").select("page_id", "block", "root", F.posexplode("_items").alias("item", "inner"), _names_schema_org(F.col("context")).alias("_held"))
+    inner = inner.select("page_id", "block", "root", (F.col("item") + 1).alias("item"), F.col("inner").alias("json"), none.alias("_broken"), F.lit(None).cast("string").alias("graph"), "_held")
+    every = own.select("page_id", "block", "root", F.lit(0).alias("item"), "json", "_broken", "graph", F.lit(False).alias("_held")).unionByName(inner)
+    context = get("@context")
+    in_vocabulary = F.col("_held") | _names_schema_org(context)
+    kinds = F.when(F.startswith(F.trim(get("@type")), F.lit("[")), as_array(get("@type"))).otherwise(F.array_compact(F.array(get("@type"))))
+    foreign = context.isNotNull() & ~in_vocabulary
+    kept = F.filter(kinds, lambda t: (F.trim(t) != "") & (~foreign | F.rlike(F.trim(t), F.lit("^https?://schema\\.org/"))))
+    wrong = F.when(F.col("_broken").isNotNull(), F.col("_broken")).when(foreign, "non_schema_org_context").when(~in_vocabulary & F.col("graph").isNotNull(), "graph_without_context").when(~in_vocabulary, "missing_context").when(F.col("graph").isNotNull() & ~F.startswith(F.trim("graph"), F.lit("[")), "graph_not_array").when((F.size(kinds) == 0) & F.col("graph").isNull(), "missing_type")
+    return every.select("page_id", "block", (F.col("root") * 100_000 + F.col("item")).alias("place"), F.transform(kept, type_name).alias("types"), "json", wrong.alias("issue"))
+
+
+def duplicate_data_types(data: DataFrame) -> DataFrame:
+    """page_id, type, blocks: types that several blocks of a page describe."""
+    return data.select("page_id", "block", F.explode("types").alias("type")).groupBy("page_id", "type").agg(F.array_sort(F.collect_set("block")).alias("blocks")).filter("size(blocks) > 1")
+
+
+def present_at(json: Column, path: str) -> Column:
+    """Whether a property (a dotted path) is there and neither empty nor null."""
+    value = F.get_json_object(json, "$." + path)
+    return F.coalesce(~F.trim(value).isin("", "[]", "{}", "null"), F.lit(False))
+
+
+def assessed(data: DataFrame) -> DataFrame:
+    """page_id, block, place, type, status (complete, incomplete, invalid), missing_required, missing_recommended of each node of a known type."""
+    rows = data.select("page_id", "block", "place", "json", F.explode("types").alias("type")).filter(F.col("type").isin(list(REQUIREMENTS)))
+    lacking = lambda k: F.coalesce(*(F.when(F.col("type") == t, F.array_compact(F.array(F.lit(None).cast("string"), *(F.when(~present_at(F.col("json"), p), F.lit(p)) for p in names[k].split())))) for t, names in REQUIREMENTS.items()))
+    rows = rows.withColumns({"missing_required": lacking(0), "missing_recommended": lacking(1)})
+    return rows.select("page_id", "block", "place", "type", F.when(F.size("missing_required") > 0, "invalid").when(F.size("missing_recommended") > 0, "incomplete").otherwise("complete").alias("status"), "missing_required", "missing_recommended")
+
+
+def data_inventory(data: DataFrame) -> DataFrame:
+    """type, nodes, pages: what is described, over all pages."""
+    return data.select("page_id", F.explode("types").alias("type")).groupBy("type").agg(F.count("*").alias("nodes"), F.countDistinct("page_id").alias("pages"))

@@ -1 +1 @@
-
+"""Where pages, nodes and styles come from."""

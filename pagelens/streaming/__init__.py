@@ -1 +1 @@
-
+"""Pages and snapshots as they come."""

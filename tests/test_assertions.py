@@ -3,251 +3,10 @@
 import pytest
 
 from pagelens.operators import assertions
+from pagelens.plans.examples import BREAKS as BAD
+from pagelens.plans.examples import whole_page as page
 from pagelens.sources.html_nodes import html_nodes
 
-HIDING = "button details embed iframe label select textarea"
-BAD = {
-    "author-requirements.group-in-list": "<div role=list><div role=group></div></div>",
-    "author-requirements.group-in-menu": "<div role=menu><div role=group><b role=button>x</b></div></div>",
-    "author-requirements.group-in-tree": "<div role=tree><p role=group><b role=button>x</b></p></div>",
-    "author-requirements.rowgroup-child-must-be-row": "<div role=rowgroup><b>x</b></div>",
-    "presentation-role.img-empty-alt-with-aria": "<img alt='' role=none aria-hidden=true>",
-    "img-role-needs-accessible-name.has-name": "<img role=none>",
-    "img-aria-needs-accessible-name.has-name": "<img aria-relevant=all>",
-    "presentational-children.label-descendant": "<div role=math><label>x</label></div>",
-    "roles-properties-global.disabled-on-main": "<div role=main aria-disabled=true></div>",
-    "roles-properties-global.haspopup-on-main": "<div role=main aria-haspopup=true></div>",
-    "roles-properties-global.invalid-on-main": "<div role=main aria-invalid=true></div>",
-    "aria-placeholder.not-with-placeholder": "<input placeholder=a aria-placeholder=b>",
-    "aria-valuemin.not-with-min": "<input type=range min=1 aria-valuemin=1>",
-    "aria-valuemax.not-with-max": "<input type=range max=1 aria-valuemax=1>",
-    "aria-valuemax.on-meter": "<meter aria-valuemax=1>x</meter>",
-    "aria-valuemin.on-meter": "<meter aria-valuemin=1>x</meter>",
-    "aria-valuemin-on-meter.forbidden": "<meter aria-valuemin=1>x</meter>",
-    "aria-valuemax.on-progress": "<progress aria-valuemax=1>x</progress>",
-    "aria-valuemin.on-progress": "<progress aria-valuemin=1>x</progress>",
-    "aria-valuemax.on-input-number": "<input type=number aria-valuemax=1>",
-    "aria-valuemin.on-input-number": "<input type=number aria-valuemin=1>",
-    "aria-checked.on-implicit-checkbox-radio": "<input type=checkbox aria-checked=true>",
-    "aria-checked.on-input-type": "<input type=text aria-checked=true>",
-    "checkbox.role-button-needs-aria-pressed": "<input type=checkbox role=button>",
-    "presentational.no-heading-in-button": "<div role=button><h2>x</h2></div>",
-    "presentational.no-button-in-img": "<div role=img><button>x</button></div>",
-    "aria.input-hidden-no-aria-attrs": "<input type=hidden aria-label=x>",
-    "aria-hidden-restrictions.not-on-hidden-input": "<input type=hidden aria-hidden=true>",
-    "aria.none-role-global-aria-ignored": "<b role=none aria-details=x>x</b>",
-    "aria.none-role-tabindex-ignored": "<b role=none tabindex=0>x</b>",
-    "aria.option-no-aria-selected": "<select><option aria-selected=true>x</option></select>",
-    "aria.label-hidden-labelable-descendant": "<label aria-hidden=true><input></label>",
-    "aria.img-alt-role-none-presentation": "<img alt=x role=none>",
-    "aria.active-tab-needs-tabpanel": "<b role=tab aria-selected=true aria-controls=q>x</b><i id=q>x</i>",
-    "naming-prohibited.no-aria-label": "<div aria-label=x></div>",
-    "naming-prohibited.no-aria-labelledby": "<a aria-labelledby=x>y</a>",
-    "naming-prohibited.no-aria-braillelabel": "<x-y aria-braillelabel=x></x-y>",
-    "role-forbidden-inside-heading.not-in-heading": "<h2><b role=note>x</b></h2>",
-    "a-href-forbidden-inside-widget-role.descendant": "<div role=tab><a href=x>y</a></div>",
-    "tabindex-forbidden-inside-role.descendant": "<div role=tab><b tabindex=0>y</b></div>",
-    "unnecessary-role-extra.link": "<a href=x role=link>y</a>",
-    "select-listbox-role.requires-multiple-or-size": "<select role=listbox><option>x</option></select>",
-    "select-listbox-role.redundant": "<select role=listbox size=3><option>x</option></select>",
-    "multiple-main-with-role.at-most-one-visible": "<main>x</main><div role=main>y</div>",
-    "a-href-aria-disabled.true": "<a href=x aria-disabled=true>y</a>",
-    "aria-disabled-redundant.on-disabled": "<input disabled aria-disabled=true>",
-    "aria-expanded-restrictions.not-with-command": "<button aria-expanded=true command=x>y</button>",
-    "aria-expanded-restrictions.not-with-popovertarget": "<button aria-expanded=true popovertarget=x>y</button>",
-    "aria-hidden-restrictions.not-true-with-hidden-until-found": "<p hidden=until-found aria-hidden=true>x</p>",
-    "aria-valuemax-on-max.forbidden": "<input type=range max=3 aria-valuemax=3>",
-    "role-listitem-aria-level.forbidden": "<b role=listitem aria-level=2>x</b>",
-    "dl-div-child-role.presentation-or-none": "<dl><div role=group><dt>x<dd>y</div></dl>",
-    "summary-role.forbidden": "<details><summary role=button>x</summary>y</details>",
-    "label-role-restrictions.role-forbidden": "<label role=note for=q>x</label><input id=q>",
-    "label-role-restrictions.aria-label-forbidden-when-for": "<label aria-label=y for=q>x</label><input id=q>",
-    "role-cell-containment.needs-row-ancestor": "<b role=cell>x</b>",
-    "role-option-containment.needs-listbox-ancestor": "<b role=option id=q>x</b><i role=list aria-owns=q>y</i>",
-    "role-row-containment.needs-table-family-ancestor": "<b role=row>x</b>",
-    "li-role-by-ancestor.listbox-or-list": "<ul role=listbox><li role=button>x</ul>",
-    "li-role-by-ancestor.menu-or-menubar": "<ul role=menu><li role=button>x</ul>",
-    "li-role-by-ancestor.tablist": "<ul role=tablist><li role=button>x</ul>",
-    "li-role-by-ancestor.tree": "<ul role=tree><li role=button>x</ul>",
-    "aria.hidden-not-focusable": "<b aria-hidden=true tabindex=0>x</b>",
-    "aria.multiselectable-on-select": "<select aria-multiselectable=true><option>x</option></select>",
-    "attributes.lang-xml-lang-sameness": "<p lang=en xml:lang=de>x</p>",
-    "headingoffset-range.zero-to-eight": "<p headingoffset=9>x</p>",
-    "commandfor-target-exists.id-found": "<button commandfor=q>x</button>",
-    "aria-activedescendant-target-exists.id-found": "<input aria-activedescendant=q>",
-    "attributes.form-ref-form": "<input form=q><p id=q>x</p>",
-    "headings.empty": "<h2> </h2>",
-    "headings.article-lacks-heading": "<article>x</article>",
-    "headings.section-lacks-heading": "<section>x</section>",
-    "headings.no-top-level": "<h2>x</h2>",
-    "headings.skip-level-h1-to-h3": "<h1>x</h1><h3>y</h3>",
-    "ids.duplicate": "<p id=q>x</p><p id=q>y</p>",
-    "microdata.itemid-without-itemtype": "<p itemid=x itemscope>y</p>",
-    "microdata.itemref-without-itemscope": "<p itemref=x>y</p>",
-    "microdata.itemtype-without-itemscope": "<p itemtype=x>y</p>",
-    "obsolete-elements.deprecated": "<center>x</center>",
-    "tables.th-scope-enum": "<table><tr><th scope=x>y</table>",
-    "tables.colspan-max": "<table><tr><td colspan=1001>y</table>",
-    "tables.rowspan-max": "<table><tr><td rowspan=65535>y</table>",
-    "tables.span-max": "<table><colgroup span=1001></colgroup></table>",
-    "tables.td-role-in-table": "<table><tr><td role=cell>x</table>",
-    "tables.headers-ref-th": "<table><tr><th id=q>x</table><table><tr><td headers=q>x</table>",
-    "tables.row-no-cells": "<table><tr></tr></table>",
-    "tables.row-width-not-less-than-column-markup": "<table><colgroup><col><col span=2></colgroup><tr><td>x</table>",
-    "tables.row-width-not-exceeding-column-markup": "<table><colgroup></colgroup><tr><td colspan=2>x</table>",
-    "tables.row-width-not-less-than-first-row": "<table><tr><td>x<td>y<tr><td>z</table>",
-    "tables.row-width-not-exceeding-first-row": "<table><tr><td>x<tr><td>z<td>y</table>",
-    "elements.bdo-missing-dir": "<bdo>x</bdo>",
-    "elements.bdo-dir-auto": "<bdo dir=auto>x</bdo>",
-    "elements.area-outside-map": "<area>",
-    "elements.main-in-wrong-ancestor": "<nav><main>x</main></nav>",
-    "elements.multiple-main-visible": "<main>x</main><main>y</main>",
-    "elements.map-id-name-mismatch": "<map id=x name=y></map>",
-    "elements.link-missing-href": "<link rel=stylesheet>",
-    "elements.link-preload-missing-as": "<link rel=preload href=x>",
-    **{f"elements.script-importmap-{n}": f"<script type=importmap {n}></script>" for n in ("async", "defer", "src", "integrity")},
-    "elements.script-speculationrules-integrity": "<script type=speculationrules integrity=x></script>",
-    "elements.script-module-defer": "<script type=module defer src=x></script>",
-    "elements.script-module-inline-integrity": "<script type=module integrity=x></script>",
-    "elements.script-module-nomodule": "<script type=module nomodule></script>",
-    "elements.script-classic-inline-integrity": "<script integrity=x></script>",
-    "elements.script-datablock-integrity": "<script type=text/plain integrity=x></script>",
-    "elements.link-integrity-rel": "<link rel=icon href=x integrity=y>",
-    "elements.select-multiple-selected": "<select><option selected>x<option selected>y</select>",
-    "elements.track-empty-label": "<video><track label=''></video>",
-    "elements.track-multiple-default": "<video><track default><track default></video>",
-    "elements.input-button-empty-value": "<input type=button value=' '>",
-    "elements.selectedcontent-no-aria-hidden": "<select><button><selectedcontent aria-hidden=true></selectedcontent></button></select>",
-    "elements.selectedcontent-no-role": "<select><button><selectedcontent role=x></selectedcontent></button></select>",
-    "elements.autofocus-multiple": "<input autofocus><p><input autofocus></p>",
-    "elements.meter-min-max": "<meter min=2 max=1>x</meter>",
-    "elements.meter-value-min": "<meter min=2 max=3 value=1>x</meter>",
-    "elements.meter-value-no-min": "<meter value=-1>x</meter>",
-    "elements.meter-value-max": "<meter max=2 value=3>x</meter>",
-    "elements.meter-value-no-max": "<meter value=2>x</meter>",
-    "elements.meter-low-min": "<meter min=2 max=3 low=1>x</meter>",
-    "elements.meter-low-high": "<meter max=9 low=3 high=2>x</meter>",
-    "elements.meter-low-max": "<meter max=2 low=3>x</meter>",
-    "elements.meter-high-max": "<meter max=2 high=3>x</meter>",
-    "elements.meter-high-min": "<meter min=2 max=3 high=1>x</meter>",
-    "elements.meter-optimum-min": "<meter min=2 max=3 optimum=1>x</meter>",
-    "elements.meter-optimum-max": "<meter max=2 optimum=x>x</meter>",
-    "elements.progress-value-max": "<progress max=2 value=3>x</progress>",
-    "elements.progress-value-no-max": "<progress value=2>x</progress>",
-    "elements.input-readonly-type": "<input type=checkbox readonly>",
-    "elements.input-maxlength-type": "<input type=date maxlength=2>",
-    "elements.input-required-types": "<input type=range required>",
-    "elements.input-list-ref": "<input list=q><p id=q>x</p>",
-    "elements.link-as-missing-rel": "<link as=image href=x rel=icon>",
-    "elements.link-imagesrcset-as": "<link imagesrcset=x rel=preload as=font imagesizes=x>",
-    "elements.label-max-one-labelable": "<label><input><input></label>",
-    "elements.srcset-w-needs-sizes": "<img alt=x srcset='a 10w'>",
-    "elements.source-media-not-all": "<picture><source media=' ALL '></picture>",
-    "elements.srcset-sizes-needs-w-descriptor": "<img alt=x srcset='a 2x' sizes=1px>",
-    "elements.source-needs-media-or-type": "<picture><source srcset=a><img alt=x srcset=b></picture>",
-    "elements.custom-element-no-is": "<x-y is=z></x-y>",
-    "elements.form-accept-charset-utf8": "<form accept-charset=latin1></form>",
-    "elements.link-imagesrcset-w-needs-imagesizes": "<link rel=preload as=image imagesrcset='a 10w'>",
-    "elements.meta-charset-unique": "<meta charset=utf-8><meta charset=utf-8>",
-    "elements.meta-charset-no-content-type": "<meta charset=utf-8><meta http-equiv=Content-Type>",
-    "elements.meta-media-needs-theme-color": "<meta media=x name=y>",
-    "elements.meta-x-ua-compatible-ie-edge": "<meta http-equiv=X-UA-Compatible content=IE=9>",
-    "elements.select-button-allowed-only-dropdown": "<select multiple><button>x</button></select>",
-    "elements.select-button-no-aria-label": "<select><button aria-label=y>x</button></select>",
-    **{f"elements.dt-no-{t}": f"<dl><dt><p></p><{t}>x</{t}><dd>y</dl>" for t in "h1 h2 h3 h4 h5 h6 header hgroup nav section".split()},
-    "elements.dt-no-footer-or-header": "<dl><dt><footer>x</footer><dd>y</dl>",
-    "elements.base-before-link-script": "<link rel=icon href=x><base href=y>",
-    "elements.script-inline-no-async-defer": "<script async></script>",
-    "elements.script-inline-classic-no-blocking": "<script blocking=render></script>",
-    "elements.script-inline-classic-no-fetchpriority": "<script fetchpriority=low></script>",
-    "elements.script-inline-module-no-blocking": "<script type=module blocking=render></script>",
-    "elements.script-inline-module-no-fetchpriority": "<script type=module fetchpriority=low></script>",
-    "elements.script-type-text-javascript-unnecessary": "<script type=application/javascript></script>",
-    "elements.script-type-text-javascript-warning": "<script type=text/javascript></script>",
-    "elements.source-sizes-auto-lazy": "<picture><source sizes=auto srcset='a 1w'><img alt=x></picture>",
-    "elements.img-sizes-auto-lazy": "<img alt=x sizes=AUTO srcset='a 1w'>",
-    "elements.sizes-needs-srcset": "<img alt=x sizes=1px>",
-    "elements.img-controls-needs-alt": "<img controls alt=''>",
-    "elements.input-hidden-no-autocomplete-on-off": "<input type=hidden autocomplete=OFF>",
-    "elements.input-pattern-types": "<input type=number pattern=x>",
-    "elements.input-formaction-types": "<input formaction=x>",
-    "elements.script-importmap-no-crossorigin": "<script type=importmap crossorigin></script>",
-    "elements.script-importmap-no-blocking": "<script type=importmap blocking></script>",
-    "elements.script-importmap-no-fetchpriority": "<script type=importmap fetchpriority=low></script>",
-    "elements.script-importmap-no-nomodule": "<script type=importmap nomodule></script>",
-    "elements.script-language-obsolete": "<script language=js></script>",
-    "elements.option-empty-needs-label": "<select><option> </option></select>",
-    "elements.label-for-non-form-control": "<label for=q>x</label><p id=q>y</p>",
-    "elements.label-for-descendant-matching-id": "<label for=q>x<input id=r></label>",
-    "elements.script-speculationrules-no-disallowed-attrs": "<script type=speculationrules nonce=x></script>",
-    "elements.script-speculationrules-no-blocking": "<script type=speculationrules blocking></script>",
-    "elements.script-speculationrules-no-fetchpriority": "<script type=speculationrules fetchpriority=low></script>",
-    "elements.script-speculationrules-no-nomodule": "<script type=speculationrules nomodule></script>",
-    "elements.no-footer-in-header-footer": "<header><footer>x</footer></header>",
-    "elements.no-header-in-header-footer": "<header><header>x</header></header>",
-    "elements.dl-duplicate-dt": "<dl><dt>a<dd>b<dt> a <dd>c</dl>",
-    "elements.ruby-tabular-rb": "<ruby><rb>a<rb>b<rt>c<rt>d</ruby>",
-    "elements.rtc-positioning": "<ruby>a<rtc>b</rtc></ruby>",
-    "elements.source-srcset-w-needs-sizes": "<picture><source srcset='a 9W'><img alt=x></picture>",
-    "elements.img-picture-srcset-w-needs-sizes": "<picture><img alt=x srcset='a 9w'></picture>",
-    "elements.script-datablock-no-async": "<script type=text/plain async></script>",
-    "elements.link-color-needs-mask-icon": "<link rel=icon href=x color=red>",
-    "elements.link-disabled-needs-stylesheet": "<link rel=icon href=x disabled>",
-    "elements.link-sizes-allowed-rel": "<link rel=preconnect href=x sizes=any>",
-    "elements.link-in-body-rel": "<body><link rel=icon href=x>",
-    "elements.link-modulepreload-as-invalid": "<link rel=modulepreload href=x as=font>",
-    "elements.link-preload-as-invalid": "<link rel=preload href=x as=json>",
-    "elements.input-name-isindex-forbidden": "<input name=IsIndex>",
-    "elements.img-ismap-needs-a-href": "<img alt=x ismap>",
-    "elements.img-usemap-target-exists": "<img alt=x usemap='#m'><map name=n></map>",
-    "elements.select-required-needs-option": "<select required></select>",
-    "elements.select-required-first-option-placeholder": "<select required><option value=a>x</option></select>",
-    "elements.select-autocomplete-no-webauthn": "<select autocomplete='x webauthn'></select>",
-    "elements.address-no-nested-address": "<address><b><address>x</address></b></address>",
-    "elements.figure-figcaption-no-role": "<figure role=img><figcaption>x</figcaption></figure>",
-    "elements.figure-table-caption-should-be-figcaption": "<figure><table><caption>x</caption><tr><td>y</table><figcaption>x</figcaption></figure>",
-    "elements.link-alternate-stylesheet-needs-title": "<link rel='alternate stylesheet' href=x>",
-    "elements.link-blocking-needs-stylesheet": "<link rel=icon href=x blocking=render>",
-    "elements.link-imagesizes-needs-imagesrcset": "<link rel=preload as=image href=x imagesizes=1px>",
-    "elements.meta-multiple-description": "<meta name=description content=x><meta name=description content=y>",
-    "elements.meta-viewport-user-scalable-no": "<meta name=viewport content='user-scalable=NO'>",
-    "elements.optgroup-no-label-no-legend": "<select><optgroup><option>x</optgroup></select>",
-    "elements.title-not-empty": "<title> </title>",
-    "elements.audio-controls-in-button": "<button><audio controls></audio></button>",
-    "elements.itemprop-needs-itemscope": "<p itemprop=x>y</p>",
-    "elements.itemref-target-exists": "<p itemscope itemref='nonexistent'>y</p>",
-    "elements.img-missing-alt": "<img src=x>",
-    "elements.img-missing-alt-in-figure": "<figure><img src=x></figure>",
-    "elements.a-href-in-button": "<button><a href=x>y</a></button>",
-    "elements.svg-a-in-svg-a": "<svg><a><g><a></a></g></a></svg>",
-    "elements.a-href-in-a": "<a><b><a href=x>y</a></b></a>",
-    "elements.a-in-a": "<a><b><a>y</a></b></a>",
-    **{f"elements.{t}-in-a": f"<a href=x><{t}>y</{t}></a>" for t in HIDING.split()},
-    "elements.dialog-in-a": "<a href=x><dialog>y</dialog></a>",
-    "elements.video-controls-in-a": "<a href=x><video controls></video></a>",
-    "elements.audio-controls-in-a": "<a href=x><audio controls></audio></a>",
-    "elements.img-usemap-in-a": "<a href=x><img alt=x usemap='#'></a>",
-    "elements.object-usemap-in-a": "<a href=x><object usemap='#'></object></a>",
-    "elements.input-in-a": "<a href=x><input></a>",
-    "elements.tabindex-in-a": "<a href=x><b tabindex=0>y</b></a>",
-    "elements.interactive-role-in-a": "<a href=x><b role='button x'>y</b></a>",
-    "elements.input-autocomplete-webauthn-alone": "<input autocomplete=' webauthn '>",
-    "elements.meta-charset-not-utf8": "<meta charset=latin1>",
-    **{f"roles.unnecessary-{r}": f"<{t} role={r}>x</{t}>" for r, t in assertions.IMPLIED.items()},
-    **{f"unnecessary-role-extra.{r}": f"<{assertions.IMPLIED[r]} role={r}>x" for r in ("dialog", "figure", "deletion", "button", "rowgroup", "listitem")},
-    "roles.unnecessary-banner": "<header role=banner>x</header>",
-    "roles.unnecessary-contentinfo": "<footer role=contentinfo>x</footer>",
-    "roles.unnecessary-list": "<ol role=list></ol>",
-    "roles.unnecessary-spinbutton": "<input type=number role=spinbutton>",
-    "roles.unnecessary-textbox": "<input role=textbox>",
-    "roles.unnecessary-searchbox": "<input type=search role=searchbox>",
-    "roles.unnecessary-combobox": "<select role=combobox><option>x</select>",
-    "roles.unnecessary-listbox": "<select multiple role=listbox><option>x</select>",
-    "roles.unnecessary-link": "<a href=x role=link>y</a>",
-    "roles.unnecessary-math": "<math role=math></math>",
-    "roles-properties-global.aria-hidden-on-body": "<body aria-hidden=true>",
-    "elements.html-missing-lang": "<html><body>x",
-}
 GOOD = [
     "<h1>a</h1><h2>b</h2><h3>c</h3><article><h2>x</h2></article>",
     "<label for=q>x</label><input id=q required type=email maxlength=3><label>y<input></label>",
@@ -265,12 +24,6 @@ GOOD = [
 ]
 
 
-def page(fragment):
-    if fragment.startswith(("<body", "<html")):
-        return fragment if fragment.startswith("<html") else f"<html lang=en>{fragment}"
-    return f"<html lang=en><main><h1>t</h1></main>{fragment}" if "<h1" not in fragment and "main" not in fragment and fragment != "<h2>x</h2>" else f"<html lang=en><body>{fragment}"
-
-
 @pytest.fixture(scope="module")
 def found(spark):
     pages = [(k, page(x)) for k, x in enumerate(BAD.values())] + [(1000 + k, page(x)) for k, x in enumerate(GOOD)] + [(2000, None), (2001, ""), (2002, "plain")]
