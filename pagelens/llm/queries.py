@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -15,6 +16,12 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_model import score
 
@@ -75,6 +82,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op12_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bit_planes import round_trip
+
+    found = round_trip(table(spark, sf_dir, "documents"), byte_vocabulary_path())
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_deleted_interpolation": op1_deleted_interpolation,
     "op2_quality_knn": op2_quality_knn,
@@ -86,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_latent_decontamination": op8_latent_decontamination,
     "op9_toxic_segments": op9_toxic_segments,
     "op10_packing": op10_packing,
+    "op12_bit_planes": op12_bit_planes,
 }
 
 #: DuckDB SQL for those that SQL can express.
