@@ -89,6 +89,12 @@ def op12_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic import periodic_runs, run_digests, with_tail_repeated
+
+    return run_digests(periodic_runs(with_tail_repeated(table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_deleted_interpolation": op1_deleted_interpolation,
     "op2_quality_knn": op2_quality_knn,
@@ -101,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxic_segments": op9_toxic_segments,
     "op10_packing": op10_packing,
     "op12_bit_planes": op12_bit_planes,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 #: DuckDB SQL for those that SQL can express.
