@@ -82,6 +82,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"), head=lambda c: F.crc32(c.cast("string")) % 9, family=lambda c: c - c % 5)
+
+
 def op12_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bit_planes import round_trip
 
@@ -106,9 +112,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_latent_decontamination": op8_latent_decontamination,
     "op9_toxic_segments": op9_toxic_segments,
     "op10_packing": op10_packing,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_bit_planes": op12_bit_planes,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
 #: DuckDB SQL for those that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    # crc32 byte by byte, bit by bit: a byte and seven zeros are folded in; 3988292384 is the reversed polynomial.
+    "op11_prefix_trie": """
+WITH own AS (
+  SELECT conv_id AS c, list({'t': sha256(len(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 'b': strlen(coalesce(text, ''))} ORDER BY turn NULLS FIRST, sha256(len(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+heads AS (
+  SELECT c, turns, c - c % 5 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(c::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda s, x: xor(xor(s, x) >> 1, (xor(s, x) & 1) * 3988292384)), 4294967295::BIGINT) % 9 AS h
+  FROM own),
+built AS (
+  SELECT a.c, list_concat(coalesce(b.turns, [])[1:a.h], a.turns[a.h + 1:]) AS turns FROM heads a LEFT JOIN own b ON a.base = b.c),
+paths AS (
+  SELECT c, turns, len(turns) AS n, list_transform(turns, lambda x: x.t) AS p FROM built),
+members AS (
+  SELECT c, n, d, p[1:d] AS path, CASE WHEN d > 0 THEN turns[d].b ELSE 0 END AS b FROM (SELECT *, unnest(range(0, n + 1)) AS d FROM paths)),
+nodes AS (
+  SELECT path, d, min(c) AS c, count(*) AS k, max(b) AS b, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '')) AS ends FROM members GROUP BY path, d),
+children AS (SELECT path[1:d - 1] AS path, count(*) AS k FROM nodes WHERE d > 0 GROUP BY 1),
+full_nodes AS (SELECT a.*, coalesce(b.k, 0) AS children FROM nodes a LEFT JOIN children b ON a.path = b.path),
+subtrees AS (
+  SELECT path[1:u] AS path, sum(CASE WHEN children = 0 THEN 1 ELSE 0 END) AS leaves, sum((k - 1) * b) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS u FROM full_nodes) GROUP BY 1)
+SELECT a.c AS conv_id, a.d::BIGINT AS depth, p.c AS parent_conv_id, a.k AS n_convs, a.children AS n_children, s.leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, a.ends AS ends_sha256
+FROM full_nodes a JOIN subtrees s ON a.path = s.path LEFT JOIN nodes p ON a.d > 0 AND p.path = a.path[1:a.d - 1]
+""",
+}
