@@ -16,7 +16,7 @@ import json
 import re
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from .common import _filesystem, rows_of, shared_dir
-from .packing import REMEMBERED, SPELLING
+from .packing import SPELLING
 
 MAGIC = b"BITPLN01"
 LIST = "files.json"
@@ -38,22 +38,47 @@ BLOCK_IDS, FILE_IDS, FILE_DOCS = 1 << 16, 1 << 25, 1 << 20
 #: Bits of a plane.
 UNITS = {"bit": 1, "byte": 8}
 
-#: How byte-level vocabularies of this kind part a text, for ASCII and for the letters below; fixed by the vocabulary.
-PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?[^{S}{LN}]+|[{S}]+(?![^{S}])|[{S}]+"
+#: How byte-level vocabularies of this kind part a text, for ASCII and for the letters below; fixed by the vocabulary. Alternatives that can't begin alike are in any order.
+PARTS = r" ?{L}+| ?{N}+|'s|'t|'re|'ve|'m|'ll|'d| ?[^{S}{LN}]+|[{S}]+(?![^{S}])|[{S}]+"
 ASCII_PARTS = re.compile(PARTS.format(L="[A-Za-z]", N="[0-9]", LN="A-Za-z0-9", S=r"\t-\r "))
 OTHER_PARTS = regex.compile(PARTS.format(L=r"\p{L}", N=r"\p{N}", LN=r"\p{L}\p{N}", S=r"\p{White_Space}"))
 #: Characters whose classes no version of Unicode since 5.0 has changed: Latin, Greek, Cyrillic, general punctuation, kana, common ideographs and syllables.
 SETTLED = re.compile("[\x00-ɏΑ-ΡΣ-ωЀ-ҁҊ-ԓ‐-‧‰-⁞€、-】ぁ-ゖァ-ヺ一-龥가-힣！-～]*")
-PROBES = ("Two words", "two  WORDS\n\tand more \n", " it's we'll I'D 12,5% #x $y ...", "Ünïcode straße, É t naïve;\r\n\r\n x", "日本語 text, 한국어 Русский　¹²½", "a_b-c --- ''' \x1c\x1d x\x85y", "   ", "")
+#: What most words are: letters, then marks that no letter joins.
+PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)\Z")
+#: A space between white space, or after it at the end, belongs to what is before it; any other space begins a part.
+INNER_SPACE = re.compile(r"\s (?:\s|\Z)")
+PROBES = ("Two words", "two  WORDS\n\tand more \n", " it's we'll I'D 12,5% #x $y ...", "Ünïcode straße, É t naïve;\r\n\r\n x", "日本語 text, 한국어 Русский　¹²½", "a_b-c --- ''' \x1c\x1d x\x85y", "a\n b \nc\t d 𐐀 e", "   ", "")
+#: Parts and words whose ids a worker remembers.
+MOST_PARTS, MOST_WORDS = 800_000, 400_000
 _encoders: dict[str, ByteEncoder] = {}
 
 
+class Memory(dict):
+    """What `find` gives for a key, remembered: the last `most` / 2 new keys at least, `most` at most, of earlier ones those that came again since."""
+
+    def __init__(self, find: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.find, self.half, self.older = find, most // 2, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.older.get(key)
+        if found is None:
+            found = self.find(key)
+        if len(self) >= self.half:
+            self.older = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
 class ByteEncoder:
-    """Token ids of a whole text from those of its parts.
+    """Token ids of a whole text from those of its words.
 
-    A byte-level vocabulary cuts a text into parts by a fixed pattern and merges bytes within parts only; most parts
-    come again and again and are looked up. Texts with a special token's string, or with characters whose class depends
-    on the version of Unicode, go to the tokenizer whole; all texts do so if the two ways differ on PROBES.
+    A byte-level vocabulary cuts a text into parts by a fixed pattern and merges bytes within parts only. A space begins a part
+    unless it stands between white space, so a text's ids are those of its words, each with the space before it; most words and parts come again
+    and are looked up. Words with characters whose class depends on the version of Unicode, and texts with a special token's string
+    or with spaces between white space, go to the tokenizer whole; all texts do so if the two ways differ on PROBES.
     """
 
     def __init__(self, path: str):
@@ -61,37 +86,37 @@ class ByteEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-        self.by_parts = True
-        self.by_parts = all(self.ids(p) == self._whole(p) for p in PROBES)
+        self.parts = Memory(self._part, MOST_PARTS)
+        self.spaced = Memory(lambda word: self._word(" " + word), MOST_WORDS)
+        self.by_words = True
+        self.by_words = all(self.ids(p) == self._whole(p) for p in PROBES)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _part(self, part: str) -> bytes:
         spelt = part.encode().decode("latin-1").translate(SPELLING)
-        return np.array([x.id for x in self.tokenizer.model.tokenize(spelt)], dtype="<u4").tobytes()
+        ids = [x.id for x in self.tokenizer.model.tokenize(spelt)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, word: str) -> bytes:
+        if plain := PLAIN.match(word):
+            letters, marks = plain.groups()
+            return self.parts[letters] + self.parts[marks] if marks else self.parts[letters]
+        if word.isascii():
+            return b"".join(map(self.parts.__getitem__, ASCII_PARTS.findall(word)))
+        if SETTLED.fullmatch(word):
+            return b"".join(map(self.parts.__getitem__, OTHER_PARTS.findall(word)))
+        return self._whole(word)
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if not self.by_parts or any(s in text for s in self.special):
-            return self._whole(text)
-        if text.isascii():
-            found = ASCII_PARTS.findall(text)
-        elif SETTLED.fullmatch(text):
-            found = OTHER_PARTS.findall(text)
-        else:
+        if not self.by_words or any(s in text for s in self.special):
             return self._whole(text)
-        known = self.known
-        try:
-            return b"".join([known[w] for w in found])
-        except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
-            for w in found:
-                if w not in known:
-                    known[w] = self._part(w)
-            return b"".join([known[w] for w in found])
+        if INNER_SPACE.search(text):
+            return self._word(text)
+        first, *others = text.split(" ")
+        return self._word(first) + b"".join(map(self.spaced.__getitem__, others))
 
 
 def encoder(path: str) -> ByteEncoder:
@@ -112,15 +137,13 @@ def token_ids(docs: DataFrame, vocabulary: str, end_id: int = 0) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                ids, held, first = [], 0, at
-                while at < batch.num_rows and held < 16_000_000:
-                    ((text,),) = rows_of([batch.slice(at, 1)], "text")
-                    ids.append((enc.ids(text) if text else b"") + end)
-                    held += len(ids[-1])
-                    at += 1
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, at - first), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            ids, held, first = [], 0, 0
+            for at, (text,) in enumerate(rows_of([batch.select(["text"])], "text"), 1):
+                ids.append((enc.ids(text) if text else b"") + end)
+                held += len(ids[-1])
+                if held > 16_000_000 or at == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, at - first), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+                    ids, held, first = [], 0, at
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumns({"_digest": F.xxhash64("text"), "_row": F.monotonically_increasing_id()})
     order = [F.asc_nulls_first("doc_id"), F.asc("_digest"), F.asc("_row")]
@@ -129,28 +152,26 @@ def token_ids(docs: DataFrame, vocabulary: str, end_id: int = 0) -> DataFrame:
 
 def planes(ids: np.ndarray, unit: str) -> list[bytes]:
     """The compressed planes of a block, lowest first; nothing for a plane of zeros."""
-    size, press = UNITS[unit], zstandard.ZstdCompressor(level=3)
-    raw = np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4)
-    if size == 8:
-        rows = np.ascontiguousarray(raw.T)
-    else:
-        rows = np.packbits(np.unpackbits(raw, axis=1, bitorder="little").T, axis=1, bitorder="little")
-    return [press.compress(r.tobytes()) if r.any() else b"" for r in rows]
+    size, press = UNITS[unit], zstandard.ZstdCompressor(level=1)
+    used = max(1, (int(ids.max()).bit_length() + 7) // 8)
+    raw = np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4)[:, :used]
+    rows = np.ascontiguousarray(raw.T)
+    if size == 1:
+        rows = np.concatenate([np.packbits(r[None, :] >> np.arange(8, dtype=np.uint8)[:, None] & 1, axis=1, bitorder="little") for r in rows])
+    return [press.compress(r.tobytes()) if r.any() else b"" for r in rows] + [b""] * (32 // size - len(rows))
 
 
 def from_planes(data: memoryview, lengths: np.ndarray, count: int, unit: str) -> np.ndarray:
     """The ids of a block of `count`."""
-    size, press = UNITS[unit], zstandard.ZstdDecompressor()
+    size, press, at = UNITS[unit], zstandard.ZstdDecompressor(), 0
     width = count if size == 8 else (count + 7) // 8
-    rows, at = np.zeros((32 // size, width), np.uint8), 0
+    found = np.zeros((count, 4), np.uint8)
     for k, n in enumerate(lengths.tolist()):
         if n:
-            rows[k] = np.frombuffer(press.decompress(data[at : at + n], max_output_size=width), np.uint8)
+            row = np.frombuffer(press.decompress(data[at : at + n], max_output_size=width), np.uint8)
+            found[:, k * size // 8] |= row if size == 8 else np.unpackbits(row, count=count, bitorder="little") << np.uint8(k % 8)
             at += n
-    if size == 8:
-        return np.ascontiguousarray(rows.T).view("<u4").ravel()
-    bits = np.unpackbits(rows, axis=1, count=count, bitorder="little").T
-    return np.ascontiguousarray(np.packbits(bits, axis=1, bitorder="little")).view("<u4").ravel()
+    return found.view("<u4").ravel()
 
 
 def place(path: str) -> tuple[fs.FileSystem, str]:
@@ -278,17 +299,14 @@ class PlaneWriter(DataSourceArrowWriter):
             file.close()
             done.append([name, file.ids, len(file.docs)])
 
-        for batch in iterator:
-            for at in range(batch.num_rows):
-                part = batch.slice(at, 1)
-                ((doc_id, ids),) = rows_of([part], "doc_id", "ids")
-                if file is None:
-                    name = f"{self.run}-{task.partitionId():06d}-{task.taskAttemptId()}-{len(done):06d}.planes"
-                    file = PlaneFile(store, f"{folder}/{name}", self.unit)
-                file.add(doc_id, ids or b"")
-                if file.ids >= FILE_IDS or len(file.docs) >= FILE_DOCS:
-                    close()
-                    file = None
+        for doc_id, ids in rows_of(iterator, "doc_id", "ids"):
+            if file is None:
+                name = f"{self.run}-{task.partitionId():06d}-{task.taskAttemptId()}-{len(done):06d}.planes"
+                file = PlaneFile(store, f"{folder}/{name}", self.unit)
+            file.add(doc_id, ids or b"")
+            if file.ids >= FILE_IDS or len(file.docs) >= FILE_DOCS:
+                close()
+                file = None
         if file is not None:
             close()
         return Written(task.partitionId(), done)

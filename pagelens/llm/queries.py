@@ -91,7 +91,7 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bit_planes import round_trip
 
-    found = round_trip(table(spark, sf_dir, "documents"), byte_vocabulary_path())
+    found = round_trip(table(spark, sf_dir, "documents"), byte_vocabulary_path(), unit="byte")
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
