@@ -16,11 +16,13 @@ import json
 import re
 import struct
 import uuid
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyarrow import fs
@@ -45,12 +47,14 @@ OTHER_PARTS = regex.compile(PARTS.format(L=r"\p{L}", N=r"\p{N}", LN=r"\p{L}\p{N}
 #: Characters whose classes no version of Unicode since 5.0 has changed: Latin, Greek, Cyrillic, general punctuation, kana, common ideographs and syllables.
 SETTLED = re.compile("[\x00-ɏΑ-ΡΣ-ωЀ-ҁҊ-ԓ‐-‧‰-⁞€、-】ぁ-ゖァ-ヺ一-龥가-힣！-～]*")
 #: What most words are: letters, then marks that no letter joins.
-PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)\Z")
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
+PLAIN = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)\Z")
 #: A space between white space, or after it at the end, belongs to what is before it; any other space begins a part.
-INNER_SPACE = re.compile(r"\s (?:\s|\Z)")
-PROBES = ("Two words", "two  WORDS\n\tand more \n", " it's we'll I'D 12,5% #x $y ...", "Ünïcode straße, É t naïve;\r\n\r\n x", "日本語 text, 한국어 Русский　¹²½", "a_b-c --- ''' \x1c\x1d x\x85y", "a\n b \nc\t d 𐐀 e", "   ", "")
-#: Parts and words whose ids a worker remembers.
-MOST_PARTS, MOST_WORDS = 800_000, 400_000
+INNER_SPACE = re.compile(r" (?:\s(?<=\s..)|\Z(?<=\s.))", re.S)
+PROBES = ("Two words", "two  WORDS\n\tand more \n", " it's we'll I'D 12,5% #x $y ...", "Ünïcode straße, É t naïve;\r\n\r\n x", "日本語 text, 한국어 Русский　¹²½", "a_b-c --- ''' \x1c\x1d x\x85y", "a\n b \nc\t d 𐐀 e", "   ", "", "x ", " y")
+SPACE = " ".translate(SPELLING)
+#: Words whose ids a worker remembers, and parts of words; bytes of text whose ids are put out together.
+MOST_WORDS, MOST_PARTS, SLICE_BYTES = 800_000, 100_000, 2_000_000
 _encoders: dict[str, ByteEncoder] = {}
 
 
@@ -85,24 +89,37 @@ class ByteEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.parts = Memory(self._part, MOST_PARTS)
-        self.spaced = Memory(lambda word: self._word(" " + word), MOST_WORDS)
+        self.spaced = Memory(self._after_space, MOST_WORDS)
         self.by_words = True
         self.by_words = all(self.ids(p) == self._whole(p) for p in PROBES)
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _part(self, part: str) -> bytes:
-        spelt = part.encode().decode("latin-1").translate(SPELLING)
-        ids = [x.id for x in self.tokenizer.model.tokenize(spelt)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return self._spelt(part.encode().decode("latin-1").translate(SPELLING))
+
+    def _spelt(self, part: str) -> bytes:
+        return array("I", [x.id for x in self.merge(part)]).tobytes()
+
+    def _after_space(self, word: str) -> bytes:
+        """The ids of a word after a space. Words that white space begins or ends depend on what is beside them: they aren't looked up."""
+        if word.isascii() and word.isalpha():
+            return self._spelt(SPACE + word)
+        if LETTERS.fullmatch(word):
+            return self._part(" " + word)
+        if not word or word[0].isspace() or word[-1].isspace():
+            raise LookupError
+        return self._word(" " + word)
 
     def _word(self, word: str) -> bytes:
         if plain := PLAIN.match(word):
-            letters, marks = plain.groups()
-            return self.parts[letters] + self.parts[marks] if marks else self.parts[letters]
+            space, letters, marks = plain.groups()
+            found = self.spaced[letters] if space else self.parts[letters]
+            return found + self.parts[marks] if marks else found
         if word.isascii():
             return b"".join(map(self.parts.__getitem__, ASCII_PARTS.findall(word)))
         if SETTLED.fullmatch(word):
@@ -113,10 +130,14 @@ class ByteEncoder:
         """Little-endian unsigned 32-bit ids."""
         if not self.by_words or any(s in text for s in self.special):
             return self._whole(text)
+        first, *others = text.split(" ")
+        try:
+            return self._word(first) + b"".join(map(self.spaced.__getitem__, others))
+        except LookupError:
+            pass
         if INNER_SPACE.search(text):
             return self._word(text)
-        first, *others = text.split(" ")
-        return self._word(first) + b"".join(map(self.spaced.__getitem__, others))
+        return self._word(first) + b"".join([self._word(" " + w) for w in others])
 
 
 def encoder(path: str) -> ByteEncoder:
@@ -137,13 +158,13 @@ def token_ids(docs: DataFrame, vocabulary: str, end_id: int = 0) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for batch in batches:
-            ids, held, first = [], 0, 0
-            for at, (text,) in enumerate(rows_of([batch.select(["text"])], "text"), 1):
-                ids.append((enc.ids(text) if text else b"") + end)
-                held += len(ids[-1])
-                if held > 16_000_000 or at == batch.num_rows:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, at - first), pa.array(ids, pa.binary())], ["doc_id", "ids"])
-                    ids, held, first = [], 0, at
+            at, sizes = 0, np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+            while at < batch.num_rows:
+                before = sizes[at - 1] if at else 0
+                to = max(at + 1, int(np.searchsorted(sizes, before + SLICE_BYTES, "right")))
+                ids = [(enc.ids(t) if t else b"") + end for t in batch.column(1).slice(at, to - at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+                at = to
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumns({"_digest": F.xxhash64("text"), "_row": F.monotonically_increasing_id()})
     order = [F.asc_nulls_first("doc_id"), F.asc("_digest"), F.asc("_row")]
