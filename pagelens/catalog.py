@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagelens import catalog_measured, catalog_roles
 from pagelens.functions import datatypes
 from pagelens.operators import assertions, cascade, conform, names, perception, policies, reports, semantics, structure, trees, web
 from pagelens.plans.examples import BREAKS, SEMANTICS, STRUCTURE, VALUES, whole_page
@@ -86,11 +87,34 @@ def _robots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", path.alias("path")).withColumn("allowed", ~web.path_is_disallowed(rules(DISALLOWS), rules(ALLOWS), F.col("path")))
 
 
+#: Files with groups that end in all ways: {0} is a path, {1} a number.
+ROBOTS = [
+    "# c\nUser-Agent: GPTBot\nUser-agent: *\nDisallow: /{0}\nAllow: /x\nCrawl-delay: {1}\n\nuser-agent: Mozilla Bingbot\ndisallow:\nnonsense\nSitemap: /s.xml",
+    "Disallow: /a\n\nUser-agent: thing\nCrawl-delay: {1}\nUser-agent: *\nDisallow: /b\nCrawl-delay: x\n \nsitemap:",
+    "User-agent: one\nCrawl-delay: 3\nCrawl-delay: y\r\nUser-agent: *\nAllow:\nAllow: /{0}\nDisallow: /",
+    "User-agent: one\nDisallow: /q\nUser-agent:\nDisallow: /r\n# x\nUser-agent: Claude-SearchBot",
+]
+
+
+def _robots_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A robots.txt for each customer, of one form by turns."""
+    fill = lambda text: F.replace(F.replace(F.lit(text), F.lit("{0}"), F.lower("c_mktsegment")), F.lit("{1}"), F.col("c_nationkey").cast("string"))
+    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("site"), F.coalesce(*(F.when(F.col("c_custkey") % len(ROBOTS) == k, fill(x)) for k, x in enumerate(ROBOTS))).alias("text"), F.lower("c_mktsegment").alias("segment"))
+
+
 def _robots_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A robots.txt for each customer, parsed, with the class of each group's first agent."""
-    text = F.concat(F.lit("# c\nUser-Agent: GPTBot\nUser-agent: *\nDisallow: /"), F.lower("c_mktsegment"), F.lit("\nAllow: /x\nCrawl-delay: 5\n\nuser-agent: "), F.when(F.col("c_custkey") % 3 == 0, "Mozilla Bingbot").when(F.col("c_custkey") % 3 == 1, "Claude-SearchBot").otherwise("thing"), F.lit("\ndisallow:\nnonsense"))
-    groups = read(spark, sf_dir, "customer").select("c_custkey", F.posexplode(web.robots_groups(text)).alias("number", "g"))
-    return groups.select("c_custkey", "number", F.size("g.agents").alias("agents"), F.size("g.allows").alias("allows"), F.array_join("g.disallows", "|").alias("disallows"), web.bot_class(F.get("g.agents", F.lit(0))).alias("first_class"))
+    found = web.robots_groups(_robots_files(spark, sf_dir))
+    return found.select("site", "number", "user_agent", "bot_class", F.array_join("allows", "|").alias("allows"), F.array_join("disallows", "|").alias("disallows"), F.size("disallows").alias("n_disallows"), "crawl_delay")
+
+
+def _robots_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each file says of a path to any crawler, which classes it blocks, how many sitemaps it names."""
+    sites = stored(_robots_files(spark, sf_dir))
+    groups = stored(web.robots_groups(sites))
+    paths = web.wildcard_disallows(groups, sites.select("site", F.concat(F.lit("/"), "segment", F.lit("/page")).alias("path"))).select("site", "disallowed")
+    blocked = web.blocked_classes(groups).groupBy("site").agg(F.array_join(F.sort_array(F.collect_list("bot_class")), "|").alias("blocked"))
+    maps = web.robots_sitemaps(sites).groupBy("site").agg(F.count("*").alias("sitemaps"))
+    return paths.join(blocked, "site", "left").join(maps, "site", "left").fillna({"blocked": "", "sitemaps": 0})
 
 
 def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -361,6 +385,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "datatype_examples": _datatype_examples,
     "datatype_counts": _datatype_counts,
     "robots_groups": _robots_groups,
+    "robots_answers": _robots_answers,
     "hreflang_sets": _languages,
     "url_same_page_keys": _same_page,
     "social_completeness": _social,
@@ -468,8 +493,10 @@ ORACLES |= {
     "semantic_examples": _examples_sql(SEMANTICS, "", ["rule_id", "outcome", "severity"]),
     "datatype_examples": f"SELECT p_partkey, c.datatype, c.valid FROM part JOIN (VALUES {', '.join(f'({k}, {_quoted(n)}, {str(ok).lower()})' for k, (n, _, ok) in enumerate(CASES))}) c(k, datatype, valid) ON p_partkey % {len(CASES)} = c.k",
     "datatype_counts": f"WITH v AS ({_VALUES}) " + " UNION ALL ".join(f"SELECT source, {_quoted(n)} AS datatype, count(*) FILTER (regexp_full_match(value, {_quoted(datatypes.PATTERNS[n])})) AS valid, count(*) AS n FROM v GROUP BY 1" for n in PLAIN),
-    "robots_groups": """SELECT c_custkey, 0 AS number, 2 AS agents, 1 AS allows, '/' || lower(c_mktsegment) AS disallows, 'ai_training' AS first_class FROM customer
-        UNION ALL SELECT c_custkey, 1, 1, 0, '', CASE c_custkey % 3 WHEN 0 THEN 'search_engine' WHEN 1 THEN 'ai_citation' ELSE 'unknown' END FROM customer""",
+    "robots_groups": """SELECT c_custkey AS site, g.number::INT AS number, g.user_agent, g.bot_class, replace(g.allows, '{0}', lower(c_mktsegment)) AS allows, replace(g.disallows, '{0}', lower(c_mktsegment)) AS disallows, g.n_disallows::INT AS n_disallows, CASE WHEN g.waits THEN c_nationkey END::BIGINT AS crawl_delay
+        FROM customer JOIN (VALUES (0, 1, 'GPTBot', 'ai_training', '/x', '/{0}', 1, true), (0, 2, '*', 'wildcard', '/x', '/{0}', 1, true), (0, 3, 'Mozilla Bingbot', 'search_engine', '', '', 1, false), (1, 1, 'thing', 'unknown', '', '', 0, true), (1, 2, '*', 'wildcard', '', '/b', 1, false),
+        (2, 1, 'one', 'unknown', '/{0}', '/', 1, false), (2, 2, '*', 'wildcard', '/{0}', '/', 1, false), (3, 1, 'one', 'unknown', '', '/q', 1, false), (3, 2, 'Claude-SearchBot', 'ai_citation', '', '', 0, false)) g(k, number, user_agent, bot_class, allows, disallows, n_disallows, waits) ON c_custkey % 4 = g.k""",
+    "robots_answers": "SELECT c_custkey AS site, c_custkey % 4 = 0 OR c_custkey % 4 = 1 AND starts_with(lower(c_mktsegment), 'b') AS disallowed, ['ai_training|search_engine|wildcard', 'wildcard', 'unknown|wildcard', 'unknown'][c_custkey % 4 + 1] AS blocked, (c_custkey % 4 = 0)::BIGINT AS sitemaps FROM customer",
     "hreflang_sets": """WITH r AS (SELECT DISTINCT c_nationkey AS page, c_custkey % 6 AS code, CASE WHEN c_custkey % 3 = 0 THEN 'h' || (c_custkey % 2) || (c_custkey % 7 = 0) ELSE 'other' END AS href, c_custkey % 3 = 0 AS own FROM customer)
         SELECT page, count(*) AS n, bool_or(code = 0) AS has_default, count(*) FILTER (code IN (4, 5)) AS invalid, bool_or(own AND code <> 0) AS self_reference FROM r GROUP BY 1""",
     "url_same_page_keys": "SELECT c_custkey, 'http://host.example/p' || (c_custkey % 10) || CASE WHEN c_custkey % 5 = 0 THEN '?u=/B/' ELSE '' END AS page_key FROM customer",
@@ -524,8 +551,8 @@ ORACLES |= {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return QUERIES | catalog_measured.QUERIES | catalog_roles.QUERIES
 
 
 def oracles() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | catalog_measured.ORACLES | catalog_roles.ORACLES

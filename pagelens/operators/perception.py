@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .context import squeezed
+
 # The states that differences track, how roles and states are announced, roles that imply that they can be focused.
 TRACKED = "expanded hidden selected invalid modal checked pressed".split()
 ANNOUNCED = {"button": "button", "link": "link", "textbox": "text_box", "searchbox": "text_box", "checkbox": "check_box", "radio": "radio", "combobox": "combo_box", "listbox": "list_box", "slider": "slider", "spinbutton": "spin_button", "tab": "tab", "navigation": "navigation", "main": "main", "banner": "banner", "contentinfo": "content_info"}
@@ -94,7 +96,6 @@ def viewport_overlap(box: Column, view: Column) -> Column:
 
 
 def visible_text_length(nodes: DataFrame) -> DataFrame:
-    """page_id, chars: how many characters of text are perceived on each page, white space squeezed."""
-    from .semantics import text_of
-
-    return text_of(nodes).select("page_id", F.char_length("words").alias("chars"))
+    """page_id, chars: the bytes of all texts perceived on each page, each with its white space squeezed."""
+    shown = nodes.filter("kind = 'text'").filter(~F.exists("anc", lambda a: a["hidden"] | a["tag"].isin("script", "style", "template", "noscript", "head")))
+    return shown.groupBy("page_id").agg(F.sum(F.octet_length(squeezed(F.col("text")))).cast("long").alias("chars"))

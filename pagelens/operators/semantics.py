@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from pagelens.plans.store import stored
 
-from .context import attr, join_parts, tokens
+from .aria import attribute_findings
+from .context import attr, tokens
 from .names import any_of, has, with_names
 
 # Names that say nothing about a link's target, by themselves or without what surrounds them, and words that announce a new window.
@@ -22,6 +23,8 @@ LABELLED = "button checkbox link menuitem menuitemcheckbox menuitemradio option
 NOT_INTERACTIVE = "generic group article section paragraph none presentation".split()
 INTERACTIVE = "button link checkbox radio switch menuitem menuitemcheckbox menuitemradio tab option treeitem".split()
 LANDMARKS = "banner complementary contentinfo form main navigation region search".split()
+CONTENT_ROLES = "heading paragraph link button textbox checkbox radio img image listitem list table cell row".split()
+NO_CONTENT = "script style template noscript svg".split()
 PARENTS = {
     "caption": "figure grid table treegrid", "cell": "row", "columnheader": "row", "gridcell": "row", "listitem": "list directory", "menuitem": "group menu menubar", "menuitemcheckbox": "group menu menubar", "menuitemradio": "group menu menubar",
     "option": "group listbox", "row": "grid rowgroup table treegrid", "rowgroup": "grid table treegrid", "rowheader": "row", "tab": "tablist", "treeitem": "group tree",
@@ -92,6 +95,17 @@ def landmark() -> Column:
     return F.when(~(found.isin("form", "region") & unnamed()), found)
 
 
+def invisible_frame() -> Column:
+    """Whether a frame is never seen by its markup: width and height of 0 or 1, or an inline style that doesn't display it."""
+    tiny = lambda name: sure(F.trim(attr(name)).isin("0", "1"))
+    undisplayed = F.exists(F.split(F.coalesce(attr("style"), F.lit("")), ";"), lambda d: F.rlike(d, F.lit(r"(?i)^\s*display\s*:\s*none\s*(!important\s*)?$")))
+    return (tiny("width") & tiny("height")) | undisplayed
+
+
+def is_disabled() -> Column:
+    return has("disabled") & tag("button", "input", "select", "textarea", "fieldset", "optgroup", "option")
+
+
 def native_focus() -> Column:
     editable = sure(F.lower(F.trim(attr("contenteditable"))) != "false")
     return editable | (tag("a", "area") & has("href")) | (tag("input") & ~sure(F.lower(F.trim(attr("type"))) == "hidden")) | (tag("audio", "video") & has("controls")) | tag("button", "select", "textarea", "summary", "iframe")
@@ -120,7 +134,7 @@ def element_findings() -> list[Column]:
     tabindex = F.trim(attr("tabindex")).try_cast("int")
     inert = has("inert") | F.exists("anc", lambda a: F.contains(a["names"], F.lit(" inert ")))
     shown = F.when(tag("a") & ~has("href", "role"), F.lit(None).cast("string")).otherwise(F.col("role"))
-    disabled = has("disabled") & tag("button", "input", "select", "textarea", "fieldset", "optgroup", "option")
+    disabled = is_disabled()
     managed = F.exists("anc", lambda a: F.contains(a["names"], F.lit(" aria-activedescendant ")))
     summary = tag("summary") & sure(F.get("anc", F.lit(0))["tag"] == "details") & F.col("first_summary")
     captionless = tag("fieldset") & F.col("legend_missing") & ~by_author
@@ -130,7 +144,7 @@ def element_findings() -> list[Column]:
     described = F.col("description").isNotNull()
     must = (has("required") | sure(attr("aria-required") == "true")) & is_role(*FIELDS) & ~unnamed()
     return [
-        finding("links/name-missing", link & unnamed(), "fail", "critical"),
+        finding("links/name-missing", tag("a") & has("href") & unnamed(), "fail", "critical"),
         finding("buttons/name-missing", button & unnamed(), "fail", "critical"),
         finding("svg/name-missing", svg, F.when(graphic, "fail").otherwise("review"), "high"),
         finding("links/generic-name", link & key.isin(MEANINGLESS), "review", F.when(F.col("has_context"), "low").otherwise("medium")),
@@ -153,7 +167,7 @@ def element_findings() -> list[Column]:
         finding("keyboard/focusable-no-role", ~inert & (tabindex >= 0) & ~native_focus() & (shown.isNull() | shown.isin(NOT_INTERACTIVE)), "review", "low"),
         finding("keyboard/interactive-not-focusable", ~inert & shown.isin(INTERACTIVE) & ~(tabindex.isNotNull() | native_focus()) & ~disabled & ~tag("option") & ~managed, "review", "high"),
         finding("patterns/accordion-controls-missing", ~tag("summary") & sure(F.lower(F.trim(attr("aria-expanded"))) == "true") & ~sure(F.trim(attr("aria-controls")) != "") & is_role("button") & ~F.exists("anc", lambda a: a["tag"].isin("nav", "header") | sure(explicit(a["role"]).isin("navigation", "banner"))), "review", "low"),
-        finding("frames/name-missing", tag("iframe") & ~sure(F.lower(F.trim(attr("title"))) != "") & ~by_author & (F.coalesce(tabindex, F.lit(0)) >= 0), "fail", "high"),
+        finding("frames/name-missing", tag("iframe") & unnamed() & ~invisible_frame() & (F.coalesce(tabindex, F.lit(0)) >= 0), "fail", "high"),
         finding("names/title-only", is_role("button", "link") & sure(F.trim(attr("title")) != "") & ~by_author & F.col("native").isNull() & F.col("visible_text").isNull(), "review", "medium"),
         finding("aria/required-parent-missing", any_of(*((explicit(attr("role")) == r) & ~F.col("near_role").isin(p.split()) for r, p in PARENTS.items())) | any_of(*((explicit(attr("role")) == r) & F.col("near_role").isNull() for r in PARENTS)), "fail", "high"),
         finding("aria/required-children-missing", any_of(*((explicit(attr("role")) == r) & ~F.arrays_overlap("kid_roles", F.array(*map(F.lit, c.split()))) for r, c in CHILDREN.items())) & ~sure(attr("aria-busy") == "true") & ~has("aria-owns") & (F.size("kid_roles") > 0), "fail", "high"),
@@ -162,7 +176,7 @@ def element_findings() -> list[Column]:
 
 def with_surroundings(e: DataFrame, nodes: DataFrame) -> DataFrame:
     """What rules need of other elements: text around a link, named controls above, focusable and graphic descendants, labels, legends, required owners and owned roles."""
-    below = e.select("page_id", F.explode("anc.pre").alias("pre"), (native_focus() | F.trim(attr("tabindex")).try_cast("int").isNotNull()).alias("focus"), (sure(explicit(attr("role")).isin("img", "graphics-document", "graphics-symbol")) & in_svg()).alias("graphic"), is_role(*FIELDS).alias("field"))
+    below = e.select("page_id", F.explode("anc.pre").alias("pre"), ((native_focus() | F.trim(attr("tabindex")).try_cast("int").isNotNull()) & ~is_disabled()).alias("focus"), (sure(explicit(attr("role")).isin("img", "graphics-document", "graphics-symbol")) & in_svg()).alias("graphic"), is_role(*FIELDS).alias("field"))
     below = below.filter("focus or graphic or field").groupBy("page_id", "pre").agg(F.bool_or("focus").alias("has_focusable"), F.bool_or("graphic").alias("has_graphic"), F.bool_or("field").alias("has_fields"))
     controls = e.filter((tag("a", "button") | sure(explicit(attr("role")).isin("link", "button"))) & ~unnamed()).select("page_id", F.col("pre").alias("at"))
     in_named = e.filter(tag("svg") | sure(explicit(attr("role")).isin("img", "graphics-document", "graphics-symbol"))).select("page_id", "pre", F.explode("anc.pre").alias("at")).join(controls, ["page_id", "at"]).select("page_id", "pre", _true().alias("in_named")).distinct()
@@ -187,10 +201,10 @@ def with_surroundings(e: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def page_findings(e: DataFrame) -> DataFrame:
     """Rules on several elements of a page: links of one name to several targets, landmarks that can't be told apart, lie within others, or come twice."""
-    links = e.filter(is_role("link") & ~unnamed() & attr("href").isNotNull() & (F.trim(attr("href")) != "")).select("page_id", "pre", F.lower("name").alias("name"), F.regexp_replace(F.trim(attr("href")), "#.*$", "").alias("href"))
+    links = e.filter(tag("a") & ~unnamed() & attr("href").isNotNull()).select("page_id", "pre", F.lower(F.trim("name")).alias("name"), attr("href").alias("href"))
     # More targets than one in a group: the smallest and the largest differ.
     same = Window.partitionBy("page_id", "name")
-    ambiguous = links.withColumns({"low": F.min("href").over(same), "high": F.max("href").over(same), "k": F.row_number().over(same.orderBy("pre"))}).filter("low < high and k = 1")
+    ambiguous = links.withColumns({"low": F.min("href").over(same), "high": F.max("href").over(same)}).filter("low < high")
     ambiguous = ambiguous.select("page_id", F.lit("links/ambiguous-name").alias("rule_id"), F.lit("review").alias("outcome"), F.lit("medium").alias("severity"), "pre")
     marks = e.withColumn("landmark", landmark()).filter("landmark is not null").select("page_id", "pre", "post", "landmark", F.lower(F.coalesce("name", F.lit(""))).alias("name"), "anc")
     alike = marks.withColumn("n", F.count("*").over(Window.partitionBy("page_id", "landmark", "name"))).filter("n > 1").select("page_id", F.lit("landmarks/not-unique").alias("rule_id"), F.lit("review").alias("outcome"), F.lit("medium").alias("severity"), "pre")
@@ -203,18 +217,22 @@ def page_findings(e: DataFrame) -> DataFrame:
 
 
 def content_outside(e: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The outermost elements with content that stand in the body, in no landmark and around none."""
-    marks = e.withColumn("landmark", landmark()).filter("landmark is not null").select("page_id", "pre", "anc")
-    around = marks.select("page_id", F.explode("anc.pre").alias("pre")).distinct()
-    inside = marks.select("page_id", F.col("pre").alias("mark"))
-    words = nodes.filter("kind = 'text'").filter(F.rlike("text", F.lit(r"\S")) & ~F.exists("anc", lambda a: a["hidden"] | a["tag"].isin("script", "style", "template", "noscript", "svg", "head")) & F.exists("anc", lambda a: a["tag"] == "body"))
-    path = words.select("page_id", F.col("pre").alias("at"), F.posexplode("anc.pre").alias("k", "pre"))
-    covered = path.join(inside, (path.page_id == inside.page_id) & (path.pre == inside.mark)).select(path.page_id, "at").distinct()
-    free = path.join(covered, ["page_id", "at"], "left_anti")
-    # From the text up, the last element that has no landmark below it.
-    outer = free.join(around, ["page_id", "pre"], "left_anti").join(e.filter(~tag("body", "html")).select("page_id", "pre"), ["page_id", "pre"], "left_semi")
-    top = outer.groupBy("page_id", "at").agg(F.min("pre").alias("pre"))
-    return top.select("page_id", F.lit("landmarks/content-outside").alias("rule_id"), F.lit("best_practice").alias("outcome"), F.lit("medium").alias("severity"), "pre").distinct()
+    """The outermost elements with content that stand in the body, in no landmark and around none; what has text beside a landmark is the holder of both.
+
+    Content is text, and named elements of CONTENT_ROLES. Links to places on the page that come before the first other link are there to skip, and are no content. A page without a body is judged as its html.
+    """
+    page = e.groupBy("page_id").agg(F.coalesce(F.min(F.when(tag("body"), F.col("pre"))), F.min(F.when(tag("html"), F.col("pre")))).alias("body"), F.min(F.when(tag("a") & (F.trim(attr("href")) != "") & ~F.rlike(attr("href"), F.lit("(?s)^#.")), F.col("pre"))).alias("leaving")).filter("body is not null")
+    jumps = e.filter(tag("a") & (F.trim(attr("href")) != "")).join(page, "page_id").filter("leaving is null or pre < leaving").select("page_id", "pre", _true().alias("jump"))
+    marks = e.withColumn("landmark", landmark()).filter("landmark is not null")
+    around = marks.select("page_id", F.explode(F.concat(F.array(F.struct("pre", _true().alias("is_mark"))), F.transform("anc", lambda a: F.struct(a["pre"].alias("pre"), _false().alias("is_mark"))))).alias("a")).groupBy("page_id", "a.pre").agg(F.bool_or("a.is_mark").alias("is_mark"))
+    outside = ~F.exists("anc", lambda a: a["hidden"] | a["tag"].isin(*NO_CONTENT, "head"))
+    words = nodes.filter("kind = 'text'").filter(F.rlike("text", F.lit(r"\S")) & outside).select("page_id", F.col("pre").alias("at"), F.col("anc.pre").alias("path"), _true().alias("is_text"))
+    things = e.filter(is_role(*CONTENT_ROLES) & ~unnamed() & ~tag(*NO_CONTENT) & outside).select("page_id", F.col("pre").alias("at"), F.concat(F.array("pre"), "anc.pre").alias("path"), _false().alias("is_text"))
+    units = words.unionByName(things).join(page, "page_id").filter(F.array_contains("path", F.col("body"))).withColumn("path", F.filter("path", lambda p: p > F.col("body")))
+    steps = units.select("page_id", "at", "is_text", "body", F.posexplode_outer("path").alias("k", "pre")).join(around, ["page_id", "pre"], "left").join(jumps, ["page_id", "pre"], "left")
+    seen = steps.groupBy("page_id", "at", "is_text", "body").agg(F.bool_or(sure(F.col("is_mark")) | sure(F.col("jump"))).alias("done"), F.min(F.when(F.col("is_mark").isNull(), F.col("pre"))).alias("top"), F.min_by("pre", "k").alias("nearest"))
+    found = seen.filter("not done").select("page_id", F.coalesce("top", F.when(F.col("is_text"), F.coalesce("nearest", "body"))).alias("pre")).filter("pre is not null").distinct()
+    return found.select("page_id", F.lit("landmarks/content-outside").alias("rule_id"), F.lit("best_practice").alias("outcome"), F.lit("medium").alias("severity"), "pre")
 
 
 def semantic_findings(nodes: DataFrame) -> DataFrame:
@@ -223,15 +241,9 @@ def semantic_findings(nodes: DataFrame) -> DataFrame:
     shown = with_surroundings(e, nodes).filter("not hidden")
     own = shown.select("page_id", "pre", F.explode(F.array_compact(F.array(*element_findings()))).alias("f")).select("page_id", "f.rule_id", "f.outcome", "f.severity", "pre")
     visible = e.filter("not hidden")
-    return own.unionByName(page_findings(visible)).unionByName(content_outside(visible, nodes))
+    return own.unionByName(page_findings(visible)).unionByName(content_outside(visible, nodes)).unionByName(attribute_findings(e).drop("attribute").distinct())
 
 
 def names_table(nodes: DataFrame) -> DataFrame:
     """page_id, pre, tag, role, name, description of every element that has a role or name."""
     return with_names(nodes).filter("role is not null or name is not null").select("page_id", "pre", "tag", "role", "name", "description")
-
-
-def text_of(nodes: DataFrame) -> DataFrame:
-    """page_id, words: all visible text of each page in order."""
-    texts = nodes.filter("kind = 'text'").filter(~F.exists("anc", lambda a: a["hidden"] | a["tag"].isin("script", "style", "template", "noscript", "head")))
-    return texts.groupBy("page_id").agg(join_parts("pre", "text").alias("words"))

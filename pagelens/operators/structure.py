@@ -15,6 +15,7 @@ from pagelens.plans.store import stored
 
 from .context import HEADINGS, attr, join_parts, named, tokens, with_context
 from .names import ROLES
+from .tables import header_findings
 
 # Fixed values of WAI-ARIA: its attributes, those that refer to ids, those that mustn't be empty, abstract roles, attributes that roles need, types of values.
 ARIA = """aria-activedescendant aria-atomic aria-autocomplete aria-braillelabel aria-brailleroledescription aria-busy aria-checked aria-colcount aria-colindex
@@ -226,7 +227,6 @@ def element_rules() -> list[Column]:
         finding("tables/presentational-with-headers", table & layout & F.col("header_below"), "fail", "medium"),
         finding("tables/name-missing", table & ~layout & ~F.exists("kids", lambda k: k["tag"] == "caption") & ~other_name, "review", "low"),
         finding("tables/header-missing", table & ~layout & ~F.col("header_below"), "review", "high"),
-        finding("tables/header-without-data", table & ~layout & F.col("header_below") & ~F.col("data_below"), "fail", "high"),
         finding("media/audio-autoplay", tag("audio", "video") & has("autoplay") & ~has("muted") & ~(has("controls") & visible_here) & ~short, "review", "medium"),
         finding("media/video-captions-missing", tag("video") & ~(has("muted") & ~has("controls")) & visible_here & ~F.exists("kids", lambda k: (k["tag"] == "track") & sure(F.lower(F.trim(k["kind"])).isin("captions", "subtitles"))), "review", "medium"),
         finding("viz/text-missing", viz & ~F.col("viz_words"), "fail", "high"),
@@ -255,7 +255,7 @@ def with_relations(nodes: DataFrame) -> DataFrame:
     kind = F.coalesce(low("type"), F.lit(""))
     focus = (t.isin("a", "area") & has("href")) | (t.isin("input") & (kind != "hidden")) | t.isin("button", "select", "textarea", "summary", "iframe") | sure(F.trim(attr("tabindex")).try_cast("int") >= 0)
     flags = {
-        "focus_below": focus, "header_below": t.isin("th") | sure(attr("role").isin("columnheader", "rowheader")), "data_below": t.isin("td") | sure(attr("role").isin("cell", "gridcell")), "table_below": t == "table", "viz_static": has("data-viz-static"),
+        "focus_below": focus, "header_below": t.isin("th") | sure(attr("role").isin("columnheader", "rowheader")), "table_below": t == "table", "viz_static": has("data-viz-static"),
         "asks": t.isin("select", "textarea") | (t.isin("input") & ~kind.isin("hidden", "submit", "image", "button", "reset")), "submits": (t.isin("input") & kind.isin("submit", "image")) | (t.isin("button") & ~kind.isin("button", "reset")),
     }
     marked = e.filter(any_of(*(sure(c) for c in flags.values()))).select("page_id", F.explode("anc.pre").alias("pre"), *(sure(c).alias(n) for n, c in flags.items()))
@@ -405,7 +405,7 @@ def structure_findings(nodes: DataFrame) -> DataFrame:
     e = stored(with_page_marks(stored(with_relations(nodes)), nodes))
     own = e.select("page_id", "pre", F.explode(F.array_compact(F.array(*element_rules()))).alias("f")).select("page_id", "f.rule_id", "f.outcome", "f.severity", "pre")
     page = page_flags(e).select("page_id", F.explode(F.array_compact(F.array(*page_rules()))).alias("f")).select("page_id", "f.rule_id", "f.outcome", "f.severity", "f.pre")
-    return own.unionByName(page).unionByName(heading_findings(e, nodes)).unionByName(reference_findings(e)).unionByName(tab_findings(e))
+    return own.unionByName(page).unionByName(heading_findings(e, nodes)).unionByName(reference_findings(e)).unionByName(tab_findings(e)).unionByName(header_findings(nodes))
 
 
 def document_findings(nodes: DataFrame) -> DataFrame:

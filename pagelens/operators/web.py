@@ -60,32 +60,59 @@ def bot_class(agent: Column) -> Column:
     return F.when(F.trim(agent) == "*", "wildcard").otherwise(F.coalesce(F.array_max(hits)["kind"], F.lit("unknown")))
 
 
-GROUP = "struct<agents:array<string>,allows:array<string>,disallows:array<string>,delay:array<string>>"
-
-
-def robots_groups(text: Column) -> Column:
-    """array(agents, allows, disallows, delay) of a robots.txt: a group ends at a blank line or comment, or where an agent follows rules; rules before any agent belong to the first one."""
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\\r\\n|\\n"), F.trim)
-    none = F.array().cast("array<string>")
-    empty = F.struct(none.alias("agents"), none.alias("allows"), none.alias("disallows"), none.alias("delay"))
-    start = F.struct(F.array().cast(f"array<{GROUP}>").alias("done"), empty.cast(GROUP).alias("now"))
-    closed = lambda acc: F.struct(F.when(F.size(acc["now"]["agents"]) > 0, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]).alias("done"), empty.cast(GROUP).alias("now"))
-
-    def add(acc: Column, key: Column, value: Column) -> Column:
-        now = acc["now"]
-        put = lambda name, field: F.when(name, F.concat(now[field], F.array(value))).otherwise(now[field]).alias(field)
-        own = F.struct(put((key == "user-agent") & (value != ""), "agents"), put((key == "allow") & (value != ""), "allows"), put(key == "disallow", "disallows"), F.when(key == "crawl-delay", F.array(value)).otherwise(now["delay"]).alias("delay"))
-        return F.struct(acc["done"].alias("done"), own.cast(GROUP).alias("now"))
-
-    def step(acc: Column, line: Column) -> Column:
-        key, value = F.lower(F.trim(F.substring_index(line, ":", 1))), F.trim(F.regexp_replace(line, "^[^:]*:", ""))
-        ruled = (F.size(acc["now"]["allows"]) > 0) | (F.size(acc["now"]["disallows"]) > 0) | (F.size(acc["now"]["delay"]) > 0)
-        fresh = F.transform(F.array(F.when((key == "user-agent") & ruled, closed(acc)).otherwise(acc)), lambda a: add(a, key, value))[0]
-        ends = (line == "") | F.startswith(line, F.lit("#"))
-        return F.when(ends, F.when(F.size(acc["now"]["agents"]) > 0, closed(acc)).otherwise(acc)).when(~F.contains(line, F.lit(":")), acc).otherwise(fresh)
-
-    groups = F.aggregate(lines, start, step, lambda acc: closed(acc)["done"])
-    return F.transform(groups, lambda g: F.struct(g["agents"].alias("agents"), g["allows"].alias("allows"), g["disallows"].alias("disallows"), F.get(g["delay"], F.lit(0)).try_cast("int").alias("delay")))
+def robots_lines(sites: DataFrame) -> DataFrame:
+    """site, at, key, value, ends of the lines of robots.txt files (site, text) that mean something: `ends` marks blank lines and comments, key and value are of the others that have a colon."""
+    line = F.trim(F.col("line"))
+    rows = sites.select("site", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\\r\\n|\\n")).alias("at", "line")).withColumn("ends", (line == "") | F.startswith(line, F.lit("#")))
+    rows = rows.filter(F.col("ends") | F.contains("line", F.lit(":")))
+    return rows.select("site", "at", F.when(~F.col("ends"), F.lower(F.trim(F.substring_index(line, ":", 1)))).alias("key"), F.trim(F.regexp_replace(line, "^[^:]*:", "")).alias("value"), "ends")
+
+
+def robots_groups(sites: DataFrame) -> DataFrame:
+    """site, number, user_agent, bot_class, allows, disallows, crawl_delay: one row for each agent of robots.txt files (site, text), numbered in order.
+
+    A group ends at a blank line or comment once it has an agent, and where an agent follows rules; rules before the first agent are nobody's. An empty disallow is kept, an empty allow isn't; of delays the last counts, and one that
+    isn't a whole number is none. Groups are told apart by numbering: windows find for each line what came last before it, so whether it begins a group, and a running count numbers the groups.
+    """
+    delay = F.when(F.rlike("value", F.lit(r"^\+?[0-9]{1,10}$")), F.col("value").try_cast("long"))
+    delay = F.when(delay < 2**32, delay)
+    rows = robots_lines(sites).withColumn("delay", F.when(F.col("key") == "crawl-delay", delay))
+    key, filled = F.col("key"), F.col("value") != ""
+    is_ = {"agent": (key == "user-agent") & filled, "named": key == "user-agent", "end": F.col("ends"), "rule": (key == "disallow") | ((key == "allow") & filled), "wait": F.col("delay").isNotNull(), "no_wait": (key == "crawl-delay") & F.col("delay").isNull()}
+    order = Window.partitionBy("site").orderBy("at")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda test: F.coalesce(F.max(F.when(test, F.col("at"))).over(before), F.lit(-1))
+    rows = rows.withColumns({n: F.coalesce(t, F.lit(False)) for n, t in is_.items()})
+    rows = rows.withColumns({f"last_{n}": last(F.col(n)) for n in is_})
+    rows = rows.withColumn("ruled", F.greatest("last_rule", F.when(F.col("last_wait") > F.col("last_no_wait"), F.col("last_wait")).otherwise(-1)))
+    # An agent line without a name ends a group that has rules, too.
+    rows = rows.withColumn("cut", F.col("named") & ~F.col("agent") & (F.col("ruled") > F.col("last_named")) & (F.col("ruled") > F.col("last_end"))).withColumn("last_cut", last(F.col("cut")))
+    rows = rows.withColumn("closes", F.col("end") & (F.col("last_agent") > F.greatest("last_end", "last_cut"))).withColumn("last_closes", last(F.col("closes")))
+    rows = rows.withColumn("opens", F.col("named") & (F.col("ruled") > F.col("last_named")) & (F.col("ruled") > F.col("last_closes")))
+    counted = F.coalesce(F.sum(F.col("closes").cast("int")).over(before), F.lit(0)) + F.sum(F.col("opens").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("group", counted)
+    texts = lambda test: F.transform(F.sort_array(F.collect_list(F.when(test, F.struct("at", "value")))), lambda x: x["value"])
+    groups = rows.groupBy("site", "group").agg(texts((key == "allow") & filled).alias("allows"), texts(key == "disallow").alias("disallows"), F.max_by("delay", F.when(key == "crawl-delay", F.col("at"))).alias("crawl_delay"))
+    agents = rows.filter("agent").select("site", "group", "at", F.col("value").alias("user_agent"))
+    found = agents.join(groups, ["site", "group"]).withColumn("number", F.row_number().over(order))
+    return found.select("site", "number", "user_agent", bot_class(F.col("user_agent")).alias("bot_class"), "allows", "disallows", "crawl_delay")
+
+
+def robots_sitemaps(sites: DataFrame) -> DataFrame:
+    """site, at, sitemap: the sitemaps that robots.txt files name, whatever group they stand in."""
+    return robots_lines(sites).filter("key = 'sitemap' and value <> ''").select("site", "at", F.col("value").alias("sitemap"))
+
+
+def wildcard_disallows(groups: DataFrame, paths: DataFrame) -> DataFrame:
+    """site, path, disallowed of paths (site, path): what all groups for * of the site say together; without one, nothing is disallowed."""
+    rules = groups.filter("bot_class = 'wildcard'").groupBy("site").agg(F.flatten(F.collect_list("allows")).alias("allows"), F.flatten(F.collect_list("disallows")).alias("disallows"))
+    joined = paths.join(rules, "site", "left")
+    return joined.select("site", "path", F.coalesce(path_is_disallowed(F.col("disallows"), F.col("allows"), F.col("path")), F.lit(False)).alias("disallowed"))
+
+
+def blocked_classes(groups: DataFrame) -> DataFrame:
+    """site, bot_class of crawlers that a site disallows anything, by a group of their own."""
+    return groups.filter(F.size("disallows") > 0).select("site", "bot_class").distinct()
 
 
 def rule_length(rule: Column, path: Column) -> Column:

@@ -315,6 +315,7 @@ STRUCTURE = {
     "tables/name-missing": ("<table><tr><th>x<td>y</table>", "review", "low"),
     "tables/presentational-with-headers": ("<table role=none><tr><th>x</table>", "fail", "medium"),
     "tables/header-without-data": ("<table><caption>c</caption><tr><th>x</table>", "fail", "high"),
+    "tables/data-undetermined": ("<table><caption>c</caption><thead><tr><th>x</thead><tbody></tbody></table>", "untested", "high"),
     "tables/headers-attr-invalid": ("<table><tr><th id=a>x<td headers=b>y</table>", "fail", "high"),
     "landmarks/main-missing": ("<html lang=en><body>text", "best_practice", "high"),
     "landmarks/main-duplicate": ("<html lang=en><body><main>x</main><main>y</main>", "best_practice", "high"),
@@ -378,6 +379,8 @@ SEMANTICS = {
     "links/single-character-name": ("<a href=x>x</a>", "review", "medium"),
     "links/new-window-unannounced": ("<a href=x target=_blank>words</a>", "review", "low"),
     "links/purpose-link-only": ("<p>see <a href=x>here</a></p>", "review", "low"),
+    "aria/attribute-not-allowed": ("<div role=img aria-label=x aria-checked=true></div>", "fail", "high"),
+    "aria/attribute-prohibited": ("<p aria-label=x>y</p>", "fail", "high"),
     "aria/required-parent-missing": ("<div role=option>x</div>", "fail", "high"),
     "aria/required-children-missing": ("<div role=list><p>x</p></div>", "fail", "high"),
     "names/required-missing": ("<div role=checkbox></div>", "fail", "critical"),

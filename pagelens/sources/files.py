@@ -16,6 +16,11 @@ def page_files(spark: SparkSession, path: str) -> DataFrame:
     return decoded(files.select("path", "content"))
 
 
+#: Windows-1252 differs from ISO-8859-1 in these: the characters of the latter, and what they are in the former; five bytes are control characters in both.
+_C1 = [b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
+WINDOWS = "".join(map(chr, _C1)), bytes(_C1).decode("cp1252")
+
+
 def sniffed(content: Column) -> Column:
     """The encoding of a page's bytes: by its byte order mark, else what a meta element in the first 1024 bytes names outside comments, else UTF-8."""
     head = F.decode(F.substring(content, 1, PRESCAN), "ISO-8859-1")
@@ -31,7 +36,7 @@ def decoded(files: DataFrame) -> DataFrame:
     rows = files.withColumn("encoding", sniffed(F.col("content")))
     text = F.lit(None).cast("string")
     for name in ("UTF-8", "windows-1252", "UTF-16BE", "UTF-16LE"):
-        plain = F.try_validate_utf8("content") if name == "UTF-8" else F.decode("content", name if name.startswith("UTF") else "ISO-8859-1")
+        plain = F.try_validate_utf8("content") if name == "UTF-8" else F.decode("content", name) if name.startswith("UTF") else F.translate(F.decode("content", "ISO-8859-1"), *WINDOWS)
         text = F.when(F.col("encoding") == name, plain).otherwise(text)
     rows = rows.withColumn("html", F.regexp_replace(text, "^\\x{FEFF}", ""))
     return rows.select("path", "html", "encoding", F.when(F.col("html").isNull(), F.concat(F.lit("not valid "), "encoding", F.lit("; the file was not checked"))).alias("unread"))
