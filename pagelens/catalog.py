@@ -197,6 +197,21 @@ def _styled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return value.join(won.select("page_id", "pre", "certain"), ["page_id", "pre"], "left").join(elements.select("page_id", "pre", "tag"), ["page_id", "pre"]).select("page_id", "pre", "tag", "value", F.coalesce("certain", F.lit(True)).alias("certain"))
 
 
+CHAINS = ["section.f > div ~ div.r > p.o", "div.a + div.n p", "section div.r ~ div > p.f", "main section p", "section > p", "section.o div + div + div.n > p"]
+
+
+def _chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A section for each order with a box for each line, and selectors of several compounds: which lines' texts each of them matches."""
+    line = F.concat(F.lit("<div class="), F.lower("l_returnflag"), F.lit("><p id=l"), "l_linenumber", F.lit(" class="), F.lower("l_linestatus"), F.lit(">x</p></div>"))
+    rows = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("l_returnflag"), F.min("l_linestatus").alias("l_linestatus"))
+    inner = rows.select("l_orderkey", F.struct("l_linenumber", line.alias("h")).alias("r")).groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["h"]), "").alias("h"))
+    pages = read(spark, sf_dir, "orders").join(inner, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("page_id"), F.concat(F.lit("<section class="), F.lower("o_orderstatus"), F.lit(">"), "h", F.lit("</section>")).alias("html"))
+    elements = stored(cascade.placed(stored(html_nodes(pages))))
+    rules = spark.createDataFrame([(None, k, s, "color", "red", False, "author", None) for k, s in enumerate(CHAINS)], "page_id long, rule_no int, selector string, property string, value string, important boolean, origin string, layer int")
+    found = cascade.matched(elements, rules).filter("sure").join(elements.select("page_id", "pre", F.col("attrs")["id"].alias("id")), ["page_id", "pre"])
+    return found.select("page_id", "id", "rule_no")
+
+
 SELECTORS = {"a": (0, 0, 1), "#x .y z": (1, 1, 1), "a[href]:hover::before": (0, 2, 2), ":where(#q) p": (0, 0, 1), "ul li:not(.k)": (0, 1, 2), ":is(#i, .c)": (1, 1, 0), "p:first-line": (0, 0, 2), "*": (0, 0, 0)}
 
 
@@ -404,6 +419,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "findings_as_sarif": lambda s, d: reports.as_sarif(_line_findings(s, d)).select("path", F.get_json_object("value", "$.version").alias("version"), F.size(F.from_json(F.get_json_object("value", "$.runs[0].results"), "array<string>")).alias("results"), F.size(F.from_json(F.get_json_object("value", "$.runs[0].tool.driver.rules"), "array<string>")).alias("rules")),
     "selector_specificity": _specificity,
     "styled_elements": _styled,
+    "selector_chains": _chains,
     "effective_background": _background,
     "font_sizes": _sizes,
     "perceived_changes": _diff_nodes,
@@ -525,6 +541,9 @@ ORACLES |= {
     "findings_as_sarif": f"SELECT path, '2.1.0' AS version, count(*)::INT AS results, count(DISTINCT rule_id)::INT AS rules FROM ({_FOUND}) GROUP BY 1",
     "selector_specificity": f"SELECT p_partkey, c.ids, c.classes, c.types, c.key FROM part JOIN (VALUES {', '.join(f'({k}, {a}, {b}, {c}, {_quoted(key)})' for k, ((_, (a, b, c)), key) in enumerate(zip(SELECTORS.items(), ('a', 'z', 'a', 'p', 'li', '*', 'p', '*'), strict=True)))}) c(k, ids, classes, types, key) ON p_partkey % {len(SELECTORS)} = c.k",
     "styled_elements": """SELECT p_partkey AS page_id, c.pre, c.tag, c.value, c.certain FROM part, (VALUES (0, 'div', 'navy', true), (1, 'p', 'blue', true), (3, 'b', 'blue', true), (5, 'p', 'black', true), (7, 'p', 'pink', true)) c(pre, tag, value, certain)""",
+    "selector_chains": """WITH l AS (SELECT l_orderkey AS page_id, l_linenumber AS n, min(lower(l_returnflag)) AS f, min(lower(l_linestatus)) AS s FROM lineitem GROUP BY 1, 2), w AS (SELECT l.*, lower(o_orderstatus) AS o, row_number() OVER p AS k, lag(f) OVER p AS before, coalesce(bool_or(f = 'r') OVER (p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS any_r
+          FROM l JOIN orders ON o_orderkey = page_id WINDOW p AS (PARTITION BY page_id ORDER BY n)), r AS (SELECT page_id, n, 0 AS rule_no FROM w WHERE o = 'f' AND k > 1 AND f = 'r' AND s = 'o' UNION ALL SELECT page_id, n, 1 FROM w WHERE before = 'a' AND f = 'n' UNION ALL SELECT page_id, n, 2 FROM w WHERE any_r AND s = 'f' UNION ALL SELECT page_id, n, 5 FROM w WHERE o = 'o' AND k > 2 AND f = 'n')
+        SELECT page_id, 'l' || n AS id, rule_no FROM r""",
     "effective_background": """WITH o AS (SELECT o_orderkey, (o_custkey % 256)::DOUBLE AS g FROM orders) SELECT o_orderkey AS page_id, 0 AS pre, g, 1.0::DOUBLE AS a FROM o
         UNION ALL SELECT l_orderkey, l_linenumber, round(((l_partkey % 256) * 0.5 + coalesce(o.g, 255) * 0.5), 4), 1.0 FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY 1, 2) LEFT JOIN o ON o.o_orderkey = l_orderkey""",
     "font_sizes": """SELECT p_partkey, [12.0, 30.0, 30.0, 24.0, 24.0, 16.0][p_partkey % 6 + 1]::DOUBLE AS size, CASE p_partkey % 6 WHEN 0 THEN 700 WHEN 1 THEN CASE WHEN p_size * 20 < 350 THEN 400 WHEN p_size * 20 < 550 THEN 700 ELSE 900 END WHEN 2 THEN CASE WHEN p_size * 20 < 550 THEN 100 WHEN p_size * 20 < 750 THEN 400 ELSE 700 END
