@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -212,6 +213,21 @@ def _chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "id", "rule_no")
 
 
+def _variables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each customer a page of three nested elements: a chain of as many variables as its key says (up to 40), one of them set again further in, a cycle on every seventh; what values with them come to."""
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"), (F.col("c_custkey") % 40).alias("n"), F.lower("c_mktsegment").alias("segment"))
+    up = lambda *pre: F.array(*(F.struct(F.lit(p).alias("pre")) for p in pre)) if pre else F.array().cast("array<struct<pre:int>>")
+    elements = reduce(DataFrame.unionByName, (c.select("page_id", F.lit(k).alias("pre"), up(*range(k - 1, -1, -1)).alias("anc")) for k in range(3)))
+    link = F.explode(F.sequence(F.lit(0), F.col("n"))).alias("k")
+    chain = c.select("page_id", "n", "segment", link).select("page_id", F.lit(0).alias("pre"), F.concat(F.lit("--v"), "k").alias("property"), F.when(F.col("k") == 0, F.col("segment")).otherwise(F.concat(F.lit("var( --v"), F.col("k") - 1, F.lit(") +"))).alias("value"))
+    plain = lambda pre, name, value: c.select("page_id", F.lit(pre).alias("pre"), F.lit(name).alias("property"), (F.lit(value) if isinstance(value, str) else value).alias("value"))
+    last = F.concat(F.lit("var(--v"), "n", F.lit(")"))
+    cycle = c.filter("page_id % 7 = 0").select("page_id", F.explode(F.array(*(F.struct(F.lit(f"--c{k}").alias("property"), F.lit(f"var(--c{(k + 1) % 5}, x)").alias("value")) for k in range(5)))).alias("d")).select("page_id", F.lit(1).alias("pre"), "d.*")
+    rows = [chain, cycle, plain(1, "--v0", "inner"), plain(2, "color", last), plain(2, "width", "calc(var(--v0) * VAR(--none, max(1px, var(--v0))))"), plain(2, "height", "var(--none)"), plain(2, "margin", "var(--c3, 4px)"), plain(2, "top", "1px")]
+    won = reduce(DataFrame.unionByName, rows).withColumn("certain", F.lit(True))
+    return cascade.with_variables(elements, won).filter("pre = 2").select("page_id", "property", "value")
+
+
 SELECTORS = {"a": (0, 0, 1), "#x .y z": (1, 1, 1), "a[href]:hover::before": (0, 2, 2), ":where(#q) p": (0, 0, 1), "ul li:not(.k)": (0, 1, 2), ":is(#i, .c)": (1, 1, 0), "p:first-line": (0, 0, 2), "*": (0, 0, 0)}
 
 
@@ -420,6 +436,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "selector_specificity": _specificity,
     "styled_elements": _styled,
     "selector_chains": _chains,
+    "variables": _variables,
     "effective_background": _background,
     "font_sizes": _sizes,
     "perceived_changes": _diff_nodes,
@@ -544,6 +561,8 @@ ORACLES |= {
     "selector_chains": """WITH l AS (SELECT l_orderkey AS page_id, l_linenumber AS n, min(lower(l_returnflag)) AS f, min(lower(l_linestatus)) AS s FROM lineitem GROUP BY 1, 2), w AS (SELECT l.*, lower(o_orderstatus) AS o, row_number() OVER p AS k, lag(f) OVER p AS before, coalesce(bool_or(f = 'r') OVER (p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS any_r
           FROM l JOIN orders ON o_orderkey = page_id WINDOW p AS (PARTITION BY page_id ORDER BY n)), r AS (SELECT page_id, n, 0 AS rule_no FROM w WHERE o = 'f' AND k > 1 AND f = 'r' AND s = 'o' UNION ALL SELECT page_id, n, 1 FROM w WHERE before = 'a' AND f = 'n' UNION ALL SELECT page_id, n, 2 FROM w WHERE any_r AND s = 'f' UNION ALL SELECT page_id, n, 5 FROM w WHERE o = 'o' AND k > 2 AND f = 'n')
         SELECT page_id, 'l' || n AS id, rule_no FROM r""",
+    "variables": """SELECT c_custkey AS page_id, p.property, CASE p.property WHEN 'color' THEN CASE WHEN c_custkey % 40 = 0 THEN 'inner' ELSE lower(c_mktsegment) END || repeat(' +', (c_custkey % 40)::INT) WHEN 'margin' THEN CASE WHEN c_custkey % 7 > 0 THEN '4px' END ELSE p.value END AS value
+        FROM customer, (VALUES ('color', ''), ('width', 'calc(inner * max(1px, inner))'), ('height', 'unset'), ('margin', ''), ('top', '1px')) p(property, value)""",
     "effective_background": """WITH o AS (SELECT o_orderkey, (o_custkey % 256)::DOUBLE AS g FROM orders) SELECT o_orderkey AS page_id, 0 AS pre, g, 1.0::DOUBLE AS a FROM o
         UNION ALL SELECT l_orderkey, l_linenumber, round(((l_partkey % 256) * 0.5 + coalesce(o.g, 255) * 0.5), 4), 1.0 FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY 1, 2) LEFT JOIN o ON o.o_orderkey = l_orderkey""",
     "font_sizes": """SELECT p_partkey, [12.0, 30.0, 30.0, 24.0, 24.0, 16.0][p_partkey % 6 + 1]::DOUBLE AS size, CASE p_partkey % 6 WHEN 0 THEN 700 WHEN 1 THEN CASE WHEN p_size * 20 < 350 THEN 400 WHEN p_size * 20 < 550 THEN 700 ELSE 900 END WHEN 2 THEN CASE WHEN p_size * 20 < 550 THEN 100 WHEN p_size * 20 < 750 THEN 400 ELSE 700 END

@@ -76,3 +76,15 @@ def test_unknown_steps(spark):
     rows = [(None, k, s, "color", "red", False, "author", None) for k, s in enumerate(selectors)]
     found = cascade.matched(elements, spark.createDataFrame(rows, RULES)).join(elements.select("page_id", "pre", "tag"), ["page_id", "pre"]).filter(F.col("tag") == "p").collect()
     assert {(m.rule_no, m.sure) for m in found} == {(0, False), (1, False), (3, True), (5, False), (6, True), (7, False)}
+
+
+def test_variables(spark):
+    elements = spark.createDataFrame([(1, k, [(p,) for p in range(k - 1, -1, -1)]) for k in range(3)], "page_id long, pre int, anc array<struct<pre:int>>")
+    rows = [
+        (0, "--a", "var(--b)", True), (0, "--b", "outer", True), (1, "--b", "inner", True), (0, "--unsure", "x", False), (1, "--inherits", "var(--none)", True), (0, "--inherits", "kept", True), (1, "--gone", "initial", True),
+        (0, "--self", "var(--self, x)", True), (0, "--far", "var(--self, y)", True), (0, "--k0", "end", True), *((0, f"--k{k}", f"var(--k{k - 1})", True) for k in range(1, 400)), *((1, f"--r{k}", f"var(--r{(k + 1) % 3})", True) for k in range(3)),
+        *((2, f"p{k}", v, True) for k, v in enumerate(["var(--a)", "var(--b)", "var(--unsure, x)", "var(--inherits)", "var(--gone, spare)", "var(--self)", "var(--far)", "var(--k399) !", "var(--r1, x)", "a var(--none, b var(--none, c)) d", "rgb(var(--none, 1, 2, 3))", "var(--none", None, "plain"])),
+    ]
+    won = spark.createDataFrame([(1, *r) for r in rows] + [(2, 0, "color", "var(--x)", True)], "page_id long, pre int, property string, value string, certain boolean")
+    found = {r.property: r.value for r in cascade.with_variables(elements.unionByName(elements.limit(1).selectExpr("2L AS page_id", "0 AS pre", "array() AS anc")), won).filter("pre = 2 or page_id = 2").collect()}
+    assert found == dict(zip((f"p{k}" for k in range(14)), ["outer", "inner", None, "kept", "spare", None, None, "end !", None, "a b c d", "rgb(1, 2, 3)", None, None, "plain"], strict=True)) | {"color": "unset"}
