@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pagelens import catalog_measured, catalog_roles
 from pagelens.functions import datatypes
 from pagelens.operators import assertions, cascade, conform, names, perception, policies, reports, semantics, structure, trees, web
-from pagelens.plans.examples import BREAKS, SEMANTICS, STRUCTURE, VALUES, whole_page
+from pagelens.plans.examples import BREAKS, SEMANTICS, STRUCTURE, VALUES, WHOLE_PAGES, whole_page
 from pagelens.plans.store import stored
 from pagelens.sources import files
 from pagelens.sources.html_nodes import html_nodes
@@ -60,6 +60,24 @@ def _examples_sql(rules: dict, prefix: str, columns: list[str]) -> str:
     return f"SELECT p_partkey AS page_id, {', '.join(f'r.{c}' for c in columns)} FROM part JOIN (VALUES {rows}) r(k, {', '.join(['rule_id', 'outcome', 'severity'][: 1 + (0 if isinstance(next(iter(rules.values())), str) else 2)])}) ON p_partkey % {2 * len(rules)} = r.k"
 
 
+def _semantic_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for each part, by turns through WHOLE_PAGES: all that the semantic rules find, not only what a page was made for."""
+    html = F.element_at(F.array(*(F.lit(whole_page(x)) for x, _ in WHOLE_PAGES)), (F.col("p_partkey") % len(WHOLE_PAGES) + 1).cast("int"))
+    pages = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("page_id"), html.alias("html"))
+    return semantics.semantic_findings(stored(html_nodes(pages)))
+
+
+def _semantic_pages_sql() -> str:
+    rows = []
+    for k, (_, found) in enumerate(WHOLE_PAGES):
+        for one in found.split():
+            told, _, pre = one.partition("@")
+            rule, *how = told.split(":")
+            outcome, severity = how or SEMANTICS[rule][1:]
+            rows.append(f"({k}, '{rule}', '{outcome}', '{severity}', {pre})")
+    return f"SELECT p_partkey AS page_id, r.rule_id, r.outcome, r.severity, r.pre::INT AS pre FROM part JOIN (VALUES {', '.join(rows)}) r(k, rule_id, outcome, severity, pre) ON p_partkey % {len(WHOLE_PAGES)} = r.k"
+
+
 CASES = [(name, value, ok) for name, (good, bad) in VALUES.items() for values, ok in ((good, True), (bad, False)) for value in values]
 
 
@@ -436,6 +454,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "selector_specificity": _specificity,
     "styled_elements": _styled,
     "selector_chains": _chains,
+    "semantic_pages": _semantic_pages,
     "variables": _variables,
     "effective_background": _background,
     "font_sizes": _sizes,
@@ -524,6 +543,7 @@ ORACLES |= {
     "assertion_examples": _examples_sql(BREAKS, "assertion.", ["rule_id"]),
     "structure_examples": _examples_sql(STRUCTURE, "", ["rule_id", "outcome", "severity"]),
     "semantic_examples": _examples_sql(SEMANTICS, "", ["rule_id", "outcome", "severity"]),
+    "semantic_pages": _semantic_pages_sql(),
     "datatype_examples": f"SELECT p_partkey, c.datatype, c.valid FROM part JOIN (VALUES {', '.join(f'({k}, {_quoted(n)}, {str(ok).lower()})' for k, (n, _, ok) in enumerate(CASES))}) c(k, datatype, valid) ON p_partkey % {len(CASES)} = c.k",
     "datatype_counts": f"WITH v AS ({_VALUES}) " + " UNION ALL ".join(f"SELECT source, {_quoted(n)} AS datatype, count(*) FILTER (regexp_full_match(value, {_quoted(datatypes.PATTERNS[n])})) AS valid, count(*) AS n FROM v GROUP BY 1" for n in PLAIN),
     "robots_groups": """SELECT c_custkey AS site, g.number::INT AS number, g.user_agent, g.bot_class, replace(g.allows, '{0}', lower(c_mktsegment)) AS allows, replace(g.disallows, '{0}', lower(c_mktsegment)) AS disallows, g.n_disallows::INT AS n_disallows, CASE WHEN g.waits THEN c_nationkey END::BIGINT AS crawl_delay

@@ -356,7 +356,7 @@ def with_page_marks(e: DataFrame, nodes: DataFrame) -> DataFrame:
     depth = e.select("page_id", "pre", F.explode(F.concat(F.array("pre"), "anc.pre")).alias("at")).join(e.select("page_id", F.col("pre").alias("at"), "sib_element"), ["page_id", "at"])
     straight = first_in.join(depth, ["page_id", "pre"]).filter("at > main_at").groupBy("page_id", "pre").agg(F.max("sib_element").alias("most")).filter("most > 1").select("page_id", "pre")
     at_start = first_in.join(straight, ["page_id", "pre"], "left_anti").select("page_id", "target").distinct()
-    jumps = e.filter((F.col("tag") == "a") & F.rlike(href, F.lit("^#.+"))).select("page_id", "pre", F.substring(href, 2, 1000).alias("target")).join(at_start, ["page_id", "target"]).select("page_id", "pre", F.lit(True).alias("to_main")).distinct()
+    jumps = e.filter((F.col("tag") == "a") & F.rlike(href, F.lit("^#.+"))).select("page_id", "pre", F.regexp_replace(href, "^#", "").alias("target")).join(at_start, ["page_id", "target"]).select("page_id", "pre", F.lit(True).alias("to_main")).distinct()
     e = e.join(own, ["page_id", "pre"], "left").join(within, ["page_id", "pre"], "left").join(jumps, ["page_id", "pre"], "left").join(first_away, "page_id", "left")
     shown = (tag("body") | above("body")) & ~tag("script", "style", "template", "noscript") & (F.rlike(F.coalesce("own_text", F.lit("")), F.lit(r"\S")) | tag("img", "svg", "canvas", "video", "audio", "iframe", "object", "embed", "input", "button", "select", "textarea"))
     return e.withColumns({"own_text": F.coalesce("own_text", F.lit("")), "link_text": F.coalesce("link_text", F.lit("")), "to_main": F.coalesce("to_main", F.lit(False)), "before_real": F.col("away").isNull() | (F.col("pre") < F.col("away")), "in_body_content": shown})

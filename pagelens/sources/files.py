@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagelens.plans.store import stored
+
 # Names of encodings that pages use, and Java's names for them.
 CHARSETS = {"utf-8": "UTF-8", "utf8": "UTF-8", "iso-8859-1": "windows-1252", "latin1": "windows-1252", "us-ascii": "windows-1252", "ascii": "windows-1252", "windows-1252": "windows-1252", "utf-16": "UTF-8", "utf-16le": "UTF-8", "utf-16be": "UTF-8"}
 PRESCAN = 1024
@@ -65,17 +67,16 @@ def imports(css: Column) -> Column:
     return F.transform(each, lambda x: F.struct(F.regexp_extract(x, r"(?i)^(?:url\(\s*)?[\"']?([^\"')\s]+)", 1).alias("href"), F.trim(F.regexp_replace(x, r"(?i)^(?:url\([^)]*\)|\"[^\"]*\"|'[^']*')\s*(?:layer(?:\([^)]*\))?)?", "")).alias("media"), F.regexp_extract(x, r"(?i)\slayer\(([^)]*)\)", 1).alias("layer")))
 
 
-def expanded(sheets: DataFrame, files: DataFrame, depth: int = 16) -> DataFrame:
-    """sheets (page_id, place, css) with the sheets they import before them: level by level, each joined with the files (href, css), until none is new. A sheet within itself isn't read again, and `depth` ends chains that no cycle test sees."""
+def expanded(sheets: DataFrame, files: DataFrame) -> DataFrame:
+    """sheets (page_id, place, css) with the sheets they import before them: level by level, each joined with the files (href, css), until none is new. A sheet within itself isn't read again, so there are as many levels at most as files."""
     level = sheets.select("page_id", F.array("place").alias("path"), F.array().cast("array<string>").alias("chain"), "css", F.lit("").alias("media"))
     out = level
-    for _ in range(depth):
+    while True:
         asked = level.select("page_id", "path", "chain", F.posexplode(imports(F.col("css"))).alias("k", "i")).select("page_id", F.concat("path", F.array(F.col("k").cast("int"))).alias("path"), "chain", "i.href", "i.media")
-        level = asked.filter(~F.array_contains("chain", F.col("href"))).join(files, "href").select("page_id", "path", F.concat("chain", F.array("href")).alias("chain"), "css", "media")
+        level = stored(asked.filter(~F.array_contains("chain", F.col("href"))).join(files, "href").select("page_id", "path", F.concat("chain", F.array("href")).alias("chain"), "css", "media"))
         if level.isEmpty():
-            break
+            return out
         out = out.unionByName(level)
-    return out
 
 
 def from_arena(arenas: DataFrame) -> DataFrame:
