@@ -231,6 +231,28 @@ def _chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "id", "rule_no")
 
 
+def _text_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each part a text in a colour on another, of its size: contrast findings; every eleventh background isn't known."""
+    k = F.col("p_partkey")
+    colour = lambda *by: F.struct(*((k * b % 256).cast("double").alias(c) for b, c in zip(by, "rgb", strict=True)), F.lit(1.0).alias("a"))
+    text = read(spark, sf_dir, "part").select(k.alias("page_id"), F.lit(0).alias("pre"), colour(1, 3, 7).alias("colour"), F.when(k % 11 > 0, colour(11, 13, 17)).alias("background"), F.col("p_size").cast("double").alias("size"), F.when(k % 2 == 0, 700).otherwise(400).alias("weight"))
+    return cascade.contrast_findings(text).select("page_id", "rule_id", "outcome", "severity")
+
+
+def _media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Media conditions with each part's size as a width, by turns of several forms, at 600 pixels: whether they hold, or isn't known."""
+    size = (F.col("p_size") * 20).cast("string")
+    forms = [F.concat(F.lit("screen and (min-width: "), size, F.lit("px)")), F.concat(F.lit("(max-width:"), size, F.lit("px)")), F.lit("print"), F.concat(F.lit("(min-width: "), F.col("p_size").cast("string"), F.lit("em) and (prefers-reduced-motion: reduce)")), F.lit("(orientation: landscape)"), F.lit("only screen and (prefers-reduced-motion: no-preference)"), F.lit(None).cast("string")]
+    media = F.coalesce(*(F.when(F.col("p_partkey") % len(forms) == i, x) for i, x in enumerate(forms)))
+    return read(spark, sf_dir, "part").select("p_partkey", cascade.media_holds(media, 600.0, {"prefers-reduced-motion": "reduce"}).alias("holds"))
+
+
+def _layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layers by the order in which they are first named: for each user the types of events by the first one."""
+    statements = read(spark, sf_dir, "events").select(F.col("user_id").alias("page_id"), F.col("event_id").alias("place"), F.col("event_type").alias("name"))
+    return cascade.layer_order(statements)
+
+
 def _variables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each customer a page of three nested elements: a chain of as many variables as its key says (up to 40), one of them set again further in, a cycle on every seventh; what values with them come to."""
     c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"), (F.col("c_custkey") % 40).alias("n"), F.lower("c_mktsegment").alias("segment"))
@@ -456,6 +478,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "selector_chains": _chains,
     "semantic_pages": _semantic_pages,
     "variables": _variables,
+    "text_contrast": _text_contrast,
+    "media_conditions": _media,
+    "layer_orders": _layers,
     "effective_background": _background,
     "font_sizes": _sizes,
     "perceived_changes": _diff_nodes,
@@ -581,6 +606,11 @@ ORACLES |= {
     "selector_chains": """WITH l AS (SELECT l_orderkey AS page_id, l_linenumber AS n, min(lower(l_returnflag)) AS f, min(lower(l_linestatus)) AS s FROM lineitem GROUP BY 1, 2), w AS (SELECT l.*, lower(o_orderstatus) AS o, row_number() OVER p AS k, lag(f) OVER p AS before, coalesce(bool_or(f = 'r') OVER (p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS any_r
           FROM l JOIN orders ON o_orderkey = page_id WINDOW p AS (PARTITION BY page_id ORDER BY n)), r AS (SELECT page_id, n, 0 AS rule_no FROM w WHERE o = 'f' AND k > 1 AND f = 'r' AND s = 'o' UNION ALL SELECT page_id, n, 1 FROM w WHERE before = 'a' AND f = 'n' UNION ALL SELECT page_id, n, 2 FROM w WHERE any_r AND s = 'f' UNION ALL SELECT page_id, n, 5 FROM w WHERE o = 'o' AND k > 2 AND f = 'n')
         SELECT page_id, 'l' || n AS id, rule_no FROM r""",
+    "text_contrast": f"""WITH c AS (SELECT p_partkey, p_size, (p_partkey % 256)::DOUBLE AS r, (p_partkey * 3 % 256)::DOUBLE AS g, (p_partkey * 7 % 256)::DOUBLE AS b, (p_partkey * 11 % 256)::DOUBLE AS x, (p_partkey * 13 % 256)::DOUBLE AS y, (p_partkey * 17 % 256)::DOUBLE AS z FROM part),
+        l AS (SELECT *, {_lum("r", "g", "b")} AS m, {_lum("x", "y", "z")} AS n, p_size >= 24 OR p_size >= 14 * 4.0 / 3 AND p_partkey % 2 = 0 AS large FROM c), v AS (SELECT *, CASE WHEN p_partkey % 11 > 0 THEN (greatest(m, n) + 0.05) / (least(m, n) + 0.05) END AS ratio FROM l)
+        SELECT p_partkey AS page_id, 'contrast/text-undetermined' AS rule_id, 'untested' AS outcome, 'high' AS severity FROM v WHERE ratio IS NULL UNION ALL SELECT p_partkey, 'contrast/text-insufficient', 'fail', 'high' FROM v WHERE ratio < CASE WHEN large THEN 3 ELSE 4.5 END UNION ALL SELECT p_partkey, 'contrast/text-enhanced', 'fail', 'medium' FROM v WHERE ratio < CASE WHEN large THEN 4.5 ELSE 7 END""",
+    "media_conditions": "SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN p_size * 20 <= 600 WHEN 1 THEN 600 <= p_size * 20 WHEN 2 THEN false WHEN 3 THEN p_size * 16 <= 600 WHEN 4 THEN NULL WHEN 5 THEN false ELSE true END AS holds FROM part",
+    "layer_orders": "SELECT user_id AS page_id, event_type AS name, (row_number() OVER (PARTITION BY user_id ORDER BY min(event_id)))::INT AS layer FROM events GROUP BY user_id, event_type",
     "variables": """SELECT c_custkey AS page_id, p.property, CASE p.property WHEN 'color' THEN CASE WHEN c_custkey % 40 = 0 THEN 'inner' ELSE lower(c_mktsegment) END || repeat(' +', (c_custkey % 40)::INT) WHEN 'margin' THEN CASE WHEN c_custkey % 7 > 0 THEN '4px' END ELSE p.value END AS value
         FROM customer, (VALUES ('color', ''), ('width', 'calc(inner * max(1px, inner))'), ('height', 'unset'), ('margin', ''), ('top', '1px')) p(property, value)""",
     "effective_background": """WITH o AS (SELECT o_orderkey, (o_custkey % 256)::DOUBLE AS g FROM orders) SELECT o_orderkey AS page_id, 0 AS pre, g, 1.0::DOUBLE AS a FROM o

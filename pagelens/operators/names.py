@@ -153,10 +153,5 @@ def with_names(nodes: DataFrame) -> DataFrame:
     return e.withColumns({"name": name, "description": F.coalesce(filled(F.col("`aria-describedby`")), otherwise), "visible_text": filled(F.col("shown"))}).drop(*dropped)
 
 
-def same_names(e: DataFrame, role_name: str) -> DataFrame:
-    """page_id, name, n: names that several elements of a role share."""
-    return e.filter((F.col("role") == role_name) & F.col("name").isNotNull()).groupBy("page_id", F.lower("name").alias("name")).agg(F.count("*").alias("n")).filter("n > 1")
-
-
 def any_of(*conditions: Column) -> Column:
     return reduce(lambda a, b: a | b, conditions)

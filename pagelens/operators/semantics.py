@@ -242,8 +242,3 @@ def semantic_findings(nodes: DataFrame) -> DataFrame:
     own = shown.select("page_id", "pre", F.explode(F.array_compact(F.array(*element_findings()))).alias("f")).select("page_id", "f.rule_id", "f.outcome", "f.severity", "pre")
     visible = e.filter("not hidden")
     return own.unionByName(page_findings(visible)).unionByName(content_outside(visible, nodes)).unionByName(attribute_findings(e).drop("attribute").distinct())
-
-
-def names_table(nodes: DataFrame) -> DataFrame:
-    """page_id, pre, tag, role, name, description of every element that has a role or name."""
-    return with_names(nodes).filter("role is not null or name is not null").select("page_id", "pre", "tag", "role", "name", "description")
