@@ -253,6 +253,13 @@ def _layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade.layer_order(statements)
 
 
+def _nested_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layers in layers: for each user the types of events, in each of them layers by the last digit of the number, some types named alone too."""
+    events = read(spark, sf_dir, "events")
+    name = F.when(F.col("event_id") % 5 == 0, F.col("event_type")).otherwise(F.concat("event_type", F.lit(".l"), (F.col("event_id") % 3).cast("string")))
+    return cascade.layer_order(events.select(F.col("user_id").alias("page_id"), F.col("event_id").alias("place"), name.alias("name")))
+
+
 def _variables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each customer a page of three nested elements: a chain of as many variables as its key says (up to 40), one of them set again further in, a cycle on every seventh; what values with them come to."""
     c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"), (F.col("c_custkey") % 40).alias("n"), F.lower("c_mktsegment").alias("segment"))
@@ -481,6 +488,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "text_contrast": _text_contrast,
     "media_conditions": _media,
     "layer_orders": _layers,
+    "nested_layer_orders": _nested_layers,
     "effective_background": _background,
     "font_sizes": _sizes,
     "perceived_changes": _diff_nodes,
@@ -611,6 +619,8 @@ ORACLES |= {
         SELECT p_partkey AS page_id, 'contrast/text-undetermined' AS rule_id, 'untested' AS outcome, 'high' AS severity FROM v WHERE ratio IS NULL UNION ALL SELECT p_partkey, 'contrast/text-insufficient', 'fail', 'high' FROM v WHERE ratio < CASE WHEN large THEN 3 ELSE 4.5 END UNION ALL SELECT p_partkey, 'contrast/text-enhanced', 'fail', 'medium' FROM v WHERE ratio < CASE WHEN large THEN 4.5 ELSE 7 END""",
     "media_conditions": "SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN p_size * 20 <= 600 WHEN 1 THEN 600 <= p_size * 20 WHEN 2 THEN false WHEN 3 THEN p_size * 16 <= 600 WHEN 4 THEN NULL WHEN 5 THEN false ELSE true END AS holds FROM part",
     "layer_orders": "SELECT user_id AS page_id, event_type AS name, (row_number() OVER (PARTITION BY user_id ORDER BY min(event_id)))::INT AS layer FROM events GROUP BY user_id, event_type",
+    "nested_layer_orders": """WITH e AS (SELECT user_id AS u, event_type AS t, CASE WHEN event_id % 5 > 0 THEN event_id % 3 END AS s, event_id AS i FROM events), p AS (SELECT u, t, min(i) AS at FROM e GROUP BY 1, 2), q AS (SELECT u, t, s, min(i) AS at FROM e WHERE s IS NOT NULL GROUP BY 1, 2, 3),
+        r AS (SELECT p.u, p.t AS name, p.at AS a, NULL AS b FROM p UNION ALL SELECT q.u, q.t || '.l' || q.s, p.at, q.at FROM q JOIN p ON p.u = q.u AND p.t = q.t) SELECT u AS page_id, name, (row_number() OVER (PARTITION BY u ORDER BY a, b NULLS LAST))::INT AS layer FROM r""",
     "variables": """SELECT c_custkey AS page_id, p.property, CASE p.property WHEN 'color' THEN CASE WHEN c_custkey % 40 = 0 THEN 'inner' ELSE lower(c_mktsegment) END || repeat(' +', (c_custkey % 40)::INT) WHEN 'margin' THEN CASE WHEN c_custkey % 7 > 0 THEN '4px' END ELSE p.value END AS value
         FROM customer, (VALUES ('color', ''), ('width', 'calc(inner * max(1px, inner))'), ('height', 'unset'), ('margin', ''), ('top', '1px')) p(property, value)""",
     "effective_background": """WITH o AS (SELECT o_orderkey, (o_custkey % 256)::DOUBLE AS g FROM orders) SELECT o_orderkey AS page_id, 0 AS pre, g, 1.0::DOUBLE AS a FROM o

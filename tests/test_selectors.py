@@ -88,3 +88,30 @@ def test_variables(spark):
     won = spark.createDataFrame([(1, *r) for r in rows] + [(2, 0, "color", "var(--x)", True)], "page_id long, pre int, property string, value string, certain boolean")
     found = {r.property: r.value for r in cascade.with_variables(elements.unionByName(elements.limit(1).selectExpr("2L AS page_id", "0 AS pre", "array() AS anc")), won).filter("pre = 2 or page_id = 2").collect()}
     assert found == dict(zip((f"p{k}" for k in range(14)), ["outer", "inner", None, "kept", "spare", None, None, "end !", None, "a b c d", "rgb(1, 2, 3)", None, None, "plain"], strict=True)) | {"color": "unset"}
+
+
+def test_nested_layers(spark):
+    """Against a tree of layers that is walked: layers in the order of their first names, each one's own styles after its layers."""
+    r = random.Random(6)
+    statements = [(page, k, ".".join(r.choice("abc") for _ in range(r.randint(1, 4))) if r.random() < 0.9 else None) for page in range(20) for k in range(r.randint(1, 12))]
+    found = {}
+    for row in sorted(cascade.layer_order(spark.createDataFrame(statements, "page_id long, place int, name string")).collect(), key=lambda x: x.layer):
+        found.setdefault(row.page_id, []).append(row.name)
+
+    def walk(node, path):
+        return [x for name, inner in node.items() for x in [*walk(inner, [*path, name]), ".".join([*path, name])]]
+
+    for page in range(20):
+        root = {}
+        for _, k, name in (s for s in statements if s[0] == page):
+            node = root
+            for part in (name or f"#{k}").split("."):
+                node = node.setdefault(part, {})
+        assert found[page] == walk(root, [])
+
+
+def test_important_reverses_layers(spark):
+    rows = [(1, 1, k, "p", "color", f"{k}{important}", important, "author", layer, True) for k, layer in enumerate([1, 2, None]) for important in (False, True)]
+    won = lambda important: cascade.winners(spark.createDataFrame([x for x in rows if x[6] == important or not important], "page_id long, pre int, rule_no int, selector string, property string, value string, important boolean, origin string, layer int, sure boolean")).collect()[0].value
+    assert won(True) == "0True"
+    assert [cascade.winners(spark.createDataFrame([x for x in rows if not x[6]], "page_id long, pre int, rule_no int, selector string, property string, value string, important boolean, origin string, layer int, sure boolean")).collect()[0].value] == ["2False"]
