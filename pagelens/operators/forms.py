@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagelens.functions.datatypes import CONTACT, FIELDS
+
 from .context import attr
 from .names import has
 
@@ -17,6 +19,7 @@ ENTRIES = {
 }
 REPETITION = ["confirm", "repeat", "again", "verify", "wiederhol", "bestät", "bestaet", "erneut", "captcha", "otp", "one-time code", "one time code", "verification code"]
 ADOPTION = ["same as", "identical to", "use shipping", "use the shipping", "use billing", "use the billing", "wie oben", "wie bei", "entspricht", "gleich wie"]
+CONTACT_FIELDS = "tel tel-country-code tel-national tel-area-code tel-local tel-local-prefix tel-local-suffix tel-extension email impp".split()
 NO_ENTRY = ["hidden", "password", "submit", "button", "reset", "checkbox", "radio"]
 
 
@@ -24,6 +27,20 @@ def _any(text: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, (F.contains(text, F.lit(w)) for w in words))
 
 
+def autofill_is_valid(value: Column) -> Column:
+    """Whether autocomplete is empty, on or off, or what a browser fills in: section-*, shipping or billing, a kind of contact before fields of contacts only, the field, webauthn."""
+    some = lambda names: f"(?:{'|'.join(names)})"
+    field = rf"(?:(?:{some(CONTACT)}\s+)?{some(CONTACT_FIELDS)}|{some(sorted(set(FIELDS) - set(CONTACT_FIELDS), key=len, reverse=True))})"
+    return F.rlike(F.lower(value), F.lit(rf"^\s*(?:on|off|(?:section-\S*\s+)?(?:(?:shipping|billing)\s+)?{field}(?:\s+webauthn)?)?\s*\z"))
+
+
+def autofilled() -> Column:
+    """Whether an element is a field that a user fills in, so that autocomplete means something."""
+    kind = F.lower(F.trim(F.coalesce(attr("type"), F.lit("text"))))
+    field = F.col("tag").isin("select", "textarea") | ((F.col("tag") == "input") & ~kind.isin("hidden", "button", "submit", "reset"))
+    return field & ~has("disabled") & ~F.coalesce(F.lower(F.trim(attr("aria-disabled"))) == "true", F.lit(False))
+
+
 def entry(text: Column) -> Column:
     """What a field asks for by its words, or null; the first kind that has one of them."""
     low = F.lower(text)

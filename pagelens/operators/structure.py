@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pagelens.plans.store import stored
 
 from .context import HEADINGS, attr, join_parts, named, tokens, with_context
-from .forms import entry_findings
+from .forms import autofill_is_valid, autofilled, entry_findings
 from .names import ROLES
 from .tables import header_findings
 
@@ -202,6 +202,7 @@ def element_rules() -> list[Column]:
         finding("forms/placeholder-as-label", field & filled("placeholder") & ~has("aria-labelledby") & ~F.col("has_label") & ~wrapped, "review", "medium"),
         finding("forms/error-unidentified", sure(low("aria-invalid").isin("true", "grammar", "spelling")) & ~described("aria-describedby") & ~described("aria-errormessage"), "review", "medium"),
         finding("context/on-input", tag("select", "input") & jumps & any_of(has("onchange"), has("oninput")), "review", "medium"),
+        finding("forms/autocomplete-invalid", autofilled() & attr("autocomplete").isNotNull() & ~autofill_is_valid(attr("autocomplete")), "fail", "low"),
         finding("context/autofocus", has("autofocus") & ~F.col("tag").isin("input", "select", "textarea") & ~F.coalesce(F.get(F.filter(tokens(attr("role")), lambda r: r.isin(ROLES)), F.lit(0)).isin("textbox", "searchbox", "combobox"), F.lit(False)), "review", "medium"),
         finding("context/on-focus", has("onfocus") & focus_jumps, "review", "high"),
         finding("context/autofocus", has("autofocus") & ~above("dialog"), "review", "low"),

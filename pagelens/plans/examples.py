@@ -284,6 +284,7 @@ STRUCTURE = {
     "forms/group-missing": ("<label><input type=radio name=a>x</label><label><input type=radio name=a>y</label>", "review", "medium"),
     "forms/no-submit": ("<form><label>x<input></label></form>", "review", "medium"),
     "context/on-input": ("<select aria-label=x onchange='this.form.submit()'></select>", "review", "medium"),
+    "forms/autocomplete-invalid": ("<label>x<input autocomplete='work name'></label>", "fail", "low"),
     "context/autofocus": ("<button autofocus>x</button>", "review", "medium"),
     "forms/redundant-entry": ("<form><label>E-Mail <input name=a></label><input name=email></form>", "review", "medium"),
     "context/on-focus": ("<input aria-label=x onfocus='location=1'>", "review", "high"),

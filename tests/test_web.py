@@ -4,7 +4,7 @@ import random
 import re
 
 from pagelens import catalog
-from pagelens.operators import web
+from pagelens.operators import forms, web
 from pagelens.sources import files
 
 
@@ -76,3 +76,10 @@ def test_imports_of_any_depth(spark):
     css = [(f"s{k}.css", f"@import url(s{(k + 1) % 30}.css); p{{}}") for k in range(30)]
     found = files.expanded(spark.createDataFrame([(1, 0, css[0][1]), (2, 0, "p{}")], "page_id long, place int, css string"), spark.createDataFrame(css, "href string, css string"))
     assert {r.page_id: r["count"] for r in found.groupBy("page_id").count().collect()} == {1: 31, 2: 1}
+
+
+def test_autofill(spark):
+    good = ["", " ", "on", "OFF", "email", "Work  email", "section-a billing home tel", "section- name", "shipping street-address", "current-password webauthn", " cc-exp-month "]
+    bad = ["webauthn", "work name", "foo email", "email email", "billing shipping name", "home", "section-a", "on off", "name webauthn x", "tel home"]
+    df = spark.createDataFrame([(v, v in good) for v in good + bad], "v string, want boolean")
+    assert [r.v for r in df.filter(forms.autofill_is_valid(df.v) != df.want).collect()] == []
