@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pagelens import catalog
+from pagelens import catalog, catalog_roles
 from pagelens.plans.store import MOST_ROWS, stored
 
 
@@ -36,3 +36,7 @@ def orders(spark, tmp_path_factory):
 def test_read_tables(spark, orders):
     o, l = catalog.read(spark, orders, "orders"), catalog.read(spark, orders, "lineitem")  # noqa: E741
     assert "Broadcast" not in plan(o.join(l, F.col("o_orderkey") == F.col("l_orderkey")))
+
+
+def test_order_tables(spark, orders):
+    assert "Broadcast" not in plan(catalog_roles._order_tables(spark, orders))
