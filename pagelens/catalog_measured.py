@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelens.operators import geometry
-from pagelens.plans.store import stored
+from pagelens.plans.store import by_rows, stored
 from pagelens.sources.files import with_rendering
 from pagelens.sources.html_nodes import html_nodes
 
@@ -20,7 +20,7 @@ KINDS = ["<div id=w{0}><button id=b{0}>x</button></div>", '<div id=w{0}><a id=b{
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each line: its page, its name there, kind, link and box. Lines with one key are one."""
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("int").alias("q"), F.round(F.col("l_discount") * 100).cast("int").alias("d"), "l_returnflag")
+    rows = by_rows(spark.read.parquet(f"{sf_dir}/lineitem.parquet")).select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("int").alias("q"), F.round(F.col("l_discount") * 100).cast("int").alias("d"), "l_returnflag")
     rows = rows.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "q", "d", "l_returnflag")).alias("r")).select("l_orderkey", "l_linenumber", "r.*")
     kind = (F.col("l_orderkey") + F.col("l_linenumber")) % len(KINDS)
     href = F.when(F.col("l_orderkey") % 3 == 0, "/same").otherwise(F.concat(F.lit("/p"), (F.col("l_partkey") % 40).cast("string")))

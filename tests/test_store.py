@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pagelens import catalog, catalog_roles
+from pagelens import catalog, catalog_measured, catalog_roles
 from pagelens.plans.store import MOST_ROWS, stored
 
 
@@ -40,3 +40,8 @@ def test_read_tables(spark, orders):
 
 def test_order_tables(spark, orders):
     assert "Broadcast" not in plan(catalog_roles._order_tables(spark, orders))
+
+
+def test_lines(spark, orders):
+    rows = catalog_measured.lines(spark, orders)
+    assert "Broadcast" not in plan(rows.join(rows.select("page_id", F.col("name").alias("other")), "page_id"))
