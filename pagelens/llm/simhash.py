@@ -258,7 +258,7 @@ def links_left(labelled: DataFrame, met: DataFrame) -> DataFrame:
     """a, b, d: links between components (`label`) among all that meet in a key (`met`: key, node, label).
 
     A key's largest component isn't compared with itself. It and the key's others are cut into blocks of about WIDE_BLOCK; each block of
-    others meets each block, and gives one sure link for each two components, or the nearest of each node. The bits are joined to nodes, each with the
+    others meets each block, and gives one sure link for each two components, or every pair that may be similar. The bits are joined to nodes, each with the
     list of its blocks (at most one for each place of the ring), and not to its places one by one.
     """
     own = Window.partitionBy("key")
@@ -274,24 +274,32 @@ def links_left(labelled: DataFrame, met: DataFrame) -> DataFrame:
 
 
 def wide_links(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Between a block and itself or another one: for each two labels one link of at most SURE differing bits, or of each node its nearest of at most LOOSE."""
-    side, ids = pdf["block"].to_numpy(), pdf["node"].to_numpy()
+    """Between a block and itself or another one: for each two labels one link of at most SURE differing bits, or where there is none every pair of at most LOOSE: the nearest by bits may be unlike, and a farther one similar."""
+    side, ids = pdf["block"].to_numpy(), pdf["node"].to_numpy(dtype=np.int64)
     bits, labels = np.stack(pdf["bits"].to_list()).view(np.uint64), pd.factorize(pdf["label"])[0]
-    right = np.flatnonzero(side == side.max())
+    right, alone = np.flatnonzero(side == side.max()), side.min() == side.max()
     sure: dict[tuple[int, int], tuple] = {}
-    near: dict[tuple[int, int, int], tuple] = {}
+    near: list[tuple[int, np.ndarray, np.ndarray]] = []
     for i in np.flatnonzero(side == side.min()):
         others = right[labels[right] != labels[i]]
+        if alone:
+            others = others[others > i]
         d = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1, dtype=np.int64)
-        for k in np.argsort(d, kind="stable")[: int((d <= LOOSE).sum())]:
+        for k in np.flatnonzero(d <= SURE):
             j = others[k]
-            two = min(labels[i], labels[j]), max(labels[i], labels[j])
-            if d[k] <= SURE:
-                sure.setdefault(two, (ids[i], ids[j], d[k]))
-            else:
-                near.setdefault((*two, i), (ids[i], ids[j], d[k]))
-    found = [*sure.values(), *(x for (a, b, _), x in near.items() if (a, b) not in sure)]
-    return pd.DataFrame([(min(a, b), max(a, b), d) for a, b, d in found], columns=["a", "b", "d"]).astype({"a": np.int64, "b": np.int64, "d": np.int32})
+            sure.setdefault((min(labels[i], labels[j]), max(labels[i], labels[j])), (ids[i], ids[j], d[k]))
+        loose = (d > SURE) & (d <= LOOSE)
+        near.append((i, others[loose], d[loose]))
+    joined: dict[int, list[int]] = {}
+    for one, two in sure:
+        joined.setdefault(one, []).append(two)
+        joined.setdefault(two, []).append(one)
+    found = [np.array(list(sure.values()), dtype=np.int64).reshape(-1, 3)]
+    for i, others, d in near:
+        left = ~np.isin(labels[others], joined.get(labels[i], []))
+        found.append(np.column_stack([np.full(left.sum(), ids[i]), ids[others[left]], d[left]]))
+    every = np.concatenate(found)
+    return pd.DataFrame({"a": every[:, :2].min(axis=1), "b": every[:, :2].max(axis=1), "d": every[:, 2].astype(np.int32)})
 
 
 def similar(links: DataFrame, texts: DataFrame, width: int) -> DataFrame:
