@@ -115,3 +115,20 @@ def test_important_reverses_layers(spark):
     won = lambda important: cascade.winners(spark.createDataFrame([x for x in rows if x[6] == important or not important], "page_id long, pre int, rule_no int, selector string, property string, value string, important boolean, origin string, layer int, sure boolean")).collect()[0].value
     assert won(True) == "0True"
     assert [cascade.winners(spark.createDataFrame([x for x in rows if not x[6]], "page_id long, pre int, rule_no int, selector string, property string, value string, important boolean, origin string, layer int, sure boolean")).collect()[0].value] == ["2False"]
+
+
+def test_variables_of_pages_that_reach_over_batches(spark):
+    """Pages share tasks, not a group in pandas each, and a page may lie in several batches."""
+    pages = range(30)
+    elements = spark.createDataFrame([(p, 0, []) for p in pages], "page_id long, pre int, anc array<struct<pre:int>>")
+    rows = [(p, 0, f"--v{k}", f"v{p}" if k == 0 else f"var(--v{k - 1})", True) for p in pages for k in range(p % 7 + 1)] + [(p, 0, "color", f"var(--v{p % 7})", True) for p in pages] + [(99, 0, "color", "var(--v0)", True)]
+    won = spark.createDataFrame(rows, "page_id long, pre int, property string, value string, certain boolean")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        found = cascade.with_variables(elements, won)
+        assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()
+        assert {r.page_id: r.value for r in found.filter("property = 'color'").collect()} == {p: f"v{p}" for p in pages} | {99: None}
+        assert found.count() == len(rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
