@@ -7,10 +7,13 @@ size and above.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from pagelens.plans.store import stored
 
@@ -47,20 +50,52 @@ def first_role() -> Column:
 def inversions(items: DataFrame, group: list[str], first: list, second: list) -> DataFrame:
     """items with `seen_after`: how many items of the same group stand before this one by `first` and after it by `second`.
 
-    Ties in `second` keep the order of `first`, so they count nothing. The places by `second` are compared bit by bit from the highest: two items whose places
-    differ first in one bit are counted in that bit's group, where a running sum of ones suffices. n items make n log n rows, not n squared.
+    Ties in `second` keep the order of `first`, so they count nothing. Spark ranks the items and sorts them by `second`; tasks then count, in whole groups, the later items of a lower place by `first`. Nothing is joined and no row is doubled.
     """
     whole = Window.partitionBy(*group)
-    ranked = items.withColumns({"_d": F.row_number().over(whole.orderBy(*first)), "_n": F.count("*").over(whole)})
-    ranked = ranked.withColumn("_v", F.row_number().over(whole.orderBy(*second, "_d")) - 1)
-    bits = ranked.select(*group, "_d", "_v", F.explode(F.sequence(F.lit(0), F.greatest(F.length(F.bin(F.col("_n").cast("long"))) - 1, F.lit(0)))).alias("_level"))
-    bits = bits.withColumns({"_key": F.expr("shiftright(_v, _level + 1)"), "_bit": F.expr("shiftright(_v, _level) & 1")})
-    before = Window.partitionBy(*group, "_level", "_key").orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
-    counted = bits.withColumn("_ones", F.when(F.col("_bit") == 0, F.coalesce(F.sum("_bit").over(before), F.lit(0))).otherwise(0)).groupBy(*group, "_d").agg(F.sum("_ones").alias("seen_after"))
-    names = {c: f"_g{k}" for k, c in enumerate(group)}
-    counted = counted.select(*(F.col(c).alias(n) for c, n in names.items()), F.col("_d").alias("_e"), "seen_after")
-    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(n)) for c, n in names.items())) & (F.col("_d") == F.col("_e"))
-    return ranked.join(counted, same).select(*items.columns, "seen_after")
+    ranked = items.withColumn("_d", F.row_number().over(whole.orderBy(*first)))
+    ranked = ranked.withColumn("_v", F.row_number().over(whole.orderBy(*second, "_d"))).sortWithinPartitions(*group, *second, "_d")
+    return ranked.mapInArrow(_inversions, StructType([*items.schema.fields, StructField("seen_after", LongType())]))
+
+
+def _inversions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items without _d and _v, with seen_after. A group, which begins where _v is 1, may reach over batches; it is kept until the next one begins."""
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        starts = np.flatnonzero(batch.column("_v").to_numpy() == 1)
+        if len(starts):
+            last = int(starts[-1])
+            done = [x for x in (*kept, batch.slice(0, last)) if x.num_rows]
+            if done:
+                yield _counted(done)
+            kept = []
+            batch = batch.slice(last)
+        if batch.num_rows:
+            kept.append(batch)
+    if kept:
+        yield _counted(kept)
+
+
+def _counted(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    whole = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+    # Groups one after the other are one permutation: no item of a group stands before one of an earlier group.
+    v = whole.column("_v").to_numpy().astype(np.int64)
+    base = np.arange(len(v)) - (v - 1)
+    seen = later_smaller(whole.column("_d").to_numpy().astype(np.int64) - 1 + base)
+    return pa.RecordBatch.from_pydict({n: whole.column(n) for n in whole.schema.names if n not in ("_d", "_v")} | {"seen_after": pa.array(seen, pa.int64())})
+
+
+def later_smaller(places: np.ndarray) -> np.ndarray:
+    """For each item of a permutation of 0 to n - 1, how many later ones are smaller: places are compared bit by bit from the highest; two that differ first in one bit are counted in that bit's group."""
+    out, order = np.zeros(len(places), np.int64), np.arange(len(places))
+    for level in reversed(range((len(places) - 1).bit_length())):
+        value = places[order]
+        key, low = value >> (level + 1), (value >> level) & 1 == 0
+        lows = np.cumsum(low)
+        ends = np.searchsorted(key, key, "right") - 1
+        out[order] += np.where(low, 0, lows[ends] - lows)
+        order = order[np.argsort(value >> level, kind="stable")]
+    return out
 
 
 def visual_inversions(boxes: DataFrame) -> DataFrame:
@@ -69,7 +104,7 @@ def visual_inversions(boxes: DataFrame) -> DataFrame:
     Boxes without a place or size (null or zero) aren't seen and are left out; boxes at one place keep the document's order.
     """
     seen = boxes.filter("x is not null and y is not null and width > 0 and height > 0")
-    return inversions(seen, ["page_id"], ["pre"], ["y", "x"]).select("page_id", "pre", "seen_after")
+    return inversions(seen.select("page_id", "pre", "y", "x"), ["page_id"], ["pre"], ["y", "x"]).select("page_id", "pre", "seen_after")
 
 
 def order_findings(nodes: DataFrame, measured: DataFrame) -> DataFrame:

@@ -228,3 +228,19 @@ def test_registered():
     from pagelens import catalog
 
     assert {*catalog_measured.QUERIES, *catalog_roles.QUERIES} <= set(catalog.queries()) and {*catalog_measured.ORACLES, *catalog_roles.ORACLES} <= set(catalog.oracles())
+
+
+def test_inversions_over_batches(spark):
+    """Pages that reach over Arrow batches, against each pair; items aren't multiplied on the way."""
+    r = random.Random(9)
+    rows = [(page if page else None, k, r.randint(0, 5), r.randint(0, 3)) for page in range(6) for k in range(r.choice([1, 2, 9, 17]))]
+    items = spark.createDataFrame(rows, "page_id long, pre int, y int, x int")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        found = geometry.inversions(items, ["page_id"], ["pre"], ["y", "x"])
+        assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+        got = {(f.page_id, f.pre): f.seen_after for f in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {(p, k): sum(q == p and j < k and (b, a) > (y, x) for q, j, b, a in rows) for p, k, y, x in rows}
