@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from pagelens import catalog, catalog_measured, catalog_roles
 from pagelens.plans.store import MOST_ROWS, stored
+from pagelens.sources import files, html_nodes
 
 
 def plan(df):
@@ -45,3 +46,29 @@ def test_order_tables(spark, orders):
 def test_lines(spark, orders):
     rows = catalog_measured.lines(spark, orders)
     assert "Broadcast" not in plan(rows.join(rows.select("page_id", F.col("name").alias("other")), "page_id"))
+
+
+def test_styled_pages_are_parsed_once(spark, monkeypatch):
+    parsed = []
+    for module in (catalog, catalog.cascade):
+        monkeypatch.setattr(module, "stored", lambda df: parsed.append(df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")) or stored(df))
+    catalog._styled(spark, "/root/testdata/sf0.001")
+    assert sum(parsed) == 1
+
+
+def test_small_pages_share_a_batch_of_rows():
+    assert list(html_nodes.slices(["<p>x"] * 40 + [None])) == [(0, 41)]
+    assert list(html_nodes.slices(["x" * html_nodes.CHARACTERS, "y", "z" * html_nodes.CHARACTERS, "w"])) == [(0, 1), (1, 3), (3, 4)]
+    assert html_nodes._rows([None, 7], ["<p a>x</p>", "<br>"]).to_pylist()[2]["page_id"] == 7
+
+
+def test_imports_are_read_once_for_each_file(spark, monkeypatch):
+    """Two levels of imports, a cycle and a file that isn't there; the text of a sheet isn't taken apart again in each level."""
+    calls = []
+    plain = files.imports
+    monkeypatch.setattr(files, "imports", lambda css: calls.append(1) or plain(css))
+    sheets = spark.createDataFrame([(1, 0, "@import 'a' screen; @import 'none';"), (1, 1, "p{}"), (2, 0, None)], "page_id long, place int, css string")
+    texts = spark.createDataFrame([("a", "@import 'b';"), ("b", "@import 'a'; @import 'b'; i{}")], "href string, css string")
+    found = {(r.page_id, tuple(r.path), tuple(r.chain), r.css, r.media) for r in files.expanded(sheets, texts).collect()}
+    assert found == {(1, (0,), (), "@import 'a' screen; @import 'none';", ""), (1, (1,), (), "p{}", ""), (2, (0,), (), None, ""), (1, (0, 0), ("a",), "@import 'b';", "screen"), (1, (0, 0, 0), ("a", "b"), "@import 'a'; @import 'b'; i{}", "")}
+    assert len(calls) == 2
