@@ -68,15 +68,21 @@ def imports(css: Column) -> Column:
 
 
 def expanded(sheets: DataFrame, files: DataFrame) -> DataFrame:
-    """sheets (page_id, place, css) with the sheets they import before them: level by level, each joined with the files (href, css), until none is new. A sheet within itself isn't read again, so there are as many levels at most as files."""
-    level = sheets.select("page_id", F.array("place").alias("path"), F.array().cast("array<string>").alias("chain"), "css", F.lit("").alias("media"))
-    out = level
-    while True:
-        asked = level.select("page_id", "path", "chain", F.posexplode(imports(F.col("css"))).alias("k", "i")).select("page_id", F.concat("path", F.array(F.col("k").cast("int"))).alias("path"), "chain", "i.href", "i.media")
-        level = stored(asked.filter(~F.array_contains("chain", F.col("href"))).join(files, "href").select("page_id", "path", F.concat("chain", F.array("href")).alias("chain"), "css", "media"))
-        if level.isEmpty():
-            return out
-        out = out.unionByName(level)
+    """sheets (page_id, place, css) with the sheets they import before them: level by level, each joined with what the files (href, css) import, until none is new. A sheet within itself isn't read again, so there are as many levels at most as files.
+
+    A file is read for its imports once, not for each page; levels carry its number in place of its text.
+    """
+    numbered = stored(files.select("href", "css", F.monotonically_increasing_id().alias("file")))
+    told = lambda df, *keys: df.select(*keys, F.posexplode(imports(F.col("css"))).alias("k", "i")).select(*keys, F.col("k").cast("int").alias("k"), "i.href", "i.media").join(numbered.select("href", F.col("file").alias("target")), "href")
+    edges = stored(told(numbered, "file"))
+    level = stored(told(sheets, "page_id", "place").select("page_id", F.array("place", "k").alias("path"), F.array("href").alias("chain"), F.col("target").alias("file"), "media"))
+    found = level
+    while not level.isEmpty():
+        asked = level.drop("media").join(edges, "file").filter(~F.array_contains("chain", F.col("href")))
+        level = stored(asked.select("page_id", F.concat("path", F.array("k")).alias("path"), F.concat("chain", F.array("href")).alias("chain"), F.col("target").alias("file"), "media"))
+        found = found.unionByName(level)
+    own = sheets.select("page_id", F.array("place").alias("path"), F.array().cast("array<string>").alias("chain"), "css", F.lit("").alias("media"))
+    return own.unionByName(found.hint("merge").join(numbered.select("file", "css"), "file").select(own.columns))
 
 
 def from_arena(arenas: DataFrame) -> DataFrame:
