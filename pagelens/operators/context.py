@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagelens.plans.store import beside, stored
+
 # Fixed values of HTML.
 LABELABLE = "button input meter output progress select textarea".split()
 HEADINGS = [f"h{k}" for k in range(1, 7)]
@@ -92,28 +94,27 @@ def with_context(nodes: DataFrame) -> DataFrame:
     focused = named(F.col("names"), "autofocus")
     others = e.filter(focused).groupBy("page_id", "scope").agg(F.count("*").alias("scope_others"))
     e = e.join(others, ["page_id", "scope"], "left")
-    e = e.join(kids, ["page_id", "pre"], "left").join(below, ["page_id", "pre"], "left").join(texts, ["page_id", "pre"], "left")
+    e = beside(e, [kids, below, texts])
     e = e.withColumns({"kids": F.coalesce("kids", F.array().cast(kids.schema["kids"].dataType)), "txt": F.coalesce(squeezed(F.col("txt")), F.lit("")), **{n: F.coalesce(n, F.lit(0)) for n in marks}})
+    width = F.aggregate(F.filter("kids", lambda k: html(k["tag"], k["ns"], "td", "th")), F.lit(0.0), lambda acc, k: acc + k["span"])
+    e = stored(e.withColumn("row_width", F.when(is_("tr"), width)))
     terms = Window.partitionBy("page_id", "dl", "txt").orderBy("pre")
     same = e.filter(html(tag, ns, "dt") & (F.col("dl") >= 0) & (F.col("txt") != "")).select("page_id", "pre", (F.row_number().over(terms) > 1).alias("same_dt")).filter("same_dt")
-    e = e.join(same, ["page_id", "pre"], "left").withColumn("same_dt", F.coalesce("same_dt", F.lit(False)))
-    e = with_tables(e)
-    return with_labelled_words(e, nodes).join(references(e), ["page_id", "pre"], "left")
+    more = beside(e, [same, labelled_words(e, nodes), *references(e)])
+    return beside(more, table_widths(e), ["page_id", "table"]).withColumn("same_dt", F.coalesce("same_dt", F.lit(False)))
 
 
-def with_labelled_words(e: DataFrame, nodes: DataFrame) -> DataFrame:
-    """labelled_words: whether an element that aria-labelledby names has text or a label; null where there is none."""
+def labelled_words(e: DataFrame, nodes: DataFrame) -> DataFrame:
+    """page_id, pre, labelled_words: whether an element that aria-labelledby names has text or a label; no row where there is none."""
     words = nodes.filter("kind = 'text'").filter(F.rlike("text", F.lit(r"\S"))).select("page_id", F.explode("anc.pre").alias("pre")).unionByName(e.filter(F.trim(attr("aria-label")) != "").select("page_id", "pre")).distinct()
     target = e.filter(attr("id").isNotNull()).select("page_id", "pre", attr("id").alias("target")).join(words, ["page_id", "pre"], "left_semi").select("page_id", "target").distinct()
     asked = e.filter(attr("aria-labelledby").isNotNull()).select("page_id", "pre", F.explode(tokens(attr("aria-labelledby"))).alias("target"))
-    return e.join(asked.join(target, ["page_id", "target"]).select("page_id", "pre", F.lit(True).alias("labelled_words")).distinct(), ["page_id", "pre"], "left")
+    return asked.join(target, ["page_id", "target"]).select("page_id", "pre", F.lit(True).alias("labelled_words")).distinct()
 
 
-def with_tables(e: DataFrame) -> DataFrame:
-    """row_width (of a tr), and of its table: from_markup (columns by col and colgroup, null without colgroup) and first_width (of its first row)."""
+def table_widths(e: DataFrame) -> list[DataFrame]:
+    """By page_id and table: from_markup (columns by col and colgroup, no row without colgroup), and first_width (of its first row)."""
     tag, ns = F.col("tag"), F.col("ns")
-    width = F.aggregate(F.filter("kids", lambda k: html(k["tag"], k["ns"], "td", "th")), F.lit(0.0), lambda acc, k: acc + k["span"])
-    e = e.withColumn("row_width", F.when(html(tag, ns, "tr"), width))
     spans = F.coalesce(attr("span").try_cast("double"), F.when(attr("span").isNull(), F.lit(1.0)), F.lit(float("nan")))
     up = F.get("anc", F.lit(0))
     columns = e.filter(html(tag, ns, "col") & html(up["tag"], up["ns"], "colgroup") | html(tag, ns, "colgroup") & ~F.exists("kids", lambda k: k["tag"] == "col"))
@@ -121,12 +122,12 @@ def with_tables(e: DataFrame) -> DataFrame:
     over = F.get("anc", F.lit(1))
     rows = e.filter(html(tag, ns, "tr") & ((up["pre"] == F.col("table")) | html(up["tag"], up["ns"], "thead", "tbody", "tfoot") & (over["pre"] == F.col("table"))))
     rows = rows.groupBy("page_id", "table").agg(F.min_by("row_width", "pre").alias("first_width"))
-    return e.join(columns, ["page_id", "table"], "left").join(rows, ["page_id", "table"], "left")
+    return [columns, rows]
 
 
-def references(e: DataFrame) -> DataFrame:
-    """page_id, pre, found (map from an attribute of LOOKED_UP to what has that id), ids (how often its own id is on the page), owned (roles of elements that aria-owns it), panels (whether a tabpanel's
-    aria-labelledby is its id), others only where there is any."""
+def references(e: DataFrame) -> list[DataFrame]:
+    """By page_id and pre: ids (how often its own id is on the page), owned (roles of elements that aria-owns it), panels (whether a tabpanel's aria-labelledby is its id); and found (map from an attribute
+    of LOOKED_UP to what has that id), only where there is any."""
     tag, ns = F.col("tag"), F.col("ns")
     role_tokens = tokens(attr("role"))
     ids = e.filter(attr("id").isNotNull()).groupBy("page_id", attr("id").alias("target")).agg(
@@ -143,7 +144,7 @@ def references(e: DataFrame) -> DataFrame:
     owners = e.filter(attr("aria-owns").isNotNull()).select("page_id", F.explode(tokens(attr("aria-owns"))).alias("target"), attr("role").alias("role")).groupBy("page_id", "target").agg(F.collect_set("role").alias("owned"))
     labelled = e.filter(F.array_contains(role_tokens, "tabpanel") & attr("aria-labelledby").isNotNull()).select("page_id", attr("aria-labelledby").alias("target"), F.lit(True).alias("panels")).distinct()
     own = e.filter(attr("id").isNotNull()).select("page_id", "pre", attr("id").alias("target")).join(ids.select("page_id", "target", F.col("n").alias("ids")), ["page_id", "target"]).join(owners, ["page_id", "target"], "left").join(labelled, ["page_id", "target"], "left").drop("target")
-    return own.join(found, ["page_id", "pre"], "full_outer")
+    return [own, found]
 
 
 def map_name() -> Column:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Rows of a table of files that Spark may broadcast by its own estimate.
 MOST_ROWS = 20_000
@@ -28,3 +31,14 @@ def stored(df: DataFrame) -> DataFrame:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return by_rows(spark.read.schema(df.schema).parquet(path))
+
+
+def beside(df: DataFrame, sides: Sequence[DataFrame], keys: Sequence[str] = ("page_id", "pre")) -> DataFrame:
+    """df with the other columns of all `sides`, null where a side has no row of the keys. A side has one row of each key at most.
+
+    The sides are written as one table and joined once. A join for each of them would make one plan of them all, which Spark plans anew after each of its
+    stages: it takes more of the driver's memory than the rows do.
+    """
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sides)
+    one = stored(rows.groupBy(*keys).agg(*(F.first(c, ignorenulls=True).alias(c) for c in rows.columns if c not in keys)))
+    return df.join(one, [*keys], "left")

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagelens import catalog, catalog_measured, catalog_roles
-from pagelens.plans.store import MOST_ROWS, stored
+from pagelens.operators import structure
+from pagelens.plans.store import MOST_ROWS, beside, stored
 from pagelens.sources import files, html_nodes
 
 
@@ -72,3 +73,17 @@ def test_imports_are_read_once_for_each_file(spark, monkeypatch):
     found = {(r.page_id, tuple(r.path), tuple(r.chain), r.css, r.media) for r in files.expanded(sheets, texts).collect()}
     assert found == {(1, (0,), (), "@import 'a' screen; @import 'none';", ""), (1, (1,), (), "p{}", ""), (2, (0,), (), None, ""), (1, (0, 0), ("a",), "@import 'b';", "screen"), (1, (0, 0, 0), ("a", "b"), "@import 'a'; @import 'b'; i{}", "")}
     assert len(calls) == 2
+
+
+def test_beside_is_one_join(spark):
+    """Sides of several columns, one of them a list, and a row that no side has; one join takes the place of one for each side."""
+    rows = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "page_id long, pre int")
+    sides = [spark.createDataFrame([(1, 0, "a")], "page_id long, pre int, x string"), spark.createDataFrame([(1, 1, [7]), (1, 0, None)], "page_id long, pre int, y array<int>"), spark.createDataFrame([(1, 0, True)], "page_id long, pre int, z boolean")]
+    found = beside(rows, sides)
+    assert plan(found).count("Join") == 1
+    assert sorted((r.page_id, r.pre, r.x, r.y, r.z) for r in found.collect()) == [(1, 0, "a", None, True), (1, 1, None, [7], None), (2, 0, None, None, None)]
+
+
+def test_elements_with_relations_are_no_plan_of_all_joins(spark):
+    nodes = stored(html_nodes.html_nodes(spark.createDataFrame([(1, "<html lang=en><body><p>x</p>")], "page_id long, html string")))
+    assert plan(structure.with_relations(nodes)).count("Join") <= 4
