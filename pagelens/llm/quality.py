@@ -130,15 +130,32 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_SAMPLES) ->
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     made = rows.select("text", "doc_id", "quality").mapInArrow(run, f"doc_id {kind}, vector binary, quality double")
-    sample = made.orderBy(F.xxhash64("doc_id"), "doc_id", "vector").limit(most_rows).collect()
-    if not sample:
+    sample = made.orderBy(F.xxhash64("doc_id"), "doc_id", "vector").limit(most_rows).select("vector", "quality")
+    found = sample.coalesce(1).mapInArrow(decomposed, "place int, latent binary, quality double").collect()  # at most most_rows vectors of RANK floats, and the axes
+    if not found:
         return Model(idf, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), prior)
-    x = np.frombuffer(b"".join(r["vector"] for r in sample), np.float16).reshape(len(sample), TERMS).astype(np.float32)
-    values, axes = np.linalg.eigh(x.T @ x)
-    model = Model(idf, np.ascontiguousarray(axes[:, ::-1][:, :RANK]), np.zeros((0, 1), np.float32), np.array([r["quality"] for r in sample], float), prior)
-    y = x @ model.basis
-    model.vectors = y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)
-    return model
+    axes, *latent = sorted(found, key=lambda r: r["place"])
+    basis = np.frombuffer(axes["latent"], np.float32).reshape(TERMS, -1)
+    vectors = np.frombuffer(b"".join(r["latent"] for r in latent), np.float32).reshape(len(latent), -1)
+    return Model(idf, basis, vectors, np.array([r["quality"] for r in latent], float), prior)
+
+
+def decomposed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """place, latent, quality: the sample's RANK axes at place -1, then the unit vectors of its rows on them. A task does this, as the decomposition takes more memory than a driver may have to spare."""
+    parts, labels, gram = [], [], np.zeros((TERMS, TERMS), np.float32)
+    for batch in batches:
+        parts.append(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.float16).reshape(-1, TERMS))
+        labels += batch.column(1).to_pylist()
+        for at in range(0, len(parts[-1]), 1024):
+            x = parts[-1][at : at + 1024].astype(np.float32)
+            gram += x.T @ x
+    if not labels:
+        return
+    _, axes = np.linalg.eigh(gram)
+    basis = np.ascontiguousarray(axes[:, ::-1][:, :RANK])
+    y = np.concatenate([part.astype(np.float32) @ basis for part in parts])
+    y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)
+    yield pa.RecordBatch.from_arrays([pa.array(range(-1, len(y)), pa.int32()), pa.array([basis.tobytes(), *(v.tobytes() for v in y)], pa.binary()), pa.array([None, *labels], pa.float64())], ["place", "latent", "quality"])
 
 
 def rated(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:

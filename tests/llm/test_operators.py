@@ -509,3 +509,14 @@ def test_very_long_text(spark):
     assert merkle.fingerprint_edits(docs).filter(f"n_chars = {len(long)}").count() == 1
     assert quality.quality(docs, labels).count() == toxicity.toxicity(docs, labels).count() == 2
     assert packing.pack(docs, queries.vocabulary_path()).groupBy("doc_id").agg(F.sum("length") == F.max("doc_tokens")).filter("not (sum(length) = max(doc_tokens))").count() == 0
+
+
+def test_quality_is_decomposed_in_a_task(spark, monkeypatch):
+    """The driver gets the axes and the sample's short vectors, and neither the sample nor its Gram matrix."""
+    docs = spark.createDataFrame([(k, f"{'good words here' if k % 2 else 'zz 99 !!'} {k}") for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    monkeypatch.setattr(quality.np.linalg, "eigh", None)
+    model = quality.train(docs, labels, most_rows=30)
+    assert model.vectors.shape == (30, quality.RANK) and len(model.labels) == 30 and model.basis.shape == (quality.TERMS, quality.RANK)
+    assert abs(model.basis.T @ model.basis - quality.np.eye(quality.RANK)).max() < 1e-4
+    assert (model.scores(quality.counts_of(["good words here 77", "zz 99 !! 78"])) > 0.5).tolist() == [True, False]
