@@ -90,7 +90,7 @@ def _cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cover_area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lines(spark, sf_dir).select("page_id", (F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("pre"), F.col("l_linenumber").alias("paint"), "x", "y", "width", "height", "kind")
+    rows = stored(lines(spark, sf_dir).select("page_id", (F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("pre"), F.col("l_linenumber").alias("paint"), "x", "y", "width", "height", "kind"))
     return geometry.covered_area(rows.filter("kind <> 5"), rows.filter("kind = 5"))
 
 

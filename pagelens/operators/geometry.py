@@ -143,21 +143,26 @@ def _level(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return F.least(F.greatest(F.ceil(F.log2(size)), F.lit(LEVELS[0])), F.lit(LEVELS[1])).cast("int")
 
 
+def placed(df: DataFrame, name: str, by: str, levels: Column, other: DataFrame | None = None) -> DataFrame:
+    """_by, `name` (a struct of the row), level, cx, cy of every cell of `levels` (an expression over _level, the row's own) that a row touches; with `other` only of levels that are own ones of its rows with the same `by`."""
+    box = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
+    rows = df.withColumn("_level", _level(*box))
+    if other is not None:
+        bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k - F.lit(LEVELS[0]))
+        there = other.groupBy(F.col(by).alias("_other")).agg(F.bit_or(bit(_level(*box))).alias("_there"))
+        rows = rows.join(there, F.col(by) == F.col("_other"))
+        levels = F.filter(levels, lambda k: bit(k).bitwiseAND(F.col("_there")) != 0)
+    return rows.select(F.col(by).alias("_by"), F.struct(*df.columns).alias(name), F.explode(_cells(*box, levels)).alias("_c")).select("_by", name, "_c.level", "_c.cx", "_c.cy")
+
+
 def overlapping(left: DataFrame, right: DataFrame, by: str = "page_id") -> DataFrame:
     """Pairs of rows whose closed boxes (x0, y0, x1, y1) touch, with columns l and r (structs of the rows); `by` is what both must share.
 
-    Each pair meets at the larger box's level; of the cells where it meets, the one with the larger low corner counts.
+    Each pair meets at the larger box's level; of the cells where it meets, the one with the larger low corner counts. A box is put only into cells of levels that boxes of the other side with the same `by` have.
     """
-    box = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
-    lo, hi = LEVELS
-
-    def placed(df: DataFrame, name: str, levels: Column) -> DataFrame:
-        rows = df.withColumn("_level", _level(*box))
-        return rows.select(F.col(by).alias("_by"), F.struct(*df.columns).alias(name), F.explode(_cells(*box, levels)).alias("_c")).select("_by", name, "_c.level", "_c.cx", "_c.cy")
-
-    own, upward = F.array("_level"), F.sequence("_level", F.lit(hi))
+    own, upward = F.array("_level"), F.sequence("_level", F.lit(LEVELS[1]))
     above = F.filter(upward, lambda k: k > F.col("_level"))
-    pairs = placed(left, "l", upward).join(placed(right, "r", own), ["_by", "level", "cx", "cy"]).unionByName(placed(left, "l", own).join(placed(right, "r", above), ["_by", "level", "cx", "cy"]))
+    pairs = placed(left, "l", by, upward, right).join(placed(right, "r", by, own), ["_by", "level", "cx", "cy"]).unionByName(placed(left, "l", by, own).join(placed(right, "r", by, above, left), ["_by", "level", "cx", "cy"]))
     width = F.pow(F.lit(2.0), F.col("level"))
     low_x, low_y = F.greatest("l.x0", "r.x0"), F.greatest("l.y0", "r.y0")
     meet = (low_x <= F.least("l.x1", "r.x1")) & (low_y <= F.least("l.y1", "r.y1"))

@@ -5,6 +5,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from pagelens import catalog_measured, catalog_roles
 from pagelens.operators import aria, geometry, names, tables
@@ -244,3 +245,14 @@ def test_inversions_over_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert got == {(p, k): sum(q == p and j < k and (b, a) > (y, x) for q, j, b, a in rows) for p, k, y, x in rows}
+
+
+def test_boxes_are_placed_only_in_levels_of_the_others(spark):
+    """Page 1 has one large box on the other side, page 2 a small one, page 3 none."""
+    columns = "page_id long, x0 double, y0 double, x1 double, y1 double"
+    left = spark.createDataFrame([(1, 1.0, 1.0, 2.0, 2.0), (2, 1.0, 1.0, 2.0, 2.0), (3, 1.0, 1.0, 2.0, 2.0)], columns)
+    right = spark.createDataFrame([(1, 0.0, 0.0, 100.0, 100.0), (2, 2.0, 2.0, 3.0, 3.0)], columns)
+    upward = F.sequence("_level", F.lit(geometry.LEVELS[1]))
+    assert sorted((r._by, r.level) for r in geometry.placed(left, "l", "page_id", upward, right).collect()) == [(1, 7), (2, 4)]
+    for a, b in ((left, right), (right, left)):
+        assert sorted((r.l.page_id, r.r.page_id) for r in geometry.overlapping(a, b).collect()) == [(1, 1), (2, 2)]
