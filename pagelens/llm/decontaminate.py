@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,12 @@ LEAST_COSINE, LEAST_COMMON, LEAST_WEIGHT, LEAST_ANSWER = 0.33, 0.75, 0.4, 0.25
 LEAST_SINGULAR = 1e-3
 #: Items searched for at once, the bytes and pieces they may have, which bound what is broadcast; more are searched for in blocks. Dimensions beyond one for each piece.
 MOST_ITEMS, MOST_BYTES, MOST_PIECES, SPARE_DIMENSIONS = 480, 4_000_000, 960, 32
+#: Pairs of the benchmark's words that a task may count; beyond, a task multiplies passage by passage.
+MOST_CELLS = 1 << 24
+#: Passages multiplied with a matrix at once, so that what their words take stays in the processor's cache.
+AT_ONCE = 32
+#: What single precision may lose of a cosine.
+SLACK = 1e-3
 #: Words in a row that make a candidate besides those of the latent space.
 RUN = 3
 MIX = np.random.default_rng(5).integers(1, 2**63, RUN, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -120,8 +127,13 @@ def rows_times(numbers: np.ndarray, sizes: np.ndarray, weight: np.ndarray, right
 
     A word that comes t times weighs sqrt(t), so each of its tokens has 1 / sqrt(t) of it.
     """
-    begins = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    return np.add.reduceat(right[numbers] * weight[:, None], begins, axis=0)
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    out = np.empty((len(sizes), right.shape[1]), np.result_type(right, weight))
+    for at in range(0, len(sizes), AT_ONCE):
+        here = slice(begins[at], ends[min(at + AT_ONCE, len(sizes)) - 1])
+        np.add.reduceat(right[numbers[here]] * weight[here, None], begins[at : at + AT_ONCE] - begins[at], axis=0, out=out[at : at + AT_ONCE])
+    return out
 
 
 def token_weights(numbers: np.ndarray, sizes: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -130,6 +142,37 @@ def token_weights(numbers: np.ndarray, sizes: np.ndarray, idf: np.ndarray) -> np
     return (idf[numbers] / np.sqrt(times[which])).astype(np.float32)
 
 
+def may_reach(numbers: np.ndarray, sizes: np.ndarray, weight: np.ndarray, most: np.ndarray, norm: np.ndarray) -> np.ndarray:
+    """Whether a passage can reach LEAST_COSINE with a piece: `most` has the largest part that each word can have in a cosine with any piece, and their sum is no less than each cosine."""
+    return np.add.reduceat(most[numbers] * weight, np.cumsum(sizes) - sizes) >= (LEAST_COSINE - SLACK) * norm
+
+
+def _count_pairs(total: np.ndarray, numbers: np.ndarray, sizes: np.ndarray, idf: np.ndarray) -> None:
+    """Adds the Gram matrix of some passages (transposed times itself) to `total`, flat, each pair of words once: at the smaller word's row."""
+    words = np.int64(len(idf))
+    keys, times = np.unique(np.repeat(np.arange(len(sizes)), sizes) * words + numbers, return_counts=True)
+    row, word = keys // words, keys % words
+    weight = idf[word] * np.sqrt(times)
+    at = np.arange(len(row))
+    for k in range(len(row)):
+        np.add.at(total, word[at] * words + word[at + k], weight[at] * weight[at + k])
+        at = at[at < len(row) - k - 1]
+        at = at[row[at] == row[at + k + 1]]
+        if not len(at):
+            break
+
+
+def _pairs_times(total: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The product of the symmetric matrix whose upper half is `total` with `right`, some rows at a time."""
+    out = np.empty(right.shape, np.float32)
+    for at in range(0, len(total), 512):
+        here = slice(at, at + 512)
+        rows = total[here] + total[:, here].T
+        rows[np.arange(len(rows)), np.arange(at, at + len(rows))] /= 2
+        out[here] = rows.astype(np.float32) @ right
+    return out
+
+
 def _numbered(docs: DataFrame, items: Items) -> DataFrame:
     """doc_id and numbers (binary): every text as the numbers of its words, -1 for words that no item has."""
 
@@ -207,17 +250,27 @@ def _spread(total: np.ndarray, numbers: np.ndarray, sizes: np.ndarray, weight: n
 
 
 def _gram_times(passages: DataFrame, idf: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The passages' matrix, transposed, times itself times `right`: added in slices of the words, by trees of tasks none of which sees more than some dozens at once."""
+    """The passages' matrix, transposed, times itself times `right`: added in slices of the words, by trees of tasks none of which sees more than some dozens at once.
+
+    A task counts the pairs of words in its passages and multiplies once, which takes a tenth of the time of multiplying each passage; beyond MOST_CELLS pairs it does the latter.
+    """
     shared = passages.sparkSession.sparkContext.broadcast(right.astype(np.float32))
     slices = 16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        right, total = shared.value, np.zeros(shared.value.shape, np.float32)
+        right = shared.value
+        paired = len(right) ** 2 <= MOST_CELLS
+        total = np.zeros(len(right) ** 2) if paired else np.zeros(right.shape, np.float32)
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 numbers, sizes = _unpacked(batch.column(0).slice(at, 2048))
-                weight = token_weights(numbers, sizes, idf)
-                _spread(total, numbers, sizes, weight, rows_times(numbers, sizes, weight, right))
+                if paired:
+                    _count_pairs(total, numbers, sizes, idf)
+                else:
+                    weight = token_weights(numbers, sizes, idf)
+                    _spread(total, numbers, sizes, weight, rows_times(numbers, sizes, weight, right))
+        if paired:
+            total = _pairs_times(total.reshape(len(right), len(right)), right)
         parts = np.array_split(total, slices)
         yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([TaskContext.get().partitionId()] * slices, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["slice", "task", "data"])
 
@@ -273,15 +326,23 @@ def _search(docs: DataFrame, items: Items) -> DataFrame:
     latent = rows_times(numbers, sizes, weight, basis)
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
     owner = np.array([k for k, _ in items.pieces])
-    shared = passages.sparkSession.sparkContext.broadcast((basis, latent.T.copy(), items, idf))
+    most = np.maximum(basis @ latent.T, 0).max(axis=1)
+    shared = passages.sparkSession.sparkContext.broadcast((basis, latent.T.copy(), most, items, idf))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        basis, right, items, idf = shared.value
+        basis, right, most, items, idf = shared.value
         for batch in batches:
             rows, found = [], [[], [], []]
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 numbers, sizes = _unpacked(part.column(3))
+                able = may_reach(numbers, sizes, token_weights(numbers, sizes, idf), most, part.column(2).to_numpy())
+                able |= pc.binary_length(part.column(5)).to_numpy() > 0
+                if not able.any():
+                    continue
+                kept = np.flatnonzero(able)
+                part = part.take(pa.array(kept))
+                numbers, sizes = _unpacked(part.column(3))
                 x = rows_times(numbers, sizes, token_weights(numbers, sizes, idf), basis)
                 near = (x @ right) / part.column(2).to_numpy().astype(np.float32)[:, None]
                 best: dict[tuple[int, int], float] = {}
@@ -301,7 +362,7 @@ def _search(docs: DataFrame, items: Items) -> DataFrame:
                     if common < LEAST_COMMON and common_weight(own, heavy, around) < LEAST_WEIGHT * heavy.sum():
                         continue
                     if len(answer & present) >= LEAST_ANSWER * len(answer):
-                        rows.append(at + i)
+                        rows.append(at + int(kept[i]))
                         found[0].append(items.ids[k])
                         found[1].append(cosine)
                         found[2].append(common)

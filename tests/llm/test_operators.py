@@ -358,6 +358,43 @@ def test_common_weight():
         assert abs(decontaminate.common_weight(a, w, b) - slow(a.tolist(), w.tolist(), b.tolist())) < 1e-9
 
 
+def test_pairs_of_words_make_the_gram_matrix(spark, monkeypatch):
+    """Counting pairs gives the product that multiplying passage by passage gives, with repeated words and passages of one word."""
+    rng = np.random.default_rng(6)
+    idf = rng.random(700).astype(np.float32) + 0.1
+    rows = [rng.integers(0, 700 if k % 3 else 5, rng.integers(1, 33)).astype(np.int32) for k in range(300)]
+    dense = np.array([np.sqrt(np.bincount(x, minlength=700)) * idf for x in rows])
+    total = np.zeros(700 * 700)
+    for part in (rows[:7], rows[7:]):
+        decontaminate._count_pairs(total, np.concatenate(part), np.array([len(x) for x in part]), idf)
+    right = rng.standard_normal((700, 9))
+    want = dense.T @ dense @ right
+    assert np.allclose(decontaminate._pairs_times(total.reshape(700, 700), right.astype(np.float32)), want, atol=1e-3)
+    passages = spark.createDataFrame([(x.tobytes(),) for x in rows], "numbers binary").repartition(5)
+    for most in (1 << 24, 0):
+        monkeypatch.setattr(decontaminate, "MOST_CELLS", most)
+        assert np.allclose(decontaminate._gram_times(passages, idf, right), want, atol=1e-3)
+
+
+def test_passages_passed_over_reach_no_item():
+    """All passages that reach the least cosine stay, and four in five others go before their latent vectors are made."""
+    rng = np.random.default_rng(8)
+    chance = 1 / np.arange(1, 2001)
+    rows = [rng.choice(2000, 20, p=chance / chance.sum()) for _ in range(500)]
+    pieces = [rng.integers(0, 2000, 32) for _ in range(40)]
+    rows += [np.concatenate([p[:14], rng.integers(0, 2000, 18)]) for p in pieces]
+    numbers, sizes = np.concatenate(rows), np.array([len(x) for x in rows])
+    idf = np.log(1 / chance + 1).astype(np.float32)
+    weight = decontaminate.token_weights(numbers, sizes, idf)
+    latent = np.array([np.sqrt(np.bincount(p, minlength=2000)) * idf for p in pieces])
+    latent = (latent / np.linalg.norm(latent, axis=1, keepdims=True)).T.astype(np.float32)
+    norm = np.linalg.norm([np.sqrt(np.bincount(x, minlength=2000)) * idf for x in rows], axis=1)
+    near = decontaminate.rows_times(numbers, sizes, weight, latent) / norm[:, None]
+    able = decontaminate.may_reach(numbers, sizes, weight, latent.max(axis=1), norm)
+    reach = (near >= decontaminate.LEAST_COSINE).any(axis=1)
+    assert reach.sum() >= 30 and able[reach].all() and able[:500].mean() < 0.2
+
+
 def test_extreme_law():
     """The fit finds the parameters of simulated best scores, of texts of many lengths and with scores under a bound missing."""
     rng = np.random.default_rng(6)
