@@ -132,3 +132,16 @@ def test_variables_of_pages_that_reach_over_batches(spark):
         assert found.count() == len(rows)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_backgrounds_need_one_join(spark):
+    """Layers by layers: solid ones hide what isn't known, an unknown one above hides all; elements without colours are white; one join and one grouping do it."""
+    up = "array<struct<pre:int>>"
+    elements = spark.createDataFrame([(1, k, [(p,) for p in range(k - 1, -1, -1)]) for k in range(5)] + [(2, 0, [])], f"page_id long, pre int, anc {up}")
+    half, solid = (0.0, 100.0, 0.0, 0.5), (10.0, 20.0, 30.0, 1.0)
+    colours = spark.createDataFrame([(1, 0, half), (1, 1, None), (1, 2, solid), (1, 3, half), (3, 0, solid)], "page_id long, pre int, colour struct<r:double,g:double,b:double,a:double>")
+    seen = cascade.effective_background(elements, colours)
+    found = {(r.page_id, r.pre): r.background and tuple(r.background) for r in seen.collect()}
+    over = (5.0, 60.0, 15.0, 1.0)
+    assert found == {(1, 0): (127.5, 177.5, 127.5, 1.0), (1, 1): None, (1, 2): solid, (1, 3): over, (1, 4): over, (2, 0): (255.0, 255.0, 255.0, 1.0)}
+    assert seen._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
