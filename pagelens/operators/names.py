@@ -85,10 +85,13 @@ def _named_above(a: Column) -> Column:
 
 
 def _content(parts: DataFrame) -> DataFrame:
-    """page_id, pre, content: parts (page_id, at, text, anc) put together for every element that they belong to."""
+    """page_id, pre, content, shown: parts (page_id, at, text, anc, hidden) put together for every element that they belong to, all of them and those that aren't hidden (null without one)."""
     reach = F.coalesce(F.nullif(F.array_position(F.transform("anc", _named_above), True), F.lit(0)), F.size("anc"))
-    above = parts.select("page_id", "at", "text", F.explode(F.slice("anc", F.lit(1), reach.cast("int"))["pre"]).alias("pre"))
-    return above.groupBy("page_id", "pre").agg(join_parts("at", "text").alias("content"))
+    above = parts.select("page_id", "at", "text", "hidden", F.explode(F.slice("anc", F.lit(1), reach.cast("int"))["pre"]).alias("pre"))
+    grouped = above.groupBy("page_id", "pre").agg(F.sort_array(F.collect_list(F.struct("at", "text", "hidden"))).alias("parts"))
+    texts = lambda kept: squeezed(F.array_join(F.transform(kept, lambda p: p["text"]), " "))
+    shown = F.filter("parts", lambda p: ~p["hidden"])
+    return grouped.select("page_id", "pre", texts(F.col("parts")).alias("content"), F.when(F.size(shown) > 0, texts(shown)).alias("shown"))
 
 
 def _subtree(nodes: DataFrame, *tags: str) -> DataFrame:
@@ -135,9 +138,7 @@ def with_names(nodes: DataFrame) -> DataFrame:
     parts = parts.unionByName(e.filter(part.isNotNull()).select("page_id", F.col("pre").alias("at"), part.alias("text"), "anc", "hidden"))
     bare = e.select("page_id", "pre", "anc", "hidden", attr("title").alias("text")).filter((F.trim("text") != "") & F.lit(True)).join(parts.select("page_id", F.explode("anc.pre").alias("pre")).distinct(), ["page_id", "pre"], "left_anti").join(e.filter(part.isNotNull()).select("page_id", "pre"), ["page_id", "pre"], "left_anti")
     parts = parts.unionByName(bare.select("page_id", F.col("pre").alias("at"), "text", "anc", "hidden"))
-    shown = _content(parts.filter("not hidden")).withColumnRenamed("content", "shown")
-    every = _content(parts)
-    e = stored(e.join(shown, ["page_id", "pre"], "left").join(every, ["page_id", "pre"], "left"))
+    e = stored(e.join(_content(parts), ["page_id", "pre"], "left"))
 
     target = e.select("page_id", "pre", F.coalesce("own", F.when(may, F.col("native")), filled(value), filled(F.col("content")), filled(attr("title"))).alias("words")).join(first_id.select("page_id", "pre", "target"), ["page_id", "pre"]).select("page_id", "target", "words")
 

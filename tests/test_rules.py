@@ -42,3 +42,13 @@ def test_autofocus_is_found_once(spark):
     pages = spark.createDataFrame([(1, "<html lang=en><body><button autofocus>x</button>"), (2, "<html lang=en><body><label>x<input autofocus></label>"), (3, "<html lang=en><body><div role=searchbox contenteditable=true autofocus aria-label=S></div>")], "page_id long, html string")
     found = structure.structure_findings(stored(html_nodes(pages))).filter("rule_id = 'context/autofocus'").select("page_id", "outcome", "severity").collect()
     assert [tuple(r) for r in found] == [(1, "review", "medium")]
+
+
+def test_content_and_what_is_shown_of_it_come_from_one_grouping(spark):
+    from pagelens.operators import names
+
+    up = "array<struct<pre:int,tag:string,names:string>>"
+    over = [(1, "a", " "), (0, "p", " ")]
+    parts = spark.createDataFrame([(1, 4, "c ", over, False), (1, 2, " a\n", over, False), (1, 3, "b", over, True), (2, 1, "x", [(0, "p", " ")], True)], f"page_id long, at int, text string, anc {up}, hidden boolean")
+    found = names._content(parts)
+    assert {(r.page_id, r.pre): (r.content, r.shown) for r in found.collect()} == {(1, 0): ("a b c", "a c"), (1, 1): ("a b c", "a c"), (2, 0): ("x", None)}
