@@ -1,11 +1,13 @@
 """What Spark may gather in the driver: plans of joins on tables whose compressed files are far smaller than their rows."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from pagelens import catalog, catalog_measured, catalog_roles
-from pagelens.operators import structure
-from pagelens.plans.store import MOST_ROWS, beside, stored
+from pagelens.operators import structure, tables
+from pagelens.plans.store import CLEANUP, MOST_ROWS, beside, stored
 from pagelens.sources import files, html_nodes
 
 
@@ -87,3 +89,22 @@ def test_beside_is_one_join(spark):
 def test_elements_with_relations_are_no_plan_of_all_joins(spark):
     nodes = stored(html_nodes.html_nodes(spark.createDataFrame([(1, "<html lang=en><body><p>x</p>")], "page_id long, html string")))
     assert plan(structure.with_relations(nodes)).count("Join") <= 4
+
+
+def test_header_cells_are_found_in_parts(spark):
+    """What header cells come from is written in parts: one plan of all took more of the driver's memory than it has."""
+    nodes = stored(html_nodes.html_nodes(spark.createDataFrame([(1, "<table><tr><th id=a>x<th>y<tr><td>1<td headers=a>2</table>")], "page_id long, html string")))
+    found = tables.header_cells(stored(tables.placed(stored(tables.table_parts(nodes)[1]))))
+    assert sorted((r.pre, r.header) for r in found.collect()) == [(7, 2), (9, 2)]
+    assert plan(found).count("Exchange hashpartitioning") <= 12
+
+
+def test_stored_tables_leave_no_shuffles(spark):
+    """What was shuffled to write a table goes when it is written, and the setting stays as it was."""
+    numbers = spark.range(100_000).groupBy((F.col("id") % 50_000).alias("k")).agg(F.max("id").alias("id"))
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    shuffles = lambda: {p for d in folders for p in Path(d).rglob("shuffle_*.data") if p.stat().st_size > 10_000}
+    before, setting = shuffles(), spark.conf.get(CLEANUP)
+    large = stored(numbers)
+    assert large.count() == 50_000 and spark.conf.get(CLEANUP) == setting
+    assert shuffles() <= before
