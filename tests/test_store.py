@@ -108,3 +108,16 @@ def test_stored_tables_leave_no_shuffles(spark):
     large = stored(numbers)
     assert large.count() == 50_000 and spark.conf.get(CLEANUP) == setting
     assert shuffles() <= before
+
+
+def test_header_findings_mark_elements_once(spark, monkeypatch):
+    """A table within a row, and a header that labels nothing on either side of it; the last plan joins only what was written."""
+    marked, mark = [], tables._marked
+    monkeypatch.setattr(tables, "_marked", lambda nodes: marked.append(1) or mark(nodes))
+    html = "<table><tr><th id=a scope=col>x<td><table><tbody></tbody><tr><th id=b>x<tr><th id=c>y</table><tr><td>1<td>2</table>"
+    nodes = stored(html_nodes.html_nodes(spark.createDataFrame([(1, html)], "page_id long, html string")))
+    found = tables.header_findings(nodes)
+    assert len(marked) == 1
+    names = {r.pre: r.attrs.get("id") for r in nodes.filter("kind = 'element'").collect()}
+    assert sorted((r.rule_id, names[r.pre]) for r in found.collect()) == [("tables/data-undetermined", None)]
+    assert plan(found).count("Exchange hashpartitioning") <= 8
