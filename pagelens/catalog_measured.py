@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelens.operators import geometry
-from pagelens.plans.store import by_rows, stored
+from pagelens.plans.store import by_rows, released, stored
 from pagelens.sources.files import with_rendering
 from pagelens.sources.html_nodes import html_nodes
 
@@ -56,13 +56,16 @@ def measured(nodes: DataFrame, rows: DataFrame) -> DataFrame:
     every = boxes.unionByName(wraps, True).unionByName(orders, True).withColumns({"display": F.lit("block"), "visually_hidden": null("boolean"), "obscured": null("boolean"), "hides_focus": null("boolean"), "points": null("int"), "covered": null("int")})
     named = nodes.filter("kind = 'element'").select("page_id", "node_id", F.col("attrs")["id"].alias("id")).filter("id is not null").join(every, ["page_id", "id"])
     kept = ["x", "y", "width", "height", "display", "position", "paint", "order", "flex_reversed", "pointer_events_none", "animating", "visually_hidden", "obscured", "hides_focus", "points", "covered"]
-    return with_rendering(nodes, named.select("page_id", "node_id", *kept)).filter("kind = 'element'").select("page_id", "pre", *kept)
+    # Written between the joins, else the first one's shuffles lie beside the second one's.
+    return with_rendering(nodes, stored(named.select("page_id", "node_id", *kept))).filter("kind = 'element'").select("page_id", "pre", *kept)
 
 
 def _site(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = stored(lines(spark, sf_dir))
     nodes = stored(page_nodes(rows))
-    return nodes, stored(measured(nodes, rows))
+    boxes = stored(measured(nodes, rows))
+    released(rows)
+    return nodes, boxes
 
 
 def _by_name(found: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from pagelens.plans.store import stored
+from pagelens.plans.store import released, stored
 
 from .context import attr
 from .names import has
@@ -143,30 +143,30 @@ def _level(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return F.least(F.greatest(F.ceil(F.log2(size)), F.lit(LEVELS[0])), F.lit(LEVELS[1])).cast("int")
 
 
-def placed(df: DataFrame, name: str, by: str, levels: Column, other: DataFrame | None = None) -> DataFrame:
-    """_by, `name` (a struct of the row), level, cx, cy of every cell of `levels` (an expression over _level, the row's own) that a row touches; with `other` only of levels that are own ones of its rows with the same `by`."""
+def placed(df: DataFrame, name: str, by: str, levels: Column, other: DataFrame | None = None, beyond: bool = False) -> DataFrame:
+    """_by, `name` (a struct of the row without `by`), level, cx, cy of every cell of `levels` (an expression over _level, the row's own) that a row touches; with `other` only of levels that are own ones of its rows with the same `by`, or, `beyond`, that lie above one of these."""
     box = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
     rows = df.withColumn("_level", _level(*box))
     if other is not None:
         bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k - F.lit(LEVELS[0]))
         there = other.groupBy(F.col(by).alias("_other")).agg(F.bit_or(bit(_level(*box))).alias("_there"))
         rows = rows.join(there, F.col(by) == F.col("_other"))
-        levels = F.filter(levels, lambda k: bit(k).bitwiseAND(F.col("_there")) != 0)
-    return rows.select(F.col(by).alias("_by"), F.struct(*df.columns).alias(name), F.explode(_cells(*box, levels)).alias("_c")).select("_by", name, "_c.level", "_c.cx", "_c.cy")
+        levels = F.filter(levels, lambda k: (bit(k) - 1 if beyond else bit(k)).bitwiseAND(F.col("_there")) != 0)
+    return rows.select(F.col(by).alias("_by"), F.struct(*(c for c in df.columns if c != by)).alias(name), F.explode(_cells(*box, levels)).alias("_c")).select("_by", name, "_c.level", "_c.cx", "_c.cy")
 
 
 def overlapping(left: DataFrame, right: DataFrame, by: str = "page_id") -> DataFrame:
     """Pairs of rows whose closed boxes (x0, y0, x1, y1) touch, with columns l and r (structs of the rows); `by` is what both must share.
 
-    Each pair meets at the larger box's level; of the cells where it meets, the one with the larger low corner counts. A box is put only into cells of levels that boxes of the other side with the same `by` have.
+    Each pair meets at the larger box's level; of the cells where it meets, the one with the larger low corner counts. A box is put only into cells of levels that boxes of the other side with the same `by` have, or, where it is the larger one, if there are smaller ones.
     """
     own, upward = F.array("_level"), F.sequence("_level", F.lit(LEVELS[1]))
     above = F.filter(upward, lambda k: k > F.col("_level"))
-    pairs = placed(left, "l", by, upward, right).join(placed(right, "r", by, own), ["_by", "level", "cx", "cy"]).unionByName(placed(left, "l", by, own).join(placed(right, "r", by, above, left), ["_by", "level", "cx", "cy"]))
+    pairs = placed(left, "l", by, upward, right).join(placed(right, "r", by, own), ["_by", "level", "cx", "cy"]).unionByName(placed(left, "l", by, own, right, True).join(placed(right, "r", by, above, left), ["_by", "level", "cx", "cy"]))
     width = F.pow(F.lit(2.0), F.col("level"))
     low_x, low_y = F.greatest("l.x0", "r.x0"), F.greatest("l.y0", "r.y0")
     meet = (low_x <= F.least("l.x1", "r.x1")) & (low_y <= F.least("l.y1", "r.y1"))
-    return pairs.filter(meet & (F.floor(low_x / width) == F.col("cx")) & (F.floor(low_y / width) == F.col("cy"))).select("l", "r")
+    return pairs.filter(meet & (F.floor(low_x / width) == F.col("cx")) & (F.floor(low_y / width) == F.col("cy"))).select(*(F.struct(F.col("_by").alias(by), f"{side}.*").alias(side) for side in "lr"))
 
 
 def pointer_targets(nodes: DataFrame, measured: DataFrame) -> DataFrame:
@@ -272,12 +272,14 @@ def cover_findings(nodes: DataFrame, measured: DataFrame) -> DataFrame:
     Where the browser tried points after focusing (points, covered), they decide: all covered is obscured, any covered is obscured at the enhanced level. Otherwise a bar that hides what is
     focused (hides_focus), or a reachable, visible control that something covers (obscured), is found. `measured` has these columns, visually_hidden too; with_cover() fills points and covered from boxes.
     """
-    e = nodes.filter("kind = 'element'").select("page_id", "pre", tab_reachable().alias("reach")).join(measured, ["page_id", "pre"])
+    may = measured.filter("points > 0 and covered >= points or covered > 0 or hides_focus or obscured")
+    e = nodes.filter("kind = 'element'").select("page_id", "pre", tab_reachable().alias("reach")).join(may.select("page_id", "pre", "points", "covered", "hides_focus", "obscured", "visually_hidden"), ["page_id", "pre"])
     tried = F.col("covered").isNotNull()
     shown = F.col("reach") & ~_false(F.col("visually_hidden"))
     whole = _false((F.col("points") > 0) & (F.col("covered") >= F.col("points")))
     bits = ~whole & (_false(F.col("hides_focus")) | (_false(F.col("obscured")) & ~tried & shown))
-    return _finding(e.filter(whole | bits), "focus/obscured", "review", "medium").unionByName(_finding(e.filter(shown & _false(F.col("covered") > 0)), "focus/obscured-enhanced", "review", "low"))
+    each = F.array(F.when(whole | bits, F.struct(F.lit("focus/obscured").alias("rule_id"), F.lit("medium").alias("severity"))), F.when(shown & _false(F.col("covered") > 0), F.struct(F.lit("focus/obscured-enhanced").alias("rule_id"), F.lit("low").alias("severity"))))
+    return e.select("page_id", "pre", F.explode(F.array_compact(each)).alias("f")).select("page_id", "f.rule_id", F.lit("review").alias("outcome"), "f.severity", "pre")
 
 
 def with_cover(nodes: DataFrame, measured: DataFrame) -> DataFrame:
@@ -285,21 +287,25 @@ def with_cover(nodes: DataFrame, measured: DataFrame) -> DataFrame:
 
     Boxes that a control lies in, and boxes within the control, don't cover it. `measured` has x, y, width, height, paint (later is above) and position.
     """
-    bars = measured.filter("position in ('fixed', 'sticky')")
-    e = nodes.filter("kind = 'element'")
-    reach = e.filter(tab_reachable()).select("page_id", "pre", "post", F.col("anc.pre").alias("up"))
-    boxes = measured.join(reach.select("page_id", "pre"), ["page_id", "pre"], "left_semi")
+    e = nodes.filter("kind = 'element'").select("page_id", "pre", tab_reachable().alias("reach"), F.col("anc.pre").alias("up"))
+    bar = _false(F.col("position").isin("fixed", "sticky"))
+    things = stored(measured.select("page_id", "pre", "paint", "x", "y", "width", "height", bar.alias("bar")).join(e, ["page_id", "pre"], "left").withColumn("reach", _false(F.col("reach"))).filter("reach or bar"))
+    boxes, bars = (things.filter(kind).drop("reach", "bar", "up") for kind in ("reach", "bar"))
     # A bar around or within the control is a cover of a copy of it that is left out, by control: rare, so those controls are measured apart.
-    around = reach.select("page_id", "pre", F.explode("up").alias("bar")).join(bars.select("page_id", F.col("pre").alias("bar")), ["page_id", "bar"], "left_semi")
-    inside = bars.select("page_id", F.col("pre").alias("bar")).join(e.select("page_id", F.col("pre").alias("bar"), F.explode("anc.pre").alias("pre")), ["page_id", "bar"]).join(reach.select("page_id", "pre"), ["page_id", "pre"], "left_semi")
-    related = around.unionByName(inside.select("page_id", "pre", "bar"))
-    areas = _covered_without(boxes, bars, related)
+    above = things.select("page_id", F.col("pre").alias("at"), F.col("reach").alias("control"), F.col("bar").alias("cover"))
+    pairs = things.select("page_id", "pre", "reach", "bar", F.explode("up").alias("at")).join(above, ["page_id", "at"]).filter("reach and cover or bar and control")
+    each = F.array(F.when(F.col("reach") & F.col("cover"), F.struct(F.col("pre").alias("pre"), F.col("at").alias("bar"))), F.when(F.col("bar") & F.col("control"), F.struct(F.col("at").alias("pre"), F.col("pre").alias("bar"))))
+    related = stored(pairs.select("page_id", F.explode(F.array_compact(each)).alias("p")).select("page_id", "p.*"))
+    areas = stored(_covered_without(boxes, bars, related))
+    released(things, related)
     rows = measured.join(areas, ["page_id", "pre"], "left")
     return rows.withColumns({"points": F.coalesce(F.col("points").cast("double"), "_area"), "covered": F.coalesce(F.col("covered").cast("double"), "_covered")}).drop("_area", "_covered")
 
 
 def _covered_without(boxes: DataFrame, bars: DataFrame, related: DataFrame) -> DataFrame:
     """Covered area of boxes by bars, without the pairs in `related`: a box with such a pair is measured on a page of its own, with the other bars of its page."""
+    if not related.limit(1).count():
+        return covered_area(boxes, bars).select("page_id", "pre", F.col("area").alias("_area"), F.col("covered").alias("_covered"))
     apart = related.groupBy("page_id", "pre").agg(F.collect_set("bar").alias("not"))
     key = lambda c: F.concat(F.col("page_id").cast("string"), F.lit("/"), c)
     plain = covered_area(boxes.join(apart, ["page_id", "pre"], "left_anti"), bars)

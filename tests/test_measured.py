@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -256,3 +257,22 @@ def test_boxes_are_placed_only_in_levels_of_the_others(spark):
     assert sorted((r._by, r.level) for r in geometry.placed(left, "l", "page_id", upward, right).collect()) == [(1, 7), (2, 4)]
     for a, b in ((left, right), (right, left)):
         assert sorted((r.l.page_id, r.r.page_id) for r in geometry.overlapping(a, b).collect()) == [(1, 1), (2, 2)]
+
+
+def test_larger_boxes_are_placed_only_above_smaller_ones(spark):
+    """Of the boxes on one side, only those meet smaller ones at their own level that have some on the other side of their page."""
+    columns = "page_id long, x0 double, y0 double, x1 double, y1 double"
+    left = spark.createDataFrame([(1, 0.0, 0.0, 100.0, 100.0), (2, 1.0, 1.0, 2.0, 2.0), (3, 1.0, 1.0, 2.0, 2.0)], columns)
+    right = spark.createDataFrame([(1, 1.0, 1.0, 2.0, 2.0), (2, 0.0, 0.0, 100.0, 100.0), (3, 2.0, 2.0, 3.0, 3.0)], columns)
+    assert [(r._by, r.level) for r in geometry.placed(left, "l", "page_id", F.array("_level"), right, True).collect()] == [(1, 7)]
+    assert sorted((r.l.page_id, r.l.x1, r.r.page_id, r.r.x0) for r in geometry.overlapping(left, right).collect()) == [(1, 100.0, 1, 1.0), (2, 2.0, 2, 0.0), (3, 2.0, 3, 2.0)]
+
+
+def test_covers_leave_little_on_disk(spark):
+    """What covers are made of goes when it is used up: of what was written, the nodes, what was measured and the areas stay."""
+    folder = Path(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir"))
+    folder = Path(str(folder).removeprefix("file:"))
+    before = set(folder.glob("nodes-*"))
+    assert catalog_measured._cover(spark, "/root/testdata/sf0.001").count() > 0
+    left = [spark.read.parquet(str(p)).columns for p in set(folder.glob("nodes-*")) - before]
+    assert any("attrs" in c for c in left) and not [c for c in left if "l_linenumber" in c]
