@@ -145,3 +145,44 @@ def test_backgrounds_need_one_join(spark):
     over = (5.0, 60.0, 15.0, 1.0)
     assert found == {(1, 0): (127.5, 177.5, 127.5, 1.0), (1, 1): None, (1, 2): solid, (1, 3): over, (1, 4): over, (2, 0): (255.0, 255.0, 255.0, 1.0)}
     assert seen._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+def test_places_against_each_node(spark):
+    """Places of random trees with languages, texts and empty elements, against the node table itself; nodes are dealt out once, and none is joined without a language."""
+    r = random.Random(4)
+
+    def grown(depth):
+        attributes = r.choice(["", "", "", " lang=EN", " lang=de-AT", " lang=''", " data-lang=fr"])
+        return f"<{(t := r.choice(['div', 'b', 'i']))}{attributes}>" + "".join(grown(depth + 1) if r.random() < 0.6 else r.choice(["x", " ", "<!-- x -->"]) for _ in range(r.randint(0, 3) if depth < 5 else 0)) + f"</{t}>"
+
+    nodes = stored(html_nodes(spark.createDataFrame([(k, "".join(grown(0) for _ in range(3))) for k in range(40)], "page_id long, html string")))
+    rows = nodes.collect()
+    kids, by = {}, {(n.page_id, n.pre): n for n in rows}
+    for n in rows:
+        kids.setdefault((n.page_id, n.parent_id), []).append(n)
+    want = {}
+    for n in rows:
+        if n.kind != "element":
+            continue
+        beside = [k for k in kids[n.page_id, n.parent_id] if k.kind == "element"]
+        alike, at = [k for k in beside if k.tag == n.tag], n
+        while at and at.attrs.get("lang") is None:
+            at = by.get((n.page_id, at.parent_id))
+        want[n.page_id, n.pre] = (beside.index(n) + 1, len(beside), alike.index(n) + 1, len(alike), not [k for k in kids.get((n.page_id, n.pre), []) if k.kind == "element" or k.text], n.depth == 0, at.attrs["lang"].lower() if at else "", False)
+    found = cascade.placed(nodes)
+    assert found.columns == [*nodes.columns, "place"]
+    assert {(e.page_id, e.pre): tuple(e.place) for e in found.collect()} == want
+    assert len({w[6] for w in want.values()}) == 3 and len({w[4] for w in want.values()}) == 2
+    assert cascade.placed(nodes)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 3
+
+
+def test_rules_of_all_pages_move_no_element(spark):
+    """Elements are only dealt out by page and key where a page has rules of its own."""
+    elements = stored(cascade.placed(html_nodes(spark.createDataFrame([(1, "<p class=a>x</p>")], "page_id long, html string"))))
+    rows = [(page, k, s, "color", "red", False, "author", None) for k, (page, s) in enumerate([(None, "p"), (None, ".a"), (1, "*")])]
+    plans = []
+    for some in (rows[:2], rows):
+        found = cascade.candidates(elements, cascade.taken_apart(spark.createDataFrame(some, RULES))[1])
+        assert found.count() == len(some)
+        plans.append(found._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+    assert plans == [1, 2]
