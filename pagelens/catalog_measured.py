@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelens.operators import geometry
@@ -53,16 +53,19 @@ def measured(nodes: DataFrame, rows: DataFrame) -> DataFrame:
     boxes = rows.select("page_id", F.concat(F.lit("b"), "name").alias("id"), "x", "y", "width", "height", F.when(F.col("l_linenumber") == 7, True).alias("pointer_events_none"), (F.col("l_returnflag") == "R").alias("animating"), F.when(F.col("kind") == 5, "fixed").alias("position"), F.col("l_linenumber").alias("paint"), null("int").alias("order"), null("boolean").alias("flex_reversed"))
     wraps = rows.select("page_id", F.concat(F.lit("w"), "name").alias("id"), F.when((F.col("l_orderkey") % 7 == 0) & (F.col("l_linenumber") % 3 == 0), 1).otherwise(0).alias("order"))
     orders = rows.select("page_id", F.concat(F.lit("o"), "l_orderkey").alias("id"), (F.col("l_orderkey") % 5 == 0).alias("flex_reversed")).distinct()
-    every = boxes.unionByName(wraps, True).unionByName(orders, True).withColumns({"display": F.lit("block"), "visually_hidden": null("boolean"), "obscured": null("boolean"), "hides_focus": null("boolean"), "points": null("int"), "covered": null("int")})
-    named = nodes.filter("kind = 'element'").select("page_id", "node_id", F.col("attrs")["id"].alias("id")).filter("id is not null").join(every, ["page_id", "id"])
-    kept = ["x", "y", "width", "height", "display", "position", "paint", "order", "flex_reversed", "pointer_events_none", "animating", "visually_hidden", "obscured", "hides_focus", "points", "covered"]
+    every = boxes.unionByName(wraps, True).unionByName(orders, True)
+    named = nodes.filter("kind = 'element'").select("page_id", "node_id", F.col("attrs")["id"].alias("id")).filter("id is not null").join(every, ["page_id", "id"]).withColumn("display", F.lit("block"))
+    kept = ["x", "y", "width", "height", "display", "position", "paint", "order", "flex_reversed", "pointer_events_none", "animating"]
+    never = [null(kind).alias(c) for c, kind in (("visually_hidden", "boolean"), ("obscured", "boolean"), ("hides_focus", "boolean"), ("points", "int"), ("covered", "int"))]
     # Written between the joins, else the first one's shuffles lie beside the second one's.
-    return with_rendering(nodes, stored(named.select("page_id", "node_id", *kept))).filter("kind = 'element'").select("page_id", "pre", *kept)
+    named = stored(named.select("page_id", "node_id", *kept))
+    return with_rendering(nodes.select("page_id", "node_id", "pre", "kind"), named).filter("kind = 'element'").select("page_id", "pre", *kept, *never)
 
 
-def _site(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _site(spark: SparkSession, sf_dir: str, *columns: str | Column) -> tuple[DataFrame, DataFrame]:
+    """The nodes, all of them or some columns, and what was measured."""
     rows = stored(lines(spark, sf_dir))
-    nodes = stored(page_nodes(rows))
+    nodes = stored(page_nodes(rows).select(*columns or "*"))
     boxes = stored(measured(nodes, rows))
     released(rows)
     return nodes, boxes
@@ -88,7 +91,7 @@ def _inversions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, boxes = _site(spark, sf_dir)
+    nodes, boxes = _site(spark, sf_dir, "page_id", "node_id", "pre", "kind", "tag", "attrs", F.transform("anc", lambda a: F.struct(a["pre"].alias("pre"))).alias("anc"))
     return _by_name(geometry.cover_findings(nodes, geometry.with_cover(nodes, boxes)), nodes, "rule_id", "outcome", "severity")
 
 
